@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing
+from . import bpe, dedup, packing, topk, urlfilter, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,9 +27,55 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(_table(spark, sf_dir, "documents"), WORD_BPE))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read(warc.write(_table(spark, sf_dir, "pages")), with_payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 100 == 0)
+
+
+def op5_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.exact_dedup(_table(spark, sf_dir, "documents"))
+
+
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urlfilter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_packing": op2_packing}
+    return {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_warc": op3_warc, "op4_topk": op4_topk, "op5_dedup": op5_dedup, "op9_urls": op9_urls}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
+    return {
+        "op3_warc": """
+            with p as (select page_id, coalesce(html, '') as body from pages),
+            d as (select page_id, strlen(body) as payload_bytes, sha256(body) as payload_digest from p),
+            f as (select payload_digest, min(page_id) as first_id from d where payload_bytes >= 100 group by 1)
+            select page_id, payload_bytes, payload_digest,
+              case when first_id <> page_id then 'revisit' else 'response' end as record_type,
+              case when first_id <> page_id then first_id end as refers_to
+            from d left join f using (payload_digest)""",
+        "op4_topk": """
+            with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as vec
+              from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+            s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(cast(q.vec as double[]), cast(c.vec as double[])) as bigint) as score
+              from v q, v c where q.vec_id % 100 = 0 and c.vec_id <> q.vec_id),
+            r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+            select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 10""",
+        "op5_dedup": """
+            with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') as body from documents),
+            g as (select body, min(doc_id) as keep_id, count(*) as group_size from n group by 1)
+            select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(body) as text_sha256 from n join g using (body)""",
+        "op9_urls": f"""
+            with u as (select page_id, url, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', ['host', 'path']), {{'host': '', 'path': ''}}) as x from pages),
+            p as (select page_id, translate(coalesce(x.host, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, coalesce(x.path, '') as path from u),
+            r(verdict, h, s) as (values {rules}),
+            m as (select page_id, r.verdict, h || s as rule, row_number() over (partition by page_id order by length(h || s) desc) as nth
+              from p join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, s))
+            select p.page_id, host, path, rule, coalesce(m.verdict, 'allow') as verdict from p left join m on p.page_id = m.page_id and nth = 1""",
+    }
