@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, packing, topk, urlfilter, warc
+from . import bpe, dedup, html, langid, packing, topk, urlfilter, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -40,13 +40,24 @@ def op5_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    net = langid.train(docs.filter(langid.remainder("doc_id", 4) != 2))
+    found = langid.identify(docs.select("doc_id", "text"), net)
+    return found.select("doc_id", (langid.remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urlfilter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_warc": op3_warc, "op4_topk": op4_topk, "op5_dedup": op5_dedup, "op9_urls": op9_urls}
+    return {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_warc": op3_warc, "op4_topk": op4_topk, "op5_dedup": op5_dedup, "op8_langid": op8_langid, "op9_urls": op9_urls, "op10_html": op10_html}
 
 
 def oracle_sql() -> dict[str, str]:
