@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, html, jaccard, langid, packing, topk, urlfilter, warc
+from . import bpe, dedup, html, jaccard, langid, lm, packing, topk, urlfilter, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -40,6 +40,13 @@ def op5_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = lm.train(docs.filter(langid.remainder("doc_id", 10) != 0))
+    scored = lm.score(docs, model)
+    return scored.select("doc_id", (langid.remainder("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -61,7 +68,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_warc": op3_warc, "op4_topk": op4_topk, "op5_dedup": op5_dedup, "op7_jaccard": op7_jaccard, "op8_langid": op8_langid, "op9_urls": op9_urls, "op10_html": op10_html}
+    return {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_warc": op3_warc, "op4_topk": op4_topk, "op5_dedup": op5_dedup, "op6_lm": op6_lm, "op7_jaccard": op7_jaccard, "op8_langid": op8_langid, "op9_urls": op9_urls, "op10_html": op10_html}
 
 
 def oracle_sql() -> dict[str, str]:
