@@ -109,16 +109,54 @@ class Replica:
             first, hops = self.origin.pop(path)
             self.origin[new_path] = (first, hops + 1)
             return "applied"
-        if kind == "create" and path not in self.files:
-            self.files[path], self.origin[path] = content, (path, 0)
+        taken = path in self.files or path in self.folders
+        if kind == "create" and not taken:
+            self.files[path], self.origin[path] = content or "", (path, 0)
             return "applied"
-        if kind == "delete" and path in self.files:
-            del self.files[path], self.origin[path]
-            return "applied"
-        if kind == "createFolder" and path not in self.folders:
+        if kind == "createFolder" and not taken:
             self.folders.add(path)
             return "applied"
+        if kind in ("delete", "deleteFolder") and path in self.files:
+            del self.files[path], self.origin[path]
+            return "applied"
         if kind == "deleteFolder" and path in self.folders:
-            self.folders.discard(path)
+            below = [f for f in self.files if f.startswith(path + "/")]
+            for f in below:
+                del self.files[f], self.origin[f]
+            self.folders = {f for f in self.folders if f != path and not f.startswith(path + "/")}
             return "applied"
         return "skipped"
+
+
+@dataclass
+class Session:
+    """One connection's session; it ends by a close, or by a day without activity when the next event comes."""
+
+    created: int | None = None
+    last: int = 0
+
+    def step(self, now: int, kind: str, idle: int) -> tuple[int, int, int, str] | None:
+        """The session that this event ends: created, last activity, end, and how."""
+        ended = None
+        if self.created is not None and now - self.last > idle:
+            ended, self.created = (self.created, self.last, self.last + idle, "expired"), None
+        if kind == "disconnect":
+            if self.created is not None:
+                ended, self.created = (self.created, self.last, now, "closed"), None
+        else:
+            self.created = now if self.created is None else self.created
+            self.last = now
+        return ended
+
+
+@dataclass
+class Drain:
+    """A queue that stops at its first failure."""
+
+    stopped: bool = False
+
+    def step(self, kind: str, new_path: str | None) -> str:
+        if self.stopped:
+            return "left"
+        self.stopped = kind in ("rename", "move") and not new_path
+        return "failed" if self.stopped else "applied"

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def keyed_fold(df: DataFrame, keys: list[str], order: list[str], fresh: Callable[[], object], step: Callable[[object, dict], tuple | None], fields: list[str], out: str, finish: Callable[[object, tuple], list[tuple]] | None = None) -> DataFrame:
@@ -15,13 +17,16 @@ def keyed_fold(df: DataFrame, keys: list[str], order: list[str], fresh: Callable
     batch and one state. A fold is sequential by definition: a key is one task's work.
     """
     names = [*keys, *[f for f in fields if f not in keys]]
-    columns = [x.strip().split()[0] for x in out.split(",")]
+    schema = to_arrow_schema(StructType.fromDDL(out))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows_of(made: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in made], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
         for batch in batches:
             made = []
-            for row in zip(*(batch[c].array if batch[c].dtype.kind == "O" else batch[c].tolist() for c in names)):
+            for row in zip(*(batch.column(k).to_pylist() for k in range(len(names)))):
                 own = row[: len(keys)]
                 if own != key:
                     if key is not None and finish:
@@ -29,9 +34,9 @@ def keyed_fold(df: DataFrame, keys: list[str], order: list[str], fresh: Callable
                     key, state = own, fresh()
                 if (x := step(state, dict(zip(names, row)))) is not None:
                     made.append(x)
-            yield pd.DataFrame(made, columns=columns)
+            yield rows_of(made)
         if key is not None and finish:
-            yield pd.DataFrame(finish(state, key), columns=columns)
+            yield rows_of(finish(state, key))
 
     extra = [c for c in order if c not in names]
-    return df.select(*names, *extra).repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, out)
+    return df.select(*names, *extra).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, out)

@@ -104,15 +104,22 @@ def tables_of(name: str) -> list[str]:
     return sorted(set(re.findall(r"from (events|documents|pages)\b", VIEWS[name])))
 
 
-def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view of ``VIEWS`` over the tables in ``sf_dir``."""
+def frame(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
+    """A view of ``VIEWS`` over the tables in ``sf_dir``, or over the tables' files as a stream."""
     sql, given = VIEWS[name], {}
     for table in tables_of(name):
         sql = re.sub(rf"from {table}\b", f"from {{{table}}}", sql)
-        given[table] = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+        path = f"{sf_dir}/{table}.parquet"
+        rows = spark.read.parquet(path)
+        given[table] = file_stream(spark, sf_dir, table, rows.schema) if stream else rows
     return spark.sql(sql.replace("strpos(", "instr("), **given)
 
 
+def file_stream(spark: SparkSession, sf_dir: str, table: str, schema) -> DataFrame:
+    """The files of a table as a stream; the pattern lets a table be one file or a folder of files."""
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}.parq[u]et")
+
+
 def with_ms(df: DataFrame, ts: str = "ts", ms: str = "ms") -> DataFrame:
     """Adds the epoch milliseconds of a timestamp, whatever the session's time zone."""
     return df.withColumn(ms, F.expr(f"timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', cast({ts} as timestamp_ntz))"))
