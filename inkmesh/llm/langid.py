@@ -161,7 +161,7 @@ class Network:
             width = int(length[own].max())
             at = start[own][:, None] + span[:width]
             real = span[:width] < length[own][:, None]
-            seg = np.where(real, data[np.minimum(at, len(data) - 1)], PAD).astype(np.int64)
+            seg = np.where(real, data[np.minimum(at, len(data) - 1)].astype(np.int64), PAD)
             p = (self.labels(self.states(seg)) * real.T[..., None]).sum(0)
             np.add.at(total, doc[own], p)
         return total / np.maximum(size, 1)[:, None]
@@ -179,7 +179,7 @@ def segments(data: np.ndarray, most: int, seed: int) -> np.ndarray:
     at[length < LENGTH // 2] = 0  # short texts begin a sentence
     place = at[:, None] + np.arange(LENGTH)
     real = (np.arange(LENGTH) < length[:, None]) & (place < len(data))
-    return np.where(real, data[np.minimum(place, len(data) - 1)], PAD).astype(np.int64)
+    return np.where(real, data[np.minimum(place, len(data) - 1)].astype(np.int64), PAD)
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE, per_document: int = SEGMENTS, steps: int = 400, seed: int = 1) -> Network | None:
