@@ -69,6 +69,29 @@ SESSIONS = f"""{throttled("m", "connection_id")},
     coalesce(max(event_id) filter (kind <> 'disconnect'), -1) > coalesce(max(event_id) filter (kind = 'disconnect'), -1) as is_open
     from lg group by 1)"""
 
+_FLAGS = """regexp_full_match(origin, 'https?://(localhost|127\\.0\\.0\\.1)(:[0-9]+)?') as origin_ok, coalesce(token = 'secret-1', false) as token_ok,
+    coalesce(regexp_full_match(vault_id, '[A-Za-z0-9_-]{1,128}'), false) as vault_ok, coalesce(user_id, '') = '' or regexp_full_match(user_id, '[A-Za-z0-9_.@-]{1,64}') as user_ok"""
+#: The whole of A6 as one recursion by IP: both rate records, the open sessions, and the first failing check. Defines ``adm``.
+ADMISSION = f"""ev as (select *, {_FLAGS}, kind = 'connect' as con, row_number() over (partition by ip order by ms, event_id) as rn from fx_conn where kind in ('connect', 'disconnect')),
+  adm as (
+    select ip, cast(0 as bigint) as rn, cast(null as bigint) as event_id, cast(null as bigint) as ms, '' as decision, cast(null as varchar) as reason, cast(0 as bigint) as open, cast([] as varchar[]) as ses,
+      cast(0 as bigint) as c_n, cast(-1 as bigint) as c_end, cast(0 as bigint) as a_n, cast(-1 as bigint) as a_end from ev group by 1
+    union all
+    select ip, rn, event_id, ms, decision, reason,
+      case when decision = 'admit' then open + 1 when decision = 'close' and reason is null then greatest(0, open - 1) else open end,
+      case when decision = 'reject' then ses when decision = 'admit' then list_append(list_filter(ses, lambda x: x <> connection_id), connection_id) else list_filter(ses, lambda x: x <> connection_id) end,
+      case when asks_c then c0 + cast(c0 < {LIMITS['connection'][0]} as bigint) else c_n end, case when asks_c then c_end0 else c_end end,
+      case when asks_a then a0 + cast(a0 < {LIMITS['auth'][0]} as bigint) else a_n end, case when asks_a then a_end0 else a_end end
+    from (select *, case when not con then 'close' when reason is null then 'admit' else 'reject' end as decision from (
+      select *, con and open < {OPEN} as asks_c, con and open < {OPEN} and c0 < {LIMITS['connection'][0]} and origin_ok as asks_a,
+        case when not con then case when not list_contains(ses, connection_id) then 'no_session' end when open >= {OPEN} then 'ip_limit' when c0 >= {LIMITS['connection'][0]} then 'connection_rate' when not origin_ok then 'origin'
+          when a0 >= {LIMITS['auth'][0]} then 'auth_rate' when not token_ok then 'token' when not vault_ok then 'vault_id' when not user_ok then 'user_id' end as reason
+      from (select f.ip, f.open, f.ses, f.c_n, f.c_end, f.a_n, f.a_end, e.rn, e.event_id, e.ms, e.con, e.connection_id, e.origin_ok, e.token_ok, e.vault_ok, e.user_ok,
+          case when e.ms >= f.c_end then 0 else f.c_n end as c0, case when e.ms >= f.c_end then e.ms + {LIMITS['connection'][1]} else f.c_end end as c_end0,
+          case when e.ms >= f.a_end then 0 else f.a_n end as a0, case when e.ms >= f.a_end then e.ms + {LIMITS['auth'][1]} else f.a_end end as a_end0
+        from adm f join ev e on e.ip = f.ip and e.rn = f.rn + 1) s1) s2) s3)"""
+DECIDED = "select ip, event_id, ms, decision, reason, case when decision = 'reject' then 1008 end as close_code, open from adm where rn > 0"
+
 QUERIES = {
     "rate_limit": Query(limited, oracle(f"with {throttled('fx_conn', 'ip')} select k as ip, {_RATE}", "fx_conn", recursive=True)),
     "rate_limit_classes": Query(lambda spark, d: ops.rate_limit_classes(log(spark, d), ops.limits_frame(spark, LIMITS)), oracle(f"with {_DRAWS}, {throttled('rq', 'record', 'n.most_n', 'n.win_n', 'ms, event_id')} select k as record, thr.event_id // 4 as event_id, class, allowed, violations from thr join rq on rq.event_id = thr.event_id where rn > 0", "fx_conn", recursive=True)),
@@ -84,8 +107,8 @@ QUERIES = {
         union all select f.ip, n.rn, n.event_id, n.kind, n.kind <> 'connect' or f.open < {OPEN},
           case when n.kind = 'connect' then case when f.open < {OPEN} then f.open + 1 else f.open end else greatest(0, f.open - 1) end from f join num n on n.ip = f.ip and n.rn = f.rn + 1)
       select ip, event_id, kind, admitted, open from f where rn > 0""", "fx_conn", recursive=True)),
-    "admission": Query(admitted),
-    "rejections_by_reason": Query(lambda spark, d: ops.rejections_by_reason(admitted(spark, d))),
+    "admission": Query(admitted, oracle(f"with {ADMISSION} {DECIDED}", "fx_conn", recursive=True)),
+    "rejections_by_reason": Query(lambda spark, d: ops.rejections_by_reason(admitted(spark, d)), oracle(f"with {ADMISSION} select reason, ip, count(*) as rejects, min(ms) as first_ms, max(ms) as last_ms from adm where decision = 'reject' group by cube(reason, ip)", "fx_conn", recursive=True)),
     "top_offenders": Query(lambda spark, d: ops.top_offenders(limited(spark, d), "ip"), oracle(f"""with {throttled('fx_conn', 'ip')}, a as (select k as ip, {_RATE})
       select ip, max(violations) as violations, max(retry_after) as retry_after, count(*) filter (not allowed) as rejects from a group by ip order by 2 desc, 3 desc nulls last, 4 desc, 1 limit 10""", "fx_conn", recursive=True)),
     "throttle_hits": Query(lambda spark, d: ops.throttle_hits(log(spark, d), budget(spark, d)), oracle(f"""with {_MESSAGES}, {throttled('m', 'connection_id')}

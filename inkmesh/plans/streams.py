@@ -49,7 +49,7 @@ QUERIES = {
     "conn_log_stream": Query(conn_stream, oracle("select event_id, ms, connection_id, ip, kind, direction, msg_bytes from fx_conn", "fx_conn")),
     "status_sinks": Query(panels, oracle("""select 'totals' as panel, 'all' as item, cast(count(*) as bigint) as n, cast(sum(msg_bytes) as bigint) as bytes from fx_conn
       union all select 'kinds', kind, count(*), cast(sum(msg_bytes) as bigint) from fx_conn group by kind union all select 'vaults', vault_id, count(*), cast(sum(msg_bytes) as bigint) from fx_conn group by vault_id""", "fx_conn")),
-    "stream_admission": Query(lambda spark, d: drained(ops.stream_admission(log(spark, d), {k: v[:2] for k, v in LIMITS.items()}, OPEN), "admission")),
+    "stream_admission": Query(lambda spark, d: drained(ops.stream_admission(log(spark, d), {k: v[:2] for k, v in LIMITS.items()}, OPEN), "admission"), oracle(f"with {admission.ADMISSION}, wm as (select max(ms) - {HOUR} as w from ev) {admission.DECIDED} and ms <= (select w from wm)", "fx_conn", recursive=True)),
     "stream_rate_limit": Query(lambda spark, d: drained(ops.stream_rate_limit(log(spark, d), "ip", MOST, WINDOW), "rate"), oracle(f"with {_MARK.format(t='fx_conn')}, {throttled('fx_conn', 'ip')} select k as ip, {admission._RATE} and ms <= (select w from wm)", "fx_conn", recursive=True)),
     "stream_sessions": Query(lambda spark, d: drained(ops.stream_sessions(log(spark, d)), "sessions")),
     "stream_debounce": Query(lambda spark, d: drained(ops.stream_debounce(file_stream(spark, d, "events", spark.read.parquet(f"{d}/events.parquet").schema), "user_id", QUIET), "debounce"), f"""

@@ -90,7 +90,10 @@ QUERIES = {
     "valid_user_id": Query(lambda spark, d: frame(spark, d, "fx_conn").select("event_id", rules.user_id(F.col("user_id")).alias("valid")), oracle(f"select event_id, {_USER} as valid from fx_conn", "fx_conn")),
     "valid_token": Query(lambda spark, d: frame(spark, d, "fx_conn").select("event_id", rules.token_ok(F.col("token"), F.lit(TOKEN)).alias("valid")), oracle(f"select event_id, {_TOKEN_OK} as valid from fx_conn", "fx_conn")),
     "valid_message_size": Query(lambda spark, d: _docs(spark, d).select("doc_id", rules.size_ok(F.col("text")).alias("valid"), F.octet_length("text").alias("n_bytes")), "select doc_id, coalesce(strlen(text), 0) <= 1048576 as valid, cast(strlen(text) as integer) as n_bytes from documents"),
-    "safe_path": Query(safe_path),
+    "safe_path": Query(safe_path, """with p as (select doc_id, case doc_id % 6 when 0 then source || '/../' || lang when 1 then '../../' || source when 2 then '/safe/directory/' || source when 3 then 'a b/' || source when 4 then './x/.//' || lang else '/safe/directoryx/' || source end as path from documents),
+        r as (select *, '/' || ltrim(list_reduce(list_prepend('', list_filter(string_split(case when starts_with(path, '/') then path else '/safe/directory/' || path end, '/'), lambda x: x not in ('', '.'))),
+          lambda a, x: case when x = '..' then regexp_replace(a, '/[^/]*$', '') else a || '/' || x end), '/') as full_path from p)
+        select doc_id, path, case when length(path) <= 4096 and regexp_full_match(path, '[A-Za-z0-9_/.-]+') and (full_path = '/safe/directory' or starts_with(full_path, '/safe/directory/')) then full_path end as resolved from r"""),
     "valid_origin": Query(lambda spark, d: frame(spark, d, "fx_conn").select("event_id", rules.origin_ok(F.col("origin")).alias("local_ok"), rules.origin_ok(F.col("origin"), ["https://other.example"]).alias("listed_ok")), oracle(f"select event_id, {_ORIGIN} as local_ok, origin = 'https://other.example' as listed_ok from fx_conn", "fx_conn")),
     "validate_conn": Query(validate_conn, oracle(f"""with c as (select event_id, case when {_VALID} then vault_id end as v, {_USER} as u from fx_conn)
         select event_id, case when v is not null and u is not null then v end as vault_id, case when v is not null and u is not null then u end as user_id,
