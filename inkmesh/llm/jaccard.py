@@ -19,9 +19,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,8 +94,9 @@ def prefix_size(n: np.ndarray, t: Fraction) -> np.ndarray:
 
 
 def features(docs: DataFrame, width: int, t: Fraction, classes: np.ndarray) -> DataFrame:
-    """``key, n, sig, shape, prefix``: set size, hash of the set, hash of size and prefix, and the prefix: the first
-    shingles in the global order, each as its class and 56 bits of its hash. Written once; every later step reads it."""
+    """``key, n, sig, shape, cells, prefix``: set size, hash of the set, hash of size and prefix, counts by cell, and the
+    prefix: the first shingles in the global order, each as its class and 56 bits of its hash. Written once; every
+    later step reads it."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)
     kind = docs.schema["key"].dataType.simpleString()
 
@@ -118,9 +119,16 @@ def features(docs: DataFrame, width: int, t: Fraction, classes: np.ndarray) -> D
                     prefix.append(own)
                 ends = np.cumsum([0, *map(len, prefix)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefix).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(sig), pa.array(shape), lists], ["key", "n", "sig", "shape", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(sig), pa.array(shape), cell_counts(h, row, batch.num_rows), lists], ["key", "n", "sig", "shape", "cells", "prefix"])
 
-    return written(docs.mapInArrow(run, f"key {kind}, n long, sig string, shape string, prefix array<long>"), "shingles")
+    return written(docs.mapInArrow(run, f"key {kind}, n long, sig string, shape string, cells binary, prefix array<long>"), "shingles")
+
+
+def cell_counts(h: np.ndarray, row: np.ndarray, rows: int) -> pa.Array:
+    """Shingles of each row in ``CELLS`` cells; a count of 255 stands for more."""
+    cells = np.bincount(row * CELLS + (h & np.uint64(CELLS - 1)).astype(np.int64), minlength=rows * CELLS)
+    cells = np.minimum(cells, 255).astype(np.uint8).reshape(-1, CELLS)
+    return pa.array([c.tobytes() for c in cells], pa.binary())
 
 
 def group_buckets(feats: DataFrame, classes: DataFrame, t: Fraction) -> DataFrame:
@@ -128,23 +136,21 @@ def group_buckets(feats: DataFrame, classes: DataFrame, t: Fraction) -> DataFram
     a size that allows links. Buckets with the same groups are one."""
     a, b = t.numerator, t.denominator
     groups = classes.groupBy("shape").agg(F.min("key").alias("gid"), F.count(F.lit(1)).alias("members"))
-    member = written(classes.join(groups, "shape").select("key", "gid", "members"), "groups")
-    leaders = member.filter("key = gid").select("key")
-    entries = feats.join(leaders, "key").dropDuplicates(["key"]).select(F.col("key").alias("gid"), "n", F.explode("prefix").alias("item"))
+    member = written(classes.join(groups, "shape").select("key", "sig", "gid", "members"), "groups")
+    leaders = member.filter("key = gid").select("key", "sig")
+    entries = feats.select("key", "sig", "n", "prefix").join(leaders, ["key", "sig"]).dropDuplicates(["key"]).select(F.col("key").alias("gid"), "n", F.explode("prefix").alias("item"))
     by = Window.partitionBy("item").orderBy("n", "gid")
     near = entries.withColumns({"n_before": F.lag("n").over(by), "n_after": F.lead("n").over(by)})
     fits = near.filter((F.col("n_before") * b >= F.col("n") * a) | (F.col("n") * b >= F.col("n_after") * a)).select("item", "gid")
-    fits = written(fits, "entries")
     signed = fits.groupBy("item").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("gid")).alias("x"), F.bit_xor(F.xxhash64("gid", F.lit(7))).alias("y")).filter("c > 1")
-    signed = signed.withColumn("bucket", F.concat_ws(".", "c", "x", "y"))
-    one = signed.groupBy("bucket").agg(F.min("item").alias("item"))
+    one = signed.groupBy("c", "x", "y").agg(F.min("item").alias("item")).select("item", F.concat_ws(".", "c", "x", "y").alias("bucket"))
     met = fits.join(one, "item").select("bucket", "gid")
     alone = member.filter("members > 1").select(F.concat(F.lit("g"), "gid").alias("bucket"), "key")
     return written(met.join(member.select("gid", "key"), "gid").select("bucket", "key").unionByName(alone), "buckets")
 
 
 def sets_of(docs: DataFrame, keys: DataFrame, width: int, max_bits: int = 1 << 28) -> DataFrame:
-    """``key, n, cells, items`` of the documents named in ``keys(key)``: the whole sets and their counts by cell.
+    """``key, items`` of the documents named in ``keys(key)``: the whole sets.
 
     A Bloom filter of the keys, while it fits ``max_bits``, keeps the other texts from being split and shuffled.
     """
@@ -164,112 +170,209 @@ def sets_of(docs: DataFrame, keys: DataFrame, width: int, max_bits: int = 1 << 2
             for batch in slices(whole, "text"):
                 h, row = shingles(*text_bytes(batch.column(1)), width)
                 n = np.bincount(row, minlength=batch.num_rows)
-                cells = np.bincount(row * CELLS + (h & np.uint64(CELLS - 1)).astype(np.int64), minlength=batch.num_rows * CELLS)
-                cells = np.minimum(cells, 255).astype(np.uint8).reshape(-1, CELLS)
                 items = [h[a : a + k].tobytes() for a, k in zip((np.cumsum(n) - n).tolist(), n.tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array([c.tobytes() for c in cells]), pa.array(items, pa.binary())], ["key", "n", "cells", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.binary())], ["key", "items"])
 
-    found = rows.mapInArrow(run, f"key {kind}, n long, cells binary, items binary")
-    return written(found, "sets")
+    return written(rows.mapInArrow(run, f"key {kind}, items binary"), "sets")
 
 
-def candidates(cells: np.ndarray, n: np.ndarray, side: np.ndarray, part: np.ndarray, refused: set[tuple[int, int]], t: Fraction, most: int) -> list[tuple[int, int]]:
-    """Pairs (i, j) between different parts that the bound admits: for each i up to ``most`` for each other part.
+def admitted(cells: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, t: Fraction, chunk: int = 1 << 13) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs that sizes and cell counts admit, and how far apart their counts are.
 
-    With ``side`` (0, 1) only pairs across the sides count. Candidates join parts for the rest of the call, as most
-    of them are links; refused pairs come back as ``refused`` in the next round.
+    Sets that differ in d shingles have counts at least as close, so ``shared <= (n_i + n_j - apart) / 2``; a pair
+    stays if ``t * union <= shared`` is still possible.
     """
-    order = np.argsort(n, kind="stable")
-    wide = cells.astype(np.int16)
-    label, out = part.copy(), []
-    tried: dict[tuple[int, int], int] = {}
     a, b = t.numerator, t.denominator
-    for pos, i in enumerate(order.tolist()):
-        top = int(np.searchsorted(n[order], n[i] * b // a, "right"))
-        later = order[pos + 1 : top]
-        later = later[(label[later] != label[i]) & ((side[later] != side[i]) | (side[i] < 0))]
-        if not len(later):
-            continue
-        apart = np.abs(wide[later] - wide[i]).sum(1, dtype=np.int64)
-        # t * union <= shared, with shared <= (n_i + n_j - apart) / 2
-        ok = (a + b) * (n[later] + n[i] - apart) >= 2 * a * (n[later] + n[i])
-        for k in np.flatnonzero(ok)[np.argsort(apart[ok], kind="stable")]:
-            j = int(later[k])
-            if label[i] == label[j] and most == 1:
-                continue
-            if (min(i, j), max(i, j)) in refused:
+    fits = np.flatnonzero((n[i] * b >= n[j] * a) & (n[j] * b >= n[i] * a))
+    i, j = i[fits], j[fits]
+    apart = np.empty(len(i), np.int64)
+    for k in range(0, len(i), chunk):
+        x, y = cells[i[k : k + chunk]], cells[j[k : k + chunk]]
+        apart[k : k + chunk] = (np.maximum(x, y) - np.minimum(x, y)).sum(1, dtype=np.int32)
+    ok = np.flatnonzero((a + b) * (n[i] + n[j] - apart) >= 2 * a * (n[i] + n[j]))
+    return i[ok], j[ok], apart[ok]
+
+
+def forest(size: int, i: np.ndarray, j: np.ndarray, apart: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Indexes of pairs that join all parts which the pairs join, one less than parts, closest pairs first: each part takes
+    its closest pair, parts merge, and again."""
+    label, out = part.copy(), []
+    rank = np.empty(len(i), np.int64)
+    rank[np.lexsort((np.arange(len(i)), apart))] = np.arange(len(i))
+    live = np.arange(len(i))
+    while True:
+        live = live[label[i[live]] != label[j[live]]]
+        if not len(live):
+            return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+        best = np.full(size, len(i), np.int64)
+        np.minimum.at(best, label[i[live]], rank[live])
+        np.minimum.at(best, label[j[live]], rank[live])
+        taken = live[(rank[live] == best[label[i[live]]]) | (rank[live] == best[label[j[live]]])]
+        out.append(taken)
+        a, b = label[i[taken]], label[j[taken]]
+        up = np.arange(size)
+        while True:  # the smallest label that the taken pairs reach
+            low = np.minimum(up[a], up[b])
+            before = up.copy()
+            np.minimum.at(up, up[a], low)
+            np.minimum.at(up, up[b], low)
+            up = up[up]
+            if (up == before).all():
+                break
+        label = up[label]
+
+
+_TRI: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def pairs_within(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of places inside runs that begin at ``first``; runs hold ``2 * BLOCK`` rows at most."""
+    i, j = [], []
+    for s in np.unique(size).tolist():
+        if s not in _TRI:
+            if len(_TRI) > 256:
+                _TRI.clear()
+            _TRI[s] = np.triu_indices(s, 1)
+        own = first[size == s][:, None]
+        i.append((own + _TRI[s][0]).ravel()), j.append((own + _TRI[s][1]).ravel())
+    return np.concatenate(i), np.concatenate(j)
+
+
+def open_pairs(rows: pa.Table, t: Fraction) -> tuple[np.ndarray, ...]:
+    """For whole buckets, sorted by bucket: admitted pairs of members of different parts, as places (i, j) with the
+    smaller key first, and how far apart; then the members' bucket codes, keys and parts (numbered in each bucket).
+
+    With sides 0 and 1 (blocks of a large bucket) only pairs across them count.
+    """
+    col = lambda c: rows.column(c).to_numpy()
+    code = rows.column("bucket").combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+    key, side, n = col("key"), col("side"), col("n")
+    cells = np.frombuffer(b"".join(rows.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS)
+    part = np.unique(np.stack([code, np.unique(col("part"), return_inverse=True)[1]], 1), axis=0, return_inverse=True)[1].ravel()
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(code)))
+    none = np.zeros(0, np.int64)
+    i, j = pairs_within(first[size > 1], size[size > 1]) if (size > 1).any() else (none, none)
+    own = (part[i] != part[j]) & (key[i] != key[j]) & ((side[i] < 0) | (side[i] != side[j]))
+    i, j, apart = admitted(cells, n, i[own], j[own], t)
+    swap = key[i] > key[j]
+    return np.where(swap, j, i), np.where(swap, i, j), apart, code, key, part
+
+
+def proposals(i: np.ndarray, j: np.ndarray, apart: np.ndarray, part: np.ndarray, most: int) -> np.ndarray:
+    """Indexes of the pairs to verify: a forest over the parts if ``most`` is 1, else up to ``most`` for each member and
+    other part."""
+    if most == 1:
+        return forest(len(part), i, j, apart, part)
+    who, other, of = np.concatenate([i, j]), np.concatenate([part[j], part[i]]), np.tile(np.arange(len(i)), 2)
+    order = np.lexsort((apart[of], other, who))
+    start = np.ones(len(order), bool)
+    start[1:] = (who[order][1:] != who[order][:-1]) | (other[order][1:] != other[order][:-1])
+    nth = np.arange(len(order)) - np.maximum.accumulate(np.where(start, np.arange(len(order)), 0))
+    return np.unique(of[order[nth < most]])
+
+
+def whole_buckets(batches: Iterator[pa.RecordBatch], least: int = 4096) -> Iterator[pa.Table]:
+    """Tables of complete buckets from rows sorted by bucket."""
+    held: list[pa.RecordBatch] = []
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            held.append(batch)
+            if sum(x.num_rows for x in held) < least:
                 continue
-            pair = (int(part[i]), int(part[j])) if most > 1 else (-1, -1)
-            if most > 1:
-                if pair[0] == pair[1] or tried.get((i, pair[1]), 0) >= most:
-                    continue
-                tried[(i, pair[1])] = tried.get((i, pair[1]), 0) + 1
-            out.append((i, j))
-            if most == 1:
-                label[label == label[j]] = label[i]
-    return out
-
-
-def links(sets: DataFrame, buckets: DataFrame, t: Fraction) -> DataFrame:
-    """Verified links ``a, b`` that connect all linked classes (not every link inside a connected part)."""
-    spark = sets.sparkSession
-    kind = sets.schema["key"].dataType.simpleString()
-    a, b = t.numerator, t.denominator
-    slim = sets.select("key", "n", "cells")
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).combine_chunks()
+        cut = rows.num_rows
+        if batch is not None:  # the last bucket may go on
+            codes = rows.column("bucket").combine_chunks().dictionary_encode().indices.to_numpy()
+            cut = int(np.searchsorted(codes, codes[-1]))
+        held = rows.slice(cut).combine_chunks().to_batches()
+        if cut:
+            yield rows.slice(0, cut).combine_chunks()
+
+
+def blocks(buckets: DataFrame, classes: DataFrame) -> DataFrame:
+    """``bucket, side, key, n, cells``; buckets of more than ``BLOCK`` rows become pairs of blocks in order of size."""
     counted = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("count")).filter(F.col("count") > BLOCK)
-    sized = buckets.join(counted, "bucket", "left").join(sets.select("key", "n"), "key")
-    small = sized.filter(F.col("count").isNull()).select("bucket", F.lit(-1).alias("side"), "key")
+    sized = buckets.join(counted, "bucket", "left").join(classes.select("key", "n", "cells"), "key")
+    small = sized.filter(F.col("count").isNull()).select("bucket", F.lit(-1).alias("side"), "key", "n", "cells")
     place = F.row_number().over(Window.partitionBy("bucket").orderBy("n", "key")) - 1
     big = sized.filter(F.col("count").isNotNull()).withColumn("block", F.floor(place / BLOCK).cast("int"))
     big = big.withColumn("other", F.explode(F.sequence(F.lit(0), F.floor((F.col("count") - 1) / BLOCK).cast("int"))))
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    big = big.select(F.concat_ws("/", "bucket", low, high).alias("bucket"), F.when(low == high, -1).otherwise(F.when(F.col("block") == low, 0).otherwise(1)).alias("side"), "key")
-    every = written(small.unionByName(big), "members")
-    rows = every.filter("side = -1")
-    nothing = spark.createDataFrame([], f"a {kind}, b {kind}")
-    refused, found, label = nothing.withColumn("bucket", F.lit("")), nothing, spark.createDataFrame([], f"key {kind}, component {kind}")
-    step = 0
-    while True:
-        most = 1 if step < 3 else 8 ** (step - 2)
+    big = big.select(F.concat_ws("/", "bucket", low, high).alias("bucket"), F.when(low == high, -1).otherwise(F.when(F.col("block") == low, 0).otherwise(1)).alias("side"), "key", "n", "cells")
+    return small.unionByName(big)
 
-        def propose(members: pd.DataFrame, tested: pd.DataFrame) -> pd.DataFrame:
-            if not len(members):
-                return pd.DataFrame({"bucket": [], "a": [], "b": []})
-            members = members.drop_duplicates("key").sort_values("key", ignore_index=True)
-            ids = members["key"].to_numpy()
-            cells = np.frombuffer(b"".join(members["cells"]), np.uint8).reshape(-1, CELLS)
-            part = np.unique(members["part"].to_numpy(), return_inverse=True)[1]
-            no = set(zip(np.searchsorted(ids, tested["a"].to_numpy()).tolist(), np.searchsorted(ids, tested["b"].to_numpy()).tolist())) if len(tested) else set()
-            pairs = candidates(cells, members["n"].to_numpy(), members["side"].to_numpy(), part, no, t, most)
-            return pd.DataFrame({"bucket": members["bucket"].iloc[0], "a": ids[[min(p) for p in pairs]], "b": ids[[max(p) for p in pairs]]})
-
-        now = rows.join(slim, "key").join(label, "key", "left").select("bucket", "side", "key", "n", "cells", F.coalesce("component", "key").alias("part"))
-        asked = now.groupBy("bucket").cogroup(refused.groupBy("bucket")).applyInPandas(propose, f"bucket string, a {kind}, b {kind}")
-        asked = written(asked, "asked")
-        pairs = asked.select("a", "b").distinct()
-        if pairs.isEmpty() and step > 0:
-            return found
+
+def links(docs: DataFrame, buckets: DataFrame, classes: DataFrame, width: int, t: Fraction) -> DataFrame:
+    """Verified links ``a, b`` that connect all linked classes (not every link inside a connected part)."""
+    spark = docs.sparkSession
+    kind = docs.schema["key"].dataType.simpleString()
+    a, b = t.numerator, t.denominator
+    by_bucket = lambda df: df.repartition("bucket").sortWithinPartitions("bucket", "key")
+
+    def mates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_buckets(batches):
+            i, j, apart, _, key, _ = open_pairs(rows, t)
+            who, mate = np.concatenate([i, j]), np.concatenate([j, i])
+            order = np.lexsort((key[mate], np.tile(apart, 2), who))
+            first = np.flatnonzero(np.diff(who[order], prepend=-1))
+            at = order[first]
+            kept = rows.take(pa.array(who[at])).combine_chunks()
+            yield pa.RecordBatch.from_arrays([*(kept.column(c).combine_chunks() for c in ("bucket", "side", "key")), pa.array(key[mate[at]]), pa.array(np.tile(apart, 2)[at])], ["bucket", "side", "key", "mate", "apart"])
+
+    every = by_bucket(blocks(buckets, classes).withColumn("part", F.col("key"))).mapInArrow(mates, f"bucket string, side int, key {kind}, mate {kind}, apart long")
+    every = written(every, "mates")  # members that some pair admits, with the closest
+    sets = sets_of(docs, every.select("key").distinct(), width)
+    closest = every.groupBy("key").agg(F.min(F.struct("apart", "mate")).alias("m")).select("key", F.col("m.mate").alias("mate"))
+    asked = written(closest.select(F.least("key", "mate").alias("a"), F.greatest("key", "mate").alias("b")).distinct(), "asked")
+    pair = every.select("bucket", F.least("key", "mate").alias("a"), F.greatest("key", "mate").alias("b")).distinct()
+    found, step = spark.createDataFrame([], f"a {kind}, b {kind}"), 0
+    refused = found.withColumn("bucket", F.lit(""))
+    rows = every.select("bucket", "side", "key")
+    while not asked.isEmpty():
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ok = []
                 for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                     p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
-                    ok.append(both * b >= a * (len(p) + len(q) - both))
+                    both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()) if len(q) else 0
+                    ok.append(bool(len(p)) and both * b >= a * (len(p) + len(q) - both))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
         one, two = (sets.select(F.col("key").alias(k), F.col("items").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-        met = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
-        tested = written(met.mapInArrow(verify, f"a {kind}, b {kind}, ok boolean"), "tested")
+        met = asked.select("a", "b").distinct().join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(verify, f"a {kind}, b {kind}, ok boolean")
+        tested = written(met.groupBy("a", "b").agg(F.bool_or("ok").alias("ok")), "tested")
         found = written(found.unionByName(tested.filter("ok").select("a", "b")), "found")
-        last = asked.join(tested.filter("not ok").select("a", "b"), ["a", "b"]).select("bucket", "a", "b")
+        last = (pair if step == 0 else asked).join(tested.filter("not ok").select("a", "b"), ["a", "b"]).select("bucket", "a", "b")
         refused = written(refused.unionByName(last), "refused")
-        # a bucket whose proposals all held is done: its candidates are in one part or refused
-        again = every.join(last.select("bucket").distinct(), "bucket", "left_semi")
-        rows = written(again.unionByName(every.filter("side >= 0")).distinct() if step == 0 else again, "open")
+        if step:  # a bucket whose proposals all held is done: its candidates are in one part or refused
+            rows = rows.join(last.select("bucket").distinct(), "bucket", "left_semi")
         label = components(found)
+        named = rows.join(label, "key", "left").select("bucket", "side", "key", F.coalesce("component", "key").alias("part"))
+        split = named.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("bucket")
+        named = written(named.join(split, "bucket", "left_semi"), "open")
+        rows = named.select("bucket", "side", "key")
         step += 1
+        most = 1 if step < 3 else 8 ** (step - 2)
+        # refused pairs travel as lists with one of their members, so that a bucket's rows meet them
+        no = refused.groupBy("bucket", F.col("a").alias("key")).agg(F.collect_set("b").alias("no"))
+        full = named.join(classes.select("key", "n", "cells"), "key").join(no, ["bucket", "key"], "left")
+
+        def propose(batches: Iterator[pa.RecordBatch], most=most) -> Iterator[pa.RecordBatch]:
+            for table in whole_buckets(batches):
+                i, j, apart, code, key, part = open_pairs(table, t)
+                gone = {(c, k, x) for c, k, xs in zip(code.tolist(), key.tolist(), table.column("no").to_pylist()) if xs for x in xs}
+                if gone and len(i):
+                    keep = np.array([x not in gone for x in zip(code[i].tolist(), key[i].tolist(), key[j].tolist())])
+                    i, j, apart = i[keep], j[keep], apart[keep]
+                pick = proposals(i, j, apart, part, most)
+                yield pa.RecordBatch.from_arrays([table.column("bucket").combine_chunks().take(pa.array(i[pick])), pa.array(key[i[pick]]), pa.array(key[j[pick]])], ["bucket", "a", "b"])
+
+        asked = written(by_bucket(full).mapInArrow(propose, f"bucket string, a {kind}, b {kind}"), "asked")
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -297,17 +400,18 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     """``key, n_shingles, component_id`` for every row: set size and the smallest key reachable by links.
 
     Sets hold the distinct ``width``-word shingles of the whole lower-cased text; a text with fewer words is one shingle.
-    Null and blank texts have empty sets and link with nothing. Repeated rows and equal texts are one class; keys must
-    not be null where texts are not blank (null keys keep their own component, null). An empty table gives an empty
-    result; other columns are not read.
+    Null and blank texts have empty sets and link with nothing. Repeated rows and equal texts are one class;
+    null keys keep their own component, null. Of texts that share a key, one is compared for all. An empty table gives
+    an empty result; other columns are not read.
     """
     docs = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     feats = features(docs, width, threshold, frequency_classes(docs, "text", width))
     full = feats.filter((F.col("n") > 0) & F.col("key").isNotNull())
-    classes = written(full.groupBy("sig").agg(F.min("key").alias("key"), F.min("shape").alias("shape")), "classes")
+    of_sets = written(full.groupBy("sig").agg(F.min("key").alias("key"), F.min("shape").alias("shape"), F.min("n").alias("n"), F.min("cells").alias("cells")), "classes")
+    one = F.min_by(F.struct("sig", "shape", "n", "cells"), "sig")
+    classes = of_sets.groupBy("key").agg(one.alias("c")).select("key", "c.*")
     buckets = group_buckets(full, classes, threshold)
-    sets = sets_of(docs, buckets.select("key").distinct(), width).filter("n > 0").dropDuplicates(["key"])
-    whole = components(links(written(sets, "sets"), buckets, threshold))
-    of = classes.join(whole, "key", "left").select("sig", F.coalesce("component", "key").alias("component"))
+    whole = components(links(docs, buckets, classes, width, threshold))
+    of = of_sets.join(whole, "key", "left").select("sig", F.coalesce("component", "key").alias("component"))
     named = feats.select("key", "n", "sig").join(of, "sig", "left")
     return named.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("key").isNotNull(), F.col("component")).otherwise(F.col("key")).alias("component_id"))
