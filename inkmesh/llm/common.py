@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
@@ -32,6 +33,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = 1 << 19) -> DataFrame:
+    """Marks a written table of a few short columns for broadcast if it has at most ``rows`` rows, some 20 MB; a larger one
+    is left to a shuffled join."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, text_bytes, words, written
+from .common import mix64, slices, small, text_bytes, words, written
 from .urlfilter import _level, passes
 
 CELLS, SKETCH, BLOCK = 256, 1 << 18, 512
@@ -346,12 +346,12 @@ def links(docs: DataFrame, buckets: DataFrame, classes: DataFrame, width: int, t
         met = asked.select("a", "b").distinct().join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(verify, f"a {kind}, b {kind}, ok boolean")
         tested = written(met.groupBy("a", "b").agg(F.bool_or("ok").alias("ok")), "tested")
         found = written(found.unionByName(tested.filter("ok").select("a", "b")), "found")
-        last = (pair if step == 0 else asked).join(tested.filter("not ok").select("a", "b"), ["a", "b"]).select("bucket", "a", "b")
-        refused = written(refused.unionByName(last), "refused")
+        last = written((pair if step == 0 else asked).join(small(tested.filter("not ok").select("a", "b")), ["a", "b"]).select("bucket", "a", "b"), "last")
+        refused = refused.unionByName(last)
         if step:  # a bucket whose proposals all held is done: its candidates are in one part or refused
-            rows = rows.join(last.select("bucket").distinct(), "bucket", "left_semi")
+            rows = rows.join(small(last.select("bucket")), "bucket", "left_semi")
         label = components(found)
-        named = rows.join(label, "key", "left").select("bucket", "side", "key", F.coalesce("component", "key").alias("part"))
+        named = rows.join(small(label), "key", "left").select("bucket", "side", "key", F.coalesce("component", "key").alias("part"))
         split = named.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("bucket")
         named = written(named.join(split, "bucket", "left_semi"), "open")
         rows = named.select("bucket", "side", "key")
@@ -384,15 +384,15 @@ def components(edges: DataFrame) -> DataFrame:
     pairs = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")
     label = written(pairs.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")).withColumnRenamed("a", "key"), "labels")
     while True:
-        mine = label.select(F.col("key").alias("a"), F.col("l").alias("la"))
-        yours = label.select(F.col("key").alias("b"), F.col("l").alias("lb"))
+        mine = small(label.select(F.col("key").alias("a"), F.col("l").alias("la")))
+        yours = small(label.select(F.col("key").alias("b"), F.col("l").alias("lb")))
         cross = pairs.join(mine, "a").join(yours, "b").filter("la <> lb")
         hooks = written(cross.groupBy(F.col("la").alias("root")).agg(F.min("lb").alias("to")).filter("to < root"), "hooks")
         if hooks.isEmpty():
             return label.withColumnRenamed("l", "component")
-        jumped = label.join(hooks.withColumnsRenamed({"root": "l"}), "l", "left").select("key", F.coalesce("to", "l").alias("l"))
+        jumped = label.join(small(hooks).withColumnsRenamed({"root": "l"}), "l", "left").select("key", F.coalesce("to", "l").alias("l"))
         up = written(jumped, "jumped")
-        over = up.select(F.col("key").alias("l"), F.col("l").alias("top"))
+        over = small(up.select(F.col("key").alias("l"), F.col("l").alias("top")))
         label = written(up.join(over, "l", "left").select("key", F.least(F.col("l"), F.coalesce("top", "l")).alias("l")), "labels")
 
 
