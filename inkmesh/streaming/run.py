@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+_own: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new folder name in the folder that the cluster shares; only where none is set, one of this machine's."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _own.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="spark-")
+        _own[spark.sparkContext.applicationId] = base
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
