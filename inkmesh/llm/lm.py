@@ -21,6 +21,7 @@ import tempfile
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
@@ -37,12 +38,15 @@ GATHER = 3 << 19
 #: Sub-shards of one context, and steps of the quantised logarithms.
 SPLIT, STEP = 16, 1 / 4096
 DISCOUNT = 0.75
-_POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 _BIT = np.array([[next((b for b in range(8) if bin(i & ((2 << b) - 1)).count("1") == r + 1), 8) for r in range(8)] for i in range(256)], np.uint8)
 
 
 class EliasFano:
-    """A sorted sequence of unsigned 64-bit integers: low bits plain, high bits as gaps in a bit vector."""
+    """A sorted sequence of unsigned 64-bit integers: low bits plain, high bits as gaps in a bit vector.
+
+    ``bits`` and ``packed`` are 64-bit words; ``ones`` counts the set bits before each word. Sorted questions are
+    answered fastest, as they walk through memory.
+    """
 
     def __init__(self, n: int, low: int, bits: np.ndarray, packed: np.ndarray, ones: np.ndarray):
         self.n, self.low, self.bits, self.packed, self.ones = n, low, bits, packed, ones
@@ -55,25 +59,27 @@ class EliasFano:
         top = int(values[-1]) if n else 0
         low = max(0, int(top // max(1, n)).bit_length() - 1)
         high = (values >> np.uint64(low)).astype(np.int64) if n else np.zeros(0, np.int64)
-        size = -(-(n + (int(high[-1]) if n else 0) + 1) // 64) * 8
-        flags = np.zeros(size * 8, np.uint8)
-        flags[high + np.arange(n)] = 1
-        bits = np.packbits(flags, bitorder="little")
+        words = (n + (int(high[-1]) if n else 0)) // 64 + 1
+        place = high + np.arange(n)
+        bits = np.zeros(words, np.uint64)
+        np.bitwise_or.at(bits, place >> 6, np.uint64(1) << (place & 63).astype(np.uint64))
+        packed = np.zeros(n * low // 64 + 2, np.uint64)
         if low:
-            each = (values[:, None] >> np.arange(low, dtype=np.uint64) & np.uint64(1)).astype(np.uint8)
-            packed = np.packbits(each.ravel(), bitorder="little")
-        else:
-            packed = np.zeros(0, np.uint8)
-        packed = np.pad(packed, (0, 9 + -(len(packed) + 9) % 8))
-        ones = np.concatenate([[0], np.cumsum(_POP[bits].reshape(-1, 8).sum(1, dtype=np.int64))]).astype("<u4" if n < 2**32 else "<u8")
-        out.write(struct.pack("<QQQQ", n, low, len(bits), len(packed)))
+            bit = np.arange(n, dtype=np.int64) * low
+            word, shift = bit >> 6, (bit & 63).astype(np.uint64)
+            value = values & np.uint64((1 << low) - 1)
+            np.bitwise_or.at(packed, word, value << shift)
+            over = np.flatnonzero(shift > np.uint64(64 - low))
+            np.bitwise_or.at(packed, word[over] + 1, value[over] >> (np.uint64(64) - shift[over]))
+        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(bits), dtype=np.int64)]).astype("<u4" if n < 2**32 else "<u8")
+        out.write(struct.pack("<QQQQ", n, low, bits.nbytes, packed.nbytes))
         out.write(bits.tobytes() + packed.tobytes() + np.pad(ones.view(np.uint8), (0, -ones.nbytes % 8)).tobytes())
 
     @classmethod
     def read(cls, data: np.ndarray, at: int) -> tuple["EliasFano", int]:
         n, low, a, b = struct.unpack("<QQQQ", data[at : at + 32].tobytes())
         at += 32
-        bits, packed = data[at : at + a], data[at + a : at + a + b]
+        bits, packed = data[at : at + a].view(np.uint64), data[at + a : at + a + b].view(np.uint64)
         at += a + b
         kind = np.dtype("<u4" if n < 2**32 else "<u8")
         size = (a // 8 + 1) * kind.itemsize
@@ -83,28 +89,27 @@ class EliasFano:
         if not self.low:
             return np.zeros(len(i), np.uint64)
         bit = i * self.low
-        byte = bit >> 3
-        word = np.zeros(len(i), np.uint64)
-        for k in range(8):
-            word |= self.packed[byte + k].astype(np.uint64) << np.uint64(8 * k)
-        shift = (bit & 7).astype(np.uint64)
-        word >>= shift
-        if self.low > 57:
-            word |= np.where(shift > 0, self.packed[byte + 8].astype(np.uint64) << (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
-        return word & np.uint64((1 << self.low) - 1)
+        word, shift = bit >> 6, (bit & 63).astype(np.uint64)
+        out = self.packed[word] >> shift
+        # the part in the next word; a shift by 64 is taken in two steps
+        out |= self.packed[word + 1] << np.uint64(1) << (np.uint64(63) - shift)
+        return out & np.uint64((1 << self.low) - 1)
 
     def _select(self, counts: np.ndarray, k: np.ndarray, invert: bool) -> np.ndarray:
         """Place of the k-th (from 0) one, or zero, of the upper bits."""
-        word = np.searchsorted(counts, k, "right") - 1
-        rest = k - counts[word].astype(np.int64)
-        eight = self.bits[(word << 3)[:, None] + np.arange(8)]
+        word = np.searchsorted(counts, k.astype(counts.dtype), "right") - 1
+        rest = (k - counts[word].astype(np.int64)).astype(np.uint8)
+        own = self.bits[word]
         if invert:
-            eight = ~eight
-        before = np.cumsum(_POP[eight], 1, dtype=np.int64)
-        byte = np.minimum((before <= rest[:, None]).sum(1), 7)
-        rows = np.arange(len(k))
-        rest -= np.where(byte > 0, before[rows, byte - 1], 0)
-        return (word << 6) + (byte << 3) + _BIT[eight[rows, byte], np.clip(rest, 0, 7)]
+            own = ~own
+        place = word << 6
+        for width in (32, 16, 8):
+            half = np.bitwise_count(own & np.uint64((1 << width) - 1))
+            up = rest >= half
+            rest = rest - half * up
+            own = own >> (up.astype(np.uint64) * np.uint64(width))
+            place = place + up * width
+        return place + _BIT[(own & np.uint64(255)).astype(np.uint8), np.minimum(rest, 7)]
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """Values at the given places."""
@@ -122,29 +127,43 @@ class EliasFano:
         if self.zeros is None:
             self.zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones.astype(np.int64)
         high = (x >> np.uint64(self.low)).astype(np.int64)
-        top = len(self.bits) * 8 - self.n  # zeros there are
+        top = len(self.bits) * 64 - self.n  # zeros there are
         own = np.flatnonzero(high < top)
         if not len(own):
             return out
         high, want = high[own], x[own] & np.uint64((1 << self.low) - 1)
-        end = self._select(self.zeros, high, True) - high
+        # the values with these high bits lie between two zeros; the first is often the last one's neighbour
         first = np.where(high > 0, self._select(self.zeros, np.maximum(high - 1, 0), True) + 1 - high, 0)
+        end = self._run_end(first + high) - high
         if start is not None:
             first, end = np.maximum(first, start[own]), np.minimum(end, stop[own])
-        lo, hi = first.copy(), np.minimum(end, self.n)
-        while True:
-            live = np.flatnonzero(lo < hi)
+        lo, hi = first, np.minimum(end, self.n)
+        live = np.flatnonzero(lo < hi)
+        lo, hi, want, own = lo[live], hi[live], want[live], own[live]
+        last = hi - 1
+        while True:  # the smallest place whose low bits are not less, or the last
+            live = np.flatnonzero(lo < last)
             if not len(live):
                 break
-            mid = (lo[live] + hi[live]) >> 1
+            mid = (lo[live] + last[live]) >> 1
             less = self._lows(mid) < want[live]
             lo[live] = np.where(less, mid + 1, lo[live])
-            hi[live] = np.where(less, hi[live], mid)
-        ok = np.flatnonzero(lo < np.minimum(end, self.n))
-        ok = ok[self._lows(lo[ok]) == want[ok]]
+            last[live] = np.where(less, last[live], mid)
+        ok = self._lows(lo) == want
         out[own[ok]] = lo[ok]
         return out
 
+    def _run_end(self, place: np.ndarray) -> np.ndarray:
+        """The first zero of the upper bits at or after each place."""
+        word = place >> 6
+        rest = ~self.bits[word] >> (place & 63).astype(np.uint64)
+        at = place + np.bitwise_count((rest & (np.uint64(0) - rest)) - np.uint64(1)).astype(np.int64)
+        far = np.flatnonzero(rest == 0)
+        if len(far):  # the run fills the word
+            k = (word[far] + 1) * 64 - self.ones[word[far] + 1].astype(np.int64)
+            at[far] = self._select(self.zeros, k, True)
+        return at
+
 
 def _put(name: str, data: bytes) -> None:
     """Writes a file of the shared folder under a name of its own, then moves it into place."""
@@ -211,13 +230,19 @@ class Level:
         return out.getvalue()
 
     def find(self, ctx: np.ndarray, token: np.ndarray) -> np.ndarray:
-        """Places of the n-grams; -1 if absent."""
-        c = self.contexts.find(ctx.astype(np.uint64))
+        """Places of the n-grams, which are sorted by context and token; -1 if absent."""
         out = np.full(len(ctx), -1, np.int64)
-        own = np.flatnonzero(c >= 0)
-        if len(own):
-            a, b = self.pointers.get(c[own]).astype(np.int64), self.pointers.get(c[own] + 1).astype(np.int64)
-            out[own] = self.follow.find(c[own].astype(np.uint64) * self.v + token[own].astype(np.uint64), a, b)
+        if not len(ctx):
+            return out
+        first = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
+        times = np.diff(np.append(first, len(ctx)))
+        c = self.contexts.find(ctx[first].astype(np.uint64))
+        seen = np.maximum(c, 0)
+        a = np.where(c >= 0, self.pointers.get(seen).astype(np.int64), 0) if self.contexts.n else np.zeros(len(c), np.int64)
+        b = np.where(c >= 0, self.pointers.get(seen + 1).astype(np.int64), 0) if self.contexts.n else a
+        own = np.flatnonzero(np.repeat(c, times) >= 0)
+        wide = lambda x: np.repeat(x, times)[own]
+        out[own] = self.follow.find(wide(seen).astype(np.uint64) * self.v + token[own].astype(np.uint64), wide(a), wide(b))
         return out
 
 
@@ -254,48 +279,65 @@ class Model:
         return self._open[level, shard, "w"]
 
     def split(self, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        """Places of each shard's rows, in order; small integers sort by radix."""
+        small = shard.astype(np.uint16 if self.shards <= 1 << 16 else np.uint32)
+        order = np.argsort(small, kind="stable")
+        cuts = np.searchsorted(small[order], np.arange(self.shards + 1))
         for s in range(self.shards):
             if cuts[s + 1] > cuts[s]:
                 yield s, order[cuts[s] : cuts[s + 1]]
 
     def number(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number (-1: unknown) and training count of each token."""
-        each, back = np.unique(hashed, return_inverse=True)
+        back, each = pd.factorize(hashed)
+        order = np.argsort(each)
         ids, counts = np.full(len(each), -1, np.int64), np.zeros(len(each), np.int64)
-        for s, own in self.split(shard_of_token(each, self.shards)):
+        for s, k in self.split(shard_of_token(each[order], self.shards)):
+            own = order[k]
             ef, n = self._level(1, s)
             at = ef.find(each[own])
             ok = at >= 0
             ids[own[ok]], counts[own[ok]] = self.base[0][s] + at[ok], n[at[ok]]
         return ids[back], counts[back]
 
-    def descend(self, level: int, ctx: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number of each n-gram of ``level`` (-1: unseen or unknown parts) and its discounted probability (0 then)."""
-        out, prob = np.full(len(ctx), -1, np.int64), np.zeros(len(ctx))
-        known = np.flatnonzero((ctx >= 0) & (token >= 0))
-        for s, k in self.split(shard_of_gram(ctx[known], token[known], self.shards)):
-            own = known[k]
+    def descend(self, level: int, ctx: np.ndarray, token: np.ndarray, weights: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of each n-gram of ``level`` (-1: unseen or unknown parts), its discounted probability (0 then), and
+        the context's weight of the shorter one (1 for contexts never seen). Distinct questions are asked once, in order."""
+        out, prob, weight = np.full(len(ctx), -1, np.int64), np.zeros(len(ctx)), np.ones(len(ctx))
+        known = np.flatnonzero(ctx >= 0)
+        if not len(known):
+            return out, prob, weight
+        c, t = ctx[known].astype(np.uint64), (token[known] + 1).astype(np.uint64)  # 0 is an unknown token
+        order = np.lexsort((t, c)) if (int(c.max()) + 1) * (self.types + 1) >= 2**64 else np.argsort(c * np.uint64(self.types + 1) + t)
+        c, t = c[order], t[order]
+        new = np.concatenate([[True], (c[1:] != c[:-1]) | (t[1:] != t[:-1])])
+        back = np.cumsum(new) - 1
+        c, t = c[new], t[new]
+        g, p = np.full(len(c), -1, np.int64), np.zeros(len(c))
+        asked = np.flatnonzero(t > 0)
+        for s, k in self.split(shard_of_gram(c[asked], t[asked] - np.uint64(1), self.shards)):
+            own = asked[k]
             lev = self._level(level, s)
-            at = lev.find(ctx[own], token[own])
-            ok = at >= 0
-            out[own[ok]] = self.base[level - 1][s] + at[ok]
-            prob[own[ok]] = restore(lev.prob[at[ok]])
-        return out, prob
+            at = lev.find(c[own], t[own] - np.uint64(1))
+            ok = np.flatnonzero(at >= 0)
+            g[own[ok]] = self.base[level - 1][s] + at[ok]
+            p[own[ok]] = restore(lev.prob[at[ok]])
+        out[known[order]], prob[known[order]] = g[back], p[back]
+        if weights:
+            first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+            w = self.backoff(level, c[first])
+            weight[known[order]] = np.repeat(w, np.diff(np.append(first, len(c))))[back]
+        return out, prob, weight
 
     def backoff(self, level: int, ctx: np.ndarray) -> np.ndarray:
-        """Weight of the shorter context; 1 for contexts never seen."""
-        each, back = np.unique(ctx, return_inverse=True)
-        out = np.ones(len(each))
-        known = np.flatnonzero(each >= 0)
-        for s, k in self.split(shard_of_context(each[known], self.shards)):
-            own = known[k]
+        """Weights of distinct contexts in order; 1 for contexts never seen."""
+        out = np.ones(len(ctx))
+        for s, own in self.split(shard_of_context(ctx, self.shards)):
             ef, w = self._weights(level, s)
-            at = ef.find(each[own].astype(np.uint64))
-            ok = at >= 0
+            at = ef.find(ctx[own])
+            ok = np.flatnonzero(at >= 0)
             out[own[ok]] = restore(w[at[ok]])
-        return out[back]
+        return out
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 0.1) / (self.tokens + 0.1 * (self.types + 1))
@@ -308,8 +350,8 @@ class Model:
             last = chains[-1]  # (k-1)-gram ending at each place
             ctx = np.full(len(ids), -1, np.int64)
             ctx[1:] = np.where(row[1:] == row[:-1], last[:-1], -1)
-            gram, prob = self.descend(k, ctx, ids)
-            p = prob + self.backoff(k, ctx) * p
+            gram, prob, weight = self.descend(k, ctx, ids)
+            p = prob + weight * p
             chains.append(gram)
         return p
 
@@ -337,7 +379,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, n = keys[order], n[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     return keys[first], np.add.reduceat(n, first) if len(first) else n
@@ -393,7 +435,10 @@ def _unigrams(texts: DataFrame, model: Model) -> None:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, _ in _batches(batches):
-            each, n = np.unique(h, return_counts=True)
+            back, each = pd.factorize(h)
+            n = np.bincount(back, minlength=len(each))
+            order = np.argsort(each)
+            each, n = each[order], n[order]
             yield _rows([(s, _packed(each[own], n[own].astype("<u4"))) for s, own in model.split(shard_of_token(each, shards))])
 
     def build(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -445,7 +490,7 @@ def _grams(texts: DataFrame, model: Model, level: int) -> None:
             for k in range(2, level):
                 ctx = np.full(len(ids), -1, np.int64)
                 ctx[1:] = np.where(row[1:] == row[:-1], last[:-1], -1)
-                last, _ = model.descend(k, ctx, ids)
+                last, _, _ = model.descend(k, ctx, ids, weights=False)
             own = np.flatnonzero(row[1:] == row[:-1])
             ctx, token = last[own], ids[own + 1]
             ok = (ctx >= 0) & (token >= 0)
