@@ -51,7 +51,6 @@ def backup_path(path: Column, side: str, stamp: Column) -> Column:
     """``base.side-stamp.ext`` at the last dot of the whole path; without a dot the base is empty and the path the extension."""
     dot = F.length(path) - F.instr(F.reverse(path), ".") + 1
     has = F.instr(path, ".") > 0
-    base, ext = F.when(has, F.expr("null")).otherwise(F.lit("")), path
     base = F.when(has, F.substr(path, F.lit(1), dot - 1)).otherwise(F.lit(""))
     ext = F.when(has, F.substr(path, dot + 1)).otherwise(path)
     return F.concat(base, F.lit(f".{side}-"), stamp, F.lit("."), ext)
