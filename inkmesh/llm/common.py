@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -74,6 +73,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
+#: What a byte adds to its word's hash: its lower case plus 1; white space adds nothing.
+_VALUE = np.where(SPACE, 0, LOWER.astype(np.uint64) + 1).astype(np.uint64)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = np.asarray(x, np.uint64)
@@ -108,13 +111,13 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     starts = np.flatnonzero(first)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    span = np.diff(np.append(starts, len(data)))
-    place = np.arange(starts[0], len(data), dtype=np.int64) - np.repeat(starts, span)
-    used = solid[starts[0] :]
-    place[~used] = 0
-    terms = _weight_table(int(place.max()) + 1)[place]
-    terms *= (LOWER[data[starts[0] :]].astype(np.uint64) + np.uint64(1)) * used
-    rel = starts - starts[0]
-    length = np.add.reduceat(used, rel, dtype=np.uint64)
+    data, solid, rel = data[starts[0] :], solid[starts[0] :], starts - starts[0]
+    kind = np.int32 if len(data) < 2**31 else np.int64
+    place = np.arange(len(data), dtype=kind)
+    place -= np.repeat(rel.astype(kind), np.diff(np.append(rel, len(data))))
+    place *= solid
+    terms = np.take(_weight_table(int(place.max()) + 1), place)
+    terms *= _VALUE[data]
+    length = np.add.reduceat(solid, rel, dtype=np.int32).astype(np.uint64)
     hashed = mix64(np.add.reduceat(terms, rel) ^ (length * np.uint64(0xD6E8FEB86659FD93)))
     return hashed, np.searchsorted(offsets, starts, "right") - 1

@@ -15,7 +15,6 @@ word spreads over shards. Shards are files in the shared folder, which scoring t
 from __future__ import annotations
 
 import io
-import os
 import struct
 import tempfile
 from collections.abc import Iterator
@@ -185,14 +184,14 @@ def _map(name: str) -> np.ndarray:
             _maps.clear()
         store, path = fs.FileSystem.from_uri(name)
         if isinstance(store, fs.LocalFileSystem):
-            _maps[name] = np.memmap(path, np.uint8, "r")
+            _maps[name] = np.memmap(path, np.uint8, "r").view(np.ndarray)
         else:
             with tempfile.TemporaryFile() as own:
                 with store.open_input_stream(path) as source:
                     while part := source.read(8 << 20):
                         own.write(part)
                 own.flush()
-                _maps[name] = np.memmap(own, np.uint8, "r")
+                _maps[name] = np.memmap(own, np.uint8, "r").view(np.ndarray)
     return _maps[name]
 
 
@@ -202,8 +201,11 @@ def quantise(p: np.ndarray) -> np.ndarray:
         return np.clip(np.round(-np.log(p) / STEP), 0, 65535).astype("<u2")
 
 
+_RESTORED = np.exp(-STEP * np.arange(65536))
+
+
 def restore(code: np.ndarray) -> np.ndarray:
-    return np.exp(-STEP * code.astype(float))
+    return _RESTORED[code]
 
 
 class Level:
