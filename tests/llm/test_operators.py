@@ -289,6 +289,22 @@ def test_lm_equals_plain_counts(spark):
         assert any((r.n_tokens, r.n_known, r.train_tokens) == x[:3] and abs(r.base_score - x[3]) < 1e-6 * x[0] + 1e-9 and abs(r.score - x[4]) < 2e-4 * x[0] for x in want[r.doc_id])
 
 
+def test_lm_probabilities_of_a_very_frequent_context_sum_to_one(tmp_path):
+    n = np.array([10**9, *[1] * 3_000_000, *[5] * 1000, 6 * 10**9])
+    kinds, total = len(n), int(n.sum())
+    blob = lm.Level.build(np.zeros(kinds, np.uint64), np.arange(kinds, dtype=np.uint64), (n - lm.DISCOUNT) / total, kinds)
+    (tmp_path / "level").write_bytes(blob)
+    got = lm.restore(lm.Level(f"file://{tmp_path}/level", kinds).prob)
+    assert np.allclose(got, (n - lm.DISCOUNT) / total, rtol=4e-4, atol=0)
+    weight = lm.restore(lm.quantise(np.array([lm.DISCOUNT * kinds / total])))[0]
+    assert abs(got.sum() + weight - 1) < 4e-4
+    assert np.allclose(lm.restore(lm.quantise(np.array([0.25 / 2.0**63, 1.0]))), [0.25 / 2.0**63, 1.0], rtol=4e-4, atol=0)
+    for wrong in (0.0, np.nan, 1.5):
+        with pytest.raises(ValueError):
+            lm.quantise(np.array([wrong]))
+    assert (lm._whole(*lm._halves(n)) == n).all()
+
+
 def test_lm_without_texts(spark):
     df = docs(spark, extra=False)
     model = lm.train(df.limit(0))
