@@ -4,7 +4,8 @@ The standard library's parser delivers tags and text; text between block tags is
 has a text-to-tag ratio; the ratios are smoothed by a Gaussian along the page, and lines above one
 standard deviation form the content cluster. The cluster selects the content region: the element
 that holds it, an ``article`` or ``main`` before others. All lines of that region are kept, short
-ones too, but for those in elements that the page itself marks as navigation, advert, form and so on.
+ones too, but for those in elements that the page itself marks as navigation, advert, form and so on. A mark
+counts only after the cluster is known: an element that holds the content is none of these, whatever its name.
 """
 
 from __future__ import annotations
@@ -26,26 +27,33 @@ HOLDERS = frozenset("html body div section article main nav header footer aside
 BREAKS = HOLDERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd br hr pre blockquote address figcaption summary caption legend option title head".split())
 SILENT = frozenset("script style title noscript template textarea select button svg iframe object canvas".split())
 #: Elements, roles and words in class or id that mark what is not the article.
-MARGIN = frozenset("nav header footer aside form menu dialog".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
+MARGIN = frozenset("nav header footer aside menu dialog".split())
+ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar".split())
 WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs "
     "sidebar footer header masthead cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup popup modal overlay comment "
     "comments discussion respond replies share sharing social related recommended widget widgets toolbar pagination pager login search skip copyright".split()
 )
+#: Words of those that hold comments and lists of other pages, and words of a name that says what a holder has, not what it is.
+FIRM = frozenset("comment comments discussion respond replies related recommended".split())
+HAVING = frozenset("has have having with without no".split())
+#: How surely a holder is margin: by part of a compound name or as a form, by its whole name, by element, role or the words above.
+WEAK, STRONG, SURE = 1, 2, 3
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 KERNEL = np.exp(-0.5 * (np.arange(-2, 3) / 1.0) ** 2)
 KERNEL = KERNEL / KERNEL.sum()
 
 
 class Lines(HTMLParser):
-    """Turns events into lines: text, tags, share of links, open elements, and whether the page marks it as margin."""
+    """Turns events into lines: text, tags, share of links and open holders; holders have a kind and a margin mark."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
-        self.open: list[tuple[str, int, bool]] = []  # name, number, margin
+        self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
+        self.open: list[tuple[str, int]] = []  # name, number
         self.kinds: list[str] = []
+        self.marks: list[int] = []
+        self.titled: set[int] = set()  # holders of an h1
         self.silent, self.links = "", 0
         self.text: list[str] = []
         self.tags = self.linked = 0
@@ -53,7 +61,7 @@ class Lines(HTMLParser):
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, self.linked, tuple(n for _, n, _ in self.open), bool(self.open) and self.open[-1][2]))
+            self.lines.append((text, self.tags, self.linked, tuple(n for _, n in self.open)))
             self.tags = 0
         self.text, self.linked = [], 0
 
@@ -68,21 +76,30 @@ class Lines(HTMLParser):
         elif tag == "a":
             self.links += 1
         elif tag in HOLDERS:
-            margin = bool(self.open) and self.open[-1][2] or self.margin(tag, dict(attrs))
             kind = "main" if tag in ("article", "main") or ("role", "main") in attrs else tag
-            self.open.append((tag, len(self.kinds), margin))
+            self.marks.append(self.margin(tag, dict(attrs)))
+            self.open.append((tag, len(self.kinds)))
             self.kinds.append(kind)
+        elif tag == "h1":
+            self.titled.update(n for _, n in self.open)
 
-    def margin(self, tag: str, attrs: dict[str, str | None]) -> bool:
+    def margin(self, tag: str, attrs: dict[str, str | None]) -> int:
+        """0, or how surely the page marks a holder as margin."""
         if tag in ("html", "body", "article", "main"):
-            return False
-        inside = any(self.kinds[n] == "main" for _, n, _ in self.open)
+            return 0
+        inside = any(self.kinds[n] == "main" for _, n in self.open)
         if tag in MARGIN and not (tag == "header" and inside):
-            return True
-        if "hidden" in attrs or (attrs.get("role") or "").lower() in ROLES or (attrs.get("aria-hidden") or "").lower() == "true":
-            return True
+            return SURE
+        role = (attrs.get("role") or "").lower()
+        if "hidden" in attrs or role in ROLES or (attrs.get("aria-hidden") or "").lower() == "true":
+            return SURE
+        least = WEAK if tag == "form" or role == "form" else 0
         words = {w.lower() for w in _WORD.findall(f"{attrs.get('class') or ''} {attrs.get('id') or ''}")}
-        return bool(words & (WORDS - {"header"} if inside else WORDS))
+        if not words & (WORDS - {"header"} if inside else WORDS):
+            return least
+        if words & HAVING:
+            return WEAK
+        return SURE if words & FIRM else STRONG if all(w in WORDS or w.isdigit() for w in words) else WEAK
 
     def handle_endtag(self, tag: str) -> None:
         if self.silent:
@@ -118,6 +135,35 @@ def smoothed(ratios: np.ndarray) -> np.ndarray:
     return np.convolve(wide, KERNEL, "valid")
 
 
+def margins(parser: Lines, size: np.ndarray, cluster: np.ndarray) -> set[int]:
+    """The marked holders that are margin. A mark does not count where its holder has the page's content: all articles
+    that hold clustered text, or most of the clustered text that no surer mark takes away."""
+    marked = {n for n, m in enumerate(parser.marks) if m}
+    if not marked:
+        return marked
+    lines = parser.lines
+    rows = [(lines[k][3], size[k]) for k in np.flatnonzero(cluster)]
+    owned = [own for path, _ in rows if (own := next((path[: d + 1] for d in range(len(path) - 1, -1, -1) if parser.kinds[path[d]] == "main"), None))]
+    sole = set(owned[0]).intersection(*owned) if owned else set()  # what holds all articles with clustered text
+    out: set[int] = set()
+    for mark in (SURE, STRONG, WEAK):
+        rows = [(path, n) for path, n in rows if out.isdisjoint(path)]
+        total, weight = sum(n for _, n in rows), dict.fromkeys((n for n in marked if parser.marks[n] == mark), 0.0)
+        for path, n in rows:
+            for x in path:
+                if x in weight:
+                    weight[x] += n
+        for n, w in weight.items():
+            most = 2 * w > total
+            holds = most and n in sole if mark == SURE else n in sole or most and (mark == WEAK or n in parser.titled)
+            if not holds:
+                out.add(n)
+    for mark in (WEAK, STRONG):  # a page all in marked holders
+        if all(not out.isdisjoint(x[3]) for x in lines):
+            out = {n for n in out if parser.marks[n] != mark}
+    return out
+
+
 def main_text(html: str | None) -> str:
     """The article's text: white space runs are one space, lines in page order are joined by one."""
     if not html:
@@ -130,8 +176,10 @@ def main_text(html: str | None) -> str:
         return ""
     size = np.array([len(x[0]) for x in lines], float)
     smooth = smoothed(size / np.array([max(1, x[1]) for x in lines]))
-    usable = np.array([not x[4] for x in lines])
-    chosen = usable & (smooth >= smooth.std())
+    cluster = smooth >= smooth.std()
+    margin = margins(parser, size, cluster)
+    usable = np.array([margin.isdisjoint(x[3]) for x in lines])
+    chosen = usable & cluster
     if not chosen.any():
         chosen = usable
     if not chosen.any():
@@ -150,8 +198,8 @@ def main_text(html: str | None) -> str:
         root = max(held, key=lambda n: depth[n], default=None)
     in_main = root is not None and parser.kinds[root] == "main"
     out = []
-    for text, _, linked, path, margin in lines:
-        if margin or (root is not None and root not in path):
+    for (text, _, linked, path), own in zip(lines, usable.tolist()):
+        if not own or (root is not None and root not in path):
             continue
         if not in_main and linked >= 0.9 * len(text):  # a line of links alone, outside an article
             continue

@@ -495,6 +495,24 @@ def test_main_text(page, want):
     assert html.main_text(page) == " ".join(want.split())
 
 
+WRAPPED = [
+    (f"<div class='has-sidebar'><nav>n</nav><article><h1>T</h1><p>{LONG}</p></article></div><div class=footer>f</div>", f"T {LONG}"),
+    (f"<div id='page' class='content with-sidebar'><h1>T</h1><p>{LONG}</p><p>Be.</p><div class=sidebar>{LONG}</div></div><div>Powered by it</div>", f"T {LONG}Be."),
+    (f"<body><form id='aspnetForm'><div class=menu>m</div><div id=text><h1>T</h1><p>{LONG}</p></div></form></body>", f"T {LONG}"),
+    (f"<div class='widget'><article><p>{LONG}</p></article></div><div class=sidebar>{LONG}{LONG}</div>", LONG),
+    (f"<div class='post has-comments'><p>{LONG}</p><p>{LONG}</p><div id=comments><article>{LONG}</article></div></div>", LONG + LONG),
+    (f"<article><p>{LONG}</p></article><div class=comments><article>{LONG}{LONG}</article></div><aside><article>{LONG}</article></aside>", LONG),
+    (f"<main><p>{LONG}</p><div class='related-posts'><article>{LONG}{LONG}{LONG}</article></div></main>", LONG),
+    (f"<div class=share-box><p>{LONG}</p><p>End.</p></div>", f"{LONG}End."),
+    (f"<div class=sidebar><p>{LONG}{LONG}</p></div><div><p>{LONG}</p></div>", LONG),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), WRAPPED)
+def test_content_in_marked_holders(page, want):
+    assert html.main_text(page) == " ".join(want.split())
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(k, "u", h, "mine") for k, (h, _) in enumerate(PAGES)], "page_id long, url string, html string, text string")
     got = {r.page_id: (r.text, r.n_chars) for r in html.extract(df).collect()}
