@@ -2,8 +2,8 @@
 
 The standard library's parser delivers tags and text; text between block tags is a *line*. Each line
 has a text-to-tag ratio; the ratios are smoothed by a Gaussian along the page, and lines above one
-standard deviation form the content cluster. The cluster selects the content region: the element
-that holds it, an ``article`` or ``main`` before others. All lines of that region are kept, short
+standard deviation form the content cluster. The cluster selects the content region: the articles
+or ``main`` of the page, or else the smallest element that holds all of it (no list or table), with the title before it. All lines of that region are kept, short
 ones too, but for those in elements that the page itself marks as navigation, advert, form and so on. A mark
 counts only after the cluster is known: an element that holds the content is none of these, whatever its name.
 """
@@ -26,6 +26,8 @@ from .common import slices
 HOLDERS = frozenset("html body div section article main nav header footer aside form ul ol dl table tbody thead tfoot tr td th figure details fieldset center menu dialog".split())
 BREAKS = HOLDERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd br hr pre blockquote address figcaption summary caption legend option title head".split())
 SILENT = frozenset("script style title noscript template textarea select button svg iframe object canvas".split())
+#: Holders that are a part of an article, not the whole.
+PARTS = frozenset("ul ol dl table tbody thead tfoot tr td th figure details".split())
 #: Elements, roles and words in class or id that mark what is not the article.
 MARGIN = frozenset("nav header footer aside menu dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar".split())
@@ -53,7 +55,9 @@ class Lines(HTMLParser):
         self.open: list[tuple[str, int]] = []  # name, number
         self.kinds: list[str] = []
         self.marks: list[int] = []
+        self.tags_of: list[str] = []
         self.titled: set[int] = set()  # holders of an h1
+        self.titles: set[int] = set()  # lines that an h1 begins
         self.silent, self.links = "", 0
         self.text: list[str] = []
         self.tags = self.linked = 0
@@ -80,7 +84,9 @@ class Lines(HTMLParser):
             self.marks.append(self.margin(tag, dict(attrs)))
             self.open.append((tag, len(self.kinds)))
             self.kinds.append(kind)
+            self.tags_of.append(tag)
         elif tag == "h1":
+            self.titles.add(len(self.lines))
             self.titled.update(n for _, n in self.open)
 
     def margin(self, tag: str, attrs: dict[str, str | None]) -> int:
@@ -164,6 +170,44 @@ def margins(parser: Lines, size: np.ndarray, cluster: np.ndarray) -> set[int]:
     return out
 
 
+def region_of(parser: Lines, size: np.ndarray, chosen: np.ndarray, usable: np.ndarray) -> np.ndarray:
+    """Which lines are content: all usable ones in the page's articles, or else in the element that holds all chosen lines."""
+    lines, kinds = parser.lines, parser.kinds
+    total = size[chosen].sum()
+    weight: dict[int, float] = {}  # chosen text of outermost articles
+    for k in np.flatnonzero(chosen):
+        if (n := next((n for n in lines[k][3] if kinds[n] == "main"), None)) is not None:
+            weight[n] = weight.get(n, 0.0) + size[k]
+    if sum(weight.values()) >= 0.25 * total:
+        whole = {n for n in weight if parser.tags_of[n] != "article"}  # main, beside which articles are other pages'
+        if 2 * sum(weight[n] for n in whole) < sum(weight.values()):
+            whole = {n for n, kind in enumerate(kinds) if kind == "main"}
+        return usable & np.array([not whole.isdisjoint(x[3]) for x in lines])
+    held = [lines[k][3] for k in np.flatnonzero(chosen)]
+    root = list(held[0])
+    for path in held[1:]:
+        if path[: len(root)] != tuple(root):
+            root = root[: next(d for d in range(len(root)) if path[d : d + 1] != (root[d],))]
+    direct = {x[3][-1] for k, x in enumerate(lines) if usable[k] and x[3] and x[1] and x[2] < 0.9 * len(x[0])}
+    while root and kinds[root[-1]] in PARTS:
+        root.pop()
+    while len(root) > 1 and root[-2] in direct and kinds[root[-2]] not in PARTS | {"html", "body"}:  # its parent has text of its own
+        root.pop()
+    if not root:
+        return usable
+    inside = np.array([root[-1] in x[3] for x in lines])
+    if root[-1] not in parser.titled:  # from the title to the region, if one element of the page or the body itself has both
+        first = int(inside.argmax())
+        for k in range(first - 1, -1, -1):
+            if usable[k] and k in parser.titles:
+                path = lines[k][3]
+                common = [a for a, b in zip(path, root) if a == b]
+                if common == list(path) or common and kinds[common[-1]] not in ("html", "body"):
+                    inside[k:first] = True
+                break
+    return usable & inside
+
+
 def main_text(html: str | None) -> str:
     """The article's text: white space runs are one space, lines in page order are joined by one."""
     if not html:
@@ -175,32 +219,26 @@ def main_text(html: str | None) -> str:
     if not lines:
         return ""
     size = np.array([len(x[0]) for x in lines], float)
-    smooth = smoothed(size / np.array([max(1, x[1]) for x in lines]))
+    ratio = size / np.array([max(1, x[1]) for x in lines])
+    smooth = smoothed(ratio)
     cluster = smooth >= smooth.std()
     margin = margins(parser, size, cluster)
     usable = np.array([margin.isdisjoint(x[3]) for x in lines])
+    if not usable.all() and usable.any():  # margin lines lift no neighbours
+        smooth = np.zeros(len(lines))
+        smooth[usable] = smoothed(ratio[usable])
+        cluster = smooth >= smooth[usable].std()
     chosen = usable & cluster
     if not chosen.any():
         chosen = usable
     if not chosen.any():
         return ""
-    weight = np.zeros(len(parser.kinds) + 1)
-    depth = np.zeros(len(parser.kinds) + 1, int)
-    for k in np.flatnonzero(chosen):
-        for d, n in enumerate(lines[k][3]):
-            weight[n] += size[k]
-            depth[n] = d
-    total = size[chosen].sum()
-    mains = [n for n, kind in enumerate(parser.kinds) if kind == "main" and weight[n] > 0]
-    root = max(mains, key=lambda n: (weight[n], depth[n]), default=None)
-    if root is None or weight[root] < 0.25 * total:
-        held = [n for n in range(len(parser.kinds)) if weight[n] >= 0.8 * total]
-        root = max(held, key=lambda n: depth[n], default=None)
-    in_main = root is not None and parser.kinds[root] == "main"
+    region = region_of(parser, size, chosen, usable)
     out = []
-    for (text, _, linked, path), own in zip(lines, usable.tolist()):
-        if not own or (root is not None and root not in path):
+    for (text, _, linked, path), own in zip(lines, region.tolist()):
+        if not own:
             continue
+        in_main = any(parser.kinds[n] == "main" for n in path)
         if not in_main and linked >= 0.9 * len(text):  # a line of links alone, outside an article
             continue
         out.append(text)

@@ -513,6 +513,23 @@ def test_content_in_marked_holders(page, want):
     assert html.main_text(page) == " ".join(want.split())
 
 
+BODY = f"<p>{LONG}</p>" * 4
+PARTED = [
+    (f"<body><div>Site</div><div id=content><h1>Title</h1><p>Intro</p><div class=body>{BODY}</div><p>End.</p></div></body>", f"Title Intro {LONG * 4}End."),
+    (f"<body><div id=content><div><h1>Title</h1></div><p>By me</p><div class=body><div>{BODY}{BODY}</div><div><p>{LONG}</p></div></div></div><div class=footer>f</div></body>", f"Title By me {LONG * 9}"),
+    (f"<body><h1>Title</h1><p>Intro</p><div>{BODY}</div></body>", f"Title Intro {LONG * 4}"),
+    (f"<div id=page><div><h1>T</h1><p>Intro.</p><ul>{f'<li>{LONG}' * 6}</ul><p>End.</p></div></div>", f"T Intro. {LONG * 6}End."),
+    (f"<div><h1>T</h1><p>Intro.</p><table>{f'<tr><td>{LONG}<td>1' * 6}</table></div>", f"T Intro. {f'{LONG} 1 ' * 6}"),
+    (f"<div><article><h1>A</h1>{BODY}</article><article><h1>B</h1><p>{LONG}</p></article><article>Short.</article></div>", f"A {LONG * 4}B {LONG}Short."),
+    (f"<main><h1>A</h1>{BODY}</main><article><p>{LONG}</p></article>", f"A {LONG * 4}"),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), PARTED)
+def test_content_in_parts(page, want):
+    assert html.main_text(page) == " ".join(want.split())
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(k, "u", h, "mine") for k, (h, _) in enumerate(PAGES)], "page_id long, url string, html string, text string")
     got = {r.page_id: (r.text, r.n_chars) for r in html.extract(df).collect()}
