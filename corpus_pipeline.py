@@ -34,10 +34,13 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group linked by five-word shingles at a similarity of 0.8: the one with the smallest doc_id."""
-    found = jaccard.near_duplicates(docs, width=5, threshold=jaccard.Fraction(8, 10))
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Keeps one document of each group linked by five-word shingles at a similarity of 0.8: the one with the smallest doc_id.
+    Rows are told apart by doc_id and text, so one that only shares its doc_id with a near copy stays."""
+    found = jaccard.linked_sets(docs, "doc_id", "text", width=5, threshold=jaccard.Fraction(8, 10))
+    gone = found.filter("not first").select(F.col("key").alias("_cp_id"), F.col("at").alias("_cp_at")).distinct()
+    rows = docs.withColumn("_cp_is", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    same = (F.col("_cp_is") == F.col("_cp_at")) & F.col("doc_id").eqNullSafe(F.col("_cp_id"))
+    return rows.join(gone, same, "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

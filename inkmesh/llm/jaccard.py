@@ -89,16 +89,22 @@ def frequency_classes(docs: DataFrame, text: str, width: int) -> np.ndarray:
     return np.where(load > 1, np.ceil(np.log2(np.maximum(load, 1))), 0).astype(np.uint8)
 
 
+def signature(h: np.ndarray, mixed: np.ndarray) -> str:
+    """Names a set by its size and 128 bits of its hashes."""
+    return f"{len(h)}-{int(mixed.sum()):x}-{int(np.bitwise_xor.reduce(h)):x}"
+
+
 def prefix_size(n: np.ndarray, t: Fraction) -> np.ndarray:
     return n - -(-n * t.numerator // t.denominator) + 1
 
 
 def features(docs: DataFrame, width: int, t: Fraction, classes: np.ndarray) -> DataFrame:
-    """``key, n, sig, shape, cells, prefix``: set size, hash of the set, hash of size and prefix, counts by cell, and the
+    """``key, at, n, sig, shape, cells, prefix``: set size, hash of the set, hash of size and prefix, counts by cell, and the
     prefix: the first shingles in the global order, each as its class and 56 bits of its hash. Written once; every
     later step reads it."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)
     kind = docs.schema["key"].dataType.simpleString()
+    docs = docs.select("key", "text", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = shared.value.astype(np.uint64) << np.uint64(56)
@@ -113,15 +119,15 @@ def features(docs: DataFrame, width: int, t: Fraction, classes: np.ndarray) -> D
                     if not k:
                         sig.append("0"), shape.append("0"), prefix.append(placed[:0])
                         continue
-                    sig.append(f"{k}-{int(mixed[a : a + k].sum()):x}-{int(np.bitwise_xor.reduce(h[a : a + k])):x}")
+                    sig.append(signature(h[a : a + k], mixed[a : a + k]))
                     own = np.sort(placed[a : a + k])[:p]
                     shape.append(f"{k}-{int(mix64(own).sum()):x}-{int(np.bitwise_xor.reduce(own)):x}")
                     prefix.append(own)
                 ends = np.cumsum([0, *map(len, prefix)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefix).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(sig), pa.array(shape), cell_counts(h, row, batch.num_rows), lists], ["key", "n", "sig", "shape", "cells", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n.astype(np.int64)), pa.array(sig), pa.array(shape), cell_counts(h, row, batch.num_rows), lists], ["key", "at", "n", "sig", "shape", "cells", "prefix"])
 
-    return written(docs.mapInArrow(run, f"key {kind}, n long, sig string, shape string, cells binary, prefix array<long>"), "shingles")
+    return written(docs.mapInArrow(run, f"key {kind}, at long, n long, sig string, shape string, cells binary, prefix array<long>"), "shingles")
 
 
 def cell_counts(h: np.ndarray, row: np.ndarray, rows: int) -> pa.Array:
@@ -136,9 +142,9 @@ def group_buckets(feats: DataFrame, classes: DataFrame, t: Fraction) -> DataFram
     a size that allows links. Buckets with the same groups are one."""
     a, b = t.numerator, t.denominator
     groups = classes.groupBy("shape").agg(F.min("key").alias("gid"), F.count(F.lit(1)).alias("members"))
-    member = written(classes.join(groups, "shape").select("key", "sig", "gid", "members"), "groups")
-    leaders = member.filter("key = gid").select("key", "sig")
-    entries = feats.select("key", "sig", "n", "prefix").join(leaders, ["key", "sig"]).dropDuplicates(["key"]).select(F.col("key").alias("gid"), "n", F.explode("prefix").alias("item"))
+    member = written(classes.join(groups, "shape").select("key", "sig", "at", "gid", "members"), "groups")
+    leaders = member.filter("key = gid").select("key", "sig", "at")
+    entries = feats.select("sig", "at", "n", "prefix").join(leaders, ["sig", "at"]).dropDuplicates(["key"]).select(F.col("key").alias("gid"), "n", F.explode("prefix").alias("item"))
     by = Window.partitionBy("item").orderBy("n", "gid")
     near = entries.withColumns({"n_before": F.lag("n").over(by), "n_after": F.lead("n").over(by)})
     fits = near.filter((F.col("n_before") * b >= F.col("n") * a) | (F.col("n") * b >= F.col("n_after") * a)).select("item", "gid")
@@ -150,18 +156,17 @@ def group_buckets(feats: DataFrame, classes: DataFrame, t: Fraction) -> DataFram
 
 
 def sets_of(docs: DataFrame, keys: DataFrame, width: int, max_bits: int = 1 << 28) -> DataFrame:
-    """``key, items`` of the documents named in ``keys(key)``: the whole sets.
+    """``key, items`` of the classes ``keys(key, sig, at)``: the whole sets, each from a document found by ``at``.
 
-    A Bloom filter of the keys, while it fits ``max_bits``, keeps the other texts from being split and shuffled.
+    A Bloom filter of ``at``, while it fits ``max_bits``, keeps the other texts from being split and shuffled.
     """
-    kind = docs.schema["key"].dataType.simpleString()
-    hashed = keys.select(F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit(1)).alias("h2"))
+    hashed = keys.select(F.xxhash64("at").alias("h1"), F.xxhash64("at", F.lit(1)).alias("h2"))
     try:
         shared = docs.sparkSession.sparkContext.broadcast(_level(hashed, 0, max(1, keys.count()), 0.01, max_bits))
     except OverflowError:  # the join alone decides
         shared = None
-        docs = docs.join(keys, "key", "left_semi")
-    rows = docs.select("key", "text", F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit(1)).alias("h2"))
+        docs = docs.join(keys, "at", "left_semi")
+    rows = docs.select("at", "text", F.xxhash64("at").alias("h1"), F.xxhash64("at", F.lit(1)).alias("h2"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -170,10 +175,13 @@ def sets_of(docs: DataFrame, keys: DataFrame, width: int, max_bits: int = 1 << 2
             for batch in slices(whole, "text"):
                 h, row = shingles(*text_bytes(batch.column(1)), width)
                 n = np.bincount(row, minlength=batch.num_rows)
-                items = [h[a : a + k].tobytes() for a, k in zip((np.cumsum(n) - n).tolist(), n.tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.binary())], ["key", "items"])
+                mixed, cuts = mix64(h), list(zip((np.cumsum(n) - n).tolist(), n.tolist()))
+                sig = [signature(h[a : a + k], mixed[a : a + k]) if k else "0" for a, k in cuts]
+                items = [h[a : a + k].tobytes() for a, k in cuts]
+                yield pa.RecordBatch.from_arrays([pa.array(sig, pa.string()), batch.column(0), pa.array(items, pa.binary())], ["sig", "at", "items"])
 
-    return written(rows.mapInArrow(run, f"key {kind}, items binary"), "sets")
+    found = rows.mapInArrow(run, "sig string, at long, items binary").join(keys, ["sig", "at"])
+    return written(found.select("key", "items").dropDuplicates(["key"]), "sets")
 
 
 def admitted(cells: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, t: Fraction, chunk: int = 1 << 13) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -308,7 +316,7 @@ def blocks(buckets: DataFrame, classes: DataFrame) -> DataFrame:
 def links(docs: DataFrame, buckets: DataFrame, classes: DataFrame, width: int, t: Fraction) -> DataFrame:
     """Verified links ``a, b`` that connect all linked classes (not every link inside a connected part)."""
     spark = docs.sparkSession
-    kind = docs.schema["key"].dataType.simpleString()
+    kind = "long"
     a, b = t.numerator, t.denominator
     by_bucket = lambda df: df.repartition("bucket").sortWithinPartitions("bucket", "key")
 
@@ -324,7 +332,7 @@ def links(docs: DataFrame, buckets: DataFrame, classes: DataFrame, width: int, t
 
     every = by_bucket(blocks(buckets, classes).withColumn("part", F.col("key"))).mapInArrow(mates, f"bucket string, side int, key {kind}, mate {kind}, apart long")
     every = written(every, "mates")  # members that some pair admits, with the closest
-    sets = sets_of(docs, every.select("key").distinct(), width)
+    sets = sets_of(docs, written(classes.select("key", "sig", "at").join(every.select("key").distinct(), "key"), "wanted"), width)
     closest = every.groupBy("key").agg(F.min(F.struct("apart", "mate")).alias("m")).select("key", F.col("m.mate").alias("mate"))
     asked = written(closest.select(F.least("key", "mate").alias("a"), F.greatest("key", "mate").alias("b")).distinct(), "asked")
     pair = every.select("bucket", F.least("key", "mate").alias("a"), F.greatest("key", "mate").alias("b")).distinct()
@@ -396,22 +404,35 @@ def components(edges: DataFrame) -> DataFrame:
         label = written(up.join(over, "l", "left").select("key", F.least(F.col("l"), F.coalesce("top", "l")).alias("l")), "labels")
 
 
+def linked_sets(df: DataFrame, key: str, text: str, width: int, threshold: Fraction) -> DataFrame:
+    """``key, at, n, component, least`` and ``first`` for every row: its part of the links, that part's smallest key, and
+    whether the row has the set and key that stand for the part.
+
+    The work is on distinct sets under numbers of their own, so rows that share a key or have none are compared as others
+    are. ``at`` is a hash of key and text, by which a set's document is found again. Empty sets have a null component.
+    """
+    docs = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("at", F.xxhash64("key", "text"))
+    feats = features(docs, width, threshold, frequency_classes(docs, "text", width))
+    full = feats.filter("n > 0")
+    of_sets = full.groupBy("sig").agg(F.min("key").alias("least"), F.min("at").alias("at"), F.min("shape").alias("shape"), F.min("n").alias("n"), F.min("cells").alias("cells"))
+    of_sets = written(of_sets.withColumn("key", F.monotonically_increasing_id()), "classes")  # numbers are fixed by writing
+    classes = of_sets.drop("least")
+    whole = components(links(docs, group_buckets(full, classes, threshold), classes, width, threshold))
+    of = of_sets.join(whole, "key", "left").select("sig", F.coalesce("component", "key").alias("component"), F.col("least").alias("own"))
+    best = of.groupBy("component").agg(F.min("own").alias("least"), F.min(F.struct(F.col("own").isNull(), "own", "sig")).alias("best"))
+    of = of.join(best, "component").select("sig", "component", "least", (F.col("best.sig") == F.col("sig")).alias("first"))
+    named = feats.select("key", "at", "n", "sig").join(of, "sig", "left")
+    return named.select("key", "at", "n", "component", "least", (F.coalesce("first", F.lit(True)) & (F.col("component").isNull() | F.col("key").eqNullSafe(F.col("least")))).alias("first"))
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, threshold: Fraction = Fraction(9, 10)) -> DataFrame:
     """``key, n_shingles, component_id`` for every row: set size and the smallest key reachable by links.
 
     Sets hold the distinct ``width``-word shingles of the whole lower-cased text; a text with fewer words is one shingle.
     Null and blank texts have empty sets and link with nothing. Repeated rows and equal texts are one class;
-    null keys keep their own component, null. Of texts that share a key, one is compared for all. An empty table gives
+    texts that share a key are compared each by itself, and those without one too, though their component is shown as null
+    (``linked_sets`` has it). An empty table gives
     an empty result; other columns are not read.
     """
-    docs = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    feats = features(docs, width, threshold, frequency_classes(docs, "text", width))
-    full = feats.filter((F.col("n") > 0) & F.col("key").isNotNull())
-    of_sets = written(full.groupBy("sig").agg(F.min("key").alias("key"), F.min("shape").alias("shape"), F.min("n").alias("n"), F.min("cells").alias("cells")), "classes")
-    one = F.min_by(F.struct("sig", "shape", "n", "cells"), "sig")
-    classes = of_sets.groupBy("key").agg(one.alias("c")).select("key", "c.*")
-    buckets = group_buckets(full, classes, threshold)
-    whole = components(links(docs, buckets, classes, width, threshold))
-    of = of_sets.join(whole, "key", "left").select("sig", F.coalesce("component", "key").alias("component"))
-    named = feats.select("key", "n", "sig").join(of, "sig", "left")
-    return named.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("key").isNotNull(), F.col("component")).otherwise(F.col("key")).alias("component_id"))
+    named = linked_sets(df, key, text, width, threshold)
+    return named.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("key").isNotNull(), F.col("least")).otherwise(F.col("key")).alias("component_id"))

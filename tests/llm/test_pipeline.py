@@ -32,3 +32,12 @@ def test_stages_on_odd_tables(spark):
         assert stage(spark, df.limit(0), DATA).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, df, DATA).count() >= df.count()
     assert corpus_pipeline.exact(spark, df, DATA).filter("doc_id = 4").count() == 1
+
+
+def test_near_tells_rows_of_one_id_apart(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(1, text(1)), (2, text(1) + " z"), (2, text(2)), (3, text(2) + " z"), (None, text(3)), (None, text(3) + " z"), (4, text(4)), (None, text(4) + " z"), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {(r.doc_id, r.text) for r in corpus_pipeline.near(spark, df, DATA).collect()}
+    assert {(1, text(1)), (2, text(2)), (4, text(4)), (5, "")} <= left and len(left) == 5
+    assert {t for k, t in left if k is None} < {text(3), text(3) + " z"}
