@@ -35,10 +35,41 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = 1 << 19) -> DataFrame:
-    """Marks a written table of a few short columns for broadcast if it has at most ``rows`` rows, some 20 MB; a larger one
-    is left to a shuffled join."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, limit: int = 4 << 20) -> DataFrame:
+    """Marks a written table for broadcast if its values have at most ``limit`` bytes; a larger one is left to a shuffled join."""
+    fixed = {"bigint": 8, "int": 4, "boolean": 1}
+    size = F.lit(sum(fixed.get(t, 0) for _, t in df.dtypes)).cast("long")
+    for c, t in df.dtypes:
+        if t not in fixed:
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= limit else df
+
+
+#: Rows of one key in a join above which they are spread over several tasks.
+HOT = 1 << 14
+
+
+def hot_keys(rows: DataFrame, on: str | list[str]) -> DataFrame:
+    """The keys with more than ``HOT`` rows, and their number ``n``; counted with partial sums."""
+    return rows.groupBy(on).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT)
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: str | list[str], hot: DataFrame | None = None) -> DataFrame:
+    """``left.join(right, on)`` where ``left`` may have very many rows of a key and ``right`` few.
+
+    A hot key's rows of ``left`` are dealt over one task for each ``HOT`` rows, to each of which the key's rows of ``right``
+    go. ``hot`` has the keys and ``n`` if they are known.
+    """
+    keys = [on] if isinstance(on, str) else on
+    counted = (hot_keys(left, keys) if hot is None else hot).filter(F.col("n") > HOT)
+    cuts = written(counted.select(*keys, F.ceil(F.col("n") / HOT).cast("int").alias("_cuts")), "hot")
+    if cuts.isEmpty():
+        return left.join(right, keys)
+    cuts = small(cuts)
+    by = [c for c, t in left.dtypes if c not in keys and t in ("bigint", "int", "string")]
+    dealt = left.join(cuts, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), F.coalesce("_cuts", F.lit(1))).cast("int")).drop("_cuts")
+    copied = right.join(cuts, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_cuts", F.lit(1)) - 1))).drop("_cuts")
+    return dealt.join(copied, [*keys, "_salt"]).drop("_salt")
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -5,31 +5,31 @@
    documents share come last. Any global order is exact; this one keeps prefixes selective.
 2. Two sets of Jaccard similarity t share a shingle among the first n - ceil(t n) + 1 of each.
    Documents with equal sets are one class; classes with identical prefix and size are one *group*, and
-   only groups enter the index, which drops those without a partner of fitting size.
-3. Groups that meet are expanded to their classes. A bucket is a set of classes that share a shingle (buckets
-   with the same members are one). Inside, a lower bound of the difference, from the counts of shingles
-   in 256 cells, leaves few candidate pairs, and only those that could join two parts not yet linked are
-   verified on whole sets; refused ones are replaced until no candidate is left. Large buckets are cut
-   into blocks that meet pairwise in tasks of their own. So no link between different parts is lost, and
-   a group of m copies costs about m verifications instead of m squared.
+   only groups enter the index.
+3. Lists are kept by shingle and size band; one bucket is a list of groups that meet. Group pairs of a bucket are filtered by
+   size and by the place of their shingle, the rest expanded to members, and those filtered by a lower bound of their
+   difference (counts of shingles in 256 cells). Of the pairs left, rounds verify those on whole sets that could join
+   parts not yet linked, closest first, and last all that remain, so no link between different parts is lost. Large
+   buckets are dealt into blocks: first every block by itself, then one member for each part, so that a hot group of
+   copies is one part before blocks meet pairwise. A group of m copies costs about m verifications.
 4. Verified links are contracted to components by repeated minima over the link table.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, small, text_bytes, words, written
-from .urlfilter import _level, passes
+from .common import HOT, hot_join, hot_keys, mix64, slices, small, text_bytes, words, written
 
-CELLS, SKETCH, BLOCK = 256, 1 << 18, 512
+CELLS, SKETCH, BLOCK = 256, 1 << 18, 256
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
@@ -137,51 +137,53 @@ def cell_counts(h: np.ndarray, row: np.ndarray, rows: int) -> pa.Array:
     return pa.array([c.tobytes() for c in cells], pa.binary())
 
 
+def size_band(n: Column, t: Fraction) -> Column:
+    """Sizes whose ratio is ``t`` or more lie in one band or in neighbouring ones (bands are a little wider than that ratio)."""
+    return F.floor(F.log(n) / (1.0001 * math.log(t.denominator / t.numerator))).cast("int") if t < 1 else n.cast("int")
+
+
 def group_buckets(feats: DataFrame, classes: DataFrame, t: Fraction) -> DataFrame:
-    """``bucket, key`` of classes: those of one group, and those of groups that share a prefix shingle with a group of
-    a size that allows links. Buckets with the same groups are one."""
-    a, b = t.numerator, t.denominator
-    groups = classes.groupBy("shape").agg(F.min("key").alias("gid"), F.count(F.lit(1)).alias("members"))
-    member = written(classes.join(groups, "shape").select("key", "sig", "at", "gid", "members"), "groups")
-    leaders = member.filter("key = gid").select("key", "sig", "at")
-    entries = feats.select("sig", "at", "n", "prefix").join(leaders, ["sig", "at"]).dropDuplicates(["key"]).select(F.col("key").alias("gid"), "n", F.explode("prefix").alias("item"))
-    by = Window.partitionBy("item").orderBy("n", "gid")
-    near = entries.withColumns({"n_before": F.lag("n").over(by), "n_after": F.lead("n").over(by)})
-    fits = near.filter((F.col("n_before") * b >= F.col("n") * a) | (F.col("n") * b >= F.col("n_after") * a)).select("item", "gid")
-    signed = fits.groupBy("item").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("gid")).alias("x"), F.bit_xor(F.xxhash64("gid", F.lit(7))).alias("y")).filter("c > 1")
-    one = signed.groupBy("c", "x", "y").agg(F.min("item").alias("item")).select("item", F.concat_ws(".", "c", "x", "y").alias("bucket"))
-    met = fits.join(one, "item").select("bucket", "gid")
-    alone = member.filter("members > 1").select(F.concat(F.lit("g"), "gid").alias("bucket"), "key")
-    return written(met.join(member.select("gid", "key"), "gid").select("bucket", "key").unionByName(alone), "buckets")
-
-
-def sets_of(docs: DataFrame, keys: DataFrame, width: int, max_bits: int = 1 << 28) -> DataFrame:
-    """``key, items`` of the classes ``keys(key, sig, at)``: the whole sets, each from a document found by ``at``.
-
-    A Bloom filter of ``at``, while it fits ``max_bits``, keeps the other texts from being split and shuffled.
+    """``bucket, key, gid, pos`` of classes: those of one group (bucket ``-1 - gid``), and those of groups that share a prefix
+    shingle and whose sizes allow links (the bucket is the shingle's number). ``pos`` is the shingle's place in the prefix.
+
+    A shingle's list is kept by size band, each group under its own band and the next, so that groups that may link meet
+    and a very frequent shingle is many keys. Lists with the same groups are one bucket.
     """
-    hashed = keys.select(F.xxhash64("at").alias("h1"), F.xxhash64("at", F.lit(1)).alias("h2"))
-    try:
-        shared = docs.sparkSession.sparkContext.broadcast(_level(hashed, 0, max(1, keys.count()), 0.01, max_bits))
-    except OverflowError:  # the join alone decides
-        shared = None
-        docs = docs.join(keys, "at", "left_semi")
-    rows = docs.select("at", "text", F.xxhash64("at").alias("h1"), F.xxhash64("at", F.lit(1)).alias("h2"))
+    groups = classes.groupBy("shape").agg(F.min("key").alias("gid"), F.count(F.lit(1)).alias("members"))
+    groups = written(groups.filter("members > 1").select("shape", "gid"), "groups")
+    several = written(hot_join(classes.select("key", "shape"), groups, "shape").select("key", "gid"), "several")
+    leaders = classes.join(small(several.filter("key <> gid").select("key")), "key", "left_anti").select(F.col("key").alias("gid"), "sig", "at")
+    placed = feats.select("sig", "at", "n", "prefix").join(leaders, ["sig", "at"]).dropDuplicates(["gid"])
+    placed = written(placed.drop("sig", "at"), "placed")
+    band = size_band(F.col("n"), t)
+    entries = placed.select("gid", band.alias("own"), F.posexplode("prefix").alias("pos", "item"))
+    entries = entries.select("gid", "pos", "item", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("band"))
+    met = entries.groupBy("item", "band").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("gid")).alias("x"), F.bit_xor(F.xxhash64("gid", F.lit(7))).alias("y")).filter("c > 1")
+    one = met.groupBy("c", "x", "y").agg(F.min(F.struct("item", "band")).alias("m")).select("m.item", "m.band", F.col("c").alias("groups"))
+    one = written(one.withColumn("bucket", F.monotonically_increasing_id()), "lists")  # numbers are fixed by writing
+    hits = written(hot_join(entries, one.select("item", "band", "bucket"), ["item", "band"], one.filter(F.col("groups") > HOT).select("item", "band", F.col("groups").alias("n"))).select("bucket", "gid", "pos"), "hits")
+    alone = hits.join(small(several.select("gid").distinct()), "gid", "left_anti").select("bucket", F.col("gid").alias("key"), "gid", "pos")
+    full = hot_join(several, hits, "gid").select("bucket", "key", "gid", "pos")
+    own = several.select((-1 - F.col("gid")).alias("bucket"), "key", "gid", F.lit(0).alias("pos"))
+    return written(alone.unionByName(full).unionByName(own), "buckets")
+
+
+def sets_of(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
+    """``key, items`` of the classes ``keys(key, sig, at)``: the whole sets, each from a document found by ``at``."""
+    rows = docs.select("at", "text").join(small(keys), "at").select("key", "sig", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            if shared is not None:
-                whole = whole.filter(pa.array(passes(0, shared.value, whole.column(2).to_numpy(), whole.column(3).to_numpy())))
             for batch in slices(whole, "text"):
-                h, row = shingles(*text_bytes(batch.column(1)), width)
+                h, row = shingles(*text_bytes(batch.column(2)), width)
                 n = np.bincount(row, minlength=batch.num_rows)
-                mixed, cuts = mix64(h), list(zip((np.cumsum(n) - n).tolist(), n.tolist()))
-                sig = [signature(h[a : a + k], mixed[a : a + k]) if k else "0" for a, k in cuts]
-                items = [h[a : a + k].tobytes() for a, k in cuts]
-                yield pa.RecordBatch.from_arrays([pa.array(sig, pa.string()), batch.column(0), pa.array(items, pa.binary())], ["sig", "at", "items"])
+                mixed, keep, items = mix64(h), [], []
+                for k, (a, m, sig) in enumerate(zip((np.cumsum(n) - n).tolist(), n.tolist(), batch.column(1).to_pylist())):
+                    if (signature(h[a : a + m], mixed[a : a + m]) if m else "0") == sig:  # another text may share the hash
+                        keep.append(k), items.append(h[a : a + m].tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(items, pa.binary())], ["key", "items"])
 
-    found = rows.mapInArrow(run, "sig string, at long, items binary").join(keys, ["sig", "at"])
-    return written(found.select("key", "items").dropDuplicates(["key"]), "sets")
+    return written(rows.mapInArrow(run, "key long, items binary").dropDuplicates(["key"]), "sets")
 
 
 def admitted(cells: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, t: Fraction, chunk: int = 1 << 13) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -230,46 +232,73 @@ def forest(size: int, i: np.ndarray, j: np.ndarray, apart: np.ndarray, part: np.
         label = up[label]
 
 
-_TRI: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
 def pairs_within(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of places inside runs that begin at ``first``; runs hold ``2 * BLOCK`` rows at most."""
-    i, j = [], []
+    """All pairs of places, each with itself too, inside runs that begin at ``first``."""
+    i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for s in np.unique(size).tolist():
-        if s not in _TRI:
-            if len(_TRI) > 256:
-                _TRI.clear()
-            _TRI[s] = np.triu_indices(s, 1)
         own = first[size == s][:, None]
-        i.append((own + _TRI[s][0]).ravel()), j.append((own + _TRI[s][1]).ravel())
+        x, y = np.triu_indices(s)
+        i.append((own + x).ravel()), j.append((own + y).ravel())
     return np.concatenate(i), np.concatenate(j)
 
 
-def open_pairs(rows: pa.Table, t: Fraction) -> tuple[np.ndarray, ...]:
-    """For whole buckets, sorted by bucket: admitted pairs of members of different parts, as places (i, j) with the
-    smaller key first, and how far apart; then the members' bucket codes, keys and parts (numbered in each bucket).
-
-    With sides 0 and 1 (blocks of a large bucket) only pairs across them count.
-    """
-    col = lambda c: rows.column(c).to_numpy()
-    code = rows.column("bucket").combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
-    key, side, n = col("key"), col("side"), col("n")
-    cells = np.frombuffer(b"".join(rows.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS)
-    part = np.unique(np.stack([code, np.unique(col("part"), return_inverse=True)[1]], 1), axis=0, return_inverse=True)[1].ravel()
-    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
-    size = np.diff(np.append(first, len(code)))
-    none = np.zeros(0, np.int64)
-    i, j = pairs_within(first[size > 1], size[size > 1]) if (size > 1).any() else (none, none)
-    own = (part[i] != part[j]) & (key[i] != key[j]) & ((side[i] < 0) | (side[i] != side[j]))
-    i, j, apart = admitted(cells, n, i[own], j[own], t)
-    swap = key[i] > key[j]
-    return np.where(swap, j, i), np.where(swap, i, j), apart, code, key, part
+def chunks(weight: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``limit`` in weight, one item at least."""
+    if len(weight):
+        part = (np.cumsum(weight, dtype=np.int64) - weight) // limit
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(weight)]
+        yield from zip(cuts, cuts[1:])
+
+
+class Rows:
+    """Whole blocks of buckets, sorted by block, group and key; members are told by their places."""
+
+    def __init__(self, table: pa.Table):
+        col = lambda c: table.column(c).to_numpy()
+        self.key, self.side, self.n = col("key"), col("side"), col("n")
+        self.cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS)
+        name = np.stack([col("bucket"), col("lo"), col("hi")], 1)
+        new = np.concatenate([[True], (name[1:] != name[:-1]).any(1)]) if len(name) else np.zeros(0, bool)
+        self.block = np.cumsum(new) - 1
+        #: parts, numbered in each block
+        self.part = np.unique(np.stack([self.block, np.unique(col("part"), return_inverse=True)[1]], 1), axis=0, return_inverse=True)[1].ravel()
+        gid, pos = col("gid"), col("pos")
+        lead = np.flatnonzero(new | np.concatenate([[True], gid[1:] != gid[:-1]]) if len(new) else new)
+        self.first, self.members, self.group_n, self.pos = lead, np.diff(np.append(lead, len(gid))), self.n[lead], np.minimum.reduceat(pos.astype(np.int64), lead) if len(lead) else pos.astype(np.int64)
+        begin = np.flatnonzero(new[lead])
+        self.run, self.groups = begin, np.diff(np.append(begin, len(lead)))
+
+    def pairs(self, t: Fraction, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Admitted pairs of members of different parts, some ``most`` looked at at a time: group pairs are formed and filtered
+        by size and position, the rest expanded to members, and those filtered by their counts of shingles in cells."""
+        a, b = t.numerator, t.denominator
+        for lo, hi in chunks(self.groups * (self.groups + 1) // 2, most):
+            g, h = pairs_within(self.run[lo:hi], self.groups[lo:hi])
+            ng, nh, pg, ph = self.group_n[g], self.group_n[h], self.pos[g], self.pos[h]
+            # what both can share: places up to the common shingle, and what is left after it
+            shared = np.minimum(pg, ph) + 1 + np.minimum(ng - pg, nh - ph) - 1
+            lone = self.groups[np.searchsorted(self.run, g, "right") - 1] == 1  # a group's own bucket: members meet each other
+            fits = (ng * b >= nh * a) & (nh * b >= ng * a) & ((a + b) * shared >= a * (ng + nh))
+            keep = np.flatnonzero(np.where(g == h, lone & (self.members[g] > 1), fits))
+            g, h = g[keep], h[keep]
+            weight = self.members[g] * self.members[h]
+            for x, y in chunks(weight, most):
+                yield self._members(g[x:y], h[x:y], weight[x:y], t)
+
+    def _members(self, g: np.ndarray, h: np.ndarray, weight: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own = np.repeat(np.arange(len(g)), weight)
+        nth = np.arange(len(own)) - np.repeat(np.cumsum(weight) - weight, weight)
+        each = self.members[h][own]
+        i, j = self.first[g][own] + nth // each, self.first[h][own] + nth % each
+        ok = ((i < j) | (g != h)[own]) & (self.part[i] != self.part[j]) & ((self.side[i] < 0) | (self.side[i] != self.side[j]))
+        return admitted(self.cells, self.n, i[ok], j[ok], t)
 
 
 def proposals(i: np.ndarray, j: np.ndarray, apart: np.ndarray, part: np.ndarray, most: int) -> np.ndarray:
-    """Indexes of the pairs to verify: a forest over the parts if ``most`` is 1, else up to ``most`` for each member and
-    other part."""
+    """Indexes of the pairs to verify: all if ``most`` is 0, a forest over the parts if it is 1, else up to ``most`` for each
+    member and other part."""
+    if most == 0:
+        return np.arange(len(i))
     if most == 1:
         return forest(len(part), i, j, apart, part)
     who, other, of = np.concatenate([i, j]), np.concatenate([part[j], part[i]]), np.tile(np.arange(len(i)), 2)
@@ -280,8 +309,8 @@ def proposals(i: np.ndarray, j: np.ndarray, apart: np.ndarray, part: np.ndarray,
     return np.unique(of[order[nth < most]])
 
 
-def whole_buckets(batches: Iterator[pa.RecordBatch], least: int = 4096) -> Iterator[pa.Table]:
-    """Tables of complete buckets from rows sorted by bucket."""
+def whole_blocks(batches: Iterator[pa.RecordBatch], least: int = 2048) -> Iterator[pa.Table]:
+    """Tables of complete blocks from rows sorted by block."""
     held: list[pa.RecordBatch] = []
     for batch in chain(batches, [None]):
         if batch is not None:
@@ -292,103 +321,166 @@ def whole_buckets(batches: Iterator[pa.RecordBatch], least: int = 4096) -> Itera
             return
         rows = pa.Table.from_batches(held).combine_chunks()
         cut = rows.num_rows
-        if batch is not None:  # the last bucket may go on
-            codes = rows.column("bucket").combine_chunks().dictionary_encode().indices.to_numpy()
-            cut = int(np.searchsorted(codes, codes[-1]))
+        if batch is not None:  # the last block may go on
+            name = np.stack([rows.column(c).to_numpy() for c in ("bucket", "lo", "hi")], 1)
+            other = np.flatnonzero((name != name[-1]).any(1))
+            cut = int(other[-1]) + 1 if len(other) else 0
         held = rows.slice(cut).combine_chunks().to_batches()
         if cut:
-            yield rows.slice(0, cut).combine_chunks()
+            yield from _pieces(rows.slice(0, cut), least)
 
 
-def blocks(buckets: DataFrame, classes: DataFrame) -> DataFrame:
-    """``bucket, side, key, n, cells``; buckets of more than ``BLOCK`` rows become pairs of blocks in order of size."""
-    counted = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("count")).filter(F.col("count") > BLOCK)
-    sized = buckets.join(counted, "bucket", "left").join(classes.select("key", "n", "cells"), "key")
-    small = sized.filter(F.col("count").isNull()).select("bucket", F.lit(-1).alias("side"), "key", "n", "cells")
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("n", "key")) - 1
-    big = sized.filter(F.col("count").isNotNull()).withColumn("block", F.floor(place / BLOCK).cast("int"))
-    big = big.withColumn("other", F.explode(F.sequence(F.lit(0), F.floor((F.col("count") - 1) / BLOCK).cast("int"))))
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    big = big.select(F.concat_ws("/", "bucket", low, high).alias("bucket"), F.when(low == high, -1).otherwise(F.when(F.col("block") == low, 0).otherwise(1)).alias("side"), "key", "n", "cells")
-    return small.unionByName(big)
+def _pieces(rows: pa.Table, least: int) -> Iterator[pa.Table]:
+    """Tables of some ``least`` rows that end where blocks end."""
+    name = np.stack([rows.column(c).to_numpy() for c in ("bucket", "lo", "hi")], 1)
+    ends = np.append(np.flatnonzero((name[1:] != name[:-1]).any(1)) + 1, len(name))
+    at = 0
+    while at < len(name):
+        end = int(ends[min(np.searchsorted(ends, at + least), len(ends) - 1)])
+        yield rows.slice(at, end - at).combine_chunks()
+        at = end
 
 
-def links(docs: DataFrame, buckets: DataFrame, classes: DataFrame, width: int, t: Fraction) -> DataFrame:
-    """Verified links ``a, b`` that connect all linked classes (not every link inside a connected part)."""
-    spark = docs.sparkSession
-    kind = "long"
+def blocks(rows: DataFrame, across: bool) -> DataFrame:
+    """``rows(bucket, key, gid, pos, part)`` with the block pair ``lo, hi`` and ``side``: -1, or 0 and 1 for the blocks of a pair.
+
+    A bucket of up to ``BLOCK`` rows is one block, number -1. Larger ones are dealt into blocks by a hash, parts of over ``BLOCK`` rows
+    into blocks of their own. With ``across``, blocks meet pairwise, but those of one part alone do not; else each is by
+    itself.
+    """
+    none = rows.withColumns({"lo": F.lit(-1).cast("long"), "hi": F.lit(-1).cast("long"), "side": F.lit(-1)})
+    cut = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("count")).filter(F.col("count") > BLOCK), "large")
+    if cut.isEmpty():
+        return none
+    names = small(cut.select("bucket"))
+    plain = none.join(names, "bucket", "left_anti")
+    large = rows.join(names, "bucket", "left_semi")
+    large = written(large, "cut")
+    big = large.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("own")).filter(F.col("own") > BLOCK)
+    deal = lambda by, n: F.pmod(F.xxhash64(by, F.lit(11)), F.ceil(n / BLOCK))
+    large = hot_join(large, cut, "bucket", cut.select("bucket", F.col("count").alias("n")))
+    large = large.join(small(written(big, "giant")), ["bucket", "part"], "left")
+    block = F.when(F.col("own").isNull(), deal("key" if not across else "part", F.col("count"))).otherwise(F.xxhash64("part", deal("key", F.col("own"))))
+    large = large.withColumn("block", block).drop("count", "own")
+    if not across:
+        return plain.unionByName(large.withColumns({"lo": F.col("block"), "hi": F.col("block"), "side": F.lit(-1)}).drop("block"))
+    large = written(large, "dealt")
+    of = written(large.groupBy("bucket", "block").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("n")), "dealt-blocks")
+    p, q = of.select("bucket", *[F.col(c).alias(c + "0") for c in ("block", "low", "high")]), of.select("bucket", *[F.col(c).alias(c + "1") for c in ("block", "low", "high")])
+    apart = (F.col("low0") < F.col("high0")) | (F.col("low1") < F.col("high1")) | (F.col("low0") != F.col("low1"))
+    met = p.join(q, "bucket").filter((F.col("block0") <= F.col("block1")) & apart).select("bucket", F.col("block0").alias("lo"), F.col("block1").alias("hi"))
+    sides = F.array(F.struct(F.col("lo").alias("block"), F.when(F.col("lo") == F.col("hi"), -1).otherwise(0).alias("side")), F.struct(F.col("hi").alias("block"), F.when(F.col("lo") < F.col("hi"), 1).alias("side")))
+    met = met.select("bucket", "lo", "hi", F.inline(F.filter(sides, lambda x: x["side"].isNotNull())))
+    return plain.unionByName(large.join(met, ["bucket", "block"]).drop("block"))
+
+
+def verified(asked: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """``a, b, ok`` of the distinct pairs ``asked(a, b)``, compared on whole sets. A key with very many pairs is spread."""
     a, b = t.numerator, t.denominator
-    by_bucket = lambda df: df.repartition("bucket").sortWithinPartitions("bucket", "key")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()) if len(q) else 0
+                ok.append(bool(len(p)) and both * b >= a * (len(p) + len(q) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+
+    one, two = (sets.select(F.col("key").alias(k), F.col("items").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    met = hot_join(hot_join(asked, one, "a"), two, "b", hot_keys(asked, "b")).select("a", "b", "x", "y")
+    return written(met.mapInArrow(verify, "a long, b long, ok boolean"), "tested")
+
+
+def links(docs: DataFrame, buckets: DataFrame, classes: DataFrame, width: int, t: Fraction) -> DataFrame:
+    """``key, component``: parts that the links between classes make, for every class with a link.
+
+    Rounds verify a few pairs each, closest first, and only between parts not yet linked: each class with the closest of its
+    block; then, while buckets are large, one member for each part; then forests over whole buckets; then more pairs for
+    each member; and last every admitted pair that is left, so that no link between different parts is missed.
+    """
+    told = classes.select("key", "n", "cells")
+
+    def by_block(rows: DataFrame, across: bool) -> DataFrame:
+        full = blocks(rows, across).join(told, "key").select("bucket", "lo", "hi", "side", "key", "gid", "pos", "part", "n", "cells")
+        return full.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "gid", "key")
 
     def mates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_buckets(batches):
-            i, j, apart, _, key, _ = open_pairs(rows, t)
-            who, mate = np.concatenate([i, j]), np.concatenate([j, i])
-            order = np.lexsort((key[mate], np.tile(apart, 2), who))
-            first = np.flatnonzero(np.diff(who[order], prepend=-1))
-            at = order[first]
-            kept = rows.take(pa.array(who[at])).combine_chunks()
-            yield pa.RecordBatch.from_arrays([*(kept.column(c).combine_chunks() for c in ("bucket", "side", "key")), pa.array(key[mate[at]]), pa.array(np.tile(apart, 2)[at])], ["bucket", "side", "key", "mate", "apart"])
-
-    every = by_bucket(blocks(buckets, classes).withColumn("part", F.col("key"))).mapInArrow(mates, f"bucket string, side int, key {kind}, mate {kind}, apart long")
-    every = written(every, "mates")  # members that some pair admits, with the closest
+        for table in whole_blocks(batches):
+            rows = Rows(table)
+            none = np.iinfo(np.int64).max
+            best = np.full(len(rows.key), none)
+            for i, j, apart in rows.pairs(t):  # distance and place in one number
+                np.minimum.at(best, i, apart << 20 | j)
+                np.minimum.at(best, j, apart << 20 | i)
+            has = best < none
+            mate = np.where(has, rows.key[np.where(has, best & ((1 << 20) - 1), 0)], -1) if len(best) else best
+            keep = np.flatnonzero(has | (table.column("lo").to_numpy() >= 0))  # in other blocks of the bucket a pair may wait
+            kept = table.select(["bucket", "key", "gid", "pos"]).take(pa.array(keep)).combine_chunks()
+            yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in kept.columns), pa.array(mate[keep]), pa.array(np.where(has, best >> 20, -1)[keep])], ["bucket", "key", "gid", "pos", "mate", "apart"])
+
+    every = by_block(buckets.withColumn("part", F.col("key")), False).mapInArrow(mates, "bucket long, key long, gid long, pos int, mate long, apart long")
+    every = written(every, "mates")  # members that some pair admits, with the closest, and all of large buckets
     sets = sets_of(docs, written(classes.select("key", "sig", "at").join(every.select("key").distinct(), "key"), "wanted"), width)
-    closest = every.groupBy("key").agg(F.min(F.struct("apart", "mate")).alias("m")).select("key", F.col("m.mate").alias("mate"))
+    closest = every.filter("mate >= 0").groupBy("key").agg(F.min(F.struct("apart", "mate")).alias("m")).select("key", F.col("m.mate").alias("mate"))
     asked = written(closest.select(F.least("key", "mate").alias("a"), F.greatest("key", "mate").alias("b")).distinct(), "asked")
-    pair = every.select("bucket", F.least("key", "mate").alias("a"), F.greatest("key", "mate").alias("b")).distinct()
-    found, step = spark.createDataFrame([], f"a {kind}, b {kind}"), 0
-    refused = found.withColumn("bucket", F.lit(""))
-    rows = every.select("bucket", "side", "key")
-    while not asked.isEmpty():
-
-        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ok = []
-                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                    p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()) if len(q) else 0
-                    ok.append(bool(len(p)) and both * b >= a * (len(p) + len(q) - both))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
-
-        one, two = (sets.select(F.col("key").alias(k), F.col("items").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-        met = asked.select("a", "b").distinct().join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(verify, f"a {kind}, b {kind}, ok boolean")
-        tested = written(met.groupBy("a", "b").agg(F.bool_or("ok").alias("ok")), "tested")
-        found = written(found.unionByName(tested.filter("ok").select("a", "b")), "found")
-        last = written((pair if step == 0 else asked).join(small(tested.filter("not ok").select("a", "b")), ["a", "b"]).select("bucket", "a", "b"), "last")
-        refused = refused.unionByName(last)
-        if step:  # a bucket whose proposals all held is done: its candidates are in one part or refused
-            rows = rows.join(small(last.select("bucket")), "bucket", "left_semi")
-        label = components(found)
-        named = rows.join(small(label), "key", "left").select("bucket", "side", "key", F.coalesce("component", "key").alias("part"))
-        split = named.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("bucket")
-        named = written(named.join(split, "bucket", "left_semi"), "open")
-        rows = named.select("bucket", "side", "key")
+    tested = verified(asked, sets, t)
+    refused, found, fresh = tested.filter("not ok").select("a", "b"), tested.filter("ok").select("a", "b"), True
+    rows, phase, step = every.select("bucket", "key", "gid", "pos"), "parts", 0
+    label = components(found)
+    while True:
+        named = rows.join(small(label), "key", "left").select("bucket", "key", "gid", "pos", F.coalesce("component", "key").alias("part"))
+        named = written(named, "named")
+        split = written(named.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("c")).filter("low < high").select("bucket", "c"), "open-buckets")
+        named = named.join(small(split.select("bucket")), "bucket", "left_semi")
+        if phase == "end" or split.isEmpty():
+            return label
+        if phase == "parts" and (not fresh or split.filter(F.col("c") > BLOCK).isEmpty()):
+            phase, fresh = "forest", True
+        if phase == "forest" and not fresh:
+            phase = "more"
+        rows = written(named, "open")
         step += 1
-        most = 1 if step < 3 else 8 ** (step - 2)
-        # refused pairs travel as lists with one of their members, so that a bucket's rows meet them
-        no = refused.groupBy("bucket", F.col("a").alias("key")).agg(F.collect_set("b").alias("no"))
-        full = named.join(classes.select("key", "n", "cells"), "key").join(no, ["bucket", "key"], "left")
+        if phase == "parts":  # one member stands for each part, another one each time
+            pick = rows.groupBy("bucket", "part").agg(F.min(F.struct(F.xxhash64("key", F.lit(step)).alias("by"), "key", "gid", "pos")).alias("m"))
+            table = by_block(pick.select("bucket", "m.key", "m.gid", "m.pos", "part"), False)
+        else:
+            table = by_block(rows, True)
+        most = {"parts": 1, "forest": 1, "more": 8, "all": 0}[phase]
 
         def propose(batches: Iterator[pa.RecordBatch], most=most) -> Iterator[pa.RecordBatch]:
-            for table in whole_buckets(batches):
-                i, j, apart, code, key, part = open_pairs(table, t)
-                gone = {(c, k, x) for c, k, xs in zip(code.tolist(), key.tolist(), table.column("no").to_pylist()) if xs for x in xs}
-                if gone and len(i):
-                    keep = np.array([x not in gone for x in zip(code[i].tolist(), key[i].tolist(), key[j].tolist())])
-                    i, j, apart = i[keep], j[keep], apart[keep]
-                pick = proposals(i, j, apart, part, most)
-                yield pa.RecordBatch.from_arrays([table.column("bucket").combine_chunks().take(pa.array(i[pick])), pa.array(key[i[pick]]), pa.array(key[j[pick]])], ["bucket", "a", "b"])
-
-        asked = written(by_bucket(full).mapInArrow(propose, f"bucket string, a {kind}, b {kind}"), "asked")
-    return found
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """``key, component`` for every key in ``edges(a, b)``: the smallest key of its connected part.
+            for table in whole_blocks(batches):
+                own = Rows(table)
+                found = [x for x in own.pairs(t)] if most else own.pairs(t)
+                if most:
+                    found = [tuple(np.concatenate(x) for x in zip(*found))] if found else []
+                for i, j, apart in found:
+                    pick = proposals(i, j, apart, own.part, most)
+                    x, y = own.key[i[pick]], own.key[j[pick]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+        asked = table.mapInArrow(propose, "a long, b long").distinct()
+        asked = written(asked.join(small(written(refused, "refused")), ["a", "b"], "left_anti"), "asked")
+        fresh = False
+        if not asked.isEmpty():
+            tested = verified(asked, sets, t)
+            refused = refused.unionByName(tested.filter("not ok").select("a", "b"))
+            gained = tested.filter("ok").select("a", "b")
+            if fresh := not gained.isEmpty():
+                label = components(gained, label)
+        rows = rows.drop("part")
+        phase = {"more": "all", "all": "end"}.get(phase, phase)
+
+
+def components(edges: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """``key, component`` for every key in ``edges(a, b)`` and, if given, the components ``before``: the smallest key of its
+    connected part.
 
     Rounds of hooking to the smallest neighbour and shortening (keys to their root's root) over written tables;
     the number of rounds grows with the logarithm of the longest path.
     """
+    if before is not None:
+        edges = edges.unionByName(before.select(F.col("component").alias("a"), F.col("key").alias("b")))
     pairs = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")
     label = written(pairs.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")).withColumnRenamed("a", "key"), "labels")
     while True:
@@ -417,7 +509,7 @@ def linked_sets(df: DataFrame, key: str, text: str, width: int, threshold: Fract
     of_sets = full.groupBy("sig").agg(F.min("key").alias("least"), F.min("at").alias("at"), F.min("shape").alias("shape"), F.min("n").alias("n"), F.min("cells").alias("cells"))
     of_sets = written(of_sets.withColumn("key", F.monotonically_increasing_id()), "classes")  # numbers are fixed by writing
     classes = of_sets.drop("least")
-    whole = components(links(docs, group_buckets(full, classes, threshold), classes, width, threshold))
+    whole = links(docs, group_buckets(full, classes, threshold), classes, width, threshold)
     of = of_sets.join(whole, "key", "left").select("sig", F.coalesce("component", "key").alias("component"), F.col("least").alias("own"))
     best = of.groupBy("component").agg(F.min("own").alias("least"), F.min(F.struct(F.col("own").isNull(), "own", "sig")).alias("best"))
     of = of.join(best, "component").select("sig", "component", "least", (F.col("best.sig") == F.col("sig")).alias("first"))
