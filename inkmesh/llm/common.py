@@ -120,10 +120,10 @@ _weights = mix64(np.arange(1, 4097, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7
 
 
 def _weight_table(n: int) -> np.ndarray:
-    global _weights
-    if n > len(_weights):
-        _weights = mix64(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    return _weights
+    """Weights of the places in a word; those of very long words are not kept."""
+    if n <= len(_weights):
+        return _weights
+    return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -341,37 +341,33 @@ def _pieces(rows: pa.Table, least: int) -> Iterator[pa.Table]:
         at = end
 
 
-def blocks(rows: DataFrame, across: bool) -> DataFrame:
+def blocks(rows: DataFrame, counts: DataFrame, giants: DataFrame | None = None) -> DataFrame:
     """``rows(bucket, key, gid, pos, part)`` with the block pair ``lo, hi`` and ``side``: -1, or 0 and 1 for the blocks of a pair.
 
-    A bucket of up to ``BLOCK`` rows is one block, number -1. Larger ones are dealt into blocks by a hash, parts of over ``BLOCK`` rows
-    into blocks of their own. With ``across``, blocks meet pairwise, but those of one part alone do not; else each is by
-    itself.
+    A bucket of up to ``BLOCK`` rows, by the written ``counts(bucket, n)``, is one block, number -1. Larger ones are dealt into
+    blocks by a hash, each by itself. With ``giants(bucket, part, n)``, blocks meet pairwise, but those of one part alone do
+    not: the parts that ``giants`` lists with over ``BLOCK`` rows get blocks of their own.
     """
-    none = rows.withColumns({"lo": F.lit(-1).cast("long"), "hi": F.lit(-1).cast("long"), "side": F.lit(-1)})
-    cut = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("count")).filter(F.col("count") > BLOCK), "large")
+    plain = rows.withColumns({"lo": F.lit(-1).cast("long"), "hi": F.lit(-1).cast("long"), "side": F.lit(-1)})
+    cut = counts.filter(F.col("n") > BLOCK)
     if cut.isEmpty():
-        return none
+        return plain
     names = small(cut.select("bucket"))
-    plain = none.join(names, "bucket", "left_anti")
-    large = rows.join(names, "bucket", "left_semi")
-    large = written(large, "cut")
-    big = large.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("own")).filter(F.col("own") > BLOCK)
+    plain, large = plain.join(names, "bucket", "left_anti"), hot_join(rows.join(names, "bucket", "left_semi"), cut, "bucket", cut)
     deal = lambda by, n: F.pmod(F.xxhash64(by, F.lit(11)), F.ceil(n / BLOCK))
-    large = hot_join(large, cut, "bucket", cut.select("bucket", F.col("count").alias("n")))
-    large = large.join(small(written(big, "giant")), ["bucket", "part"], "left")
-    block = F.when(F.col("own").isNull(), deal("key" if not across else "part", F.col("count"))).otherwise(F.xxhash64("part", deal("key", F.col("own"))))
-    large = large.withColumn("block", block).drop("count", "own")
-    if not across:
-        return plain.unionByName(large.withColumns({"lo": F.col("block"), "hi": F.col("block"), "side": F.lit(-1)}).drop("block"))
-    large = written(large, "dealt")
-    of = written(large.groupBy("bucket", "block").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("n")), "dealt-blocks")
-    p, q = of.select("bucket", *[F.col(c).alias(c + "0") for c in ("block", "low", "high")]), of.select("bucket", *[F.col(c).alias(c + "1") for c in ("block", "low", "high")])
-    apart = (F.col("low0") < F.col("high0")) | (F.col("low1") < F.col("high1")) | (F.col("low0") != F.col("low1"))
-    met = p.join(q, "bucket").filter((F.col("block0") <= F.col("block1")) & apart).select("bucket", F.col("block0").alias("lo"), F.col("block1").alias("hi"))
-    sides = F.array(F.struct(F.col("lo").alias("block"), F.when(F.col("lo") == F.col("hi"), -1).otherwise(0).alias("side")), F.struct(F.col("hi").alias("block"), F.when(F.col("lo") < F.col("hi"), 1).alias("side")))
-    met = met.select("bucket", "lo", "hi", F.inline(F.filter(sides, lambda x: x["side"].isNotNull())))
-    return plain.unionByName(large.join(met, ["bucket", "block"]).drop("block"))
+    if giants is None:
+        large = large.withColumn("lo", deal("key", F.col("n"))).withColumns({"hi": F.col("lo"), "side": F.lit(-1)})
+        return plain.unionByName(large.drop("n"))
+    giants = small(written(giants.filter(F.col("n") > BLOCK).select("bucket", "part", F.col("n").alias("own")), "giants"))
+    block = F.when(F.col("own").isNull(), deal("part", F.col("n"))).otherwise(F.xxhash64("part", deal("key", F.col("own"))))
+    large = written(large.join(giants, ["bucket", "part"], "left").withColumn("block", block).drop("n", "own"), "dealt")
+    of = written(large.groupBy("bucket", "block").agg(F.min("part").alias("low"), F.max("part").alias("high")), "dealt-blocks")
+    p, q = (of.select("bucket", *[F.col(c).alias(c + k) for c in ("block", "low", "high")]) for k in "01")
+    mixed = (F.col("low0") < F.col("high0")) | (F.col("low1") < F.col("high1")) | (F.col("low0") != F.col("low1"))
+    met = p.join(q, "bucket").filter((F.col("block0") <= F.col("block1")) & mixed).select("bucket", F.col("block0").alias("lo"), F.col("block1").alias("hi"))
+    one = met.select("bucket", F.col("lo").alias("block"), "lo", "hi", F.when(F.col("lo") == F.col("hi"), -1).otherwise(0).alias("side"))
+    two = met.filter("lo < hi").select("bucket", F.col("hi").alias("block"), "lo", "hi", F.lit(1).alias("side"))
+    return plain.unionByName(large.join(one.unionByName(two), ["bucket", "block"]).drop("block"))
 
 
 def verified(asked: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
@@ -396,13 +392,14 @@ def links(docs: DataFrame, buckets: DataFrame, classes: DataFrame, width: int, t
     """``key, component``: parts that the links between classes make, for every class with a link.
 
     Rounds verify a few pairs each, closest first, and only between parts not yet linked: each class with the closest of its
-    block; then, while buckets are large, one member for each part; then forests over whole buckets; then more pairs for
-    each member; and last every admitted pair that is left, so that no link between different parts is missed.
+    block; then, where buckets are large, one member for each part; then forests over whole buckets; then more pairs for
+    each member; and last every admitted pair that is left, so that no link between different parts is missed. Blocks with
+    few admitted pairs have all of them verified in any round; when only such are left, the work is done.
     """
     told = classes.select("key", "n", "cells")
 
-    def by_block(rows: DataFrame, across: bool) -> DataFrame:
-        full = blocks(rows, across).join(told, "key").select("bucket", "lo", "hi", "side", "key", "gid", "pos", "part", "n", "cells")
+    def by_block(dealt: DataFrame) -> DataFrame:
+        full = dealt.join(told, "key").select("bucket", "lo", "hi", "side", "key", "gid", "pos", "part", "n", "cells")
         return full.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "gid", "key")
 
     def mates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -414,53 +411,58 @@ def links(docs: DataFrame, buckets: DataFrame, classes: DataFrame, width: int, t
                 np.minimum.at(best, i, apart << 20 | j)
                 np.minimum.at(best, j, apart << 20 | i)
             has = best < none
-            mate = np.where(has, rows.key[np.where(has, best & ((1 << 20) - 1), 0)], -1) if len(best) else best
+            mate = np.where(has, rows.key[np.where(has, best & ((1 << 20) - 1), 0)], -1)
             keep = np.flatnonzero(has | (table.column("lo").to_numpy() >= 0))  # in other blocks of the bucket a pair may wait
             kept = table.select(["bucket", "key", "gid", "pos"]).take(pa.array(keep)).combine_chunks()
             yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in kept.columns), pa.array(mate[keep]), pa.array(np.where(has, best >> 20, -1)[keep])], ["bucket", "key", "gid", "pos", "mate", "apart"])
 
-    every = by_block(buckets.withColumn("part", F.col("key")), False).mapInArrow(mates, "bucket long, key long, gid long, pos int, mate long, apart long")
+    counts = written(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK), "large")
+    every = by_block(blocks(buckets.withColumn("part", F.col("key")), counts)).mapInArrow(mates, "bucket long, key long, gid long, pos int, mate long, apart long")
     every = written(every, "mates")  # members that some pair admits, with the closest, and all of large buckets
     sets = sets_of(docs, written(classes.select("key", "sig", "at").join(every.select("key").distinct(), "key"), "wanted"), width)
     closest = every.filter("mate >= 0").groupBy("key").agg(F.min(F.struct("apart", "mate")).alias("m")).select("key", F.col("m.mate").alias("mate"))
     asked = written(closest.select(F.least("key", "mate").alias("a"), F.greatest("key", "mate").alias("b")).distinct(), "asked")
     tested = verified(asked, sets, t)
-    refused, found, fresh = tested.filter("not ok").select("a", "b"), tested.filter("ok").select("a", "b"), True
-    rows, phase, step = every.select("bucket", "key", "gid", "pos"), "parts", 0
-    label = components(found)
+    refused, label = tested.filter("not ok").select("a", "b"), components(tested.filter("ok").select("a", "b"))
+    rows, phase, step, forests, fresh = every.select("bucket", "key", "gid", "pos"), "parts", 0, 0, True
     while True:
-        named = rows.join(small(label), "key", "left").select("bucket", "key", "gid", "pos", F.coalesce("component", "key").alias("part"))
-        named = written(named, "named")
-        split = written(named.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("c")).filter("low < high").select("bucket", "c"), "open-buckets")
-        named = named.join(small(split.select("bucket")), "bucket", "left_semi")
-        if phase == "end" or split.isEmpty():
+        named = written(rows.join(small(label), "key", "left").select("bucket", "key", "gid", "pos", F.coalesce("component", "key").alias("part")), "named")
+        by_part = named.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
+        split = written(by_part.groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).filter("parts > 1"), "split")
+        sizes = split.agg(F.max("n"), F.max("parts")).first()
+        if sizes[0] is None:
             return label
-        if phase == "parts" and (not fresh or split.filter(F.col("c") > BLOCK).isEmpty()):
+        if phase == "parts" and (sizes[0] <= BLOCK or step and (sizes[1] <= BLOCK or not fresh)):
             phase, fresh = "forest", True
-        if phase == "forest" and not fresh:
+        forests += phase == "forest"
+        if phase == "forest" and (not fresh or forests > 4):
             phase = "more"
-        rows = written(named, "open")
+        most = {"parts": 1, "forest": 1, "more": 8, "all": 0}[phase]
+        rows = named.join(small(split.select("bucket")), "bucket", "left_semi")
         step += 1
         if phase == "parts":  # one member stands for each part, another one each time
             pick = rows.groupBy("bucket", "part").agg(F.min(F.struct(F.xxhash64("key", F.lit(step)).alias("by"), "key", "gid", "pos")).alias("m"))
-            table = by_block(pick.select("bucket", "m.key", "m.gid", "m.pos", "part"), False)
+            dealt = blocks(pick.select("bucket", "m.key", "m.gid", "m.pos", "part"), split.select("bucket", F.col("parts").alias("n")))
         else:
-            table = by_block(rows, True)
-        most = {"parts": 1, "forest": 1, "more": 8, "all": 0}[phase]
+            dealt = blocks(rows, split.select("bucket", "n"), by_part)
 
         def propose(batches: Iterator[pa.RecordBatch], most=most) -> Iterator[pa.RecordBatch]:
             for table in whole_blocks(batches):
                 own = Rows(table)
-                found = [x for x in own.pairs(t)] if most else own.pairs(t)
-                if most:
-                    found = [tuple(np.concatenate(x) for x in zip(*found))] if found else []
-                for i, j, apart in found:
-                    pick = proposals(i, j, apart, own.part, most)
+                held, size = [], 0
+                for pairs in own.pairs(t) if most else ():
+                    held.append(pairs)
+                    size += len(pairs[0])
+                few = size <= 4 * len(own.key)
+                for i, j, apart in [tuple(np.concatenate(x) for x in zip(*held))] if held else own.pairs(t) if not most else ():
+                    pick = proposals(i, j, apart, own.part, 0 if few else most)
                     x, y = own.key[i[pick]], own.key[j[pick]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+                if not few:  # says that pairs are left
+                    yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([-1])], ["a", "b"])
 
-        asked = table.mapInArrow(propose, "a long, b long").distinct()
-        asked = written(asked.join(small(written(refused, "refused")), ["a", "b"], "left_anti"), "asked")
+        asked = written(by_block(dealt).mapInArrow(propose, "a long, b long").distinct().join(refused, ["a", "b"], "left_anti"), "asked")
+        partial, asked = not asked.filter("a < 0").isEmpty(), asked.filter("a >= 0")
         fresh = False
         if not asked.isEmpty():
             tested = verified(asked, sets, t)
@@ -469,7 +471,9 @@ def links(docs: DataFrame, buckets: DataFrame, classes: DataFrame, width: int, t
             if fresh := not gained.isEmpty():
                 label = components(gained, label)
         rows = rows.drop("part")
-        phase = {"more": "all", "all": "end"}.get(phase, phase)
+        if phase == "all" or phase != "parts" and not partial:
+            return label
+        phase = {"more": "all"}.get(phase, phase)
 
 
 def components(edges: DataFrame, before: DataFrame | None = None) -> DataFrame:

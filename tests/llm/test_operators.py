@@ -9,13 +9,14 @@ from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from inkmesh.llm import bpe, dedup, html, jaccard, langid, lm, packing, queries, topk, urlfilter, warc
+from inkmesh.llm import bpe, common, dedup, html, jaccard, langid, lm, packing, queries, topk, urlfilter, warc
 
 from ..conftest import DATA, same
 
@@ -363,6 +364,32 @@ def test_jaccard_equals_brute_force(spark, monkeypatch, width, t, block):
     assert got == brute_components(list(enumerate(texts)), width, t)
 
 
+def test_jaccard_many_near_copies(spark):
+    """A hot group: 20,000 distinct near copies of one text, and as many texts that share nothing, in one class and alone."""
+    base = F.lit(" ".join(f"w{k}" for k in range(60)))
+    near = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(base, F.lit(" x"), F.col("id")).alias("text"))
+    other = spark.range(20_000, 24_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit(f"q{k}q"), "id") for k in range(12)]).alias("text"))
+    out = jaccard.near_duplicates(near.unionByName(other))
+    got = out.groupBy("component_id").count().groupBy("count").agg(F.count("*").alias("n")).collect()
+    assert sorted((r["count"], r.n) for r in got) == [(1, 4_000), (20_000, 1)]
+
+
+def test_jaccard_rows_that_share_a_key(spark):
+    w = [f"w{k}" for k in range(60)]
+    z = [f"z{k}" for k in range(60)]
+    rows = [(5, " ".join(w)), (5, " ".join(z)), (3, " ".join(z + ["more"])), (9, " ".join(w + ["more"])), (None, " ".join(w)), (5, " ".join(w))]
+    out = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in out if r.doc_id is not None) == [(3, 3), (5, 3), (5, 5), (5, 5), (9, 5)]
+
+
+def test_words_of_any_length():
+    long = "x" * 3_000_000
+    for text in (long, f"a {long} b", f"{long} {long}y"):
+        h, row = common.words(*common.text_bytes(pa.array([text, "a", long])))
+        want = text.split() + ["a", long]
+        assert len(h) == len(want) and len(set(h.tolist())) == len(set(want)) and row.tolist()[-2:] == [1, 2]
+
+
 def test_jaccard_odd_rows(spark):
     df = docs(spark)
     out = jaccard.near_duplicates(df).collect()
