@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,13 +25,16 @@ LENGTH, HIDDEN, PAD = 64, 16, 256
 PER_LANGUAGE, SEGMENTS = 600, 6
 
 
-def _sigmoid(x: np.ndarray) -> None:
-    """In place."""
-    np.negative(x, out=x)
-    with np.errstate(over="ignore"):
-        np.exp(x, out=x)
-    x += 1
-    np.reciprocal(x, out=x)
+def _squash(x: np.ndarray, room: np.ndarray) -> None:
+    """``x / (1 + |x|)`` in place, by way of ``room``: from -1 to 1, as a gate needs, without an exponential."""
+    np.abs(x, out=room)
+    room += 1
+    x /= room
+
+
+def _slope(s: np.ndarray) -> np.ndarray:
+    """Slope of the squashing function, from its value."""
+    return np.square(1 - np.abs(s))
 
 
 @dataclass
@@ -54,47 +57,52 @@ class Network:
         return [self.x, self.u, self.v, self.c]
 
     def states(self, seg: np.ndarray, keep: bool = False):
-        """Hidden states (2, L, B, H) at each byte of ``seg`` (B, L); with ``keep`` the gates too."""
+        """Hidden states (2, L, B, H) at each byte of ``seg`` (B, L); with ``keep`` the gates too.
+
+        Padding has an update gate of exactly 1, so it leaves the state as it is.
+        """
         b, n = seg.shape
-        h_size = self.u.shape[1]
-        both = np.stack([seg.T, seg.T[::-1]])  # (2, L, B)
-        h = np.zeros((2, b, h_size), np.float32)
-        out = np.empty((2, n, b, h_size), np.float32)
-        kept, padded = [], bool((seg == PAD).any())
-        a = np.empty((2, b, 3 * h_size), np.float32)
-        if keep:
-            a = a.astype(self.x.dtype)
+        k, kind = self.u.shape[1], self.x.dtype
+        both = np.ascontiguousarray(np.stack([seg.T, seg.T[::-1]]), np.intp)  # (2, L, B)
+        x_gate, x_cand = self.x[..., : 2 * k].copy(), self.x[..., 2 * k :].copy()
+        x_gate[:, PAD, :k] = 1e30
+        u_gate, u_cand = self.u[..., : 2 * k].copy(), self.u[..., 2 * k :].copy()
+        h, out, kept = np.zeros((2, b, k), kind), np.empty((2, n, b, k), kind), []
+        gate, cand, own_gate, own_cand = (np.empty((2, b, m), kind) for m in (2 * k, k, 2 * k, k))
         for t in range(n):
-            np.take(self.x[0], both[0, t], 0, out=a[0])
-            np.take(self.x[1], both[1, t], 0, out=a[1])
-            g = np.matmul(h, self.u)
-            zr = a[..., : 2 * h_size] + g[..., : 2 * h_size]
-            _sigmoid(zr)
-            z, r, gn = zr[..., :h_size], zr[..., h_size:], g[..., 2 * h_size :]
-            cand = r * gn
-            cand += a[..., 2 * h_size :]
-            cand *= 2  # tanh from the faster exponential
-            _sigmoid(cand)
-            cand *= 2
-            cand -= 1
-            new = cand + z * (h - cand)
-            real = None
-            if padded:  # padding leaves the state as it is
-                real = (both[:, t] != PAD)[..., None]
-                new = np.where(real, new, h)
+            for d in (0, 1):
+                np.take(x_gate[d], both[d, t], 0, out=own_gate[d], mode="clip")
+                np.take(x_cand[d], both[d, t], 0, out=own_cand[d], mode="clip")
+            np.matmul(h, u_gate, out=gate)
+            np.matmul(h, u_cand, out=cand)
+            gate += own_gate
+            _squash(gate, own_gate)
+            gate *= 0.5
+            gate += 0.5
+            z, r = gate[..., :k], gate[..., k:]
+            if keep:
+                kept.append([h.copy(), z.copy(), r.copy(), cand.copy()])
+            cand *= r
+            cand += own_cand
+            _squash(cand, own_cand)
             if keep:
-                kept.append((h, z, r, gn, cand, real))
-            h = new
+                kept[-1].append(cand.copy())
+            h -= cand
+            h *= z
+            h += cand
             out[0, t], out[1, n - 1 - t] = h[0], h[1]
         return (out, both, kept) if keep else out
 
     def labels(self, out: np.ndarray) -> np.ndarray:
         """Language probabilities (L, B, C) of each byte."""
-        s = out[0] @ self.v[0] + out[1] @ self.v[1] + self.c
-        s -= s.max(-1, keepdims=True)
+        _, n, b, k = out.shape
+        s = self.v[0].T @ out[0].reshape(-1, k).T
+        s += self.v[1].T @ out[1].reshape(-1, k).T
+        s += self.c[:, None]
+        s -= s.max(0)
         np.exp(s, out=s)
-        s /= s.sum(-1, keepdims=True)
-        return s
+        s /= s.sum(0)
+        return s.T.reshape(n, b, -1)
 
     def gradients(self, seg: np.ndarray, want: np.ndarray) -> tuple[float, list[np.ndarray]]:
         """Mean loss over the bytes that are not padding, and its gradients, by backpropagation through time."""
@@ -112,21 +120,23 @@ class Network:
         dout = np.stack([d @ self.v[0].T, (d @ self.v[1].T)[::-1]])  # in reading order
         dx, du = np.zeros_like(self.x), np.zeros_like(self.u)
         dh = np.zeros_like(kept[0][0])
+        each = np.empty((2, *both.shape[1:], self.x.shape[-1]), self.x.dtype)
         for t in range(seg.shape[1] - 1, -1, -1):
-            h, z, r, gn, cand, real = kept[t]
-            every = dh + dout[:, t]
-            dh = every if real is None else every * real
-            dcand = dh * (1 - z) * (1 - cand * cand)
-            dz = dh * (h - cand) * z * (1 - z)
-            dr = dcand * gn * r * (1 - r)
+            h, z, r, gn, cand = kept[t]
+            dh = dh + dout[:, t]
+            dcand = dh * (1 - z) * _slope(cand)
+            dz = dh * (h - cand) * 0.5 * _slope(2 * z - 1)
+            dr = dcand * gn * 0.5 * _slope(2 * r - 1)
             dg = np.concatenate([dz, dr, dcand * r], -1)
-            da = np.concatenate([dz, dr, dcand], -1)
+            each[:, t] = np.concatenate([dz, dr, dcand], -1)
             du += np.matmul(h.transpose(0, 2, 1), dg)
-            for k in (0, 1):
-                np.add.at(dx[k], both[k, t], da[k])
             dh = dh * z + np.matmul(dg, self.u.transpose(0, 2, 1))
-            if real is not None:
-                dh += every * ~real
+        for k in (0, 1):  # sums by byte
+            byte = both[k].ravel()
+            order = np.argsort(byte, kind="stable")
+            first = np.flatnonzero(np.diff(byte[order], prepend=-1))
+            dx[k, byte[order[first]]] = np.add.reduceat(each[k].reshape(len(byte), -1)[order], first)
+        dx[:, PAD] = 0
         return loss, [dx, du, dv, dc]
 
     def fit(self, seg: np.ndarray, want: np.ndarray, steps: int = 400, batch: int = 256, rate: float = 0.02, seed: int = 2) -> list[float]:
@@ -185,31 +195,35 @@ def segments(data: np.ndarray, most: int, seed: int) -> np.ndarray:
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE, per_document: int = SEGMENTS, steps: int = 400, seed: int = 1) -> Network | None:
     """A network for the languages of ``labelled``; None if no row has both a text with bytes and a language.
 
-    The sample is a documented bound: about ``per_language`` documents of each language, picked by a hash of ``key``,
-    and ``per_document`` segments of each, cut by the executors. The driver thus gets some
-    ``per_language * per_document * LENGTH`` bytes for each language whatever the table holds, and trains on them.
+    The sample is a documented bound: at most ``per_language`` documents of each language, those with the smallest hashes of
+    key and text (rows that repeat both count once), and ``per_document`` segments of each, cut by the executors. The driver
+    thus gets ``per_language * per_document * LENGTH`` bytes at most for each language whatever the table holds, and trains
+    on them.
     """
-    rows = labelled.filter(F.col(lang).isNotNull() & (F.octet_length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit(seed), key).alias("h"))
+    rows = labelled.filter(F.col(lang).isNotNull() & (F.octet_length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit(seed), key, text).alias("h"))
     counts = rows.groupBy("lang").count()
-    shares = {r["lang"]: min(1.0, per_language / r["count"]) for r in counts.collect()}
+    # a few more than wanted are drawn by hash, by the whole range of the hash; the bound is kept exactly after that
+    shares = {r["lang"]: min(1.0, 1.25 * (per_language + 40) / r["count"]) for r in counts.collect()}
     if not shares:
         return None
     share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
-    picked = rows.filter(F.pmod("h", F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
+    picked = rows.filter(F.shiftrightunsigned("h", 1) <= F.element_at(share, F.col("lang")) * float(1 << 63))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, out, hashes = [], [], []
-            for name, t, h in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                for s in segments(np.frombuffer(t.encode(), np.uint8), per_document, h):
-                    names.append(name), out.append(s.astype("<u2").tobytes()), hashes.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(out, pa.binary()), pa.array(hashes, pa.int64())], ["lang", "seg", "h"])
+            names, hashes = batch.column(0), batch.column(2)
+            out = [segments(np.frombuffer(t.encode(), np.uint8), per_document, h).astype("<u2").tobytes() for t, h in zip(batch.column(1).to_pylist(), hashes.to_pylist())]
+            yield pa.RecordBatch.from_arrays([names, hashes, pa.array(out, pa.binary())], ["lang", "h", "segs"])
 
-    sample = sorted((r.lang, r.h, r.seg) for r in picked.mapInArrow(cut, "lang string, seg binary, h long").collect())
+    drawn = picked.mapInArrow(cut, "lang string, h long, segs binary").dropDuplicates(["lang", "h"])
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 1), "h"))
+    sample = sorted((r.lang, r.h, bytes(r.segs)) for r in drawn.withColumn("nth", nth).filter(F.col("nth") <= per_language).collect())
     if not sample:
         return None
+    size = 2 * LENGTH
+    sample = [(name, h, segs[a : a + size]) for name, h, segs in sample for a in range(0, len(segs), size)]
     langs = sorted({name for name, _, _ in sample})
-    seg = np.frombuffer(b"".join(bytes(s) for _, _, s in sample), "<u2").reshape(-1, LENGTH).astype(np.int64)
+    seg = np.frombuffer(b"".join(s for _, _, s in sample), "<u2").reshape(-1, LENGTH).astype(np.int64)
     want = np.array([langs.index(name) for name, _, _ in sample])
     each = [np.flatnonzero(want == k) for k in range(len(langs))]  # languages weigh alike
     even = np.concatenate([np.resize(x, max(map(len, each))) for x in each])
