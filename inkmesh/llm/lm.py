@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, scratch, shuffle_width, slices, text_bytes, words, written
+from .common import mix64, scratch, slices, text_bytes, words
 
 #: The token that ends each text.
 END = np.uint64(0)
@@ -38,6 +38,8 @@ GATHER = 3 << 19
 #: 64-bit counts give, 0.25 / 2^63, is 45.1.
 SPLIT, STEP = 16, 1 / 1400
 DISCOUNT = 0.75
+#: Bytes of text for each shard of a level.
+SHARD = 12 << 20
 _BIT = np.array([[next((b for b in range(8) if bin(i & ((2 << b) - 1)).count("1") == r + 1), 8) for r in range(8)] for i in range(256)], np.uint8)
 
 
@@ -172,7 +174,12 @@ def _put(name: str, data: bytes) -> None:
     draft = f"{path}.{TaskContext.get().taskAttemptId()}"
     with store.open_output_stream(draft, compression=None) as out:
         out.write(data)
-    store.move(draft, path)
+    try:
+        store.move(draft, path)
+    except OSError:  # another attempt of this task has put the same bytes there
+        if store.get_file_info(path).type == fs.FileType.NotFound:
+            raise
+        store.delete_file(draft)
 
 
 _maps: dict[str, np.ndarray] = {}
@@ -265,7 +272,10 @@ class Model:
         return self.__dict__ | {"_open": {}}
 
     def name(self, level: int, shard: int, what: str = "grams") -> str:
-        return f"{self.folder}/level-{level}/{what}-{shard:06d}"
+        return f"{self.folder_of(level, what)}/{shard:07d}"
+
+    def folder_of(self, level: int, what: str) -> str:
+        return f"{self.folder}/level-{level}-{what}"
 
     def _level(self, level: int, shard: int):
         if (level, shard) not in self._open:
@@ -284,6 +294,20 @@ class Model:
             self._open[level, shard, "w"] = (ef, data[at : at + 2 * ef.n].view("<u2"))
         return self._open[level, shard, "w"]
 
+    def counts(self, level: int, ids: np.ndarray) -> np.ndarray:
+        """Training counts of the (known) n-grams of ``level`` with these numbers, which are in order."""
+        out = np.empty(len(ids), np.int64)
+        cuts = np.searchsorted(ids, np.append(self.base[level - 1], np.iinfo(np.int64).max))
+        for s in range(self.shards):
+            if cuts[s + 1] > cuts[s]:
+                if level == 1:
+                    n = self._level(1, s)[1]
+                else:
+                    data = _map(self.name(level, s, "counts"))
+                    n = data[8:].view(f"<u{int(data[:8].view('<u8')[0])}")
+                out[cuts[s] : cuts[s + 1]] = n[ids[cuts[s] : cuts[s + 1]] - self.base[level - 1][s]]
+        return out
+
     def split(self, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """Places of each shard's rows, in order; small integers sort by radix."""
         small = shard.astype(np.uint16 if self.shards <= 1 << 16 else np.uint32)
@@ -408,15 +432,6 @@ def _unpacked(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _halves(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Low and high 32 bits of counts; the high ones are nearly all 0, which compresses to nothing."""
-    return n.astype("<u4"), (n >> 32).astype("<u4")
-
-
-def _whole(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    return low.astype(np.int64) | high.astype(np.int64) << 32
-
-
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Tokens and rows of many texts at a time, ``GATHER`` tokens or little more; row numbers do not repeat."""
     parts, size, base = [], 0, 0
@@ -495,8 +510,12 @@ def _driver_put(name: str, data: bytes) -> None:
 
 
 def _grams(texts: DataFrame, model: Model, level: int) -> None:
-    """Counts n-grams of one level into a written table, then contexts, then builds the level's files."""
-    shards = model.shards
+    """Counts n-grams of one level and builds its files in the tasks that add them up.
+
+    A context is followed as often as it occurs, as every text ends with a token of its own, so its total is the count that
+    the level below has of it.
+    """
+    shards, kind = model.shards, "<u4" if model.types < 2**32 else "<u8"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, row in _batches(batches):
@@ -510,63 +529,52 @@ def _grams(texts: DataFrame, model: Model, level: int) -> None:
             ctx, token = last[own], ids[own + 1]
             ok = (ctx >= 0) & (token >= 0)
             c, t, n = _gram_sums(ctx[ok].astype(np.uint64), token[ok].astype(np.uint64), np.ones(int(ok.sum()), np.int64), model.types)
-            yield _rows([(s, _packed(c[k], t[k].astype("<u8"), n[k].astype("<u4"))) for s, k in model.split(shard_of_gram(c, t, shards))])
-
-    def combine(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, t, n = (np.concatenate(x) for x in zip(*_merged(parts, "<u8", "<u4")))
-        c, t, n = _gram_sums(c, t, n.astype(np.int64), model.types)
-        yield _rows([(key[0].as_py(), _packed(c, t.astype("<u8"), *_halves(n)))])
+            yield _rows([(s, _packed(c[k], t[k].astype(kind), n[k].astype("<u4"))) for s, k in model.split(shard_of_gram(c, t, shards))])
 
-    merged = written(texts.mapInArrow(count, _BLOBS).groupBy("shard").applyInArrow(combine, _BLOBS), "grams")
-
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column(1).to_pylist():
-                c, _, *n = _unpacked(blob, "<u8", "<u4", "<u4")
-                each, total = _sums(c, _whole(*n))
-                _, kinds = _sums(c, np.ones(len(c), np.int64))
-                yield _rows([(s, _packed(each[k], total[k], kinds[k])) for s, k in model.split(shard_of_context(each, shards))])
+    def build(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = key[0].as_py()
+        c, t, n = (np.concatenate(x) for x in zip(*_merged(parts, kind, "<u4")))
+        c, t, n = _gram_sums(c, t.astype(np.uint64), n.astype(np.int64), model.types)
+        first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+        kinds = np.diff(np.append(first, len(c)))
+        total = np.repeat(model.counts(level - 1, c[first].astype(np.int64)), kinds)
+        _put(model.name(level, s), Level.build(c, t, (n - DISCOUNT) / total, model.types))
+        if level < model.order:
+            _put(model.name(level, s, "counts"), _narrow(n))
+        each = c[first]
+        yield _rows([(w, _packed(each[k], kinds[k].astype("<u4"))) for w, k in model.split(shard_of_context(each, shards))] + [(-1 - s, struct.pack("<Q", len(c)))])
 
     def weigh(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, total, kinds = (np.concatenate(x) for x in zip(*_merged(parts, "<i8", "<i8")))
-        each, total = _sums(c, total)
-        _, kinds = _sums(c, kinds)
+        s = key[0].as_py()
+        if s < 0:  # a shard's size
+            sizes = [struct.unpack("<Q", blob)[0] for batch in parts for blob in batch.column("blob").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([sizes[0]])], ["shard", "grams"])
+            return
+        each, kinds = _sums(*(np.concatenate(x) for x in zip(*_merged(parts, "<u4"))))
+        total = model.counts(level - 1, each.astype(np.int64))
         out = io.BytesIO()
         EliasFano.write(out, each)
         out.write(quantise(np.minimum(1.0, DISCOUNT * kinds / total)).tobytes())
-        out.write(b"\0" * (-out.tell() % 8) + total.astype("<i8").tobytes())
-        s = key[0].as_py()
         _put(model.name(level, s, "weights"), out.getvalue())
-        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32())], ["shard"])
-
-    made = {r.shard for r in merged.mapInArrow(contexts, _BLOBS).groupBy("shard").applyInArrow(weigh, "shard int").collect()}
-    for s in sorted(set(range(shards)) - made):
-        out = io.BytesIO()
-        EliasFano.write(out, np.zeros(0, np.uint64))
-        _driver_put(model.name(level, s, "weights"), out.getvalue())
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                c, t, *n = _unpacked(blob, "<u8", "<u4", "<u4")
-                n = _whole(*n)
-                each, back = np.unique(c, return_inverse=True)
-                total = np.ones(len(each), np.int64)
-                for w, own in model.split(shard_of_context(each, shards)):
-                    data = _map(model.name(level, w, "weights"))
-                    ef, at = EliasFano.read(data, 0)
-                    at += 2 * ef.n
-                    at += -at % 8
-                    total[own] = data[at : at + 8 * ef.n].view("<i8")[ef.find(each[own])]
-                _put(model.name(level, s), Level.build(c, t, (n - DISCOUNT) / total[back], model.types))
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([len(c)])], ["shard", "grams"])
+        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([0])], ["shard", "grams"])
 
+    built = texts.mapInArrow(count, _BLOBS).groupBy("shard").applyInArrow(build, _BLOBS).groupBy("shard").applyInArrow(weigh, "shard int, grams long").collect()
     sizes = np.zeros(shards, np.int64)
-    built = merged.mapInArrow(build, "shard int, grams long").collect()
     for r in built:
-        sizes[r.shard] = r.grams
+        if r.shard < 0:
+            sizes[-1 - r.shard] = r.grams
     model.base.append(np.cumsum(sizes) - sizes)
-    _fill(model, level, {r.shard for r in built}, texts)
+    _fill(model, level, {-1 - r.shard for r in built if r.shard < 0}, texts)
+    empty = io.BytesIO()
+    EliasFano.write(empty, np.zeros(0, np.uint64))
+    for s in sorted(set(range(shards)) - {r.shard for r in built if r.shard >= 0}):
+        _driver_put(model.name(level, s, "weights"), empty.getvalue())
+
+
+def _narrow(n: np.ndarray) -> bytes:
+    """Counts as 32-bit integers if they fit, behind the size of one."""
+    kind = np.dtype("<u4" if not len(n) or int(n.max()) < 2**32 else "<u8")
+    return struct.pack("<Q", kind.itemsize) + n.astype(kind).tobytes()
 
 
 def _gram_sums(ctx: np.ndarray, token: np.ndarray, n: np.ndarray, types: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -584,16 +592,28 @@ def _gram_sums(ctx: np.ndarray, token: np.ndarray, n: np.ndarray, types: int) ->
 
 def train(texts: DataFrame, text: str = "text", order: int = 3, shards: int | None = None) -> Model:
     """A model of all whole ``texts``; null texts count as empty (one end token). No texts give a model without types,
-    for which every token is unknown."""
+    for which every token is unknown. Shards follow the size of the texts, so that one has some ``SHARD / 6`` tokens at most
+    before equal n-grams are added up, whatever the corpus."""
     spark = texts.sparkSession
     rows = texts.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    model = Model(scratch(spark, "trie"), shards or max(4, shuffle_width(spark)), order)
+    if shards is None:
+        shards = max(4, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD))
+    model = Model(scratch(spark, "trie"), shards, order)
     _unigrams(rows, model)
     for level in range(2, order + 1):
         _grams(rows, model, level)
+        if level > 2:
+            _remove(model.folder_of(level - 1, "counts"))
     return model
 
 
+def _remove(name: str) -> None:
+    """Drops a folder of files that no later step reads."""
+    store, path = fs.FileSystem.from_uri(name)
+    if store.get_file_info(path).type == fs.FileType.Directory:
+        store.delete_dir(path)
+
+
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_tokens, n_known, train_tokens, base_score, score`` of each whole text, in one narrow stage.
 
