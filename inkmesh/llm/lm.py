@@ -4,7 +4,7 @@ Level 1 holds the distinct tokens as sorted hashes; a token's number is its plac
 holds, for each (k-1)-gram that occurs as a context, its following tokens: contexts and pointers are
 monotone sequences, and following tokens become one by adding ``context rank * V``, so all three are
 Elias-Fano coded and a lookup is a successor search relative to its context. Each n-gram carries a
-quantised discounted probability, each context a quantised back-off weight (interpolated absolute
+quantised discounted probability and, as a context, a quantised back-off weight (interpolated absolute
 discounting; the first level is the smoothed unigram distribution).
 
 Counting and building are Spark jobs. Tasks combine n-grams before the shuffle and send them as
@@ -265,6 +265,7 @@ class Model:
     def __init__(self, folder: str, shards: int, order: int):
         self.folder, self.shards, self.order = folder, shards, order
         self.base: list[np.ndarray] = []  # number of the first n-gram of each shard, by level
+        self.sizes: list[int] = []  # n-grams by level
         self.tokens = self.types = 0
         self._open: dict = {}
 
@@ -287,25 +288,24 @@ class Model:
                 self._open[level, shard] = Level(self.name(level, shard), self.types)
         return self._open[level, shard]
 
-    def _weights(self, level: int, shard: int) -> tuple[EliasFano, np.ndarray]:
-        if (level, shard, "w") not in self._open:
-            data = _map(self.name(level, shard, "weights"))
-            ef, at = EliasFano.read(data, 0)
-            self._open[level, shard, "w"] = (ef, data[at : at + 2 * ef.n].view("<u2"))
-        return self._open[level, shard, "w"]
+    def shards_of(self, level: int, ids: np.ndarray) -> Iterator[tuple[int, slice, np.ndarray]]:
+        """The shards that hold the n-grams with these numbers (in order), each with its part of them and their places there."""
+        base = self.base[level - 1]
+        cuts = np.searchsorted(ids, np.append(base, np.iinfo(np.int64).max))
+        for s in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+            part = slice(int(cuts[s]), int(cuts[s + 1]))
+            yield s, part, ids[part] - base[s]
 
     def counts(self, level: int, ids: np.ndarray) -> np.ndarray:
         """Training counts of the (known) n-grams of ``level`` with these numbers, which are in order."""
         out = np.empty(len(ids), np.int64)
-        cuts = np.searchsorted(ids, np.append(self.base[level - 1], np.iinfo(np.int64).max))
-        for s in range(self.shards):
-            if cuts[s + 1] > cuts[s]:
-                if level == 1:
-                    n = self._level(1, s)[1]
-                else:
-                    data = _map(self.name(level, s, "counts"))
-                    n = data[8:].view(f"<u{int(data[:8].view('<u8')[0])}")
-                out[cuts[s] : cuts[s + 1]] = n[ids[cuts[s] : cuts[s + 1]] - self.base[level - 1][s]]
+        for s, part, at in self.shards_of(level, ids):
+            if level == 1:
+                n = self._level(1, s)[1]
+            else:
+                data = _map(self.name(level, s, "counts"))
+                n = data[8:].view(f"<u{int(data[:8].view('<u8')[0])}")
+            out[part] = n[at]
         return out
 
     def split(self, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -355,18 +355,15 @@ class Model:
         out[known[order]], prob[known[order]] = g[back], p[back]
         if weights:
             first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-            w = self.backoff(level, c[first])
+            w = self.backoff(level, c[first].astype(np.int64))
             weight[known[order]] = np.repeat(w, np.diff(np.append(first, len(c))))[back]
         return out, prob, weight
 
     def backoff(self, level: int, ctx: np.ndarray) -> np.ndarray:
-        """Weights of distinct contexts in order; 1 for contexts never seen."""
+        """Weights of distinct contexts in order, each kept under the number that the context has as an n-gram."""
         out = np.ones(len(ctx))
-        for s, own in self.split(shard_of_context(ctx, self.shards)):
-            ef, w = self._weights(level, s)
-            at = ef.find(ctx[own])
-            ok = np.flatnonzero(at >= 0)
-            out[own[ok]] = restore(w[at[ok]])
+        for s, part, at in self.shards_of(level - 1, ctx):
+            out[part] = restore(_map(self.name(level, s, "weights")).view("<u2")[at])
         return out
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
@@ -394,10 +391,6 @@ def shard_of_gram(ctx: np.ndarray, token: np.ndarray, shards: int) -> np.ndarray
     return (mix64(mix64(ctx.astype(np.uint64)) + (mix64(token.astype(np.uint64)) & np.uint64(SPLIT - 1))) % np.uint64(shards)).astype(np.int64)
 
 
-def shard_of_context(ctx: np.ndarray, shards: int) -> np.ndarray:
-    return (mix64(ctx.astype(np.uint64) ^ np.uint64(0x5BD1E9955BD1E995)) % np.uint64(shards)).astype(np.int64)
-
-
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of all rows, an end after each, and each one's row."""
     h, row = words(data, offsets)
@@ -416,19 +409,22 @@ def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _packed(*columns: np.ndarray) -> bytes:
-    """Columns of one length, compressed; the first is sorted and kept as differences."""
-    first = np.diff(columns[0].astype(np.uint64), prepend=np.uint64(0))
-    raw = pa.compress(first.tobytes() + b"".join(np.ascontiguousarray(c).tobytes() for c in columns[1:]), codec="zstd", asbytes=True)
-    return struct.pack("<II", len(first), 8 * len(first) + sum(c.nbytes for c in columns[1:])) + raw
+    """Columns of one length, compressed by byte of the value; the first is sorted and kept as differences."""
+    n = len(columns[0])
+    first = np.diff(columns[0].astype("<u8"), prepend=np.uint64(0))
+    raw = b"".join(np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(n, -1).T).tobytes() for c in (first, *columns[1:]))
+    return struct.pack("<QQ", n, len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unpacked(blob: bytes, *kinds: str) -> list[np.ndarray]:
-    n, size = struct.unpack_from("<II", blob)
-    raw = pa.decompress(blob[8:], size, codec="zstd", asbytes=True)
-    out, at = [np.cumsum(np.frombuffer(raw, np.uint64, n))], 8 * n
-    for k in kinds:
-        out.append(np.frombuffer(raw, k, n, at))
-        at += n * np.dtype(k).itemsize
+    n, size = struct.unpack_from("<QQ", blob)
+    raw = np.frombuffer(pa.decompress(blob[16:], size, codec="zstd", asbytes=True), np.uint8)
+    out, at = [], 0
+    for k in ("<u8", *kinds):
+        width = np.dtype(k).itemsize
+        out.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).view(k).ravel())
+        at += n * width
+    out[0] = np.cumsum(out[0])
     return out
 
 
@@ -488,6 +484,7 @@ def _unigrams(texts: DataFrame, model: Model) -> None:
         model.tokens += r.tokens
     model.base.append(np.cumsum(types) - types)
     model.types = int(types.sum())
+    model.sizes.append(model.types)
     _fill(model, 1, {r.shard for r in made}, texts)
 
 
@@ -516,6 +513,7 @@ def _grams(texts: DataFrame, model: Model, level: int) -> None:
     the level below has of it.
     """
     shards, kind = model.shards, "<u4" if model.types < 2**32 else "<u8"
+    sizes_below = np.diff(np.append(model.base[level - 2], model.sizes[level - 2]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, row in _batches(batches):
@@ -541,8 +539,8 @@ def _grams(texts: DataFrame, model: Model, level: int) -> None:
         _put(model.name(level, s), Level.build(c, t, (n - DISCOUNT) / total, model.types))
         if level < model.order:
             _put(model.name(level, s, "counts"), _narrow(n))
-        each = c[first]
-        yield _rows([(w, _packed(each[k], kinds[k].astype("<u4"))) for w, k in model.split(shard_of_context(each, shards))] + [(-1 - s, struct.pack("<Q", len(c)))])
+        each = c[first].astype(np.int64)
+        yield _rows([(w, _packed(each[k], kinds[k].astype("<u4"))) for w, k, _ in model.shards_of(level - 1, each)] + [(-1 - s, struct.pack("<Q", len(c)))])
 
     def weigh(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = key[0].as_py()
@@ -551,11 +549,10 @@ def _grams(texts: DataFrame, model: Model, level: int) -> None:
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([sizes[0]])], ["shard", "grams"])
             return
         each, kinds = _sums(*(np.concatenate(x) for x in zip(*_merged(parts, "<u4"))))
-        total = model.counts(level - 1, each.astype(np.int64))
-        out = io.BytesIO()
-        EliasFano.write(out, each)
-        out.write(quantise(np.minimum(1.0, DISCOUNT * kinds / total)).tobytes())
-        _put(model.name(level, s, "weights"), out.getvalue())
+        each = each.astype(np.int64)
+        weight = np.zeros(sizes_below[s], "<u2")  # n-grams that end a text are no contexts
+        weight[each - model.base[level - 2][s]] = quantise(np.minimum(1.0, DISCOUNT * kinds / model.counts(level - 1, each)))
+        _put(model.name(level, s, "weights"), weight.tobytes())
         yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([0])], ["shard", "grams"])
 
     built = texts.mapInArrow(count, _BLOBS).groupBy("shard").applyInArrow(build, _BLOBS).groupBy("shard").applyInArrow(weigh, "shard int, grams long").collect()
@@ -564,11 +561,10 @@ def _grams(texts: DataFrame, model: Model, level: int) -> None:
         if r.shard < 0:
             sizes[-1 - r.shard] = r.grams
     model.base.append(np.cumsum(sizes) - sizes)
+    model.sizes.append(int(sizes.sum()))
     _fill(model, level, {-1 - r.shard for r in built if r.shard < 0}, texts)
-    empty = io.BytesIO()
-    EliasFano.write(empty, np.zeros(0, np.uint64))
-    for s in sorted(set(range(shards)) - {r.shard for r in built if r.shard >= 0}):
-        _driver_put(model.name(level, s, "weights"), empty.getvalue())
+    for s in sorted(set(np.flatnonzero(sizes_below).tolist()) - {r.shard for r in built}):
+        _driver_put(model.name(level, s, "weights"), np.zeros(sizes_below[s], "<u2").tobytes())
 
 
 def _narrow(n: np.ndarray) -> bytes:
