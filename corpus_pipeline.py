@@ -27,10 +27,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of texts equal but for white space, the row with the smallest doc_id, once."""
-    keep = dedup.exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_cp_id"), F.col("text_sha256").alias("_cp_of"))
-    rows = docs.withColumn("_cp_sha", dedup.sha256(dedup.normalised(F.col("text"))))
-    same = F.col("doc_id").eqNullSafe(F.col("_cp_id")) & (F.col("_cp_sha") == F.col("_cp_of"))
-    return rows.join(keep, same, "left_semi").dropDuplicates(["doc_id", "_cp_sha"]).select(docs.columns)
+    kept = dedup.exact_dedup(docs, carry=docs.columns).filter("kept")
+    return kept.dropDuplicates(["text_sha256", "doc_id"]).select("carried.*")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

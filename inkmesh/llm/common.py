@@ -54,8 +54,8 @@ def hot_keys(rows: DataFrame, on: str | list[str]) -> DataFrame:
     return rows.groupBy(on).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT)
 
 
-def hot_join(left: DataFrame, right: DataFrame, on: str | list[str], hot: DataFrame | None = None) -> DataFrame:
-    """``left.join(right, on)`` where ``left`` may have very many rows of a key and ``right`` few.
+def hot_join(left: DataFrame, right: DataFrame, on: str | list[str], hot: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """``left.join(right, on, how)`` (inner or left) where ``left`` may have very many rows of a key and ``right`` few.
 
     A hot key's rows of ``left`` are dealt over one task for each ``HOT`` rows, to each of which the key's rows of ``right``
     go. ``hot`` has the keys and ``n`` if they are known.
@@ -64,12 +64,12 @@ def hot_join(left: DataFrame, right: DataFrame, on: str | list[str], hot: DataFr
     counted = (hot_keys(left, keys) if hot is None else hot).filter(F.col("n") > HOT)
     cuts = written(counted.select(*keys, F.ceil(F.col("n") / HOT).cast("int").alias("_cuts")), "hot")
     if cuts.isEmpty():
-        return left.join(right, keys)
+        return left.join(right, keys, how)
     cuts = small(cuts)
     by = [c for c, t in left.dtypes if c not in keys and t in ("bigint", "int", "string")]
     dealt = left.join(cuts, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), F.coalesce("_cuts", F.lit(1))).cast("int")).drop("_cuts")
     copied = right.join(cuts, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_cuts", F.lit(1)) - 1))).drop("_cuts")
-    return dealt.join(copied, [*keys, "_salt"]).drop("_salt")
+    return dealt.join(copied, [*keys, "_salt"], how).drop("_salt")
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -8,12 +8,12 @@ the table reaches the last combine as ``salts`` rows at most.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import hot_join, written
 
 
 def normalised(text: Column) -> Column:
@@ -35,19 +35,23 @@ def groups(rows: DataFrame, salts: int) -> DataFrame:
     return salted.groupBy("_dd_digest", "_dd_text").agg(F.min("_dd_key").alias("keep_id"), F.sum("_dd_n").alias("group_size"))
 
 
-def exact_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", salts: int = 64, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """Every row of ``df`` (``key`` and ``text`` only) with ``keep_id, group_size, kept, text_sha256``.
+def exact_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", salts: int = 64, digest: Callable[[Column], Column] = sha256, carry: Sequence[str] = ()) -> DataFrame:
+    """Every row of ``df`` (``key`` and ``text`` only) with ``keep_id, group_size, kept, text_sha256``; then a column
+    ``carried``, a struct of the columns named in ``carry``, if any.
 
     Null texts count as empty and form a group with empty ones. Ties go to the smallest key; rows that repeat a key
     with the same text all count and carry the same verdict; null keys are never smallest unless all are null. An
     empty table gives an empty result; other columns of ``df``, whatever their names, take no part. Rows find their
-    group by digest; where a digest covers several contents, which the combines would show, by content as well.
+    group by digest, those of a very frequent digest in many tasks; where a digest covers several contents, which the
+    combines would show, by content as well.
     """
     content = normalised(F.col(text))
-    rows = df.select(F.col(key).alias("_dd_key"), content.alias("_dd_text")).withColumns({"_dd_digest": digest(F.col("_dd_text")), "_dd_sha": sha256(F.col("_dd_text"))})
+    carried = [F.struct(*carry).alias("_dd_carried")] if carry else []
+    rows = df.select(F.col(key).alias("_dd_key"), content.alias("_dd_text"), *carried).withColumns({"_dd_digest": digest(F.col("_dd_text")), "_dd_sha": sha256(F.col("_dd_text"))})
     found = written(groups(rows, salts).select("_dd_digest", "keep_id", "group_size"), "dedup")
     if found.groupBy("_dd_digest").count().filter("count > 1").isEmpty():  # each digest stands for one content
-        joined = rows.drop("_dd_text").join(found.filter("group_size > 1"), "_dd_digest", "left")
+        several = found.filter("group_size > 1")
+        joined = hot_join(rows.drop("_dd_text"), several, "_dd_digest", several.select("_dd_digest", F.col("group_size").alias("n")), "left")
     else:
         joined = rows.join(groups(rows, salts), ["_dd_digest", "_dd_text"], "left")
     keep = F.when(F.col("group_size") > 1, F.col("keep_id")).otherwise(F.col("_dd_key"))
@@ -57,4 +61,5 @@ def exact_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", salts: i
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         F.col("_dd_key").eqNullSafe(keep).alias("kept"),
         F.col("_dd_sha").alias("text_sha256"),
+        *[F.col("_dd_carried").alias("carried") for _ in carried],
     )

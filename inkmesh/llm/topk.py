@@ -35,7 +35,7 @@ def integers(df: DataFrame, key: str, vector: str, scale: int = 1024) -> DataFra
 
 
 def matrix(vectors: list | np.ndarray, width: int | None = None) -> np.ndarray:
-    """Rows padded with 0 to one width; float64 while products are exact in it, else Python integers."""
+    """Rows padded with 0 to one width."""
     width = width if width is not None else max((len(v) for v in vectors), default=0)
     out = np.zeros((len(vectors), width), np.int64)
     for i, v in enumerate(vectors):
@@ -43,11 +43,19 @@ def matrix(vectors: list | np.ndarray, width: int | None = None) -> np.ndarray:
     return out
 
 
+#: Scores beyond 64-bit integers count as the last of them.
+LAST = 2**63 - 1
+
+
 def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
+    """Exact inner products as 64-bit integers: in floats while all steps are exact there, else in Python integers if need be."""
+    most = float(np.abs(q.astype(float)).max(initial=0)) * float(np.abs(c.astype(float)).max(initial=0)) * max(1, q.shape[1])
     if most < 2**53:
-        return q.astype(float) @ c.astype(float).T
-    return q.astype(object) @ c.astype(object).T if most >= 2**62 else q @ c.T
+        return (q.astype(float) @ c.astype(float).T).astype(np.int64)
+    if most < 2**62:
+        return q @ c.T
+    exact = q.astype(object) @ c.astype(object).T
+    return np.array([[min(LAST, max(-LAST, int(x))) for x in row] for row in exact], np.int64).reshape(len(q), len(c))
 
 
 class Best:
@@ -55,7 +63,7 @@ class Best:
 
     def __init__(self, ids: np.ndarray, need: np.ndarray, k: int):
         self.ids, self.need, self.k = ids, need.astype(float).copy(), k
-        self.score: list[np.ndarray] = [np.zeros(0) for _ in ids]
+        self.score: list[np.ndarray] = [np.zeros(0, np.int64) for _ in ids]
         self.vec: list[np.ndarray] = [np.zeros(0, np.int64) for _ in ids]
 
     def offer(self, i: int, scores: np.ndarray, vecs: np.ndarray) -> None:
@@ -109,7 +117,8 @@ def search(q: np.ndarray, q_norm: np.ndarray, c: np.ndarray, c_ids: np.ndarray,
 def top_k(df: DataFrame, key: str, vector: str, is_query: Column, k: int = 10, scale: int = 1024, block: int = 8192, head: int = 1024, part_rows: int = 16384) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` highest integer products, ties to the smaller id.
 
-    Components are ``floor(scale * x)``. Vectors that are null or hold null or non-finite components, and null ids,
+    Components are ``floor(scale * x)``; components and scores beyond 64-bit integers count as the largest (or smallest) of
+    them. Vectors that are null or hold null or non-finite components, and null ids,
     take no part. A query does not meet rows of its own id; other repeated rows are candidates of their own. Of
     repeated query ids, the largest vector asks. Shorter vectors count as padded with 0. Without candidates or
     queries the result is empty. Queries go to ranges of candidates in blocks, so a task holds one range

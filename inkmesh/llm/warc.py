@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
@@ -20,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, slices, written
+from .common import hot_join, scratch, slices, written
 
 #: Fixed values of the seekable format: magic numbers of skippable frame and footer.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -30,29 +32,35 @@ INDEX = "page_id {id}, record_id string, bundle string, frame int, offset long,
 
 
 def references(pages: DataFrame, smallest: int = 100) -> DataFrame:
-    """``page_id, url, payload, digest, refers_to``: the smallest page_id among equal payloads, null for that page itself
-    and for payloads under ``smallest`` bytes. Pages that repeat the smallest id with its payload are responses too."""
+    """``page_id, url, payload, digest, refers_to, refers_url``: the smallest page_id among equal payloads and its url, null for
+    that page itself and for payloads under ``smallest`` bytes. Pages that repeat the smallest id with its payload are
+    responses too. Pages of a very frequent payload are spread over tasks."""
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("digest", F.sha2("payload", 256))
     large = rows.filter(F.octet_length("payload") >= smallest)
-    first = large.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first_id")
-    return rows.join(first, "digest", "left").select(
-        "page_id", "url", "payload", "digest",
-        F.when((F.octet_length("payload") >= smallest) & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"),
-    )
+    first = large.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.min_by("url", "page_id").alias("first_url"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = written(first, "payloads")
+    joined = hot_join(rows, first.drop("n"), "digest", first.select("digest", "n"), "left")
+    other = (F.octet_length("payload") >= smallest) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    return joined.select("page_id", "url", "payload", "digest", F.when(other, F.col("first_id")).alias("refers_to"), F.when(other, F.col("first_url")).alias("refers_url"))
 
 
-def record_id(page_id: object, nth: str) -> str:
-    return f"urn:page:{page_id}" if page_id is not None else f"urn:page-without-id:{nth}"
+def plain(value: object) -> str:
+    """A header value in one line, to be read back by ``unquote``."""
+    return quote(str(value), safe=" :/?#[]@!$&'()*+,;=-._~|{}\"<>^`\\")
 
 
-def record(rid: str, url: str | None, payload: bytes, digest: str, refers_to: object) -> bytes:
-    """One WARC/1.1 record; a revisit keeps the HTTP header block and leaves out the payload."""
+def record(rid: str, page_id: object, url: str | None, payload: bytes, digest: str, refers_to: object, refers_url: str | None, date: str) -> bytes:
+    """One WARC/1.1 record; a revisit keeps the HTTP header block and leaves out the payload. Page ids have fields of their own."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{rid}>", f"WARC-Payload-Digest: sha256:{digest}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{rid}>", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha256:{digest}"]
+    if page_id is not None:
+        head.append(f"Page-ID: {plain(page_id)}")
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <{record_id(refers_to, '')}>", f"WARC-Profile: {PROFILE}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To-Date: {date}", f"Refers-To-Page-ID: {plain(refers_to)}"]
+        if refers_url is not None:
+            head.append("WARC-Refers-To-Target-URI: " + refers_url.replace("\r", "%0D").replace("\n", "%0A"))
     block = http + (payload if refers_to is None else b"")
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -111,10 +119,11 @@ def seek_table(source) -> list[tuple[int, int]]:
     return out
 
 
-def write(pages: DataFrame, folder: str | None = None, frame_bytes: int = 1 << 18, level: int = 3, smallest: int = 100) -> DataFrame:
+def write(pages: DataFrame, folder: str | None = None, frame_bytes: int = 1 << 18, level: int = 3, smallest: int = 100, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Writes a record per row of ``pages(page_id, url, html)`` and returns the index.
 
-    Null html is an empty payload, a null url leaves the header out, rows without page_id get ids of their own.
+    Null html is an empty payload, a null url leaves the header out, a null page_id too. Record ids are unique, also where
+    page_ids repeat. ``date`` is the records' WARC-Date, one for all, so that results do not depend on the clock.
     A record larger than ``frame_bytes`` has a frame to itself. An empty table writes nothing and gives an empty
     index. Other columns are not read.
     """
@@ -135,8 +144,8 @@ def write(pages: DataFrame, folder: str | None = None, frame_bytes: int = 1 << 1
                     bundle = Bundle(store.open_output_stream(path, compression=None), frame_bytes, level)
                 rows = []
                 for x in batch.to_pylist():
-                    rid = record_id(x["page_id"], f"{task.taskAttemptId()}-{count}")
-                    raw = record(rid, x["url"], x["payload"], x["digest"], x["refers_to"])
+                    rid = f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}#{count}')}"
+                    raw = record(rid, x["page_id"], x["url"], x["payload"], x["digest"], x["refers_to"], x["refers_url"], date)
                     rows.append((rid, name, *bundle.add(raw), len(raw)))
                     count += 1
                 cols = list(zip(*rows))
@@ -173,8 +182,8 @@ def read(index: DataFrame, with_payload: bool = True) -> DataFrame:
                     digest, type_ = warc["WARC-Payload-Digest"].partition(":")[2], warc["WARC-Type"]
                     if type_ == "response" and hashlib.sha256(payload).hexdigest() != digest:
                         raise ValueError(f"digest of {warc['WARC-Record-ID']} does not match")
-                    to = warc.get("WARC-Refers-To")
-                    to = None if to is None else to[1:-1].rpartition(":")[2]
+                    to = warc.get("Refers-To-Page-ID")
+                    to = None if to is None else unquote(to)
                     rows.append((x["page_id"], warc.get("WARC-Target-URI"), type_, int(http["Content-Length"]), digest, to, payload if type_ == "response" else None))
                 c = list(zip(*rows))
                 cols = [pa.array(c[0], pid), pa.array(c[1], pa.string()), pa.array(c[2]), pa.array(c[3], pa.int64()), pa.array(c[4]), pa.array(c[5], pa.string()).cast(pid)]

@@ -153,6 +153,18 @@ def test_warc_round_trip(spark):
     assert warc.read(warc.write(pages.limit(0))).count() == 0
 
 
+def test_warc_ids_and_dates(spark):
+    rows = [("a:b", "u", "x" * 100), ("c%d", "v", "x" * 100), ("e\r\nf", "w", "x" * 100), ("a:b", "u", "x" * 100), (None, "z", "x" * 100)]
+    index = warc.write(spark.createDataFrame(rows, "page_id string, url string, html string"), date="2020-02-03T04:05:06Z")
+    out = warc.read(index).collect()
+    assert sorted((r.page_id, r.refers_to) for r in out if r.page_id) == [("a:b", None), ("a:b", None), ("c%d", "a:b"), ("e\r\nf", "a:b")]
+    assert index.select("record_id").distinct().count() == len(rows)
+    raw = warc.record("urn:x", 1, "u", b"p", "d", 2, "t", "2020-02-03T04:05:06Z")
+    fields = warc.parse(raw)[0]
+    assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= fields.keys()
+    assert fields["WARC-Refers-To-Target-URI"] == "t" and fields["WARC-Date"] == "2020-02-03T04:05:06Z"
+
+
 def test_warc_frames_stand_alone(spark):
     import zstandard
     from pyarrow import fs
@@ -202,6 +214,15 @@ def test_topk_odd_rows(spark):
     assert topk.top_k(df.limit(0), "vec_id", "embedding", F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_topk_large_finite_values(spark):
+    rows = [(0, [1e13, 1.0]), (1, [1e13, 2.0]), (2, [1e300, 0.0]), (3, [-1e300, 0.0]), (4, [0.5, 0.5]), (100, [2.0**40, -1.0]), (5, [3.0, 2.0**40])]
+    out = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", F.col("vec_id") % 100 == 0)
+    whole = {i: [max(-(2**63), min(2**63 - 1, math.floor(1024 * x))) for x in v] for i, v in rows}
+    for q in (0, 100):
+        scored = sorted((-max(-topk.LAST, min(topk.LAST, sum(a * b for a, b in zip(whole[q], w)))), i) for i, w in whole.items() if i != q)
+        assert [(r.vec_id, r.score) for r in sorted(out.filter(f"query_id = {q}").collect(), key=lambda r: r.rank)] == [(i, -s) for s, i in scored]
+
+
 def test_topk_prunes_by_coordinate():
     rng = np.random.default_rng(1)
     c = rng.integers(-100, 100, (5000, 6)).astype(np.int64)
