@@ -1,11 +1,11 @@
 """Operator 2: packing token pieces into sequences by patterns and non-negative least squares.
 
 The histogram of lengths has at most ``capacity`` bins whatever the corpus holds, so the plan is
-made on the driver from it alone: patterns of two or three lengths that fill a sequence exactly are
-enumerated, their repeat counts are fitted to the histogram by non-negative least squares
-(accelerated projected gradient), rounded along the pattern order, trimmed where they overdraw a
-length, and the residual lengths are packed best-fit decreasing, many equal pieces at a time. Pieces
-then find their place by the running number they have among the pieces of their length.
+made on the driver from it alone: patterns of few lengths that fill a sequence (exactly, or as well as a
+first length allows) are enumerated, their repeat counts are fitted to the histogram by non-negative least
+squares (accelerated projected gradient), rounded, trimmed where they overdraw a length, and the residual lengths are packed best-fit decreasing, many equal pieces at a time. Should best-fit
+alone need fewer sequences, its plan is taken. Pieces then find their place by the running number they have
+among the pieces of their length.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 from .bpe import WordBpe, _extended, _kept
 from .common import slices, written
 
-#: Above this capacity only pairs are enumerated, as triples grow with its square.
-TRIPLES = 2048
+#: Lengths of a pattern at most, and patterns enumerated, about: with more, second lengths are taken at even steps.
+PARTS, PATTERNS = 8, 20_000
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
@@ -57,31 +57,47 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, text: str = "t
 
 
 def patterns(support: np.ndarray, capacity: int) -> np.ndarray:
-    """Rows of three lengths from ``support`` (0: none), in falling order, that sum to ``capacity``."""
-    has = np.zeros(capacity + 1, bool)
-    has[support] = True
-    out = []
-    for a in support[::-1].tolist():
+    """Rows of up to ``PARTS`` lengths from ``support`` (0: none), in falling order, that fill ``capacity`` exactly or with the
+    least rest that the first length allows.
+
+    A first length meets second ones down to half of what it leaves, and some smaller ones that share the rest evenly; each
+    further one is the largest that fits and is not larger than the one before.
+    """
+    if not len(support):
+        return np.zeros((0, PARTS), np.int64)
+    below = np.zeros(capacity + 1, np.int64)  # the largest length up to each number
+    below[support] = support
+    below = np.maximum.accumulate(below)
+    first, second = [], []
+    step = max(1, len(support) ** 2 // (6 * PATTERNS))
+    for a in support.tolist():
         rest = capacity - a
-        b = np.arange(min(a, rest), (rest + 1) // 2 - 1, -1)
-        c = rest - b
-        ok = has[b] & ((c == 0) | has[c] & (capacity <= TRIPLES)) & (b > 0)
-        out.append(np.stack([np.full(ok.sum(), a), b[ok], c[ok]], 1))
-    return np.concatenate(out) if out else np.zeros((0, 3), int)
+        top = int(np.searchsorted(support, min(a, rest), "right"))
+        half = support[int(np.searchsorted(support, (rest + 1) // 2)) : top : step]
+        even = np.unique(below[[min(a, rest // k) for k in range(1, PARTS)]])
+        b = np.union1d(half, even[even > 0])
+        first.append(np.full(len(b), a)), second.append(b)
+    parts = [np.concatenate(first), np.concatenate(second)]
+    rest = capacity - parts[0] - parts[1]
+    while len(parts) < PARTS:
+        parts.append(below[np.minimum(parts[-1], rest)])
+        rest = rest - parts[-1]
+    least = np.full(capacity + 1, capacity)
+    np.minimum.at(least, parts[0], rest)
+    ok = (rest == 0) | (rest == least[parts[0]]) & (rest * 50 <= capacity)
+    return np.unique(np.stack(parts, 1)[ok], axis=0)[::-1]
 
 
 def fit(pats: np.ndarray, hist: np.ndarray, steps: int = 200) -> np.ndarray:
     """x >= 0 that nearly minimises ||A x - hist||, where A counts each length in each pattern."""
-    flat = pats.ravel()
+    size = (pats > 0).sum(1)
+    flat, own, start = pats[pats > 0], np.repeat(np.arange(len(pats)), size), np.cumsum(size) - size
 
     def use(x: np.ndarray) -> np.ndarray:
-        u = np.bincount(flat, np.repeat(x, 3), len(hist))
-        u[0] = 0
-        return u
+        return np.bincount(flat, x[own], len(hist))
 
     def back(r: np.ndarray) -> np.ndarray:
-        r[0] = 0
-        return r[pats].sum(1)
+        return np.add.reduceat(r[flat], start)
 
     v = np.ones(len(pats))
     for _ in range(12):
@@ -98,7 +114,13 @@ def fit(pats: np.ndarray, hist: np.ndarray, steps: int = 200) -> np.ndarray:
 
 
 def plan(hist: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
-    """Slots ``length, first rank, sequence of that rank, offset, ranks`` sorted by length and rank, and the number of sequences."""
+    """Slots ``length, first rank, sequence of that rank, offset, ranks`` sorted by length and rank, and the number of sequences:
+    by patterns and best-fit, or by best-fit alone if that needs fewer."""
+    fitted, alone = (_plan(hist, capacity, with_patterns) for with_patterns in (True, False))
+    return fitted if fitted[1] <= alone[1] else alone
+
+
+def _plan(hist: np.ndarray, capacity: int, with_patterns: bool) -> tuple[np.ndarray, int]:
     left = hist.astype(np.int64).copy()
     left[0] = 0
     used, slots, sequences = np.zeros(len(hist), np.int64), [], 0
@@ -115,10 +137,9 @@ def plan(hist: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
     if left[capacity]:
         place([capacity], int(left[capacity]))
         left[capacity] = 0
-    pats = patterns(np.flatnonzero(left), capacity)
+    pats = patterns(np.flatnonzero(left) if with_patterns else np.zeros(0, np.int64), capacity)
     if len(pats):
-        x = np.cumsum(fit(pats, left.astype(float)))
-        times = np.diff(np.floor(x + 0.5), prepend=0).astype(np.int64)
+        times = np.floor(fit(pats, left.astype(float)) + 0.5).astype(np.int64)
         for k in np.flatnonzero(times):
             parts = [int(n) for n in pats[k] if n]
             need = np.bincount(parts, minlength=len(hist))

@@ -129,9 +129,25 @@ def test_plan_places_every_piece(lengths):
     assert fill.max() <= 64 and n <= math.ceil(sum(lengths) / 64) * 1.3 + 2
 
 
-def test_patterns_fill_exactly():
+def test_patterns_fill_or_nearly():
     p = packing.patterns(np.arange(1, 33), 32)
-    assert (p.sum(1) == 32).all() and len(np.unique(p, axis=0)) == len(p)
+    assert (p.sum(1) == 32).all() and len(np.unique(p, axis=0)) == len(p) and (np.diff(p, axis=1) <= 0).all()
+    p = packing.patterns(np.array([400, 500, 700, 1023]), 2048)
+    assert {1023 + 1023, 700 + 500 + 400 + 400} <= set(p.sum(1).tolist()) and p.sum(1).max() <= 2048
+
+
+LENGTHS = {
+    "uniform": lambda r: r.integers(1, 2049, 20_000), "few": lambda r: r.choice([700, 400, 500, 1023], 20_000), "one": lambda r: np.full(1000, 300),
+    "short": lambda r: np.clip(r.lognormal(4.5, 0.8, 50_000).astype(int), 1, 2048), "middle": lambda r: np.clip(r.lognormal(6, 0.8, 50_000).astype(int), 1, 2048),
+}
+
+
+@pytest.mark.parametrize("name", LENGTHS)
+def test_plan_is_close_to_the_bound(name):
+    x = LENGTHS[name](np.random.default_rng(0))
+    hist = np.bincount(x, minlength=2049)
+    n, alone = packing.plan(hist, 2048)[1], packing._plan(hist, 2048, False)[1]
+    assert n <= alone and n <= max(1.005 * math.ceil(x.sum() / 2048), alone)
 
 
 # 3 -------------------------------------------------------------------------------------------------------------
