@@ -133,7 +133,7 @@ def test_patterns_fill_or_nearly():
     p = packing.patterns(np.arange(1, 33), 32)
     assert (p.sum(1) == 32).all() and len(np.unique(p, axis=0)) == len(p) and (np.diff(p, axis=1) <= 0).all()
     p = packing.patterns(np.array([400, 500, 700, 1023]), 2048)
-    assert {1023 + 1023, 700 + 500 + 400 + 400} <= set(p.sum(1).tolist()) and p.sum(1).max() <= 2048
+    assert 1023 + 1023 in p.sum(1).tolist() and p.sum(1).max() <= 2048 and p.sum(1).min() >= 0.98 * 2048
 
 
 LENGTHS = {
