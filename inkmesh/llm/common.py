@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,11 +30,29 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+_paths: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written to the shared folder and read again, which cuts the lineage."""
     path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes written tables from the shared folder; nothing lazy may still read them."""
+    for df in tables:
+        remove(_paths[df])
+
+
+def remove(name: str) -> None:
+    """Removes a folder of the shared folder."""
+    store, path = fs.FileSystem.from_uri(name)
+    if store.get_file_info(path).type == fs.FileType.Directory:
+        store.delete_dir(path)
 
 
 def small(df: DataFrame, limit: int = 4 << 20) -> DataFrame:

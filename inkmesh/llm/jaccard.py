@@ -8,7 +8,7 @@
    only groups enter the index.
 3. Lists are kept by shingle and size band; one bucket is a list of groups that meet. Group pairs of a bucket are filtered by
    size and by the place of their shingle, the rest expanded to members, and those filtered by a lower bound of their
-   difference (counts of shingles in 256 cells). Of the pairs left, rounds verify those on whole sets that could join
+   difference (counts of shingles in cells). Of the pairs left, rounds verify those on whole sets that could join
    parts not yet linked, closest first, and last all that remain, so no link between different parts is lost. Large
    buckets are dealt into blocks: first every block by itself, then one member for each part, so that a hot group of
    copies is one part before blocks meet pairwise. A group of m copies costs about m verifications.
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT, hot_join, hot_keys, mix64, slices, small, text_bytes, words, written
+from .common import discard, hot_join, hot_keys, mix64, slices, small, text_bytes, words, written
 
 CELLS, SKETCH, BLOCK = 256, 1 << 18, 256
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
@@ -125,16 +125,28 @@ def features(docs: DataFrame, width: int, t: Fraction, classes: np.ndarray) -> D
                     prefix.append(own)
                 ends = np.cumsum([0, *map(len, prefix)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefix).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n.astype(np.int64)), pa.array(sig), pa.array(shape), cell_counts(h, row, batch.num_rows), lists], ["key", "at", "n", "sig", "shape", "cells", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n.astype(np.int64)), pa.array(sig), pa.array(shape), cell_counts(h, n), lists], ["key", "at", "n", "sig", "shape", "cells", "prefix"])
 
     return written(docs.mapInArrow(run, f"key {kind}, at long, n long, sig string, shape string, cells binary, prefix array<long>"), "shingles")
 
 
-def cell_counts(h: np.ndarray, row: np.ndarray, rows: int) -> pa.Array:
-    """Shingles of each row in ``CELLS`` cells; a count of 255 stands for more."""
-    cells = np.bincount(row * CELLS + (h & np.uint64(CELLS - 1)).astype(np.int64), minlength=rows * CELLS)
-    cells = np.minimum(cells, 255).astype(np.uint8).reshape(-1, CELLS)
-    return pa.array([c.tobytes() for c in cells], pa.binary())
+def cell_counts(h: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Shingles of each row by the low bits of their hash, in ``CELLS`` cells or, for larger sets, in as many as the power of two
+    up to the set's size; a count of 255 stands for more."""
+    out = []
+    for a, k in zip((np.cumsum(n) - n).tolist(), n.tolist()):
+        cells = max(CELLS, 1 << (k.bit_length() - 1)) if k else CELLS
+        count = np.bincount((h[a : a + k] & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+        out.append(np.minimum(count, 255).astype(np.uint8).tobytes())
+    return pa.array(out, pa.binary())
+
+
+def folded(cells: np.ndarray, width: int) -> np.ndarray:
+    """The same counts in fewer cells."""
+    while len(cells) > width:
+        half = len(cells) // 2
+        cells = np.minimum(cells[:half].astype(np.uint16) + cells[half:], 255).astype(np.uint8)
+    return cells
 
 
 def size_band(n: Column, t: Fraction) -> Column:
@@ -142,51 +154,43 @@ def size_band(n: Column, t: Fraction) -> Column:
     return F.floor(F.log(n) / (1.0001 * math.log(t.denominator / t.numerator))).cast("int") if t < 1 else n.cast("int")
 
 
-def group_buckets(feats: DataFrame, classes: DataFrame, t: Fraction) -> DataFrame:
+def group_buckets(classes: DataFrame, t: Fraction) -> DataFrame:
     """``bucket, key, gid, pos`` of classes: those of one group (bucket ``-1 - gid``), and those of groups that share a prefix
-    shingle and whose sizes allow links (the bucket is the shingle's number). ``pos`` is the shingle's place in the prefix.
+    shingle and whose sizes allow links. ``pos`` is the shingle's place in the prefix.
 
-    A shingle's list is kept by size band, each group under its own band and the next, so that groups that may link meet
-    and a very frequent shingle is many keys. Lists with the same groups are one bucket.
+    Shingles of two or more groups have lists of them; equal lists are one. A list is cut by size band, each group under its
+    own band and the next, so that groups that may link meet and a very frequent shingle is many buckets.
     """
     groups = classes.groupBy("shape").agg(F.min("key").alias("gid"), F.count(F.lit(1)).alias("members"))
     groups = written(groups.filter("members > 1").select("shape", "gid"), "groups")
     several = written(hot_join(classes.select("key", "shape"), groups, "shape").select("key", "gid"), "several")
-    leaders = classes.join(small(several.filter("key <> gid").select("key")), "key", "left_anti").select(F.col("key").alias("gid"), "sig", "at")
-    placed = feats.select("sig", "at", "n", "prefix").join(leaders, ["sig", "at"]).dropDuplicates(["gid"])
-    placed = written(placed.drop("sig", "at"), "placed")
-    band = size_band(F.col("n"), t)
-    entries = placed.select("gid", band.alias("own"), F.posexplode("prefix").alias("pos", "item"))
-    entries = entries.select("gid", "pos", "item", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("band"))
-    met = entries.groupBy("item", "band").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("gid")).alias("x"), F.bit_xor(F.xxhash64("gid", F.lit(7))).alias("y")).filter("c > 1")
-    one = met.groupBy("c", "x", "y").agg(F.min(F.struct("item", "band")).alias("m")).select("m.item", "m.band", F.col("c").alias("groups"))
-    one = written(one.withColumn("bucket", F.monotonically_increasing_id()), "lists")  # numbers are fixed by writing
-    hits = written(hot_join(entries, one.select("item", "band", "bucket"), ["item", "band"], one.filter(F.col("groups") > HOT).select("item", "band", F.col("groups").alias("n"))).select("bucket", "gid", "pos"), "hits")
+    leaders = classes.select(F.col("key").alias("gid"), "n", "prefix").join(small(several.filter("key <> gid").select(F.col("key").alias("gid"))), "gid", "left_anti")
+    entries = leaders.select("gid", size_band(F.col("n"), t).alias("own"), F.posexplode("prefix").alias("pos", "item"))
+    shared = entries.groupBy("item").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("gid")).alias("x"), F.bit_xor(F.xxhash64("gid", F.lit(7))).alias("y")).filter("c > 1")
+    lists = written(shared.groupBy("c", "x", "y").agg(F.min("item").alias("item")).select("item", F.col("c").alias("n")), "lists")
+    found = written(hot_join(entries, lists.select("item"), "item", lists), "found")
+    found = found.select("item", "gid", "pos", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("band"))
+    met = written(found.groupBy("item", "band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("bucket", F.monotonically_increasing_id()), "met")  # numbers are fixed by writing
+    hits = written(hot_join(found, met.drop("n"), ["item", "band"], met).select("bucket", "gid", "pos"), "hits")
     alone = hits.join(small(several.select("gid").distinct()), "gid", "left_anti").select("bucket", F.col("gid").alias("key"), "gid", "pos")
     full = hot_join(several, hits, "gid").select("bucket", "key", "gid", "pos")
     own = several.select((-1 - F.col("gid")).alias("bucket"), "key", "gid", F.lit(0).alias("pos"))
     return written(alone.unionByName(full).unionByName(own), "buckets")
 
 
-def sets_of(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
-    """``key, items`` of the classes ``keys(key, sig, at)``: the whole sets, each from a document found by ``at``."""
-    rows = docs.select("at", "text").join(small(keys), "at").select("key", "sig", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                h, row = shingles(*text_bytes(batch.column(2)), width)
-                n = np.bincount(row, minlength=batch.num_rows)
-                mixed, keep, items = mix64(h), [], []
-                for k, (a, m, sig) in enumerate(zip((np.cumsum(n) - n).tolist(), n.tolist(), batch.column(1).to_pylist())):
-                    if (signature(h[a : a + m], mixed[a : a + m]) if m else "0") == sig:  # another text may share the hash
-                        keep.append(k), items.append(h[a : a + m].tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(items, pa.binary())], ["key", "items"])
-
-    return written(rows.mapInArrow(run, "key long, items binary").dropDuplicates(["key"]), "sets")
+def texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``key, sig, text`` of the classes ``keys(key, sig, at)``, each from a document found by ``at`` (or from several: those whose
+    set is another are told apart by ``sig`` when it is used). Repeated rows come once."""
+    found = docs.select("at", "text").join(small(keys), "at").select("at", "key", "sig", "text")
+    repeated = docs.select("at").join(small(keys.select("at").distinct()), "at", "left_semi").groupBy("at").count().filter("count > 1").select("at")
+    repeated = written(repeated, "repeated")
+    if not repeated.isEmpty():
+        repeated = small(repeated)
+        found = found.join(repeated, "at", "left_anti").unionByName(found.join(repeated, "at", "left_semi").dropDuplicates(["key", "text"]))
+    return written(found.drop("at"), "texts")
 
 
-def admitted(cells: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, t: Fraction, chunk: int = 1 << 13) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def admitted(cells: list[bytes], n: np.ndarray, i: np.ndarray, j: np.ndarray, t: Fraction, room: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The pairs that sizes and cell counts admit, and how far apart their counts are.
 
     Sets that differ in d shingles have counts at least as close, so ``shared <= (n_i + n_j - apart) / 2``; a pair
@@ -196,9 +200,17 @@ def admitted(cells: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, t:
     fits = np.flatnonzero((n[i] * b >= n[j] * a) & (n[j] * b >= n[i] * a))
     i, j = i[fits], j[fits]
     apart = np.empty(len(i), np.int64)
-    for k in range(0, len(i), chunk):
-        x, y = cells[i[k : k + chunk]], cells[j[k : k + chunk]]
-        apart[k : k + chunk] = (np.maximum(x, y) - np.minimum(x, y)).sum(1, dtype=np.int32)
+    own = np.array([len(c) for c in cells], np.int64)
+    width = np.minimum(own[i], own[j])
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        used, back = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
+        table = np.stack([folded(np.frombuffer(cells[k], np.uint8), w) for k in used.tolist()])
+        x, y = back[: len(at)], back[len(at) :]
+        step = max(1, room // w)
+        for k in range(0, len(at), step):
+            p, q = table[x[k : k + step]], table[y[k : k + step]]
+            apart[at[k : k + step]] = (np.maximum(p, q) - np.minimum(p, q)).sum(1, dtype=np.int32)
     ok = np.flatnonzero((a + b) * (n[i] + n[j] - apart) >= 2 * a * (n[i] + n[j]))
     return i[ok], j[ok], apart[ok]
 
@@ -256,7 +268,7 @@ class Rows:
     def __init__(self, table: pa.Table):
         col = lambda c: table.column(c).to_numpy()
         self.key, self.side, self.n = col("key"), col("side"), col("n")
-        self.cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS)
+        self.cells = table.column("cells").to_pylist()
         name = np.stack([col("bucket"), col("lo"), col("hi")], 1)
         new = np.concatenate([[True], (name[1:] != name[:-1]).any(1)]) if len(name) else np.zeros(0, bool)
         self.block = np.cumsum(new) - 1
@@ -370,21 +382,33 @@ def blocks(rows: DataFrame, counts: DataFrame, giants: DataFrame | None = None)
     return plain.unionByName(large.join(one.unionByName(two), ["bucket", "block"]).drop("block"))
 
 
-def verified(asked: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """``a, b, ok`` of the distinct pairs ``asked(a, b)``, compared on whole sets. A key with very many pairs is spread."""
+def verified(asked: DataFrame, texts: DataFrame, width: int, t: Fraction) -> DataFrame:
+    """``a, b, ok`` of the distinct pairs ``asked(a, b)``, compared on whole sets. Texts travel, as they pack better than sets; a
+    key with very many pairs is spread."""
     a, b = t.numerator, t.denominator
 
+    def sets(text: pa.Array, sig: pa.Array) -> list[np.ndarray | None]:
+        h, row = shingles(*text_bytes(text), width)
+        n = np.bincount(row, minlength=len(text))
+        mixed, out = mix64(h), []
+        for at, m, s in zip((np.cumsum(n) - n).tolist(), n.tolist(), sig.to_pylist()):
+            mine = h[at : at + m]
+            out.append(mine if m and signature(mine, mixed[at : at + m]) == s else None)  # None: another text with this hash
+        return out
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()) if len(q) else 0
-                ok.append(bool(len(p)) and both * b >= a * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
-
-    one, two = (sets.select(F.col("key").alias(k), F.col("items").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    met = hot_join(hot_join(asked, one, "a"), two, "b", hot_keys(asked, "b")).select("a", "b", "x", "y")
+        for whole in batches:
+            for batch in slices(whole, "y", 1 << 20):
+                ok, keep = [], []
+                for k, (p, q) in enumerate(zip(sets(batch.column(3), batch.column(2)), sets(batch.column(5), batch.column(4)))):
+                    if p is not None and q is not None:
+                        both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+                        keep.append(k), ok.append(both * b >= a * (len(p) + len(q) - both))
+                at = pa.array(keep, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+
+    one, two = (texts.select(F.col("key").alias(k), F.col("sig").alias(f"{v}_sig"), F.col("text").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    met = hot_join(hot_join(small(asked), one, "a"), two, "b", hot_keys(asked, "b")).select("a", "b", "x_sig", "x", "y_sig", "y")
     return written(met.mapInArrow(verify, "a long, b long, ok boolean"), "tested")
 
 
@@ -419,10 +443,10 @@ def links(docs: DataFrame, buckets: DataFrame, classes: DataFrame, width: int, t
     counts = written(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK), "large")
     every = by_block(blocks(buckets.withColumn("part", F.col("key")), counts)).mapInArrow(mates, "bucket long, key long, gid long, pos int, mate long, apart long")
     every = written(every, "mates")  # members that some pair admits, with the closest, and all of large buckets
-    sets = sets_of(docs, written(classes.select("key", "sig", "at").join(every.select("key").distinct(), "key"), "wanted"), width)
+    texts = texts_of(docs, written(classes.select("key", "sig", "at").join(every.select("key").distinct(), "key"), "wanted"))
     closest = every.filter("mate >= 0").groupBy("key").agg(F.min(F.struct("apart", "mate")).alias("m")).select("key", F.col("m.mate").alias("mate"))
     asked = written(closest.select(F.least("key", "mate").alias("a"), F.greatest("key", "mate").alias("b")).distinct(), "asked")
-    tested = verified(asked, sets, t)
+    tested = verified(asked, texts, width, t)
     refused, label = tested.filter("not ok").select("a", "b"), components(tested.filter("ok").select("a", "b"))
     rows, phase, step, forests, fresh = every.select("bucket", "key", "gid", "pos"), "parts", 0, 0, True
     while True:
@@ -465,7 +489,7 @@ def links(docs: DataFrame, buckets: DataFrame, classes: DataFrame, width: int, t
         partial, asked = not asked.filter("a < 0").isEmpty(), asked.filter("a >= 0")
         fresh = False
         if not asked.isEmpty():
-            tested = verified(asked, sets, t)
+            tested = verified(asked, texts, width, t)
             refused = refused.unionByName(tested.filter("not ok").select("a", "b"))
             gained = tested.filter("ok").select("a", "b")
             if fresh := not gained.isEmpty():
@@ -509,11 +533,12 @@ def linked_sets(df: DataFrame, key: str, text: str, width: int, threshold: Fract
     """
     docs = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("at", F.xxhash64("key", "text"))
     feats = features(docs, width, threshold, frequency_classes(docs, "text", width))
-    full = feats.filter("n > 0")
-    of_sets = full.groupBy("sig").agg(F.min("key").alias("least"), F.min("at").alias("at"), F.min("shape").alias("shape"), F.min("n").alias("n"), F.min("cells").alias("cells"))
+    of_sets = feats.filter("n > 0").groupBy("sig").agg(F.min("key").alias("least"), F.min("at").alias("at"), *[F.first(c).alias(c) for c in ("shape", "n", "cells", "prefix")])
     of_sets = written(of_sets.withColumn("key", F.monotonically_increasing_id()), "classes")  # numbers are fixed by writing
-    classes = of_sets.drop("least")
-    whole = links(docs, group_buckets(full, classes, threshold), classes, width, threshold)
+    light = written(feats.select("key", "at", "n", "sig"), "rows")
+    discard(feats)
+    feats, classes = light, of_sets.drop("least")
+    whole = links(docs, group_buckets(classes, threshold), classes, width, threshold)
     of = of_sets.join(whole, "key", "left").select("sig", F.coalesce("component", "key").alias("component"), F.col("least").alias("own"))
     best = of.groupBy("component").agg(F.min("own").alias("least"), F.min(F.struct(F.col("own").isNull(), "own", "sig")).alias("best"))
     of = of.join(best, "component").select("sig", "component", "least", (F.col("best.sig") == F.col("sig")).alias("first"))

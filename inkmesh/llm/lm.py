@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, scratch, slices, text_bytes, words
+from .common import mix64, remove, scratch, slices, text_bytes, words
 
 #: The token that ends each text.
 END = np.uint64(0)
@@ -599,17 +599,10 @@ def train(texts: DataFrame, text: str = "text", order: int = 3, shards: int | No
     for level in range(2, order + 1):
         _grams(rows, model, level)
         if level > 2:
-            _remove(model.folder_of(level - 1, "counts"))
+            remove(model.folder_of(level - 1, "counts"))
     return model
 
 
-def _remove(name: str) -> None:
-    """Drops a folder of files that no later step reads."""
-    store, path = fs.FileSystem.from_uri(name)
-    if store.get_file_info(path).type == fs.FileType.Directory:
-        store.delete_dir(path)
-
-
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_tokens, n_known, train_tokens, base_score, score`` of each whole text, in one narrow stage.
 
