@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import weakref
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Freed memory goes back to the system at once: workers of Python live long and share an executor's bound.
+pa.set_memory_pool(pa.system_memory_pool())
+
 _own: dict[str, str] = {}
 
 
@@ -33,10 +37,24 @@ def scratch(spark: SparkSession, tag: str) -> str:
 _paths: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written to the shared folder and read again, which cuts the lineage."""
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for jobs run inside, where rows can be long: batches are whole in memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if rows is not None:
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def written(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read again, which cuts the lineage; ``rows`` as in ``batch_rows``."""
     path = scratch(df.sparkSession, tag)
-    df.write.parquet(path)
+    with batch_rows(df.sparkSession, rows):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _paths[out] = path
     return out
@@ -96,7 +114,7 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that each part holds about ``limit`` bytes of ``column`` (one row at least)."""
     if not batch.num_rows:
         return

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, hot_join, hot_keys, mix64, slices, small, text_bytes, words, written
+from .common import batch_rows, discard, hot_join, hot_keys, mix64, slices, small, text_bytes, words, written
 
 CELLS, SKETCH, BLOCK = 256, 1 << 18, 256
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
@@ -83,7 +83,9 @@ def frequency_classes(docs: DataFrame, text: str, width: int) -> np.ndarray:
 
     total = np.zeros(SKETCH, np.int64)
     counted = docs.select(text).mapInArrow(count, "part int, cell binary, n binary").groupBy("part").applyInArrow(add, "part int, n binary")
-    for part, n in counted.collect():
+    with batch_rows(docs.sparkSession, 1024):
+        counted = counted.collect()
+    for part, n in counted:
         total[part << 12 : (part + 1) << 12] = np.frombuffer(bytes(n), np.int64)
     load = total / max(1.0, 4 * total.mean())
     return np.where(load > 1, np.ceil(np.log2(np.maximum(load, 1))), 0).astype(np.uint8)
@@ -127,7 +129,7 @@ def features(docs: DataFrame, width: int, t: Fraction, classes: np.ndarray) -> D
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefix).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n.astype(np.int64)), pa.array(sig), pa.array(shape), cell_counts(h, n), lists], ["key", "at", "n", "sig", "shape", "cells", "prefix"])
 
-    return written(docs.mapInArrow(run, f"key {kind}, at long, n long, sig string, shape string, cells binary, prefix array<long>"), "shingles")
+    return written(docs.mapInArrow(run, f"key {kind}, at long, n long, sig string, shape string, cells binary, prefix array<long>"), "shingles", 1024)
 
 
 def cell_counts(h: np.ndarray, n: np.ndarray) -> pa.Array:
@@ -321,7 +323,7 @@ def proposals(i: np.ndarray, j: np.ndarray, apart: np.ndarray, part: np.ndarray,
     return np.unique(of[order[nth < most]])
 
 
-def whole_blocks(batches: Iterator[pa.RecordBatch], least: int = 2048) -> Iterator[pa.Table]:
+def whole_blocks(batches: Iterator[pa.RecordBatch], least: int = 1024) -> Iterator[pa.Table]:
     """Tables of complete blocks from rows sorted by block."""
     held: list[pa.RecordBatch] = []
     for batch in chain(batches, [None]):
@@ -398,7 +400,7 @@ def verified(asked: DataFrame, texts: DataFrame, width: int, t: Fraction) -> Dat
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "y", 1 << 20):
+            for batch in slices(whole, "y", 1 << 19):
                 ok, keep = [], []
                 for k, (p, q) in enumerate(zip(sets(batch.column(3), batch.column(2)), sets(batch.column(5), batch.column(4)))):
                     if p is not None and q is not None:
@@ -409,7 +411,7 @@ def verified(asked: DataFrame, texts: DataFrame, width: int, t: Fraction) -> Dat
 
     one, two = (texts.select(F.col("key").alias(k), F.col("sig").alias(f"{v}_sig"), F.col("text").alias(v)) for k, v in (("a", "x"), ("b", "y")))
     met = hot_join(hot_join(small(asked), one, "a"), two, "b", hot_keys(asked, "b")).select("a", "b", "x_sig", "x", "y_sig", "y")
-    return written(met.mapInArrow(verify, "a long, b long, ok boolean"), "tested")
+    return written(met.mapInArrow(verify, "a long, b long, ok boolean"), "tested", 128)
 
 
 def links(docs: DataFrame, buckets: DataFrame, classes: DataFrame, width: int, t: Fraction) -> DataFrame:
@@ -442,7 +444,7 @@ def links(docs: DataFrame, buckets: DataFrame, classes: DataFrame, width: int, t
 
     counts = written(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK), "large")
     every = by_block(blocks(buckets.withColumn("part", F.col("key")), counts)).mapInArrow(mates, "bucket long, key long, gid long, pos int, mate long, apart long")
-    every = written(every, "mates")  # members that some pair admits, with the closest, and all of large buckets
+    every = written(every, "mates", 1024)  # members that some pair admits, with the closest, and all of large buckets
     texts = texts_of(docs, written(classes.select("key", "sig", "at").join(every.select("key").distinct(), "key"), "wanted"))
     closest = every.filter("mate >= 0").groupBy("key").agg(F.min(F.struct("apart", "mate")).alias("m")).select("key", F.col("m.mate").alias("mate"))
     asked = written(closest.select(F.least("key", "mate").alias("a"), F.greatest("key", "mate").alias("b")).distinct(), "asked")
@@ -485,7 +487,7 @@ def links(docs: DataFrame, buckets: DataFrame, classes: DataFrame, width: int, t
                 if not few:  # says that pairs are left
                     yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([-1])], ["a", "b"])
 
-        asked = written(by_block(dealt).mapInArrow(propose, "a long, b long").distinct().join(refused, ["a", "b"], "left_anti"), "asked")
+        asked = written(by_block(dealt).mapInArrow(propose, "a long, b long").distinct().join(refused, ["a", "b"], "left_anti"), "asked", 1024)
         partial, asked = not asked.filter("a < 0").isEmpty(), asked.filter("a >= 0")
         fresh = False
         if not asked.isEmpty():

@@ -155,7 +155,7 @@ class Network:
                 p -= (lr * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         return losses
 
-    def documents(self, data: np.ndarray, offsets: np.ndarray, block: int = 2048) -> np.ndarray:
+    def documents(self, data: np.ndarray, offsets: np.ndarray, block: int = 1536) -> np.ndarray:
         """Mean probabilities (documents, C) over all bytes of each text; zeros for empty texts."""
         size = np.diff(offsets)
         n = -(-size // LENGTH)
@@ -248,7 +248,7 @@ def identify(df: DataFrame, net: Network | None, text: str = "text", pred: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for whole in batches:
-            for batch in slices(whole, text, 4 << 20):
+            for batch in slices(whole, text, 1 << 20):
                 data, offsets = text_bytes(batch.column(batch.schema.get_field_index(text)))
                 known = batch.column(batch.schema.get_field_index(flag)).to_numpy(zero_copy_only=False).astype(bool)
                 if own is None:
