@@ -366,12 +366,12 @@ def blocks(rows: DataFrame, counts: DataFrame, giants: DataFrame | None = None)
     cut = counts.filter(F.col("n") > BLOCK)
     if cut.isEmpty():
         return plain
-    names = small(cut.select("bucket"))
-    plain, large = plain.join(names, "bucket", "left_anti"), hot_join(rows.join(names, "bucket", "left_semi"), cut, "bucket", cut)
     deal = lambda by, n: F.pmod(F.xxhash64(by, F.lit(11)), F.ceil(n / BLOCK))
     if giants is None:
-        large = large.withColumn("lo", deal("key", F.col("n"))).withColumns({"hi": F.col("lo"), "side": F.lit(-1)})
-        return plain.unionByName(large.drop("n"))
+        sized = hot_join(rows, small(cut), "bucket", cut, "left")
+        return sized.withColumn("lo", F.coalesce(deal("key", F.col("n")), F.lit(-1))).withColumns({"hi": F.col("lo"), "side": F.lit(-1)}).drop("n")
+    names = small(cut.select("bucket"))
+    plain, large = plain.join(names, "bucket", "left_anti"), hot_join(rows.join(names, "bucket", "left_semi"), cut, "bucket", cut)
     giants = small(written(giants.filter(F.col("n") > BLOCK).select("bucket", "part", F.col("n").alias("own")), "giants"))
     block = F.when(F.col("own").isNull(), deal("part", F.col("n"))).otherwise(F.xxhash64("part", deal("key", F.col("own"))))
     large = written(large.join(giants, ["bucket", "part"], "left").withColumn("block", block).drop("n", "own"), "dealt")
@@ -420,7 +420,7 @@ def links(docs: DataFrame, buckets: DataFrame, classes: DataFrame, width: int, t
     Rounds verify a few pairs each, closest first, and only between parts not yet linked: each class with the closest of its
     block; then, where buckets are large, one member for each part; then forests over whole buckets; then more pairs for
     each member; and last every admitted pair that is left, so that no link between different parts is missed. Blocks with
-    few admitted pairs have all of them verified in any round; when only such are left, the work is done.
+    few admitted pairs have all of them verified at once; only buckets with other blocks go on to the next round.
     """
     told = classes.select("key", "n", "cells")
 
@@ -450,29 +450,10 @@ def links(docs: DataFrame, buckets: DataFrame, classes: DataFrame, width: int, t
     asked = written(closest.select(F.least("key", "mate").alias("a"), F.greatest("key", "mate").alias("b")).distinct(), "asked")
     tested = verified(asked, texts, width, t)
     refused, label = tested.filter("not ok").select("a", "b"), components(tested.filter("ok").select("a", "b"))
-    rows, phase, step, forests, fresh = every.select("bucket", "key", "gid", "pos"), "parts", 0, 0, True
-    while True:
-        named = written(rows.join(small(label), "key", "left").select("bucket", "key", "gid", "pos", F.coalesce("component", "key").alias("part")), "named")
-        by_part = named.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
-        split = written(by_part.groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).filter("parts > 1"), "split")
-        sizes = split.agg(F.max("n"), F.max("parts")).first()
-        if sizes[0] is None:
-            return label
-        if phase == "parts" and (sizes[0] <= BLOCK or step and (sizes[1] <= BLOCK or not fresh)):
-            phase, fresh = "forest", True
-        forests += phase == "forest"
-        if phase == "forest" and (not fresh or forests > 4):
-            phase = "more"
-        most = {"parts": 1, "forest": 1, "more": 8, "all": 0}[phase]
-        rows = named.join(small(split.select("bucket")), "bucket", "left_semi")
-        step += 1
-        if phase == "parts":  # one member stands for each part, another one each time
-            pick = rows.groupBy("bucket", "part").agg(F.min(F.struct(F.xxhash64("key", F.lit(step)).alias("by"), "key", "gid", "pos")).alias("m"))
-            dealt = blocks(pick.select("bucket", "m.key", "m.gid", "m.pos", "part"), split.select("bucket", F.col("parts").alias("n")))
-        else:
-            dealt = blocks(rows, split.select("bucket", "n"), by_part)
-
-        def propose(batches: Iterator[pa.RecordBatch], most=most) -> Iterator[pa.RecordBatch]:
+    def proposed(dealt: DataFrame, most: int) -> DataFrame:
+        """Pairs not yet refused, and a row ``a = -1, b = bucket`` for each bucket with a block that has more to propose."""
+
+        def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for table in whole_blocks(batches):
                 own = Rows(table)
                 held, size = [], 0
@@ -484,22 +465,54 @@ def links(docs: DataFrame, buckets: DataFrame, classes: DataFrame, width: int, t
                     pick = proposals(i, j, apart, own.part, 0 if few else most)
                     x, y = own.key[i[pick]], own.key[j[pick]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
-                if not few:  # says that pairs are left
-                    yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([-1])], ["a", "b"])
-
-        asked = written(by_block(dealt).mapInArrow(propose, "a long, b long").distinct().join(refused, ["a", "b"], "left_anti"), "asked", 1024)
-        partial, asked = not asked.filter("a < 0").isEmpty(), asked.filter("a >= 0")
-        fresh = False
-        if not asked.isEmpty():
-            tested = verified(asked, texts, width, t)
-            refused = refused.unionByName(tested.filter("not ok").select("a", "b"))
-            gained = tested.filter("ok").select("a", "b")
-            if fresh := not gained.isEmpty():
-                label = components(gained, label)
-        rows = rows.drop("part")
-        if phase == "all" or phase != "parts" and not partial:
-            return label
-        phase = {"more": "all"}.get(phase, phase)
+                    if not few:
+                        more = np.unique(table.column("bucket").to_numpy()[i])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(more), -1)), pa.array(more)], ["a", "b"])
+
+        return written(by_block(dealt).mapInArrow(propose, "a long, b long").distinct().join(refused, ["a", "b"], "left_anti"), "asked", 1024)
+
+    def parted(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list]:
+        """``rows`` with their parts, rows by bucket and part, buckets of several parts, and the largest of those."""
+        named = written(rows.join(small(label), "key", "left").select("bucket", "key", "gid", "pos", F.coalesce("component", "key").alias("part")), "named")
+        by_part = named.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
+        split = written(by_part.groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).filter("parts > 1"), "split")
+        return named.join(small(split.select("bucket")), "bucket", "left_semi"), by_part, split, split.agg(F.max("n"), F.max("parts")).first()
+
+    def settle(asked: DataFrame) -> bool:
+        """Verifies the pairs; whether some are links."""
+        nonlocal refused, label
+        if asked.isEmpty():
+            return False
+        tested = verified(asked, texts, width, t)
+        refused = refused.unionByName(tested.filter("not ok").select("a", "b"))
+        gained = tested.filter("ok").select("a", "b")
+        if gained.isEmpty():
+            return False
+        label = components(gained, label)
+        return True
+
+    rows = every.select("bucket", "key", "gid", "pos")
+    if not counts.isEmpty():
+        large, step, fresh = written(rows.join(small(counts.select("bucket")), "bucket", "left_semi"), "large-rows"), 0, True
+        while True:  # one member stands for each part, another one each time
+            named, _, split, (_, parts) = parted(large)
+            if parts is None or step and (parts <= BLOCK or not fresh):
+                break
+            step += 1
+            pick = named.groupBy("bucket", "part").agg(F.min(F.struct(F.xxhash64("key", F.lit(step)).alias("by"), "key", "gid", "pos")).alias("m"))
+            asked = proposed(blocks(pick.select("bucket", "m.key", "m.gid", "m.pos", "part"), split.select("bucket", F.col("parts").alias("n"))), 1)
+            fresh = settle(asked.filter("a >= 0"))
+    for most in (1, 1, 8, 0):
+        named, by_part, split, (_, parts) = parted(rows)
+        if parts is None:
+            break
+        asked = proposed(blocks(named, split.select("bucket", "n"), by_part), most)
+        settle(asked.filter("a >= 0"))
+        more = asked.filter("a < 0").select(F.col("b").alias("bucket"))
+        if most == 0 or more.isEmpty():
+            break
+        rows = named.drop("part").join(small(more), "bucket", "left_semi")  # other buckets have nothing left to verify
+    return label
 
 
 def components(edges: DataFrame, before: DataFrame | None = None) -> DataFrame:
