@@ -102,7 +102,7 @@ class Replica:
                 return "failed"
             if path not in self.files:
                 return "skipped"
-            if new_path in self.files and new_path != path:
+            if (new_path in self.files or new_path in self.folders) and new_path != path:
                 self.blocked = True
                 return "failed"
             self.files[new_path] = self.files.pop(path)
@@ -130,16 +130,15 @@ class Replica:
 
 @dataclass
 class Session:
-    """One connection's session; it ends by a close, or by a day without activity when the next event comes."""
+    """One connection's session; it ends by a close, or by more than a day without activity, also if no event comes any more."""
 
     created: int | None = None
     last: int = 0
+    as_of: int = 0
 
     def step(self, now: int, kind: str, idle: int) -> tuple[int, int, int, str] | None:
-        """The session that this event ends: created, last activity, end, and how."""
-        ended = None
-        if self.created is not None and now - self.last > idle:
-            ended, self.created = (self.created, self.last, self.last + idle, "expired"), None
+        """The session that has ended when this event comes: created, last activity, end, and how."""
+        ended = self.lapse(now, idle)
         if kind == "disconnect":
             if self.created is not None:
                 ended, self.created = (self.created, self.last, now, "closed"), None
@@ -148,6 +147,13 @@ class Session:
             self.last = now
         return ended
 
+    def lapse(self, now: int, idle: int) -> tuple[int, int, int, str] | None:
+        """The session that the time ``now`` ends."""
+        if self.created is None or now - self.last <= idle:
+            return None
+        ended, self.created = (self.created, self.last, self.last + idle, "expired"), None
+        return ended
+
 
 @dataclass
 class Drain:

@@ -1,7 +1,5 @@
-"""Queries for the streaming forms. Each runs over the given table's files as a stream until they are used up.
-
-Rows after the last watermark (an hour before the latest row) are still waiting when such a run ends, so the
-ordered forms return what lies before it.
+"""Queries for the streaming forms. Each runs over the given table's files as a stream until they are used up; a closing row
+in a second run then moves the watermark past the latest row, so that the results are whole.
 """
 
 from __future__ import annotations
@@ -11,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import sessions
 from ..sources.fixtures import file_stream, frame, oracle, with_ms
 from ..streaming import operators as ops
-from ..streaming.run import drained
+from ..streaming.run import closing, drained
 from . import admission, reconcile
 from .admission import LIMITS, MOST, OPEN, WINDOW, throttled
 from .oplog import _DRAIN
@@ -25,11 +23,25 @@ def log(spark, d):
     return with_ms(frame(spark, d, "fx_conn", stream=True))
 
 
+def whole(spark, d, view: str, form, tag: str, wait: int = HOUR + 2, ready=lambda df: df, **values):
+    """``form`` of the view's stream, with nothing left waiting; ``wait`` is the lateness that it allows and more."""
+    latest = with_ms(frame(spark, d, view)).agg(F.max("ms")).first()[0]
+    stream, close = closing(ready(with_ms(frame(spark, d, view, stream=True))), (latest or 0) + wait, **values)
+    return drained(form(stream), tag, close=close)
+
+
 def presence(spark, d):
-    changes = drained(ops.stream_presence(with_ms(frame(spark, d, "fx_presence", stream=True)).withColumn("seq", F.col("ms"))), "presence")
+    changes = whole(spark, d, "fx_presence", ops.stream_presence, "presence", ready=lambda df: df.withColumn("seq", F.col("ms")))
     return sessions.presence_latest(changes.withColumn("is_null", F.col("removed")))
 
 
+def debounced(spark, d):
+    events = spark.read.parquet(f"{d}/events.parquet")
+    latest = with_ms(events).agg(F.max("ms")).first()[0]
+    stream, close = closing(file_stream(spark, d, "events", events.schema), (latest or 0) + 24 * HOUR)
+    return drained(ops.stream_debounce(stream, "user_id", QUIET), "debounce", close=close)
+
+
 def conn_stream(spark, d):
     return drained(log(spark, d).select("event_id", "ms", "connection_id", "ip", "kind", "direction", "msg_bytes"), "log")
 
@@ -43,20 +55,27 @@ def panels(spark, d):
     return drained(ops.stream_status(log(spark, d)), "status", "complete", ops.status_sinks).select("panel", "item", "n", "bytes")
 
 
-_MARK = "wm as (select max(ms) - 3600000 as w from {t})"
+#: Sessions that end: a run of events goes on until a close or a gap of more than a day; it has ended too if the log goes on for more
+#: than a day after its last event.
+_ENDED = f"""
+  e as (select connection_id, event_id, ms, kind, lag(ms) over w as pm, lag(kind) over w as pk, lead(ms) over w as nm from fx_conn window w as (partition by connection_id order by ms, event_id)),
+  r as (select *, sum(case when pk is null or pk = 'disconnect' or ms - pm > {24 * HOUR} then 1 else 0 end) over (partition by connection_id order by ms, event_id) as run from e),
+  c as (select *, min(ms) over (partition by connection_id, run) as created from r), x as (select max(ms) as a from fx_conn)
+  select connection_id, created as created_ms, pm as last_ms, ms as ended_ms, 'closed' as how, event_id, ms from c where kind = 'disconnect' and pk <> 'disconnect' and ms - pm <= {24 * HOUR}
+  union all select connection_id, created, ms, ms + {24 * HOUR}, 'expired', null, ms + {24 * HOUR} from c, x where kind <> 'disconnect' and coalesce(nm, a) - ms > {24 * HOUR}"""
 
 QUERIES = {
     "conn_log_stream": Query(conn_stream, oracle("select event_id, ms, connection_id, ip, kind, direction, msg_bytes from fx_conn", "fx_conn")),
     "status_sinks": Query(panels, oracle("""select 'totals' as panel, 'all' as item, cast(count(*) as bigint) as n, cast(sum(msg_bytes) as bigint) as bytes from fx_conn
       union all select 'kinds', kind, count(*), cast(sum(msg_bytes) as bigint) from fx_conn group by kind union all select 'vaults', vault_id, count(*), cast(sum(msg_bytes) as bigint) from fx_conn group by vault_id""", "fx_conn")),
-    "stream_admission": Query(lambda spark, d: drained(ops.stream_admission(log(spark, d), {k: v[:2] for k, v in LIMITS.items()}, OPEN), "admission"), oracle(f"with {admission.ADMISSION}, wm as (select max(ms) - {HOUR} as w from ev) {admission.DECIDED} and ms <= (select w from wm)", "fx_conn", recursive=True)),
-    "stream_rate_limit": Query(lambda spark, d: drained(ops.stream_rate_limit(log(spark, d), "ip", MOST, WINDOW), "rate"), oracle(f"with {_MARK.format(t='fx_conn')}, {throttled('fx_conn', 'ip')} select k as ip, {admission._RATE} and ms <= (select w from wm)", "fx_conn", recursive=True)),
-    "stream_sessions": Query(lambda spark, d: drained(ops.stream_sessions(log(spark, d)), "sessions")),
-    "stream_debounce": Query(lambda spark, d: drained(ops.stream_debounce(file_stream(spark, d, "events", spark.read.parquet(f"{d}/events.parquet").schema), "user_id", QUIET), "debounce"), f"""
-      with e as (select user_id, event_id, epoch_us(ts) as us, lead(epoch_us(ts)) over (partition by user_id order by ts, event_id) as nx from events), w as (select (max(epoch_us(ts)) // 1000 - {HOUR}) * 1000 as w from events)
-      select user_id, event_id from e, w where (nx is null or nx - us >= {QUIET * 1000}) and us + {QUIET * 1000 - 1} <= w"""),
-    "stream_presence": Query(presence, oracle(f"with {_MARK.format(t='fx_presence')} select client_id, vault_id, name, current_file, ms from {_LATEST.format(src='(select * from fx_presence where ms <= (select w from wm)) z')} l", "fx_presence")),
+    "stream_admission": Query(lambda spark, d: whole(spark, d, "fx_conn", lambda s: ops.stream_admission(s, {k: v[:2] for k, v in LIMITS.items()}, OPEN), "admission", kind="connect"), oracle(f"with {admission.ADMISSION} {admission.DECIDED}", "fx_conn", recursive=True)),
+    "stream_rate_limit": Query(lambda spark, d: whole(spark, d, "fx_conn", lambda s: ops.stream_rate_limit(s, "ip", MOST, WINDOW), "rate"), oracle(f"with {throttled('fx_conn', 'ip')} select k as ip, {admission._RATE}", "fx_conn", recursive=True)),
+    "stream_sessions": Query(lambda spark, d: whole(spark, d, "fx_conn", ops.stream_sessions, "sessions"), oracle(f"with {_ENDED}", "fx_conn")),
+    "stream_debounce": Query(debounced, f"""
+      with e as (select user_id, event_id, epoch_us(ts) as us, lead(epoch_us(ts)) over (partition by user_id order by ts, event_id) as nx from events)
+      select user_id, event_id from e where nx is null or nx - us >= {QUIET * 1000}"""),
+    "stream_presence": Query(presence, oracle(f"select client_id, vault_id, name, current_file, ms from {_LATEST.format(src='fx_presence')} l", "fx_presence")),
     "stream_reconcile": Query(reconciled, reconcile.QUERIES["periodic_reconcile"].sql),
     "stream_status": Query(lambda spark, d: drained(ops.stream_status(log(spark, d)), "totals", "complete", lambda df, n, out: df.write.mode("overwrite").parquet(out)), oracle("select vault_id, kind, count(*) as n, cast(sum(msg_bytes) as bigint) as bytes from fx_conn group by all", "fx_conn")),
-    "stream_ops": Query(lambda spark, d: drained(ops.stream_ops(with_ms(frame(spark, d, "fx_ops", stream=True))), "ops"), oracle(f"with {_MARK.format(t='fx_ops')}, {_DRAIN} select vault_id, user_id, id, ms, outcome from dq where ms <= (select w from wm)", "fx_ops")),
+    "stream_ops": Query(lambda spark, d: whole(spark, d, "fx_ops", ops.stream_ops, "ops"), oracle(f"with {_DRAIN} select vault_id, user_id, id, ms, outcome from dq", "fx_ops")),
 }

@@ -42,22 +42,35 @@ def stream_admission(log: DataFrame, limits: dict[str, tuple[int, int]], most_op
     return ordered_fold(rows, ["ip"], ["ms", "event_id"], lambda: Gate(limits, most_open), step, fields, "ip string, event_id long, ms long, decision string, reason string, close_code long, open long", delay)
 
 
+def _row(connection: str, ended: tuple[int, int, int, str] | None, event_id: int | None) -> tuple | None:
+    """An expiry belongs to no event, whatever brings it to light."""
+    return None if ended is None else (connection, *ended, event_id if ended[3] == "closed" else None, ended[2])
+
+
 def _end(idle: int) -> Callable[[Session, dict], tuple | None]:
     def step(s: Session, r: dict) -> tuple | None:
-        ended = s.step(r["ms"], r["kind"], idle)
-        return None if ended is None else (r["connection_id"], *ended, r["event_id"], r["ms"])
+        s.as_of = r.get("as_of", 0)
+        return _row(r["connection_id"], s.step(r["ms"], r["kind"], idle), r["event_id"])
 
     return step
 
 
 def ended_sessions(log: DataFrame, idle: int = DAY) -> DataFrame:
-    """The batch form of T2."""
-    return keyed_fold(log, ["connection_id"], ["ms", "event_id"], Session, _end(idle), ["ms", "event_id", "kind"], ENDED)
+    """The batch form of T2, as of the latest event of the log."""
+
+    def finish(s: Session, key: tuple) -> list[tuple]:
+        row = _row(key[0], s.lapse(s.as_of, idle), None)
+        return [row] if row else []
+
+    rows = log.withColumn("as_of", log.agg(F.max("ms")).scalar())
+    return keyed_fold(rows, ["connection_id"], ["ms", "event_id"], Session, _end(idle), ["ms", "event_id", "kind", "as_of"], ENDED, finish)
 
 
 def stream_sessions(log: DataFrame, idle: int = DAY, delay: str = "1 hour") -> DataFrame:
-    """Sessions that end, by close or after a day without activity."""
-    return ordered_fold(log, ["connection_id"], ["ms", "event_id"], Session, _end(idle), ["ms", "event_id", "kind"], ENDED, delay)
+    """Sessions that end, by close or after a day without activity; a timer ends those that no event ends."""
+    lapse = lambda s, key, mark: _row(key["connection_id"], s.lapse(mark - 2, idle), None)
+    wake = lambda s: None if s.created is None else s.last + idle + 3
+    return ordered_fold(log, ["connection_id"], ["ms", "event_id"], Session, _end(idle), ["ms", "event_id", "kind"], ENDED, delay, lapse, wake)
 
 
 def stream_debounce(events: DataFrame, key: str, quiet_ms: int, delay: str = "1 hour") -> DataFrame:

@@ -16,7 +16,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 class OrderedFold(StatefulProcessor):
-    def __init__(self, keys: list[str], order: list[str], fields: list[str], row_schema: str, fresh: Callable[[], object], step: Callable[[object, dict], tuple | None], columns: list[str]):
+    def __init__(self, keys: list[str], order: list[str], fields: list[str], row_schema: str, fresh: Callable[[], object], step: Callable[[object, dict], tuple | None], columns: list[str], lapse: Callable[[object, dict, int], tuple | None] | None, wake: Callable[[object], int | None] | None):
+        self.lapse, self.wake = lapse, wake
         self.keys, self.order, self.fields, self.row_schema = keys, order, fields, row_schema
         self.fresh, self.step, self.columns = fresh, step, columns
 
@@ -42,13 +43,22 @@ class OrderedFold(StatefulProcessor):
         rows = list(self.waiting.get())
         due = sorted((r for r in rows if r[at] <= mark), key=lambda r: tuple(r[self.fields.index(o)] for o in self.order))
         late = [tuple(r) for r in rows if r[at] > mark]
-        made = []
-        if due:
+        made, state = [], None
+        if due or self.wake:
             state = pickle.loads(self.state.get()[0]) if self.state.exists() else self.fresh()
             for r in due:
                 if (x := self.step(state, dict(zip(self.keys, key)) | dict(zip(self.fields, r)))) is not None:
                     made.append(x)
-            self.state.update((pickle.dumps(state),))
+            if self.lapse and (x := self.lapse(state, dict(zip(self.keys, key)), mark)) is not None:
+                made.append(x)
+            at_next = self.wake(state) if self.wake else None
+            if self.wake and at_next is None:  # nothing is remembered
+                self.state.clear()
+            else:
+                self.state.update((pickle.dumps(state),))
+            if at_next is not None:
+                self.handle.registerTimer(at_next)
+        if due:
             self.waiting.clear()
             if late:
                 self.waiting.put(late)
@@ -59,11 +69,15 @@ class OrderedFold(StatefulProcessor):
         pass
 
 
-def ordered_fold(stream: DataFrame, keys: list[str], order: list[str], fresh: Callable[[], object], step: Callable[[object, dict], tuple | None], fields: list[str], out: str, delay: str | None = "1 hour") -> DataFrame:
-    """The stream form of ``operators.folding.keyed_fold``; ``stream`` has ``ts`` and ``ms``, or its own watermark if ``delay`` is None."""
+def ordered_fold(stream: DataFrame, keys: list[str], order: list[str], fresh: Callable[[], object], step: Callable[[object, dict], tuple | None], fields: list[str], out: str, delay: str | None = "1 hour", lapse: Callable[[object, dict, int], tuple | None] | None = None, wake: Callable[[object], int | None] | None = None) -> DataFrame:
+    """The stream form of ``operators.folding.keyed_fold``; ``stream`` has ``ts`` and ``ms``, or its own watermark if ``delay`` is None.
+
+    ``wake(state)`` names the time at which a key is looked at again without a row, or None if its state can go;
+    ``lapse(state, key, watermark)`` then gives the row that the passing of time makes, if any.
+    """
     rows = stream if delay is None else stream.withColumn("ts", F.timestamp_millis("ms")).withWatermark("ts", delay)
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"{f} {kinds[f]}" for f in fields)
     columns = [x.strip().split()[0] for x in out.split(",")]
-    processor = OrderedFold(keys, order, fields, schema, fresh, step, columns)
+    processor = OrderedFold(keys, order, fields, schema, fresh, step, columns, lapse, wake)
     return rows.select(*keys, *fields, "ts").groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=out, outputMode="Append", timeMode="EventTime")

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -23,10 +24,22 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
-def drained(stream: DataFrame, tag: str, mode: str = "append", each: Callable[[DataFrame, int, str], None] | None = None) -> DataFrame:
+def closing(stream: DataFrame, at: int, **values: str) -> tuple[DataFrame, Callable[[], None]]:
+    """``stream`` with a second source that is empty, and a function that puts one row there: all null but ``ts`` and ``ms``, at
+    ``at`` milliseconds, and ``values``. Its time moves the watermark past all other rows; it waits itself for ever."""
+    spark = stream.sparkSession
+    folder = f"{scratch(spark, 'closing')}/rows"
+    spark.createDataFrame([], stream.schema).write.parquet(folder)
+    known = {"ms": F.lit(at), "ts": F.expr(f"timestampadd(MILLISECOND, {at}, timestamp_ntz'1970-01-01 00:00:00')")} | {k: F.lit(v) for k, v in values.items()}
+    row = spark.range(1).select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in stream.schema])
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(folder)), lambda: row.write.mode("append").parquet(folder)
+
+
+def drained(stream: DataFrame, tag: str, mode: str = "append", each: Callable[[DataFrame, int, str], None] | None = None, close: Callable[[], None] | None = None) -> DataFrame:
     """Runs ``stream`` until its present input is used up and returns the rows of its Parquet sink.
 
-    ``each(batch, number, folder)`` replaces the sink for batches that are to be written otherwise, below ``folder``.
+    ``each(batch, number, folder)`` replaces the sink for batches that are to be written otherwise, below ``folder``. With
+    ``close``, the stream goes on after that call, from where it stood, so that rows that still wait come out too.
     """
     spark = stream.sparkSession
     folder = scratch(spark, tag)
@@ -34,9 +47,12 @@ def drained(stream: DataFrame, tag: str, mode: str = "append", each: Callable[[D
     before = spark.conf.get(key, None)
     spark.conf.set(key, ROCKS)
     try:
-        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True)
-        query = writer.foreachBatch(lambda df, n: each(df, n, out)).start() if each else writer.format("parquet").option("path", out).start()
-        query.awaitTermination()
+        for again in (False, True) if close else (False,):
+            if again:
+                close()
+            writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True)
+            query = writer.foreachBatch(lambda df, n: each(df, n, out)).start() if each else writer.format("parquet").option("path", out).start()
+            query.awaitTermination()
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     return spark.read.schema(stream.schema).parquet(out) if each is None else spark.read.parquet(out)

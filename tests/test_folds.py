@@ -118,3 +118,10 @@ def test_replay_of_one_queue(spark):
     ops = spark.createDataFrame([("v", "u", *r) for r in rows], "vault_id string, user_id string, id long, ms long, seq long, type string, path string, new_path string, content string")
     out = oplog.replay_ops(ops).collect()
     assert [(r.path, r.text, r.first_path, r.hops, r.blocked) for r in out] == [("c", "t", "a", 2, True)]
+
+
+def test_rename_onto_a_folder_fails():
+    from inkmesh.functions.folds import Replica
+
+    s = Replica()
+    assert [s.step("create", "a", None, "x"), s.step("createFolder", "f", None, None), s.step("rename", "a", "f", None), s.step("create", "b", None, None)] == ["applied", "applied", "failed", "left"]

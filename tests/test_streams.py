@@ -7,7 +7,7 @@ from inkmesh.operators import admission
 from inkmesh.plans import admission as plans
 from inkmesh.plans import streams
 from inkmesh.streaming import operators as ops
-from inkmesh.streaming.run import drained
+from inkmesh.streaming.run import closing, drained, scratch
 
 from .conftest import DATA
 
@@ -16,20 +16,27 @@ def _rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-def _before_mark(df, spark, kinds="true"):
-    """The watermark follows the rows that reach the stateful operator."""
-    top = plans.log(spark, DATA).filter(kinds).agg(F.max("ms")).first()[0]
-    return df.filter(F.col("ms") <= top - streams.HOUR)
-
-
 def test_admission(spark):
-    batch = _before_mark(plans.admitted(spark, DATA), spark, "kind in ('connect', 'disconnect')")
+    batch = plans.admitted(spark, DATA)
     assert _rows(streams.QUERIES["stream_admission"].run(spark, DATA).select(batch.columns)) == _rows(batch)
 
 
 def test_sessions(spark):
-    batch = _before_mark(ops.ended_sessions(plans.log(spark, DATA)), spark)
-    assert _rows(streams.QUERIES["stream_sessions"].run(spark, DATA).select(batch.columns)) == _rows(batch)
+    batch = ops.ended_sessions(plans.log(spark, DATA))
+    got = streams.QUERIES["stream_sessions"].run(spark, DATA).select(batch.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, batch.collect())) and got.filter("how = 'expired'").count() > 0
+
+
+def test_silent_session_expires_by_timer(spark):
+    rows = [("a", 10**9, 1, "connect"), ("b", 10**9, 2, "connect"), ("b", 10**9 + ops.DAY + 1, 3, "message"), ("c", 10**9 + 3 * ops.DAY, 4, "connect")]
+    df = spark.createDataFrame(rows, "connection_id string, ms long, event_id long, kind string")
+    want = {("a", 10**9, "expired"), ("b", 10**9, "expired"), ("b", 10**9 + ops.DAY + 1, "expired")}
+    assert {(r.connection_id, r.created_ms, r.how) for r in ops.ended_sessions(df).collect()} == want
+    path = f"{scratch(spark, 'silent')}/log"
+    df.write.parquet(path)
+    stream, close = closing(spark.readStream.schema(df.schema).parquet(path), 10**9 + 3 * ops.DAY + streams.HOUR + 2)
+    got = drained(ops.stream_sessions(stream), "silent", close=close)
+    assert {(r.connection_id, r.created_ms, r.how) for r in got.collect()} == want
 
 
 def test_order_of_arrival_does_not_matter(spark, tmp_path):
