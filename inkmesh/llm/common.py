@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import weakref
@@ -66,6 +67,12 @@ def discard(*tables: DataFrame) -> None:
         remove(_paths[df])
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of frames that nothing refers to; it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove(name: str) -> None:
     """Removes a folder of the shared folder."""
     store, path = fs.FileSystem.from_uri(name)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, discard, hot_join, hot_keys, mix64, slices, small, text_bytes, words, written
+from .common import batch_rows, discard, hot_join, hot_keys, mix64, release, slices, small, text_bytes, words, written
 
 CELLS, SKETCH, BLOCK = 256, 1 << 18, 256
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
@@ -445,6 +445,7 @@ def links(docs: DataFrame, buckets: DataFrame, classes: DataFrame, width: int, t
     counts = written(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK), "large")
     every = by_block(blocks(buckets.withColumn("part", F.col("key")), counts)).mapInArrow(mates, "bucket long, key long, gid long, pos int, mate long, apart long")
     every = written(every, "mates", 1024)  # members that some pair admits, with the closest, and all of large buckets
+    release(docs.sparkSession)
     texts = texts_of(docs, written(classes.select("key", "sig", "at").join(every.select("key").distinct(), "key"), "wanted"))
     closest = every.filter("mate >= 0").groupBy("key").agg(F.min(F.struct("apart", "mate")).alias("m")).select("key", F.col("m.mate").alias("mate"))
     asked = written(closest.select(F.least("key", "mate").alias("a"), F.greatest("key", "mate").alias("b")).distinct(), "asked")
@@ -508,6 +509,7 @@ def links(docs: DataFrame, buckets: DataFrame, classes: DataFrame, width: int, t
             break
         asked = proposed(blocks(named, split.select("bucket", "n"), by_part), most)
         settle(asked.filter("a >= 0"))
+        release(docs.sparkSession)
         more = asked.filter("a < 0").select(F.col("b").alias("bucket"))
         if most == 0 or more.isEmpty():
             break
@@ -552,6 +554,7 @@ def linked_sets(df: DataFrame, key: str, text: str, width: int, threshold: Fract
     of_sets = written(of_sets.withColumn("key", F.monotonically_increasing_id()), "classes")  # numbers are fixed by writing
     light = written(feats.select("key", "at", "n", "sig"), "rows")
     discard(feats)
+    release(df.sparkSession)
     feats, classes = light, of_sets.drop("least")
     whole = links(docs, group_buckets(classes, threshold), classes, width, threshold)
     of = of_sets.join(whole, "key", "left").select("sig", F.coalesce("component", "key").alias("component"), F.col("least").alias("own"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, remove, scratch, slices, text_bytes, words
+from .common import mix64, release, remove, scratch, slices, text_bytes, words
 
 #: The token that ends each text.
 END = np.uint64(0)
@@ -597,9 +597,11 @@ def train(texts: DataFrame, text: str = "text", order: int = 3, shards: int | No
     model = Model(scratch(spark, "trie"), shards, order)
     _unigrams(rows, model)
     for level in range(2, order + 1):
+        release(spark)
         _grams(rows, model, level)
         if level > 2:
             remove(model.folder_of(level - 1, "counts"))
+    release(spark)
     return model
 
 
