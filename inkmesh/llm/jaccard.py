@@ -8,7 +8,7 @@
    only groups enter the index.
 3. Lists are kept by shingle and size band; one bucket is a list of groups that meet. Group pairs of a bucket are filtered by
    size and by the place of their shingle, the rest expanded to members, and those filtered by a lower bound of their
-   difference (counts of shingles in cells). Of the pairs left, rounds verify those on whole sets that could join
+   difference (parities of their shingles in cells). Of the pairs left, rounds verify those on whole sets that could join
    parts not yet linked, closest first, and last all that remain, so no link between different parts is lost. Large
    buckets are dealt into blocks: first every block by itself, then one member for each part, so that a hot group of
    copies is one part before blocks meet pairwise. A group of m copies costs about m verifications.
@@ -101,7 +101,7 @@ def prefix_size(n: np.ndarray, t: Fraction) -> np.ndarray:
 
 
 def features(docs: DataFrame, width: int, t: Fraction, classes: np.ndarray) -> DataFrame:
-    """``key, at, n, sig, shape, cells, prefix``: set size, hash of the set, hash of size and prefix, counts by cell, and the
+    """``key, at, n, sig, shape, cells, prefix``: set size, hash of the set, hash of size and prefix, parities by cell, and the
     prefix: the first shingles in the global order, each as its class and 56 bits of its hash. Written once; every
     later step reads it."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)
@@ -127,27 +127,27 @@ def features(docs: DataFrame, width: int, t: Fraction, classes: np.ndarray) -> D
                     prefix.append(own)
                 ends = np.cumsum([0, *map(len, prefix)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefix).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n.astype(np.int64)), pa.array(sig), pa.array(shape), cell_counts(h, n), lists], ["key", "at", "n", "sig", "shape", "cells", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n.astype(np.int64)), pa.array(sig), pa.array(shape), cell_parities(h, n), lists], ["key", "at", "n", "sig", "shape", "cells", "prefix"])
 
     return written(docs.mapInArrow(run, f"key {kind}, at long, n long, sig string, shape string, cells binary, prefix array<long>"), "shingles", 1024)
 
 
-def cell_counts(h: np.ndarray, n: np.ndarray) -> pa.Array:
-    """Shingles of each row by the low bits of their hash, in ``CELLS`` cells or, for larger sets, in as many as the power of two
-    up to the set's size; a count of 255 stands for more."""
+def cell_parities(h: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Bits of each row's set: whether a cell, named by the low bits of a hash, holds an odd number of shingles. A set has ``CELLS``
+    cells or, if larger, the power of two above its size."""
     out = []
     for a, k in zip((np.cumsum(n) - n).tolist(), n.tolist()):
-        cells = max(CELLS, 1 << (k.bit_length() - 1)) if k else CELLS
+        cells = max(CELLS, 1 << k.bit_length())
         count = np.bincount((h[a : a + k] & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
-        out.append(np.minimum(count, 255).astype(np.uint8).tobytes())
+        out.append(np.packbits((count & 1).astype(np.uint8)).tobytes())
     return pa.array(out, pa.binary())
 
 
 def folded(cells: np.ndarray, width: int) -> np.ndarray:
-    """The same counts in fewer cells."""
+    """The same parities in fewer cells; sizes are in bytes of eight cells."""
     while len(cells) > width:
         half = len(cells) // 2
-        cells = np.minimum(cells[:half].astype(np.uint16) + cells[half:], 255).astype(np.uint8)
+        cells = cells[:half] ^ cells[half:]
     return cells
 
 
@@ -193,9 +193,9 @@ def texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def admitted(cells: list[bytes], n: np.ndarray, i: np.ndarray, j: np.ndarray, t: Fraction, room: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The pairs that sizes and cell counts admit, and how far apart their counts are.
+    """The pairs that sizes and cells admit, and in how many cells they differ.
 
-    Sets that differ in d shingles have counts at least as close, so ``shared <= (n_i + n_j - apart) / 2``; a pair
+    Sets that differ in d shingles differ in d cells at most, so ``shared <= (n_i + n_j - apart) / 2``; a pair
     stays if ``t * union <= shared`` is still possible.
     """
     a, b = t.numerator, t.denominator
@@ -211,8 +211,7 @@ def admitted(cells: list[bytes], n: np.ndarray, i: np.ndarray, j: np.ndarray, t:
         x, y = back[: len(at)], back[len(at) :]
         step = max(1, room // w)
         for k in range(0, len(at), step):
-            p, q = table[x[k : k + step]], table[y[k : k + step]]
-            apart[at[k : k + step]] = (np.maximum(p, q) - np.minimum(p, q)).sum(1, dtype=np.int32)
+            apart[at[k : k + step]] = np.bitwise_count(table[x[k : k + step]] ^ table[y[k : k + step]]).sum(1, dtype=np.int32)
     ok = np.flatnonzero((a + b) * (n[i] + n[j] - apart) >= 2 * a * (n[i] + n[j]))
     return i[ok], j[ok], apart[ok]
 
@@ -284,7 +283,7 @@ class Rows:
 
     def pairs(self, t: Fraction, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Admitted pairs of members of different parts, some ``most`` looked at at a time: group pairs are formed and filtered
-        by size and position, the rest expanded to members, and those filtered by their counts of shingles in cells."""
+        by size and position, the rest expanded to members, and those filtered by their cells."""
         a, b = t.numerator, t.denominator
         for lo, hi in chunks(self.groups * (self.groups + 1) // 2, most):
             g, h = pairs_within(self.run[lo:hi], self.groups[lo:hi])
