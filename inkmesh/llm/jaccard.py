@@ -161,19 +161,25 @@ def group_buckets(classes: DataFrame, t: Fraction) -> DataFrame:
     shingle and whose sizes allow links. ``pos`` is the shingle's place in the prefix.
 
     Shingles of two or more groups have lists of them; equal lists are one. A list is cut by size band, each group under its
-    own band and the next, so that groups that may link meet and a very frequent shingle is many buckets.
+    own band and the next, so that groups that may link meet and a very frequent shingle is many buckets. A band with no group
+    of its own repeats the one before and is left out, and so are two groups whose sizes or places allow no link.
     """
     groups = classes.groupBy("shape").agg(F.min("key").alias("gid"), F.count(F.lit(1)).alias("members"))
     groups = written(groups.filter("members > 1").select("shape", "gid"), "groups")
     several = written(hot_join(classes.select("key", "shape"), groups, "shape").select("key", "gid"), "several")
     leaders = classes.select(F.col("key").alias("gid"), "n", "prefix").join(small(several.filter("key <> gid").select(F.col("key").alias("gid"))), "gid", "left_anti")
-    entries = leaders.select("gid", size_band(F.col("n"), t).alias("own"), F.posexplode("prefix").alias("pos", "item"))
+    entries = leaders.select("gid", "n", F.posexplode("prefix").alias("pos", "item"))
     shared = entries.groupBy("item").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("gid")).alias("x"), F.bit_xor(F.xxhash64("gid", F.lit(7))).alias("y")).filter("c > 1")
     lists = written(shared.groupBy("c", "x", "y").agg(F.min("item").alias("item")).select("item", F.col("c").alias("n")), "lists")
     found = written(hot_join(entries, lists.select("item"), "item", lists), "found")
-    found = found.select("item", "gid", "pos", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("band"))
-    met = written(found.groupBy("item", "band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("bucket", F.monotonically_increasing_id()), "met")  # numbers are fixed by writing
-    hits = written(hot_join(found, met.drop("n"), ["item", "band"], met).select("bucket", "gid", "pos"), "hits")
+    own, place = size_band(F.col("n"), t), F.shiftleft("n", 31).bitwiseOR(F.col("pos").cast("long"))
+    found = found.select("item", "gid", "pos", own.alias("own"), place.alias("place"), F.explode(F.array(own, own + 1)).alias("band"))
+    met = found.groupBy("item", "band").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("top"), F.min("place").alias("p"), F.max("place").alias("q"))
+    (m, i), (n, j) = ((F.shiftright(c, 31), F.col(c).bitwiseAND(F.lit((1 << 31) - 1))) for c in "pq")  # sizes and places of two groups
+    fits = (m * t.denominator >= n * t.numerator) & ((F.least(i, j) + F.least(m - i, n - j)) * (t.numerator + t.denominator) >= (m + n) * t.numerator)
+    met = met.filter((F.col("n") > 1) & (F.col("top") == F.col("band")) & ((F.col("n") > 2) | fits)).select("item", "band", "n")
+    met = written(met.withColumn("bucket", F.monotonically_increasing_id()), "met")  # numbers are fixed by writing
+    hits = written(hot_join(found.drop("own", "place"), met.drop("n"), ["item", "band"], met).select("bucket", "gid", "pos"), "hits")
     alone = hits.join(small(several.select("gid").distinct()), "gid", "left_anti").select("bucket", F.col("gid").alias("key"), "gid", "pos")
     full = hot_join(several, hits, "gid").select("bucket", "key", "gid", "pos")
     own = several.select((-1 - F.col("gid")).alias("bucket"), "key", "gid", F.lit(0).alias("pos"))
