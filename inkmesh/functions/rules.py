@@ -25,6 +25,11 @@ def user_id(c: Column) -> Column:
     return F.when(F.coalesce(c, F.lit("")) == "", F.lit("anonymous")).when(c.rlike(USER_ID), c)
 
 
+def given_token(header: Column, url_token: Column) -> Column:
+    """The authorization header as it is, scheme included, else the token of the URL; an empty header counts as none."""
+    return F.coalesce(F.nullif(header, F.lit("")), url_token)
+
+
 def token_ok(given: Column, expected: Column) -> Column:
     well_formed = lambda c: (F.length(c) <= schemas.MAX_TOKEN) & c.rlike(TOKEN)
     return F.coalesce(well_formed(given) & well_formed(expected) & (given == expected), F.lit(False))

@@ -13,6 +13,16 @@ def latest_version(versions: DataFrame) -> DataFrame:
     return versions.groupBy(*KEY).agg(F.max_by("text", F.struct("ms", "seq")).alias("text"), F.max("ms").alias("ms"))
 
 
+def joined_versions(local: DataFrame, remote: DataFrame, base: DataFrame) -> DataFrame:
+    """The two sides and the base of each document, of frames ``vault_id, path, text, ms`` with a row a document: a union and
+    one aggregation instead of two joins. What a side lacks is null; documents of the base alone are left out."""
+    sides = {"local": local, "remote": remote, "base": base}
+    rows = [df.select(*KEY, "text", "ms", F.lit(n).alias("side")) for n, df in sides.items()]
+    of = lambda n, c: F.max(F.when(F.col("side") == n, F.col(c))).alias(f"{n}_{c}")
+    out = rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy(*KEY).agg(*[of(n, c) for n in sides for c in ("text", "ms")], F.bool_or(F.col("side") != "base").alias("live"))
+    return out.filter("live").select(*KEY, "base_text", "local_text", "remote_text", "local_ms", "remote_ms")
+
+
 def is_conflict(local: Column, remote: Column, base: Column) -> Column:
     """Also when only the remote side moved on, which parity asks for."""
     return F.coalesce((~local.eqNullSafe(remote)) & (base != "") & ~base.eqNullSafe(remote), F.lit(False))

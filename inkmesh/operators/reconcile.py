@@ -70,11 +70,13 @@ def periodic_reconcile(inventory: DataFrame, recent: DataFrame, as_of: Column, q
 
 
 def apply_remote_inserts(inventory: DataFrame, recent: DataFrame, as_of: Column, quiet: int = OBSERVED) -> DataFrame:
-    """Remote paths to create locally: not there, and not created locally within ``quiet``."""
-    local = inventory.filter("replica = 'local'").select("vault_id", "path")
-    new = inventory.filter("replica = 'remote'").select("vault_id", "path").distinct().join(local, ["vault_id", "path"], "left_anti")
-    rows = new.join(_times(recent).select("vault_id", "path", "create_ms"), ["vault_id", "path"], "left")
-    return rows.filter(F.col("create_ms").isNull() | (as_of - F.col("create_ms") > quiet)).select("vault_id", "path")
+    """Remote files and folders to create locally: not there, and not created locally within ``quiet``. Both sides are one
+    aggregation by path; a path that is a file on one side and a folder on the other is there."""
+    files = inventory.select("vault_id", "replica", "path", F.lit(False).alias("is_folder"))
+    folders = folder_rollup(inventory).select("vault_id", "replica", F.col("folder").alias("path"), F.lit(True).alias("is_folder"))
+    sides = files.unionByName(folders).groupBy("vault_id", "path").agg(F.bool_or(F.col("replica") == "local").alias("here"), F.bool_or("is_folder").alias("is_folder"))
+    rows = sides.filter("not here").join(_times(recent).select("vault_id", "path", "create_ms"), ["vault_id", "path"], "left")
+    return rows.filter(F.col("create_ms").isNull() | (as_of - F.col("create_ms") > quiet)).select("vault_id", "path", "is_folder")
 
 
 def folder_rollup(inventory: DataFrame) -> DataFrame:
@@ -109,12 +111,17 @@ def inventory_from_events(ops: DataFrame) -> DataFrame:
     return last.filter("add = 1").select("vault_id", "path")
 
 
+def joined_inventory(inventory: DataFrame, moves: DataFrame) -> DataFrame:
+    """The inventories under the vaults that ``moves(vault_id, into)`` names, each path of a replica once; moves into
+    oneself are refused."""
+    moved = inventory.join(moves.filter("vault_id <> into"), "vault_id", "left")
+    return moved.select(F.coalesce("into", "vault_id").alias("vault_id"), "replica", "path").distinct()
+
+
 def join_vault(inventory: DataFrame, moves: DataFrame) -> DataFrame:
-    """Inventories under the vaults that ``moves(vault_id, into)`` names; moves into oneself are refused. The old ids
-    are kept as history."""
+    """Files of the joined vaults, and the old ids as history."""
     asked = moves.filter("vault_id <> into")
-    moved = inventory.join(asked, "vault_id", "left").withColumn("target", F.coalesce("into", "vault_id"))
-    paths = moved.select(F.col("target").alias("vault_id"), "path").distinct().groupBy("vault_id").agg(F.count(F.lit(1)).alias("files"))
+    paths = joined_inventory(inventory, moves).select("vault_id", "path").distinct().groupBy("vault_id").agg(F.count(F.lit(1)).alias("files"))
     history = asked.groupBy(F.col("into").alias("vault_id")).agg(F.array_sort(F.collect_set("vault_id")).alias("history"))
     return paths.join(history, "vault_id", "left")
 

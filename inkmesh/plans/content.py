@@ -24,6 +24,13 @@ def versions(spark, d):
     return frame(spark, d, "fx_versions")
 
 
+def joined(spark, d):
+    """The three sides as frames of their own: some documents lack one or two of them."""
+    v, n = versions(spark, d), F.length("path") % 5
+    side = lambda c, skip: v.filter(n != skip).select("vault_id", "path", F.col(f"{c}_text").alias("text"), F.col("local_ms" if c == "base" else f"{c}_ms").alias("ms"))
+    return ops.joined_versions(side("local", 0), side("remote", 1), side("base", 2).filter("text is not null"))
+
+
 def conflicts(spark, d):
     return ops.content_conflicts(versions(spark, d))
 
@@ -52,6 +59,9 @@ QUERIES = {
     "latest_version": Query(lambda spark, d: _digest(ops.latest_version(history(spark, d))), oracle("""with h as (select vault_id, path, local_text as text, local_ms as ms, 0 as seq from fx_versions union all select vault_id, path, remote_text, remote_ms, 1 from fx_versions)
       select vault_id, path, md5(text) as text, ms from (select *, row_number() over (partition by vault_id, path order by ms desc, seq desc) as k from h) q where k = 1""", "fx_versions")),
     "content_conflicts": Query(lambda spark, d: conflicts(spark, d).select("vault_id", "path", "local_ms", "remote_ms", "is_resolvable"), oracle(f"with {_CONF} select vault_id, path, local_ms, remote_ms, is_resolvable from cf", "fx_versions")),
+    "joined_versions": Query(lambda spark, d: _digest(_digest(_digest(joined(spark, d), "local_text"), "remote_text"), "base_text"), oracle("""select vault_id, path, case when length(path) % 5 <> 2 then md5(base_text) end as base_text,
+      case when length(path) % 5 <> 0 then md5(local_text) end as local_text, case when length(path) % 5 <> 1 then md5(remote_text) end as remote_text,
+      case when length(path) % 5 <> 0 then local_ms end as local_ms, case when length(path) % 5 <> 1 then remote_ms end as remote_ms from fx_versions""", "fx_versions")),
     "line_merge": Query(lambda spark, d: _digest(versions(spark, d).select("vault_id", "path", ops.line_merge(F.col("local_text"), F.col("remote_text")).alias("text"))), oracle(f"select vault_id, path, md5({_MERGE}) as text from fx_versions", "fx_versions")),
     "resolve_auto": Query(lambda spark, d: _digest(ops.resolve_auto(conflicts(spark, d))), oracle(f"with {_AUTO} select vault_id, path, md5(text) as text, method from au", "fx_versions")),
     "resolve_backup": Query(lambda spark, d: _digest(ops.resolve_backup(conflicts(spark, d), F.lit(STAMP))), oracle(f"""with {_CONF} select vault_id, path, 'original' as role, path as file, md5(remote_text) as text from cf

@@ -45,7 +45,9 @@ QUERIES = {
     "periodic_reconcile": Query(lambda spark, d: ops.periodic_reconcile(inventory(spark, d), recent(spark, d), as_of(spark, d), LONG), oracle(f"""with {_DIFF}, {_TIMES}
       select vault_id, path, case when a - (case when side = 'local_only' then coalesce(create_ms, rename_ms, 0) else coalesce(delete_ms, 0) end) > {LONG} then case side when 'local_only' then 'push' else 'pull' end else 'suppressed' end as action
       from df left join tm using (vault_id, path), x where side <> 'common'""", "fx_inventory", "fx_recent")),
-    "apply_remote_inserts": Query(lambda spark, d: ops.apply_remote_inserts(inventory(spark, d), recent(spark, d), as_of(spark, d), LONG), oracle(f"with {_DIFF}, {_TIMES} select vault_id, path from df left join tm using (vault_id, path), x where side = 'remote_only' and (create_ms is null or a - create_ms > {LONG})", "fx_inventory", "fx_recent")),
+    "apply_remote_inserts": Query(lambda spark, d: ops.apply_remote_inserts(inventory(spark, d), recent(spark, d), as_of(spark, d), LONG), oracle(f"""with {_FOLD}, {_TIMES}, b as (select vault_id, replica, path, false as is_folder from fx_inventory union all select vault_id, replica, folder, true from fo),
+      s as (select distinct vault_id, path, is_folder from b r where replica = 'remote' and not exists (select 1 from b l where l.replica = 'local' and l.vault_id = r.vault_id and l.path = r.path))
+      select vault_id, path, is_folder from s left join tm using (vault_id, path), x where create_ms is null or a - create_ms > {LONG}""", "fx_inventory", "fx_recent")),
     "reconcile_deletes": Query(lambda spark, d: ops.reconcile_deletes(inventory(spark, d), recent(spark, d), as_of(spark, d), LONG), oracle(f"""with {_FOLD}, {_TIMES}, b as (select vault_id, replica, path, false as is_folder from fx_inventory union all select vault_id, replica, folder, true from fo),
       g as (select * from b where replica = 'local' and not exists (select 1 from fx_inventory r where r.replica = 'remote' and r.vault_id = b.vault_id and r.path = b.path))
       select g.vault_id, g.path, is_folder, is_folder and exists (select 1 from fo where replica = 'remote' and fo.vault_id = g.vault_id and fo.folder = g.path) as has_live_children
@@ -56,6 +58,8 @@ QUERIES = {
     "join_vault": Query(lambda spark, d: ops.join_vault(inventory(spark, d), moves(spark, d)), oracle("""with n as (select distinct vault_id, cast(regexp_extract(vault_id, '[0-9]+') as integer) as k from fx_inventory), mv as (select vault_id, 'src' || (k + 1) as target from n where k % 3 = 0 and k % 9 <> 0),
       p as (select distinct coalesce(target, i.vault_id) as vault_id, path from fx_inventory i left join mv on i.vault_id = mv.vault_id), h as (select target as vault_id, list(vault_id order by vault_id) as history from mv group by 1)
       select vault_id, count(*) as files, any_value(history) as history from p left join h using (vault_id) group by 1""", "fx_inventory")),
+    "joined_inventory": Query(lambda spark, d: ops.joined_inventory(inventory(spark, d), moves(spark, d)), oracle("""with n as (select distinct vault_id, cast(regexp_extract(vault_id, '[0-9]+') as integer) as k from fx_inventory), mv as (select vault_id, 'src' || (k + 1) as target from n where k % 3 = 0 and k % 9 <> 0)
+      select distinct coalesce(target, i.vault_id) as vault_id, replica, path from fx_inventory i left join mv on i.vault_id = mv.vault_id""", "fx_inventory")),
     "folder_rollup": Query(lambda spark, d: ops.folder_rollup(inventory(spark, d)), oracle(f"with {_FOLD} select * from fo", "fx_inventory")),
     "replica_convergence": Query(lambda spark, d: ops.replica_convergence(inventory(spark, d)), oracle("""with r as (select distinct vault_id, replica from fx_inventory), p as (select distinct vault_id, path from fx_inventory)
       select vault_id, path, list(replica order by replica) as missing from p join r using (vault_id) where not exists (select 1 from fx_inventory i where i.vault_id = p.vault_id and i.path = p.path and i.replica = r.replica) group by all""", "fx_inventory")),

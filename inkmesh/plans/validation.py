@@ -58,6 +58,13 @@ def validation_summary(spark, d):
     return rows.select(F.explode(outcomes).alias("o")).rollup("o.rule", "o.outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
+def valid_token(spark, d):
+    """Some requests have an authorization header: the token, the token behind a scheme, or nothing."""
+    k = F.col("event_id") % 7
+    header = F.when(k == 0, TOKEN).when(k == 1, "Bearer " + TOKEN).when(k == 2, "")
+    return frame(spark, d, "fx_conn").select("event_id", rules.token_ok(rules.given_token(header, F.col("token")), F.lit(TOKEN)).alias("valid"))
+
+
 def safe_path(spark, d):
     """Paths of documents, some climbing out, some absolute, held against a base."""
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", "source")
@@ -88,7 +95,8 @@ QUERIES = {
         from (select page_id, url_decode(regexp_extract(request, '[?&]vaultId=([^&#]*)', 1)) as v, url_decode(regexp_extract(request, '[?&]userId=([^&#]*)', 1)) as u, url_decode(regexp_extract(request, '[?&]token=([^&#]*)', 1)) as t from fx_urls) q""", "fx_urls")),
     "valid_vault_id": Query(lambda spark, d: frame(spark, d, "fx_conn").select("event_id", rules.vault_id(F.col("vault_id")).alias("valid")), oracle(f"select event_id, case when {_VALID} then vault_id end as valid from fx_conn", "fx_conn")),
     "valid_user_id": Query(lambda spark, d: frame(spark, d, "fx_conn").select("event_id", rules.user_id(F.col("user_id")).alias("valid")), oracle(f"select event_id, {_USER} as valid from fx_conn", "fx_conn")),
-    "valid_token": Query(lambda spark, d: frame(spark, d, "fx_conn").select("event_id", rules.token_ok(F.col("token"), F.lit(TOKEN)).alias("valid")), oracle(f"select event_id, {_TOKEN_OK} as valid from fx_conn", "fx_conn")),
+    "valid_token": Query(valid_token, oracle(f"""with h as (select event_id, token as t, case event_id % 7 when 0 then 'secret-1' when 1 then 'Bearer secret-1' when 2 then '' end as header from fx_conn),
+        g as (select event_id, coalesce(nullif(header, ''), t) as token from h) select event_id, {_TOKEN_OK} as valid from g""", "fx_conn")),
     "valid_message_size": Query(lambda spark, d: _docs(spark, d).select("doc_id", rules.size_ok(F.col("text")).alias("valid"), F.octet_length("text").alias("n_bytes")), "select doc_id, coalesce(strlen(text), 0) <= 1048576 as valid, cast(strlen(text) as integer) as n_bytes from documents"),
     "safe_path": Query(safe_path, """with p as (select doc_id, case doc_id % 6 when 0 then source || '/../' || lang when 1 then '../../' || source when 2 then '/safe/directory/' || source when 3 then 'a b/' || source when 4 then './x/.//' || lang else '/safe/directoryx/' || source end as path from documents),
         r as (select *, '/' || ltrim(list_reduce(list_prepend('', list_filter(string_split(case when starts_with(path, '/') then path else '/safe/directory/' || path end, '/'), lambda x: x not in ('', '.'))),
