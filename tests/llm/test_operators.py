@@ -434,6 +434,27 @@ def test_jaccard_odd_rows(spark):
     assert jaccard.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("t", [Fraction(9, 10), Fraction(8, 10), Fraction(1)])
+def test_cells_admit_every_link(t):
+    rng = np.random.default_rng(1)
+    sets = []
+    for size in (1, 5, 120, 255, 256, 300, 1000, 4100):
+        base = rng.integers(0, 2**64, size, np.uint64)
+        for change in (0, 1, size // 20, size // 9, size // 5):
+            sets.append(np.unique(np.concatenate([base[change:], rng.integers(0, 2**64, int(rng.integers(0, change + 1)), np.uint64)])))
+        sets.append(np.unique(rng.integers(0, 2**64, size, np.uint64)))
+    n = np.array([len(x) for x in sets])
+    cells = jaccard.cell_parities(np.concatenate(sets), n).to_pylist()
+    i, j = np.triu_indices(len(sets), 1)
+    p, q, apart = jaccard.admitted(cells, n, i, j, t)
+    kept = dict(zip(zip(p.tolist(), q.tolist()), apart.tolist()))
+    for x, y in zip(i.tolist(), j.tolist()):
+        both = len(np.intersect1d(sets[x], sets[y]))
+        if both >= t * (n[x] + n[y] - both):
+            assert kept[x, y] <= n[x] + n[y] - 2 * both
+    assert len(kept) < len(i) // 4
+
+
 def test_forest_joins_what_the_pairs_join():
     rng = np.random.default_rng(0)
     for _ in range(100):
