@@ -28,6 +28,11 @@ def test_token(spark, a, b, want):
     assert one(spark, rules.token_ok(F.col("a"), F.col("b")), a=a, b=b) is want
 
 
+@pytest.mark.parametrize(("header", "url", "want"), [("t-1", "t-2", True), ("t-2", "t-1", False), ("Bearer t-1", "t-1", False), ("", "t-1", True), (None, "t-1", True), (None, None, False)])
+def test_header_wins_over_url_token(spark, header, url, want):
+    assert one(spark, rules.token_ok(rules.given_token(F.col("h"), F.col("u")), F.lit("t-1")), h=header, u=url) is want
+
+
 @pytest.mark.parametrize(("given", "want"), [("../../../etc/passwd", None), ("a/./b//c", "/safe/directory/a/b/c"), ("x/../y", "/safe/directory/y"), ("/safe/directory", "/safe/directory"), ("/safe/directoryx", None), ("a b", None), ("..", None)])
 def test_safe_path(spark, given, want):
     assert one(spark, rules.safe_path(F.col("v"), "/safe/directory"), v=given) == want
