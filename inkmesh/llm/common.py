@@ -80,14 +80,19 @@ def remove(name: str) -> None:
         store.delete_dir(path)
 
 
-def small(df: DataFrame, limit: int = 4 << 20) -> DataFrame:
-    """Marks a written table for broadcast if its values have at most ``limit`` bytes; a larger one is left to a shuffled join."""
+def broadcast_limit(spark: SparkSession, most: int = 4 << 20) -> int:
+    """Bytes a broadcast may have: the session's own bound for joins, ``most`` at the highest."""
+    return min(most, spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Marks a written table for broadcast if its values fit ``broadcast_limit``; a larger one is left to a shuffled join."""
     fixed = {"bigint": 8, "int": 4, "boolean": 1}
     size = F.lit(sum(fixed.get(t, 0) for _, t in df.dtypes)).cast("long")
     for c, t in df.dtypes:
         if t not in fixed:
             size = size + F.coalesce(F.octet_length(c), F.lit(0))
-    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= limit else df
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= broadcast_limit(df.sparkSession) else df
 
 
 #: Rows of one key in a join above which they are spread over several tasks.
