@@ -1,8 +1,8 @@
 """Operator 7: near duplicates by word shingles with a grouped prefix join.
 
-1. Every document becomes its set of shingle hashes. Sets are ordered by (frequency class, hash); the
-   class comes from a counting sketch of fixed size over all documents, so shingles that very many
-   documents share come last. Any global order is exact; this one keeps prefixes selective.
+1. Every document becomes its set of shingle hashes. Sets are ordered by (frequency class, chance of the words to meet, hash);
+   both come from counting sketches of fixed size over all documents, so shingles that very many documents share, or
+   might share by chance, come last. Any global order is exact; this one keeps prefixes selective.
 2. Two sets of Jaccard similarity t share a shingle among the first n - ceil(t n) + 1 of each.
    Documents with equal sets are one class; classes with identical prefix and size are one *group*, and
    only groups enter the index.
@@ -21,6 +21,7 @@ import math
 from collections.abc import Iterator
 from fractions import Fraction
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +34,12 @@ CELLS, SKETCH, BLOCK = 256, 1 << 18, 256
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, width: int, distinct: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes of all rows and each one's row; if ``distinct``, once a row and sorted within rows."""
-    hashed, row = words(data, offsets)
-    count = np.bincount(row, minlength=len(offsets) - 1)
+def windows(hashed: np.ndarray, count: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows with ``count`` words each: every shingle's hash, its row and the place of its first word."""
     first = np.cumsum(count) - count
     size = np.where(count >= width, count - width + 1, np.minimum(count, 1))
     own = np.repeat(np.arange(len(count)), size)
-    start = np.cumsum(size) - size
-    at = np.repeat(first - start, size) + np.arange(len(own))
+    at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(len(own))
     short = np.flatnonzero(count[own] < width)
     total = np.zeros(len(own), np.uint64)
     for k in range(width):
@@ -49,25 +47,60 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int, distinct: bool =
         term = mix64(term + _PLACE[0] * np.array([k + 1], np.uint64))
         term[short[k >= count[own[short]]]] = (_PLACE[1:] * np.array([k + 1], np.uint64))[0]
         total = total * np.uint64(0x100000001B3) + term
-    total = mix64(total)
-    if not distinct:
-        return total, own
-    for s, n in zip(start.tolist(), size.tolist()):
+    return mix64(total), own, at
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of all rows and each one's row; once a row and sorted within rows."""
+    hashed, row = words(data, offsets)
+    total, own, _ = windows(hashed, np.bincount(row, minlength=len(offsets) - 1), width)
+    size = np.bincount(own, minlength=len(offsets) - 1)
+    for s, n in zip((np.cumsum(size) - size).tolist(), size.tolist()):
         total[s : s + n].sort()
     keep = np.ones(len(own), bool)
     keep[1:] = (total[1:] != total[:-1]) | (own[1:] != own[:-1])
     return total[keep], own[keep]
 
 
-def frequency_classes(docs: DataFrame, text: str, width: int) -> np.ndarray:
-    """Class of each of ``SKETCH`` cells: 0 up to 4 times the mean load, one more at each doubling. Fixed size."""
+def ranked_shingles(data: np.ndarray, offsets: np.ndarray, width: int, order: Order) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``shingles`` and each one's place in the global order."""
+    hashed, row = words(data, offsets)
+    total, own, at = windows(hashed, np.bincount(row, minlength=len(offsets) - 1), width)
+    size = np.bincount(own, minlength=len(offsets) - 1)
+    common = np.full(len(own), order.base, np.int32)
+    for k in range(width):
+        common += order.words[(hashed[np.minimum(at + k, max(0, len(hashed) - 1))] >> np.uint64(46)).astype(np.int64)] if len(hashed) else 0
+    for s, n in zip((np.cumsum(size) - size).tolist(), size.tolist()):
+        turn = np.argsort(total[s : s + n])
+        total[s : s + n], common[s : s + n] = total[s : s + n][turn], common[s : s + n][turn]
+    keep = np.ones(len(own), bool)
+    keep[1:] = (total[1:] != total[:-1]) | (own[1:] != own[:-1])
+    h = total[keep]
+    rank = order.shingles[(h >> np.uint64(46)).astype(np.int64)].astype(np.uint64) << np.uint64(8) | np.clip(common[keep], 0, 255).astype(np.uint64)
+    return h, own[keep], rank << np.uint64(50) | h >> np.uint64(14)
+
+
+class Order(NamedTuple):
+    """The global order of shingles: by the class of a shingle's cell, then by how often its words would meet by chance (quarters
+    of a power of two), then by hash. ``words`` and ``base`` add up to that. Any order is exact; rare ones first keeps prefixes selective."""
+
+    shingles: np.ndarray
+    words: np.ndarray
+    base: int
+
+
+def frequencies(docs: DataFrame, text: str, width: int) -> Order:
+    """The order by two counting sketches of ``SKETCH`` cells, of shingles and of words, over all documents. A shingle's class is 0
+    up to 4 times the mean load, one more at each doubling. Fixed size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
+        total = np.zeros(2 * SKETCH, np.int64)
         for whole in batches:
             for batch in slices(whole, text):
-                h, _ = shingles(*text_bytes(batch.column(0)), width, distinct=False)
-                total += np.bincount((h >> np.uint64(46)).astype(np.int64), minlength=SKETCH)
+                hashed, row = words(*text_bytes(batch.column(0)))
+                h, _, _ = windows(hashed, np.bincount(row, minlength=batch.num_rows), width)
+                for half, x in enumerate((h, hashed)):
+                    total[half * SKETCH : (half + 1) * SKETCH] += np.bincount((x >> np.uint64(46)).astype(np.int64), minlength=SKETCH)
         used = np.flatnonzero(total)
         part = used >> 12
         cuts = np.flatnonzero(np.diff(part, prepend=-1))
@@ -81,14 +114,15 @@ def frequency_classes(docs: DataFrame, text: str, width: int) -> np.ndarray:
                 total[np.frombuffer(c, "<i4") & 4095] += np.frombuffer(n, "<i8")
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()])], ["part", "n"])
 
-    total = np.zeros(SKETCH, np.int64)
+    total = np.zeros(2 * SKETCH, np.int64)
     counted = docs.select(text).mapInArrow(count, "part int, cell binary, n binary").groupBy("part").applyInArrow(add, "part int, n binary")
     with batch_rows(docs.sparkSession, 1024):
         counted = counted.collect()
     for part, n in counted:
         total[part << 12 : (part + 1) << 12] = np.frombuffer(bytes(n), np.int64)
-    load = total / max(1.0, 4 * total.mean())
-    return np.where(load > 1, np.ceil(np.log2(np.maximum(load, 1))), 0).astype(np.uint8)
+    load, word = total[:SKETCH] / max(1.0, 4 * total[:SKETCH].mean()), np.maximum(total[SKETCH:], 1)
+    kinds = np.where(load > 1, np.ceil(np.log2(np.maximum(load, 1))), 0).astype(np.uint8)
+    return Order(kinds, np.rint(4 * np.log2(word / word.sum())).astype(np.int32), int(4 * (np.log2(word.sum()) + 40)))
 
 
 def signature(h: np.ndarray, mixed: np.ndarray) -> str:
@@ -100,21 +134,19 @@ def prefix_size(n: np.ndarray, t: Fraction) -> np.ndarray:
     return n - -(-n * t.numerator // t.denominator) + 1
 
 
-def features(docs: DataFrame, width: int, t: Fraction, classes: np.ndarray) -> DataFrame:
+def features(docs: DataFrame, width: int, t: Fraction, order: Order) -> DataFrame:
     """``key, at, n, sig, shape, cells, prefix``: set size, hash of the set, hash of size and prefix, parities by cell, and the
-    prefix: the first shingles in the global order, each as its class and 56 bits of its hash. Written once; every
+    prefix: the first shingles in the global order, each as its place there with 50 bits of its hash. Written once; every
     later step reads it."""
-    shared = docs.sparkSession.sparkContext.broadcast(classes)
+    shared = docs.sparkSession.sparkContext.broadcast(order)
     kind = docs.schema["key"].dataType.simpleString()
     docs = docs.select("key", "text", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = shared.value.astype(np.uint64) << np.uint64(56)
         for whole in batches:
             for batch in slices(whole, "text"):
-                h, row = shingles(*text_bytes(batch.column(1)), width)
+                h, row, placed = ranked_shingles(*text_bytes(batch.column(1)), width, shared.value)
                 n = np.bincount(row, minlength=batch.num_rows)
-                placed = rank[(h >> np.uint64(46)).astype(np.int64)] | h >> np.uint64(8)
                 mixed = mix64(h)
                 sig, prefix, shape = [], [], []
                 for a, k, p in zip((np.cumsum(n) - n).tolist(), n.tolist(), prefix_size(n, t).tolist()):
@@ -554,7 +586,7 @@ def linked_sets(df: DataFrame, key: str, text: str, width: int, threshold: Fract
     are. ``at`` is a hash of key and text, by which a set's document is found again. Empty sets have a null component.
     """
     docs = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("at", F.xxhash64("key", "text"))
-    feats = features(docs, width, threshold, frequency_classes(docs, "text", width))
+    feats = features(docs, width, threshold, frequencies(docs, "text", width))
     of_sets = feats.filter("n > 0").groupBy("sig").agg(F.min("key").alias("least"), F.min("at").alias("at"), *[F.first(c).alias(c) for c in ("shape", "n", "cells", "prefix")])
     of_sets = written(of_sets.withColumn("key", F.monotonically_increasing_id()), "classes")  # numbers are fixed by writing
     light = written(feats.select("key", "at", "n", "sig"), "rows")
