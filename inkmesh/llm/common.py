@@ -51,6 +51,22 @@ def batch_rows(spark: SparkSession, rows: int | None) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+@contextmanager
+def runtime_filter(spark: SparkSession) -> Iterator[None]:
+    """Lets Spark filter the larger side of a shuffled join by a Bloom filter of the smaller one's keys in jobs run inside; as it comes,
+    Spark does so only where the larger side's scan has 10 GB and the smaller one at most 10 MB."""
+    prefix = "spark.sql.optimizer.runtime.bloomFilter."
+    wanted = {prefix + "enabled": "true", prefix + "applicationSideScanSizeThreshold": "0", prefix + "creationSideThreshold": "256MB"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def written(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again, which cuts the lineage; ``rows`` as in ``batch_rows``."""
     path = scratch(df.sparkSession, tag)

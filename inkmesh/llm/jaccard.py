@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, discard, hot_join, hot_keys, mix64, release, slices, small, text_bytes, words, written
+from .common import batch_rows, discard, hot_join, hot_keys, mix64, release, runtime_filter, slices, small, text_bytes, words, written
 
 CELLS, SKETCH, BLOCK = 256, 1 << 18, 256
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
@@ -220,14 +220,17 @@ def group_buckets(classes: DataFrame, t: Fraction) -> DataFrame:
 
 def texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """``key, sig, text`` of the classes ``keys(key, sig, at)``, each from a document found by ``at`` (or from several: those whose
-    set is another are told apart by ``sig`` when it is used). Repeated rows come once."""
+    set is another are told apart by ``sig`` when it is used). Repeated rows come once. Where keys are too many to broadcast,
+    Spark's own runtime filter (of a fixed size) keeps most other texts out of the shuffle; it wants a predicate on ``keys``."""
+    keys = keys.filter("key >= 0")
     found = docs.select("at", "text").join(small(keys), "at").select("at", "key", "sig", "text")
     repeated = docs.select("at").join(small(keys.select("at").distinct()), "at", "left_semi").groupBy("at").count().filter("count > 1").select("at")
-    repeated = written(repeated, "repeated")
-    if not repeated.isEmpty():
-        repeated = small(repeated)
-        found = found.join(repeated, "at", "left_anti").unionByName(found.join(repeated, "at", "left_semi").dropDuplicates(["key", "text"]))
-    return written(found.drop("at"), "texts")
+    with runtime_filter(docs.sparkSession):
+        repeated = written(repeated, "repeated")
+        if not repeated.isEmpty():
+            repeated = small(repeated)
+            found = found.join(repeated, "at", "left_anti").unionByName(found.join(repeated, "at", "left_semi").dropDuplicates(["key", "text"]))
+        return written(found.drop("at"), "texts")
 
 
 def admitted(cells: list[bytes], n: np.ndarray, i: np.ndarray, j: np.ndarray, t: Fraction, room: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
