@@ -159,18 +159,20 @@ def features(docs: DataFrame, width: int, t: Fraction, order: Order) -> DataFram
                     prefix.append(own)
                 ends = np.cumsum([0, *map(len, prefix)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefix).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n.astype(np.int64)), pa.array(sig), pa.array(shape), cell_parities(h, n), lists], ["key", "at", "n", "sig", "shape", "cells", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n.astype(np.int64)), pa.array(sig), pa.array(shape), cell_parities(h, n, t), lists], ["key", "at", "n", "sig", "shape", "cells", "prefix"])
 
     return written(docs.mapInArrow(run, f"key {kind}, at long, n long, sig string, shape string, cells binary, prefix array<long>"), "shingles", 1024)
 
 
-def cell_parities(h: np.ndarray, n: np.ndarray) -> pa.Array:
+def cell_parities(h: np.ndarray, n: np.ndarray, t: Fraction) -> pa.Array:
     """Bits of each row's set: whether a cell, named by the low bits of a hash, holds an odd number of shingles. A set has ``CELLS``
-    cells or, if larger, the power of two above its size."""
+    cells or, if larger, the power of two above three times the shingles in which sets of its size that link may differ:
+    unrelated sets differ in half of the cells."""
+    a, b = t.numerator, t.denominator
     out = []
-    for a, k in zip((np.cumsum(n) - n).tolist(), n.tolist()):
-        cells = max(CELLS, 1 << k.bit_length())
-        count = np.bincount((h[a : a + k] & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    for at, k, apart in zip((np.cumsum(n) - n).tolist(), n.tolist(), (2 * n * (b - a) // (a + b)).tolist()):
+        cells = max(CELLS, 1 << (3 * apart).bit_length())
+        count = np.bincount((h[at : at + k] & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
         out.append(np.packbits((count & 1).astype(np.uint8)).tobytes())
     return pa.array(out, pa.binary())
 
@@ -203,7 +205,8 @@ def group_buckets(classes: DataFrame, t: Fraction) -> DataFrame:
     entries = leaders.select("gid", "n", F.posexplode("prefix").alias("pos", "item"))
     shared = entries.groupBy("item").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("gid")).alias("x"), F.bit_xor(F.xxhash64("gid", F.lit(7))).alias("y")).filter("c > 1")
     lists = written(shared.groupBy("c", "x", "y").agg(F.min("item").alias("item")).select("item", F.col("c").alias("n")), "lists")
-    found = written(hot_join(entries, lists.select("item"), "item", lists), "found")
+    with runtime_filter(classes.sparkSession):  # most shingles of prefixes are of one group alone
+        found = written(hot_join(entries, lists.filter("n > 1").select("item"), "item", lists), "found")
     own, place = size_band(F.col("n"), t), F.shiftleft("n", 31).bitwiseOR(F.col("pos").cast("long"))
     found = found.select("item", "gid", "pos", own.alias("own"), place.alias("place"), F.explode(F.array(own, own + 1)).alias("band"))
     met = found.groupBy("item", "band").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("top"), F.min("place").alias("p"), F.max("place").alias("q"))
@@ -486,7 +489,8 @@ def links(docs: DataFrame, buckets: DataFrame, classes: DataFrame, width: int, t
     every = by_block(blocks(buckets.withColumn("part", F.col("key")), counts)).mapInArrow(mates, "bucket long, key long, gid long, pos int, mate long, apart long")
     every = written(every, "mates", 1024)  # members that some pair admits, with the closest, and all of large buckets
     release(docs.sparkSession)
-    texts = texts_of(docs, written(classes.select("key", "sig", "at").join(every.select("key").distinct(), "key"), "wanted"))
+    wanted = written(classes.select("key", "n", "sig", "at", "cells").join(every.select("key").distinct(), "key"), "wanted")
+    texts, told = texts_of(docs, wanted.select("key", "sig", "at")), wanted.select("key", "n", "cells")
     closest = every.filter("mate >= 0").groupBy("key").agg(F.min(F.struct("apart", "mate")).alias("m")).select("key", F.col("m.mate").alias("mate"))
     asked = written(closest.select(F.least("key", "mate").alias("a"), F.greatest("key", "mate").alias("b")).distinct(), "asked")
     tested = verified(asked, texts, width, t)

@@ -444,7 +444,7 @@ def test_cells_admit_every_link(t):
             sets.append(np.unique(np.concatenate([base[change:], rng.integers(0, 2**64, int(rng.integers(0, change + 1)), np.uint64)])))
         sets.append(np.unique(rng.integers(0, 2**64, size, np.uint64)))
     n = np.array([len(x) for x in sets])
-    cells = jaccard.cell_parities(np.concatenate(sets), n).to_pylist()
+    cells = jaccard.cell_parities(np.concatenate(sets), n, t).to_pylist()
     i, j = np.triu_indices(len(sets), 1)
     p, q, apart = jaccard.admitted(cells, n, i, j, t)
     kept = dict(zip(zip(p.tolist(), q.tolist()), apart.tolist()))
