@@ -202,11 +202,12 @@ def group_buckets(classes: DataFrame, t: Fraction) -> DataFrame:
     groups = written(groups.filter("members > 1").select("shape", "gid"), "groups")
     several = written(hot_join(classes.select("key", "shape"), groups, "shape").select("key", "gid"), "several")
     leaders = classes.select(F.col("key").alias("gid"), "n", "prefix").join(small(several.filter("key <> gid").select(F.col("key").alias("gid"))), "gid", "left_anti")
-    entries = leaders.select("gid", "n", F.posexplode("prefix").alias("pos", "item"))
+    entries = written(leaders.select("gid", "n", F.posexplode("prefix").alias("pos", "item")), "entries")
     shared = entries.groupBy("item").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("gid")).alias("x"), F.bit_xor(F.xxhash64("gid", F.lit(7))).alias("y")).filter("c > 1")
     lists = written(shared.groupBy("c", "x", "y").agg(F.min("item").alias("item")).select("item", F.col("c").alias("n")), "lists")
     with runtime_filter(classes.sparkSession):  # most shingles of prefixes are of one group alone
         found = written(hot_join(entries, lists.filter("n > 1").select("item"), "item", lists), "found")
+    discard(entries)
     own, place = size_band(F.col("n"), t), F.shiftleft("n", 31).bitwiseOR(F.col("pos").cast("long"))
     found = found.select("item", "gid", "pos", own.alias("own"), place.alias("place"), F.explode(F.array(own, own + 1)).alias("band"))
     met = found.groupBy("item", "band").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("top"), F.min("place").alias("p"), F.max("place").alias("q"))
@@ -454,7 +455,8 @@ def verified(asked: DataFrame, texts: DataFrame, width: int, t: Fraction) -> Dat
 
     one, two = (texts.select(F.col("key").alias(k), F.col("sig").alias(f"{v}_sig"), F.col("text").alias(v)) for k, v in (("a", "x"), ("b", "y")))
     met = hot_join(hot_join(small(asked), one, "a"), two, "b", hot_keys(asked, "b")).select("a", "b", "x_sig", "x", "y_sig", "y")
-    return written(met.mapInArrow(verify, "a long, b long, ok boolean"), "tested", 128)
+    with runtime_filter(asked.sparkSession):  # later rounds ask few of the texts
+        return written(met.mapInArrow(verify, "a long, b long, ok boolean"), "tested", 128)
 
 
 def links(docs: DataFrame, buckets: DataFrame, classes: DataFrame, width: int, t: Fraction) -> DataFrame:
