@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, html, jaccard, langid, lm, packing, topk, urlfilter, warc
+from . import bpe, bytebpe, clusters, codes, dedup, html, jaccard, langid, lm, packing, topk, urlfilter, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
@@ -67,8 +68,58 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
+def op11_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bytebpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE, ends="ends", decoded="decoded")
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_warc": op3_warc, "op4_topk": op4_topk, "op5_dedup": op5_dedup, "op6_lm": op6_lm, "op7_jaccard": op7_jaccard, "op8_langid": op8_langid, "op9_urls": op9_urls, "op10_html": op10_html}
+    return {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_warc": op3_warc, "op4_topk": op4_topk, "op5_dedup": op5_dedup, "op6_lm": op6_lm, "op7_jaccard": op7_jaccard, "op8_langid": op8_langid, "op9_urls": op9_urls, "op10_html": op10_html, "op11_bytebpe": op11_bytebpe, "op12_codes": op12_codes, "op13_clusters": op13_clusters}
+
+
+def _integers(scale: int, more: str = "") -> str:
+    return f"""select vec_id, label, list_transform(embedding, lambda x: cast(floor({scale} * cast(x as double)) as bigint)) as vec
+      from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0{more}"""
+
+
+#: Squared distance of two lists of integers.
+_FAR = "cast(list_inner_product(cast({a} as double[]), cast({a} as double[])) - 2 * list_inner_product(cast({a} as double[]), cast({b} as double[])) + list_inner_product(cast({b} as double[]), cast({b} as double[])) as bigint)"
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    nearest = f"""select vec_id, part, min(far) as far, arg_min(entry, far * 256 + entry) as entry from (
+      select p.vec_id, p.part, entry, {_FAR.format(a='p.x', b='c')} as far from p join b{{n}} on p.part = b{{n}}.part) q group by all"""
+    steps = "".join(f"""a{n} as materialized ({nearest.format(n=n)}),
+      b{n + 1} as materialized (select part, entry, coalesce(m, c) as c from b{n} left join (
+        select part, entry, list(m order by i) as m from (select part, entry, i, cast(floor(sum(x[i]) / count(*)) as bigint) as m from a{n} join p using (vec_id, part), range(1, 17) r(i) group by all) q group by all) u using (part, entry)),
+      """ for n in range(rounds))
+    return f"""with v as materialized ({_integers(1024)}), p as materialized (select vec_id, part, vec[part * 16 + 1 : part * 16 + 16] as x from v, range(4) r(part)),
+      b0 as materialized (select part, row_number() over (partition by part order by vec_id) - 1 as entry, x as c from p where vec_id in (select vec_id from v order by vec_id limit 256)),
+      {steps}l as materialized ({nearest.format(n=rounds)}),
+      s as (select sha256(string_agg(array_to_string(c, ','), ',' order by part, entry)) as digest from b{rounds}),
+      e as (select vec_id, label, string_agg(printf('%02x', entry), '' order by part) as code, cast(sum(far) as bigint) as error from l join v using (vec_id) group by all)
+      select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, digest as codebooks_sha256 from e, s"""
+
+
+def _clusters_sql(rounds: int = 5) -> str:
+    nearest = f"""select vec_id, min(far) as far, arg_min(k, far * 64 + k) as k from (select vec_id, k, {_FAR.format(a='vec', b='c')} as far from v, c{{n}}) q group by all"""
+    steps = "".join(f"""a{n} as materialized ({nearest.format(n=n)}),
+      c{n + 1} as materialized (select k, coalesce(m, c) as c from c{n} left join (
+        select k, list(m order by i) as m from (select k, i, cast(floor(sum(vec[i]) / count(*)) as bigint) as m from a{n} join v using (vec_id), range(1, 65) r(i) group by all) q group by all) u using (k)),
+      """ for n in range(rounds))
+    return f"""with v as materialized ({_integers(256, " and len(embedding) = 64")}),
+      c0 as materialized (select row_number() over (order by sha256('2:' || vec_id)) - 1 as k, vec as c from v qualify k < 40),
+      {steps}l as materialized ({nearest.format(n=rounds)})
+      select vec_id, cast(k as integer) as cluster, far as distance, cast(sum(far) over (partition by k) as bigint) as cluster_inertia, cast(sum(far) over () as bigint) as inertia,
+        sha256(array_to_string(c, ',')) as centroid_sha256 from l join c{rounds} using (k)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -100,4 +151,6 @@ def oracle_sql() -> dict[str, str]:
             m as (select page_id, r.verdict, h || s as rule, row_number() over (partition by page_id order by length(h || s) desc) as nth
               from p join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, s))
             select p.page_id, host, path, rule, coalesce(m.verdict, 'allow') as verdict from p left join m on p.page_id = m.page_id and nth = 1""",
+        "op12_codes": _codes_sql(),
+        "op13_clusters": _clusters_sql(),
     }
