@@ -10,16 +10,19 @@ from ..functions.folds import Gate, Simple, Throttle
 from ..sources import schemas
 from .folding import keyed_fold
 
+#: Fixed values in milliseconds: idle time after which a session ends, and time after its window at which a rate is forgotten.
+IDLE, AFTER_RESET = 24 * 3600_000, 3600_000
 RATE = "{key} string, ms long, event_id long, allowed boolean, remaining long, retry_after long, violations long, reset_ms long"
 
 
-def rate_limit(df: DataFrame, key: str, most: int | None = None, window: int | None = None) -> DataFrame:
-    """A1: each request's decision. ``most`` and ``window`` may be columns of those names instead (A2)."""
+def rate_limit(df: DataFrame, key: str, most: int | None = None, window: int | None = None, after_reset: int | None = None) -> DataFrame:
+    """A1: each request's decision. ``most`` and ``window`` may be columns of those names instead (A2). With ``after_reset``, a record
+    that is past its window by more than that is forgotten."""
     per_row = most is None
 
     def step(s: Throttle, r: dict) -> tuple:
         n, w = (r["most"], r["window"]) if per_row else (most, window)
-        allowed, remaining, wait = s.step(r["ms"], n, w)
+        allowed, remaining, wait = s.step(r["ms"], n, w, after_reset)
         return (r[key], r["ms"], r["event_id"], allowed, remaining, wait, s.violations, s.reset)
 
     fields = ["ms", "event_id", *(["most", "window"] if per_row else [])]
@@ -81,21 +84,34 @@ def flags(log: DataFrame, expected_token: str, allowed_origins: list[str] | None
         "vault_ok": rules.vault_id(F.col("vault_id")).isNotNull(),
         "user_ok": rules.user_id(F.col("user_id")).isNotNull(),
         "size_ok": F.coalesce(F.col("msg_bytes"), F.lit(0)) <= schemas.MAX_MESSAGE,
+        "readable": F.col("msg_bytes").isNotNull(),
     })
 
 
-def admission(log: DataFrame, limits: dict[str, tuple[int, int]], most_open: int, expected_token: str = "secret-1", allowed_origins: list[str] | None = None) -> DataFrame:
-    """One fold by IP, as every stateful check is keyed by it. Connects get a decision, closes end sessions."""
-    rows = flags(log, expected_token, allowed_origins).filter("kind in ('connect', 'disconnect')")
+#: Columns that the admission fold reads, and its rows.
+GATE = ["ms", "event_id", "kind", "connection_id", "origin_ok", "token_ok", "vault_ok", "user_ok", "size_ok", "readable"]
+DECISIONS = "ip string, event_id long, ms long, decision string, reason string, close_code long, open long"
+_CODES = {"too_large": schemas.TOO_LARGE, "internal": schemas.INTERNAL}
 
-    def step(s: Gate, r: dict) -> tuple:
-        if r["kind"] == "disconnect":
-            return (r["ip"], r["event_id"], r["ms"], "close", None if s.close(r["connection_id"]) else "no_session", None, s.open)
+
+def decide(s: Gate, r: dict) -> tuple:
+    """One event at the gate. Connects are admitted or rejected; messages pass, are throttled, or close their session; messages
+    of connections without a session are dropped."""
+    row = lambda decision, why=None, code=None: (r["ip"], r["event_id"], r["ms"], decision, why, code, s.open)
+    if r["kind"] == "disconnect":
+        return row("close", None) if s.close(r["connection_id"], r["ms"]) else row("close", "no_session")
+    if r["kind"] == "connect":
         why = s.connect(r["ms"], r["connection_id"], r["origin_ok"], r["token_ok"], r["vault_ok"], r["user_ok"])
-        return (r["ip"], r["event_id"], r["ms"], "reject" if why else "admit", why, schemas.POLICY if why else None, s.open)
+        return row("reject", why, schemas.POLICY) if why else row("admit")
+    why = s.message(r["ms"], r["connection_id"], r["size_ok"] if r["readable"] else None)
+    return row({None: "pass", "no_session": "drop", "message_rate": "throttle"}.get(why, "close"), why, _CODES.get(why))
+
 
-    fields = ["ms", "event_id", "kind", "connection_id", "origin_ok", "token_ok", "vault_ok", "user_ok"]
-    return keyed_fold(rows, ["ip"], ["ms", "event_id"], lambda: Gate(limits, most_open), step, fields, "ip string, event_id long, ms long, decision string, reason string, close_code long, open long")
+def admission(log: DataFrame, limits: dict[str, tuple[int, int]], most_open: int, expected_token: str = "secret-1", allowed_origins: list[str] | None = None, idle: int | None = IDLE, after_reset: int | None = AFTER_RESET) -> DataFrame:
+    """One fold by IP, as every stateful check is keyed by it. Connects get a decision, closes end sessions, and so do messages
+    that are too large (1009) or cannot be read (1011: their size is null). A session that is idle for more than ``idle`` ends."""
+    rows = flags(log, expected_token, allowed_origins).filter("kind in ('connect', 'disconnect', 'message')")
+    return keyed_fold(rows, ["ip"], ["ms", "event_id"], lambda: Gate(limits, most_open, idle=idle, after_reset=after_reset), decide, GATE, DECISIONS)
 
 
 def rejections_by_reason(decided: DataFrame) -> DataFrame:
@@ -115,9 +131,9 @@ def throttle_hits(log: DataFrame, limited: DataFrame) -> DataFrame:
     return joined.groupBy("direction").agg(F.count_if(~F.col("allowed")).alias("hits"), F.count_if("allowed").alias("allowed"))
 
 
-def state_expiry(sessions: DataFrame, limited: DataFrame, key: str, as_of: Column, idle: int = 24 * 3600_000, after_reset: int = 3600_000) -> DataFrame:
-    """A10: sessions idle for longer than ``idle`` and throttle records past their window by more than ``after_reset``."""
-    kept = sessions.select(F.lit("session").alias("kind"), F.col("connection_id").alias("id"), (as_of - F.col("last_ms") > idle).alias("expired"))
+def state_expiry(sessions: DataFrame, limited: DataFrame, key: str, as_of: Column, idle: int = IDLE, after_reset: int = AFTER_RESET) -> DataFrame:
+    """A10: open sessions idle for longer than ``idle`` and throttle records past their window by more than ``after_reset``."""
+    kept = sessions.filter("is_open").select(F.lit("session").alias("kind"), F.col("connection_id").alias("id"), (as_of - F.col("last_ms") > idle).alias("expired"))
     last = limited.groupBy(key).agg(F.max("reset_ms").alias("reset_ms"))
     return kept.unionByName(last.select(F.lit("throttle").alias("kind"), F.col(key).alias("id"), (as_of - F.col("reset_ms") > after_reset).alias("expired")))
 

@@ -62,11 +62,12 @@ def queue_depth(routed: DataFrame) -> DataFrame:
 def route_ops(ops: DataFrame, changes: DataFrame) -> DataFrame:
     """An operation of a user who is connected at its time goes direct, else into the queue (as-of: the last change
     at or before it, by union and window instead of a range join)."""
-    o = ops.select("user_id", "ms", "vault_id", "seq", F.lit(None).cast("string").alias("status"), F.lit(1).alias("side"))
-    c = changes.select(F.col("client_id").alias("user_id"), "ms", F.lit(None).cast("string").alias("vault_id"), F.col("event_id").alias("seq"), "status", F.lit(0).alias("side"))
+    more = [c for c in ops.columns if c in ("id", "type", "new_path")]
+    o = ops.select("user_id", "ms", "vault_id", "seq", *more, F.lit(None).cast("string").alias("status"), F.lit(1).alias("side"))
+    c = changes.select(F.col("client_id").alias("user_id"), "ms", F.lit(None).cast("string").alias("vault_id"), F.col("event_id").alias("seq"), *[F.lit(None).cast(ops.schema[c].dataType).alias(c) for c in more], "status", F.lit(0).alias("side"))
     by = Window.partitionBy("user_id").orderBy("ms", "side", "seq").rowsBetween(Window.unboundedPreceding, 0)
     known = o.unionByName(c).withColumn("now", F.last("status", ignorenulls=True).over(by)).filter("side = 1")
-    return known.select("vault_id", "user_id", "ms", "seq", F.when(F.col("now") == "connected", "direct").otherwise("queued").alias("route"), F.lit(1).cast("long").alias("n"))
+    return known.select("vault_id", "user_id", "ms", "seq", *more, F.when(F.col("now") == "connected", "direct").otherwise("queued").alias("route"), F.lit(1).cast("long").alias("n"))
 
 
 def drains(routed: DataFrame, changes: DataFrame) -> DataFrame:
@@ -79,6 +80,20 @@ def drains(routed: DataFrame, changes: DataFrame) -> DataFrame:
     return rows.groupBy("vault_id", "user_id", F.col("next.ms").alias("ms"), F.col("next.seq").alias("seq")).agg(F.count(F.lit(1)).alias("n")).select("vault_id", "user_id", "ms", "seq", F.lit("drain").alias("route"), "n")
 
 
+def offline_drain(ops: DataFrame, changes: DataFrame) -> DataFrame:
+    """O7 and O2 together, the batch form of T7: operations that go direct, and those that a return to ``connected`` drains, with what
+    becomes of them. Those that still wait are left out; an id counts once, at its first time."""
+    once = ops.groupBy("id").agg(F.min(F.struct("ms", "seq", "vault_id", "user_id", "type", "new_path")).alias("o")).select("id", "o.*")
+    routed = route_ops(once, changes)
+    back = changes.filter("status = 'connected'").select(F.col("client_id").alias("user_id"), "ms", F.lit(True).alias("back"))
+    ahead = Window.partitionBy("user_id").orderBy(F.desc("ms"), F.desc_nulls_last("route")).rowsBetween(Window.unboundedPreceding, 0)
+    next_back = F.last(F.when(F.col("back"), F.col("ms")), ignorenulls=True).over(ahead)
+    queued = routed.filter("route = 'queued'").unionByName(back, allowMissingColumns=True).withColumn("at_ms", next_back).filter("back is null and at_ms is not null")
+    drained = drain_queue(queued).select("vault_id", "user_id", "id", "ms", "route", "outcome", "at_ms")
+    direct = routed.filter("route = 'direct'").select("vault_id", "user_id", "id", "ms", "route", F.lit("applied").alias("outcome"), F.col("ms").alias("at_ms"))
+    return direct.unionByName(drained)
+
+
 def drain_summary(drained: DataFrame) -> DataFrame:
     """Applied and remaining operations of each vault and type, of each vault, and the first blocker."""
     stuck = F.when(F.col("outcome") == "failed", F.col("seq"))

@@ -17,15 +17,15 @@ def sessions(log: DataFrame, budget: DataFrame) -> DataFrame:
     rows = log.join(budget.select("event_id", "allowed"), "event_id", "left")
     valid = rules.vault_id(F.col("vault_id"))
     active = (F.col("kind") == "connect") | ((F.col("kind") == "message") & F.coalesce("allowed", F.lit(False)))
-    last = lambda cond: F.coalesce(F.max(F.when(cond, F.col("event_id"))), F.lit(-1))
+    at = F.struct("ms", "event_id")
     return rows.groupBy("connection_id").agg(
         F.min("ms").alias("created_ms"),
-        F.min_by(valid, F.when(valid.isNotNull(), F.col("event_id"))).alias("vault_id"),
-        F.min_by(rules.user_id(F.col("user_id")), "event_id").alias("user_id"),
-        F.min_by("ip", "event_id").alias("ip"),
+        F.min_by(valid, F.when(valid.isNotNull(), at)).alias("vault_id"),
+        F.min_by(rules.user_id(F.col("user_id")), at).alias("user_id"),
+        F.min_by("ip", at).alias("ip"),
         F.coalesce(F.max(F.when(active, F.col("ms"))), F.min("ms")).alias("last_ms"),
         F.max(F.when(F.col("kind") == "disconnect", F.col("ms"))).alias("closed_ms"),
-        (last(F.col("kind") != "disconnect") > last(F.col("kind") == "disconnect")).alias("is_open"),
+        (F.max_by("kind", at) != "disconnect").alias("is_open"),
     )
 
 
@@ -93,11 +93,12 @@ def recent_events(log: DataFrame, key: str, n: int = HISTORY) -> DataFrame:
     return rows.select(key, "nth", "event_id", "kind", "connection_id", F.when(keep, F.col("vault_id")).alias("vault"), F.when(keep, F.col("user_id")).alias("user"), "ms")
 
 
-def presence_latest(presence: DataFrame) -> DataFrame:
-    """P10: the latest state of each client; a null state removes it."""
+def presence_latest(presence: DataFrame, as_of: Column | None = None, ttl: int | None = None) -> DataFrame:
+    """P10: the latest state of each client; a null state removes it, and so does silence for more than ``ttl``."""
     state = F.struct("vault_id", "name", "current_file", "is_null", "ms")
     last = presence.groupBy("client_id").agg(F.max_by(state, F.struct("ms", "seq")).alias("s"))
-    return last.filter("not s.is_null").select("client_id", "s.vault_id", "s.name", "s.current_file", "s.ms")
+    here = ~F.col("s.is_null") if ttl is None else ~F.col("s.is_null") & (as_of - F.col("s.ms") <= ttl)
+    return last.filter(here).select("client_id", "s.vault_id", "s.name", "s.current_file", "s.ms")
 
 
 def presence_delta(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -14,8 +14,8 @@ OPEN = 3
 LIMITS = {"default": (10, 6 * 3600_000, "connection"), "connection": (2, 6 * 3600_000, "ip"), "message": (3, 12 * 3600_000, "connection"), "auth": (3, 6 * 3600_000, "connection")}
 
 
-def throttled(source: str, key: str, most: str = str(MOST), window: str = str(WINDOW), order: str = "ms, event_id") -> str:
-    """Recursive SQL for the throttle: one step per request number of a key. Defines ``thr``."""
+def throttled(source: str, key: str, most: str = str(MOST), window: str = str(WINDOW), order: str = "ms, event_id", after: int = 1 << 60) -> str:
+    """Recursive SQL for the throttle: one step per request number of a key; ``after`` its window, a record is forgotten. Defines ``thr``."""
     return f"""num as (select *, row_number() over (partition by {key} order by {order}) as rn from {source}),
       thr as (
         select {key} as k, cast(0 as bigint) as rn, cast(null as bigint) as event_id, cast(null as bigint) as ms, true as allowed, cast(0 as bigint) as cnt, cast(-1 as bigint) as reset_ms, cast(0 as bigint) as violations, cast(0 as bigint) as most, cast(0 as bigint) as win
@@ -24,7 +24,7 @@ def throttled(source: str, key: str, most: str = str(MOST), window: str = str(WI
         select k, rn, event_id, ms, c0 < most, case when c0 < most then c0 + 1 else c0 end, r0, case when c0 < most then v0 else v0 + 1 end, most, win from (
           select t.k, n.rn, n.event_id, n.ms, cast({most} as bigint) as most, cast({window} as bigint) as win,
             case when n.ms >= t.reset_ms then 0 else t.cnt end as c0, case when n.ms >= t.reset_ms then n.ms + {window} else t.reset_ms end as r0,
-            case when n.ms >= t.reset_ms then greatest(0, t.violations - 1) else t.violations end as v0
+            case when n.ms - t.reset_ms > {after} then 0 when n.ms >= t.reset_ms then greatest(0, t.violations - 1) else t.violations end as v0
           from thr t join num n on n.{key} = t.k and n.rn = t.rn + 1) s)"""
 
 
@@ -51,8 +51,13 @@ def budget(spark, d):
     return ops.message_budget(log(spark, d), MOST, WINDOW)
 
 
+def traffic(df):
+    """The log with messages that cannot be read: every 37th row has no size."""
+    return df.withColumn("msg_bytes", F.when(F.col("event_id") % 37 != 0, F.col("msg_bytes")))
+
+
 def admitted(spark, d):
-    return ops.admission(log(spark, d), {k: v[:2] for k, v in LIMITS.items()}, OPEN)
+    return ops.admission(traffic(log(spark, d)), {k: v[:2] for k, v in LIMITS.items()}, OPEN)
 
 
 def state_expiry(spark, d):
@@ -63,34 +68,42 @@ def state_expiry(spark, d):
 SESSIONS = f"""{throttled("m", "connection_id")},
   bud as (select event_id, allowed from thr where rn > 0),
   lg as (select c.*, coalesce(b.allowed, false) as ok from fx_conn c left join bud b on c.event_id = b.event_id),
-  ses as (select connection_id, min(ms) as created_ms, arg_min(vault_id, event_id) filter (regexp_full_match(vault_id, '[A-Za-z0-9_-]{{1,128}}')) as vault_id,
-    arg_min(case when coalesce(user_id, '') = '' then 'anonymous' else user_id end, event_id) as user_id, arg_min(ip, event_id) as ip,
+  ses as (select connection_id, min(ms) as created_ms, arg_min(vault_id, (ms, event_id)) filter (regexp_full_match(vault_id, '[A-Za-z0-9_-]{{1,128}}')) as vault_id,
+    arg_min(case when coalesce(user_id, '') = '' then 'anonymous' else user_id end, (ms, event_id)) as user_id, arg_min(ip, (ms, event_id)) as ip,
     coalesce(max(ms) filter (kind = 'connect' or (kind = 'message' and ok)), min(ms)) as last_ms, max(ms) filter (kind = 'disconnect') as closed_ms,
-    coalesce(max(event_id) filter (kind <> 'disconnect'), -1) > coalesce(max(event_id) filter (kind = 'disconnect'), -1) as is_open
+    arg_max(kind, (ms, event_id)) <> 'disconnect' as is_open
     from lg group by 1)"""
 
 _FLAGS = """regexp_full_match(origin, 'https?://(localhost|127\\.0\\.0\\.1)(:[0-9]+)?') as origin_ok, coalesce(token = 'secret-1', false) as token_ok,
     coalesce(regexp_full_match(vault_id, '[A-Za-z0-9_-]{1,128}'), false) as vault_ok, coalesce(user_id, '') = '' or regexp_full_match(user_id, '[A-Za-z0-9_.@-]{1,64}') as user_ok"""
-#: The whole of A6 as one recursion by IP: both rate records, the open sessions, and the first failing check. Defines ``adm``.
-ADMISSION = f"""ev as (select *, {_FLAGS}, kind = 'connect' as con, row_number() over (partition by ip order by ms, event_id) as rn from fx_conn where kind in ('connect', 'disconnect')),
+#: The whole of A6 as one recursion by IP: both rate records, the open sessions with their last activity and message budget, and the
+#: first failing check. Defines ``adm``.
+ADMISSION = f"""ev as (select *, {_FLAGS}, event_id % 37 <> 0 as readable, row_number() over (partition by ip order by ms, event_id) as rn from fx_conn),
   adm as (
-    select ip, cast(0 as bigint) as rn, cast(null as bigint) as event_id, cast(null as bigint) as ms, '' as decision, cast(null as varchar) as reason, cast(0 as bigint) as open, cast([] as varchar[]) as ses,
+    select ip, cast(0 as bigint) as rn, cast(null as bigint) as event_id, cast(null as bigint) as ms, '' as decision, cast(null as varchar) as reason, cast(0 as bigint) as open, cast([] as struct(c varchar, l bigint, n bigint, e bigint)[]) as ses,
       cast(0 as bigint) as c_n, cast(-1 as bigint) as c_end, cast(0 as bigint) as a_n, cast(-1 as bigint) as a_end from ev group by 1
     union all
     select ip, rn, event_id, ms, decision, reason,
-      case when decision = 'admit' then open + 1 when decision = 'close' and reason is null then greatest(0, open - 1) else open end,
-      case when decision = 'reject' then ses when decision = 'admit' then list_append(list_filter(ses, lambda x: x <> connection_id), connection_id) else list_filter(ses, lambda x: x <> connection_id) end,
+      case when decision = 'admit' then open + 1 when decision = 'close' and reason is distinct from 'no_session' then greatest(0, open - 1) else open end,
+      case decision when 'admit' then list_append(list_filter(ses, lambda x: x.c <> connection_id), struct_pack(c := connection_id, l := ms, n := cast(0 as bigint), e := cast(-1 as bigint)))
+        when 'close' then list_filter(ses, lambda x: x.c <> connection_id)
+        when 'pass' then list_append(list_filter(ses, lambda x: x.c <> connection_id), struct_pack(c := connection_id, l := ms, n := m0 + 1, e := m_end0)) else ses end,
       case when asks_c then c0 + cast(c0 < {LIMITS['connection'][0]} as bigint) else c_n end, case when asks_c then c_end0 else c_end end,
       case when asks_a then a0 + cast(a0 < {LIMITS['auth'][0]} as bigint) else a_n end, case when asks_a then a_end0 else a_end end
-    from (select *, case when not con then 'close' when reason is null then 'admit' else 'reject' end as decision from (
-      select *, con and open < {OPEN} as asks_c, con and open < {OPEN} and c0 < {LIMITS['connection'][0]} and origin_ok as asks_a,
-        case when not con then case when not list_contains(ses, connection_id) then 'no_session' end when open >= {OPEN} then 'ip_limit' when c0 >= {LIMITS['connection'][0]} then 'connection_rate' when not origin_ok then 'origin'
-          when a0 >= {LIMITS['auth'][0]} then 'auth_rate' when not token_ok then 'token' when not vault_ok then 'vault_id' when not user_ok then 'user_id' end as reason
-      from (select f.ip, f.open, f.ses, f.c_n, f.c_end, f.a_n, f.a_end, e.rn, e.event_id, e.ms, e.con, e.connection_id, e.origin_ok, e.token_ok, e.vault_ok, e.user_ok,
-          case when e.ms >= f.c_end then 0 else f.c_n end as c0, case when e.ms >= f.c_end then e.ms + {LIMITS['connection'][1]} else f.c_end end as c_end0,
-          case when e.ms >= f.a_end then 0 else f.a_n end as a0, case when e.ms >= f.a_end then e.ms + {LIMITS['auth'][1]} else f.a_end end as a_end0
-        from adm f join ev e on e.ip = f.ip and e.rn = f.rn + 1) s1) s2) s3)"""
-DECIDED = "select ip, event_id, ms, decision, reason, case when decision = 'reject' then 1008 end as close_code, open from adm where rn > 0"
+    from (select *, case kind when 'connect' then case when reason is null then 'admit' else 'reject' end when 'disconnect' then 'close'
+        else case reason when 'no_session' then 'drop' when 'message_rate' then 'throttle' when 'internal' then 'close' when 'too_large' then 'close' else 'pass' end end as decision from (
+      select *, kind = 'connect' and open < {OPEN} as asks_c, kind = 'connect' and open < {OPEN} and c0 < {LIMITS['connection'][0]} and origin_ok as asks_a,
+        case kind when 'disconnect' then case when s is null then 'no_session' end
+          when 'message' then case when s is null then 'no_session' when not readable then 'internal' when msg_bytes > 1048576 then 'too_large' when m0 >= {LIMITS['message'][0]} then 'message_rate' end
+          else case when open >= {OPEN} then 'ip_limit' when c0 >= {LIMITS['connection'][0]} then 'connection_rate' when not origin_ok then 'origin'
+            when a0 >= {LIMITS['auth'][0]} then 'auth_rate' when not token_ok then 'token' when not vault_ok then 'vault_id' when not user_ok then 'user_id' end end as reason
+      from (select * replace (greatest(0, open - len(was) + len(ses)) as open), case when ms >= s.e then 0 else s.n end as m0, case when ms >= s.e then ms + {LIMITS['message'][1]} else s.e end as m_end0
+        from (select *, list_filter(ses, lambda x: x.c = connection_id)[1] as s from (
+          select f.ip, f.open, f.ses as was, list_filter(f.ses, lambda x: e.ms - x.l <= {ops.IDLE}) as ses, f.c_n, f.c_end, f.a_n, f.a_end, e.rn, e.event_id, e.ms, e.kind, e.msg_bytes, e.readable, e.connection_id, e.origin_ok, e.token_ok, e.vault_ok, e.user_ok,
+            case when e.ms >= f.c_end then 0 else f.c_n end as c0, case when e.ms >= f.c_end then e.ms + {LIMITS['connection'][1]} else f.c_end end as c_end0,
+            case when e.ms >= f.a_end then 0 else f.a_n end as a0, case when e.ms >= f.a_end then e.ms + {LIMITS['auth'][1]} else f.a_end end as a_end0
+          from adm f join ev e on e.ip = f.ip and e.rn = f.rn + 1) s1) s2) s3) s4) s5)"""
+DECIDED = "select ip, event_id, ms, decision, reason, case when decision = 'reject' then 1008 when reason = 'too_large' then 1009 when reason = 'internal' then 1011 end as close_code, open from adm where rn > 0"
 
 QUERIES = {
     "rate_limit": Query(limited, oracle(f"with {throttled('fx_conn', 'ip')} select k as ip, {_RATE}", "fx_conn", recursive=True)),
@@ -115,6 +128,6 @@ QUERIES = {
       select direction, count(*) filter (not allowed) as hits, count(*) filter (allowed) as allowed from thr join m using (event_id) where thr.rn > 0 group by 1""", "fx_conn", recursive=True)),
     "state_expiry": Query(state_expiry, oracle(f"""with {_MESSAGES}, {SESSIONS}, x as (select max(ms) as as_of from fx_conn),
       {throttled('fx_conn', 'ip').replace('num as', 'num2 as').replace('from num ', 'from num2 ').replace('join num n', 'join num2 n').replace('thr as', 'thr2 as').replace('from thr t', 'from thr2 t')}
-      select 'session' as kind, connection_id as id, as_of - last_ms > 86400000 as expired from ses, x
+      select 'session' as kind, connection_id as id, as_of - last_ms > 86400000 as expired from ses, x where is_open
       union all select 'throttle', k, any_value(as_of) - max(reset_ms) > 3600000 from thr2, x where rn > 0 group by k""", "fx_conn", recursive=True)),
 }

@@ -26,7 +26,7 @@ def changes(spark, d):
 
 
 def routed(spark, d):
-    return ops.route_ops(log(spark, d), changes(spark, d))
+    return ops.route_ops(log(spark, d), changes(spark, d)).select("vault_id", "user_id", "ms", "seq", "route", "n")
 
 
 def depth(spark, d):
@@ -36,11 +36,23 @@ def depth(spark, d):
 
 def twice(spark, d):
     """Operations of which some arrive again later."""
-    rows = log(spark, d)
+    return again(log(spark, d))
+
+
+def again(rows):
     return rows.unionByName(rows.filter("id % 7 = 0").withColumns({"ms": F.col("ms") + 1000, "seq": F.col("seq") + 1}))
 
 
+#: Each operation with its route, the next return of a queued one's client, and its outcome in the queue of the drained ones.
+OFFLINE = f"""{_ROUTE}, ri as (select ro.*, o.id, o.type, o.new_path from ro join fx_ops o using (vault_id, user_id, seq)),
+  qu as (select q.*, t.ms as at_ms, q.type in ('rename', 'move') and coalesce(q.new_path, '') = '' as fails from (select * from ri where route = 'queued') q
+    asof join (select client_id, ms from tr where status = 'connected' group by all) t on q.user_id = t.client_id and q.ms < t.ms),
+  dq as (select *, sum(cast(fails as integer)) over ({_Q} rows unbounded preceding) as f from qu)
+  select vault_id, user_id, id, ms, route, case when f = 0 then 'applied' when fails and f = 1 then 'failed' else 'left' end as outcome, at_ms from dq
+  union all select vault_id, user_id, id, ms, route, 'applied', ms from ri where route = 'direct'"""
+
 QUERIES = {
+    "offline_drain": Query(lambda spark, d: ops.offline_drain(twice(spark, d), changes(spark, d)), oracle(f"with {OFFLINE}", "fx_status", "fx_ops")),
     "order_queue": Query(lambda spark, d: ops.order_queue(log(spark, d)).select("vault_id", "user_id", "id", "nth"), oracle(f"select vault_id, user_id, id, cast(row_number() over ({_Q}) as integer) as nth from fx_ops", "fx_ops")),
     "drain_queue": Query(lambda spark, d: ops.drain_queue(log(spark, d)).select("id", "outcome"), oracle(f"with {_DRAIN} select id, outcome from dq", "fx_ops")),
     "replay_ops": Query(lambda spark, d: ops.replay_ops(log(spark, d))),

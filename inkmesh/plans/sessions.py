@@ -37,8 +37,7 @@ def access(spark, d):
 
 
 def presence(spark, d):
-    rows = with_ms(frame(spark, d, "fx_presence"))
-    return rows.withColumn("seq", F.col("ms"))
+    return with_ms(frame(spark, d, "fx_presence"))
 
 
 def delta(spark, d):
@@ -56,7 +55,7 @@ _ROSTER = """j as (select vault_id, case when coalesce(user_id, '') = '' then 'a
   held as (select vault_id, user_id, arg_max(permission, event_id) as permission from gr group by all),
   ros as (select f.vault_id, owner, created_ms, member_count, permissions from first f join (select vault_id, count(*) as member_count, map_from_entries(list(struct_pack(k := user_id, v := permission) order by user_id)) as permissions from held group by 1) h on f.vault_id = h.vault_id)"""
 _ACT = "act as (select r.vault_id, owner, member_count, coalesce(n, 0) as active_sessions, coalesce(n, 0) > 0 as is_active from ros r left join (select vault_id, count(*) filter ((select max(ms) from fx_conn) - last_ms < 300000) as n from ses where is_open group by 1) s on r.vault_id = s.vault_id)"
-_LATEST = "(select * from (select *, row_number() over (partition by client_id order by ms desc) as nth from {src}) q where nth = 1 and not is_null)"
+_LATEST = "(select * from (select *, row_number() over (partition by client_id order by ms desc, seq desc) as nth from {src}) q where nth = 1 and not is_null)"
 _GAUGE = """g as (select ip, vault_id, ms, event_id, kind, connection_id, user_id, case kind when 'connect' then 1 when 'disconnect' then -1 end as change from fx_conn where kind in ('connect', 'disconnect')),
   t as (select ip, ms, event_id, sum(change) over (partition by ip order by ms, event_id rows unbounded preceding) as total from g),
   o as (select ip, ms, event_id, cast(total - least(0, min(total) over (partition by ip order by ms, event_id rows unbounded preceding)) as bigint) as open from t)"""

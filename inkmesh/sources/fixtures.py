@@ -60,7 +60,7 @@ select concat('u', cast(user_id as varchar(9))) as client_id, ts,
   concat('user ', cast(user_id as varchar(9))) as name,
   case when event_type = 'purchase' then null
     else concat('n', cast(cast(floor(value) as bigint) % 20 as varchar(9)), '.md') end as current_file,
-  event_type = 'error' as is_null
+  event_type = 'error' as is_null, event_id as seq
 from events
 """,
     "fx_status": """

@@ -16,30 +16,39 @@ _own: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder name in the folder that the cluster shares; only where none is set, one of this machine's."""
+    """A new folder name in the folder that the cluster shares; where none is set, one of this machine's, if that is all there is."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("executors on several machines need spark.checkpoint.dir, a folder that they share")
     if not base:
         base = _own.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="spark-")
         _own[spark.sparkContext.applicationId] = base
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
-def closing(stream: DataFrame, at: int, **values: str) -> tuple[DataFrame, Callable[[], None]]:
-    """``stream`` with a second source that is empty, and a function that puts one row there: all null but ``ts`` and ``ms``, at
-    ``at`` milliseconds, and ``values``. Its time moves the watermark past all other rows; it waits itself for ever."""
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: what reads it does not work it out again."""
+    path = scratch(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def closing(stream: DataFrame, at: int, **values: str) -> DataFrame:
+    """``stream`` with a second source of one row: all null but ``ms`` and, if it is there, ``ts``, at ``at`` milliseconds, and ``values``.
+    Its time moves the watermark past all other rows; it waits itself for ever. It comes with the first batch, so that the
+    other source must have no limit for a batch: else rows of later ones are behind the watermark."""
     spark = stream.sparkSession
     folder = f"{scratch(spark, 'closing')}/rows"
-    spark.createDataFrame([], stream.schema).write.parquet(folder)
     known = {"ms": F.lit(at), "ts": F.expr(f"timestampadd(MILLISECOND, {at}, timestamp_ntz'1970-01-01 00:00:00')")} | {k: F.lit(v) for k, v in values.items()}
-    row = spark.range(1).select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in stream.schema])
-    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(folder)), lambda: row.write.mode("append").parquet(folder)
+    spark.range(1).select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in stream.schema]).write.parquet(folder)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(folder))
 
 
-def drained(stream: DataFrame, tag: str, mode: str = "append", each: Callable[[DataFrame, int, str], None] | None = None, close: Callable[[], None] | None = None) -> DataFrame:
+def drained(stream: DataFrame, tag: str, mode: str = "append", each: Callable[[DataFrame, int, str], None] | None = None, again: Callable[[], None] | None = None, read: bool = True) -> DataFrame | None:
     """Runs ``stream`` until its present input is used up and returns the rows of its Parquet sink.
 
     ``each(batch, number, folder)`` replaces the sink for batches that are to be written otherwise, below ``folder``. With
-    ``close``, the stream goes on after that call, from where it stood, so that rows that still wait come out too.
+    ``again``, the stream goes on after that call, from where it stood. Without ``read``, ``each`` knows how to read what it wrote.
     """
     spark = stream.sparkSession
     folder = scratch(spark, tag)
@@ -47,12 +56,14 @@ def drained(stream: DataFrame, tag: str, mode: str = "append", each: Callable[[D
     before = spark.conf.get(key, None)
     spark.conf.set(key, ROCKS)
     try:
-        for again in (False, True) if close else (False,):
-            if again:
-                close()
+        for more in (None, again) if again else (None,):
+            if more:
+                more()
             writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True)
             query = writer.foreachBatch(lambda df, n: each(df, n, out)).start() if each else writer.format("parquet").option("path", out).start()
             query.awaitTermination()
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    if not read:
+        return None
     return spark.read.schema(stream.schema).parquet(out) if each is None else spark.read.parquet(out)
