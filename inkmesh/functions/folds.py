@@ -132,15 +132,18 @@ class Gate:
 
 @dataclass
 class Replica:
-    """Files, folders and identities of one client's queue, until an operation fails."""
+    """Files, folders and identities of one client's queue, until an operation fails. ``moved`` has what the last step did to files:
+    pairs of old and new path, without the one that a creation or a deletion lacks."""
 
     files: dict[str, str | None] = field(default_factory=dict)
     folders: set[str] = field(default_factory=set)
     origin: dict[str, tuple[str, int]] = field(default_factory=dict)
     blocked: bool = False
+    moved: list[tuple[str | None, str | None]] = field(default_factory=list)
 
     def step(self, kind: str, path: str, new_path: str | None, content: str | None) -> str:
         """``applied``, ``skipped`` (succeeds without effect), ``failed`` or ``left``."""
+        self.moved = []
         if self.blocked:
             return "left"
         if kind in ("rename", "move"):
@@ -155,25 +158,30 @@ class Replica:
             self.files[new_path] = self.files.pop(path)
             first, hops = self.origin.pop(path)
             self.origin[new_path] = (first, hops + 1)
+            self.moved = [(path, new_path)]
             return "applied"
         taken = path in self.files or path in self.folders
         if kind == "create" and not taken:
             self.files[path], self.origin[path] = content or "", (path, 0)
+            self.moved = [(None, path)]
             return "applied"
         if kind == "createFolder" and not taken:
             self.folders.add(path)
             return "applied"
         if kind in ("delete", "deleteFolder") and path in self.files:
-            del self.files[path], self.origin[path]
+            self._drop([path])
             return "applied"
         if kind == "deleteFolder" and path in self.folders:
-            below = [f for f in self.files if f.startswith(path + "/")]
-            for f in below:
-                del self.files[f], self.origin[f]
+            self._drop([f for f in self.files if f.startswith(path + "/")])
             self.folders = {f for f in self.folders if f != path and not f.startswith(path + "/")}
             return "applied"
         return "skipped"
 
+    def _drop(self, paths: list[str]) -> None:
+        for f in paths:
+            del self.files[f], self.origin[f]
+        self.moved = [(f, None) for f in paths]
+
 
 @dataclass
 class Session:
@@ -202,19 +210,6 @@ class Session:
         return ended
 
 
-@dataclass
-class Drain:
-    """A queue that stops at its first failure."""
-
-    stopped: bool = False
-
-    def step(self, kind: str, new_path: str | None) -> str:
-        if self.stopped:
-            return "left"
-        self.stopped = kind in ("rename", "move") and not new_path
-        return "failed" if self.stopped else "applied"
-
-
 @dataclass
 class Outbox:
     """Operations of one client: direct while it is connected, else held by vault until it is back. Then they go in order up to the

@@ -8,17 +8,25 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.folds import Gate, Simple, Throttle
 from ..sources import schemas
+from ..sources.scratch import written
 from .folding import keyed_fold
+from .split import split_rate_limit
 
 #: Fixed values in milliseconds: idle time after which a session ends, and time after its window at which a rate is forgotten.
 IDLE, AFTER_RESET = 24 * 3600_000, 3600_000
 RATE = "{key} string, ms long, event_id long, allowed boolean, remaining long, retry_after long, violations long, reset_ms long"
 
 
-def rate_limit(df: DataFrame, key: str, most: int | None = None, window: int | None = None, after_reset: int | None = None) -> DataFrame:
+def rate_limit(df: DataFrame, key: str, most: int | None = None, window: int | None = None, after_reset: int | None = None, hot: int | None = None) -> DataFrame:
     """A1: each request's decision. ``most`` and ``window`` may be columns of those names instead (A2). With ``after_reset``, a record
-    that is past its window by more than that is forgotten."""
+    that is past its window by more than that is forgotten. Keys with more than ``hot`` requests, if that is given, are cut into
+    spans that many tasks fold (see ``split``); they are counted first."""
     per_row = most is None
+    if hot is not None and not per_row:
+        crowded = written(df.groupBy(F.col(key).alias("_hot")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("_hot"), "hot")
+        own = lambda how: df.join(crowded, F.col(key).eqNullSafe(F.col("_hot")), how)
+        rest = rate_limit(own("left_anti"), key, most, window, after_reset)
+        return rest.unionByName(split_rate_limit(own("left_semi"), key, most, window, after_reset, RATE.format(key=key)))
 
     def step(s: Throttle, r: dict) -> tuple:
         n, w = (r["most"], r["window"]) if per_row else (most, window)

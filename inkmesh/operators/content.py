@@ -112,9 +112,15 @@ def open_document_action(versions: DataFrame) -> DataFrame:
     return versions.select(*KEY, action.alias("action"))
 
 
+def typed(resolved: DataFrame, structural: DataFrame) -> DataFrame:
+    """Resolutions of both types of conflict: those of texts, and those of paths (R4), which are settled for the suggested side."""
+    paths = structural.filter("outcome = 'conflict'").select(*KEY, F.lit("structure").alias("type"), F.when(F.col("suggested") == "keepRemote", "remote").otherwise("local").alias("method"))
+    return resolved.select(*KEY, F.lit("content").alias("type"), "method").unionByName(paths)
+
+
 def conflict_summary(resolved: DataFrame) -> DataFrame:
-    """Counts and the share merged, by vault and method and over all of either."""
-    return resolved.cube("vault_id", "method").agg(F.count(F.lit(1)).alias("n"), F.round(F.count_if(F.col("method") == "merge") / F.count(F.lit(1)), 6).alias("share_merged"))
+    """Counts and the share merged, by vault, type and method, and over all of each."""
+    return resolved.cube("vault_id", "type", "method").agg(F.count(F.lit(1)).alias("n"), F.round(F.count_if(F.col("method") == "merge") / F.count(F.lit(1)), 6).alias("share_merged"))
 
 
 def three_way_status(versions: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.folds import Replica
+from ..sources.scratch import written
 from .folding import keyed_fold
 
 QUEUE = ["vault_id", "user_id"]
@@ -28,7 +29,7 @@ def drain_queue(ops: DataFrame) -> DataFrame:
 
 
 def replay_ops(ops: DataFrame) -> DataFrame:
-    """The files each queue ends with, their text, and where they came from; one streaming fold."""
+    """O3: the files each queue ends with, their text, and where they came from; one streaming fold."""
 
     def step(s: Replica, r: dict) -> None:
         s.step(r["type"], r["path"], r["new_path"], r["content"])
@@ -47,9 +48,47 @@ def replay_fast(ops: DataFrame) -> DataFrame:
     return last.withColumn("nth", F.row_number().over(by)).filter("nth = 1").select(*QUEUE, "path", F.col("content").alias("text"))
 
 
-def rename_chains(replayed: DataFrame) -> DataFrame:
-    """Files that moved."""
-    return replayed.filter("hops > 0").select(*QUEUE, "first_path", F.col("path").alias("final_path"), "hops")
+def file_moves(ops: DataFrame) -> DataFrame:
+    """What each operation of O3 did to files: ``old`` and ``new`` path, null for a creation's old and a deletion's new one."""
+
+    def step(s: Replica, r: dict) -> tuple | None:
+        s.step(r["type"], r["path"], r["new_path"], r["content"])
+        return (r["vault_id"], r["user_id"], r["ms"], r["seq"], [{"old": a, "new": b} for a, b in s.moved]) if s.moved else None
+
+    out = "vault_id string, user_id string, ms long, seq long, moved array<struct<old: string, new: string>>"
+    return keyed_fold(ops, QUEUE, ["ms", "seq"], Replica, step, ["ms", "seq", "type", "path", "new_path", "content"], out).select(*QUEUE, "ms", "seq", F.inline("moved"))
+
+
+def rename_chains(moves: DataFrame) -> DataFrame:
+    """Files that moved and still are there: first and final path, and the renames between, by a recursive query over ``file_moves``.
+
+    Each arrival of a file at a path is followed by at most one departure from it, which a window finds; a rename is both. The
+    recursion follows all files at once, a rename further each time. It runs here, as its bounds belong to the session, and the
+    moves are written first, as each step reads them.
+    """
+    spark = moves.sparkSession
+    events = F.array(F.struct(F.col("old").alias("path"), F.lit(0).alias("arrives")), F.struct(F.col("new").alias("path"), F.lit(1).alias("arrives")))
+    rows = moves.select(*QUEUE, "ms", "seq", F.col("old").isNull().alias("born"), F.inline(events)).filter("path is not null")
+    by = Window.partitionBy(*QUEUE, "path").orderBy("ms", "seq", "arrives")
+    at = F.struct("ms", "seq")
+    paired = rows.withColumns({"after": F.lead(at).over(by), "before": F.lag(at).over(by)})
+    arrivals = paired.filter("arrives = 1").select(*QUEUE, at.alias("at"), "path", "born", F.col("after").isNotNull().alias("gone"))
+    left = paired.filter("arrives = 0").select(*QUEUE, at.alias("at"), F.col("path").alias("from_path"), F.col("before").alias("from_at"))
+    links = written(arrivals.join(left, [*QUEUE, "at"], "left"), "moves")
+    bounds = {"spark.sql.cteRecursionLevelLimit": "-1", "spark.sql.cteRecursionRowLimit": "-1"}
+    before = {k: spark.conf.get(k) for k in bounds}
+    try:
+        for k, v in bounds.items():
+            spark.conf.set(k, v)
+        return written(spark.sql("""with recursive chain as (
+            select vault_id, user_id, at, path, path as first_path, cast(0 as bigint) as hops, gone from {links} where born
+            union all
+            select l.vault_id, l.user_id, l.at, l.path, c.first_path, c.hops + 1, l.gone from chain c join {links} l
+              on l.vault_id = c.vault_id and l.user_id = c.user_id and l.from_at = c.at and l.from_path = c.path and not l.born)
+          select vault_id, user_id, first_path, path as final_path, hops from chain where hops > 0 and not gone""", links=links), "chains")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def queue_depth(routed: DataFrame) -> DataFrame:

@@ -35,9 +35,11 @@ def sync_summary(inventory: DataFrame) -> DataFrame:
     return plan.agg(F.count_if(F.col("local") & ~F.col("remote")).alias("pushed"), F.count_if(F.col("remote") & ~F.col("local")).alias("pulled"), F.greatest(F.count_if("local"), F.count_if("remote")).alias("notice"))
 
 
-def recent_ops(ops: DataFrame, as_of: Column) -> DataFrame:
-    """The latest time of each operation on each path up to a moment; a rename is kept under its old path."""
-    return ops.filter(F.col("ms") <= as_of).groupBy("vault_id", "replica", "op", "path").agg(F.max("ms").alias("ms"))
+def recent_ops(ops: DataFrame, as_of: Column, rename_key: str = "old") -> DataFrame:
+    """The latest time of each operation on each path up to a moment; a rename is kept under its old path, or with
+    ``rename_key='new'`` under the new one."""
+    path = F.col("path") if rename_key == "old" else F.when(F.col("op") == "rename", F.coalesce("new_path", "path")).otherwise(F.col("path"))
+    return ops.filter(F.col("ms") <= as_of).withColumn("path", path).groupBy("vault_id", "replica", "op", "path").agg(F.max("ms").alias("ms"))
 
 
 def _times(recent: DataFrame, replica: str = "local") -> DataFrame:
@@ -56,14 +58,13 @@ def structural_conflicts(inventory: DataFrame, recent: DataFrame, as_of: Column,
     return rows.select("vault_id", "path", "side", outcome.alias("outcome"), hint.alias("suggested"))
 
 
-def periodic_reconcile(inventory: DataFrame, recent: DataFrame, as_of: Column, quiet: int = PERIODIC, rename_key: str = "old") -> DataFrame:
+def periodic_reconcile(inventory: DataFrame, recent: DataFrame, as_of: Column, quiet: int = PERIODIC) -> DataFrame:
     """One-sided paths are pushed or pulled unless an own operation is too recent (exactly ``quiet`` still is).
 
-    The first time known, creation before rename, decides. A rename counts under its old path; with
-    ``rename_key='new'`` the caller keys it by the new one.
+    The first time known, creation before rename, decides. A rename counts under the path that ``recent_ops`` keeps it by.
     """
     rows = inventory_diff(inventory).filter("side <> 'common'").join(_times(recent), ["vault_id", "path"], "left")
-    own = F.coalesce(F.nullif("create_ms", F.lit(0)), F.nullif("rename_ms", F.lit(0)), F.lit(0)) if rename_key == "old" else F.greatest(F.coalesce("create_ms", F.lit(0)), F.coalesce("rename_ms", F.lit(0)))
+    own = F.coalesce(F.nullif("create_ms", F.lit(0)), F.nullif("rename_ms", F.lit(0)), F.lit(0))
     since = as_of - F.when(F.col("side") == "local_only", own).otherwise(F.coalesce("delete_ms", F.lit(0)))
     action = F.when(since > quiet, F.when(F.col("side") == "local_only", "push").otherwise("pull")).otherwise("suppressed")
     return rows.select("vault_id", "path", action.alias("action"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import content as ops
 from ..sources.fixtures import frame, oracle
+from . import reconcile
 from .registry import Query
 
 STAMP = "2024-01-31T00-00-00-000Z"
@@ -75,7 +76,12 @@ QUERIES = {
     "open_document_action": Query(lambda spark, d: ops.open_document_action(versions(spark, d)), oracle(f"""with v as (select *, coalesce(local_text, '') as e, coalesce(remote_text, '') as s from fx_versions)
       select vault_id, path, case when s = '' then 'seed' when s = e then 'none' when {_BL.format('s')} and regexp_matches(e, '\\S') then 'keep_editor' when {_BL.format('e')} then 'take_shared'
       when e is distinct from s and base_text <> '' and base_text is distinct from s then 'resolve' else 'take_shared' end as action from v""", "fx_versions")),
-    "conflict_summary": Query(lambda spark, d: ops.conflict_summary(ops.resolve_auto(conflicts(spark, d))), oracle(f"with {_AUTO} select vault_id, method, count(*) as n, round(count(*) filter (method = 'merge') / count(*), 6) as share_merged from au group by cube(vault_id, method)", "fx_versions")),
+    "conflict_summary": Query(lambda spark, d: ops.conflict_summary(ops.typed(ops.resolve_auto(conflicts(spark, d)), reconcile.structural(spark, d))), oracle(f"""with {_AUTO}, st as ({reconcile.STRUCTURAL}),
+      al as (select vault_id, 'content' as type, method from au union all select vault_id, 'structure', case when suggested = 'keepRemote' then 'remote' else 'local' end from st where outcome = 'conflict')
+      select vault_id, type, method, count(*) as n, round(count(*) filter (method = 'merge') / count(*), 6) as share_merged from al group by cube(vault_id, type, method)""", "fx_versions", "fx_inventory", "fx_recent")),
+    "joined_conflicts": Query(lambda spark, d: ops.content_conflicts(joined(spark, d)).select("vault_id", "path", "local_ms", "remote_ms"), oracle("""with j as (select vault_id, path, case when length(path) % 5 <> 2 then base_text end as base, case when length(path) % 5 <> 0 then local_text end as l, case when length(path) % 5 <> 1 then remote_text end as r,
+        case when length(path) % 5 <> 0 then local_ms end as local_ms, case when length(path) % 5 <> 1 then remote_ms end as remote_ms from fx_versions)
+      select vault_id, path, local_ms, remote_ms from j where l is distinct from r and base <> '' and base is distinct from r""", "fx_versions")),
     "three_way_status": Query(lambda spark, d: ops.three_way_status(versions(spark, d)), oracle("""select vault_id, path, case when base_text is not distinct from local_text and base_text is not distinct from remote_text then 'unchanged' when base_text is not distinct from remote_text then 'local_only'
       when base_text is not distinct from local_text then 'remote_only' when local_text is not distinct from remote_text then 'same_change' else 'both_changed' end as status from fx_versions""", "fx_versions")),
     "changed_lines": Query(lambda spark, d: ops.changed_lines(versions(spark, d)), oracle("""with l as (select vault_id, path, unnest(string_split(local_text, chr(10))) as line, generate_subscripts(string_split(local_text, chr(10)), 1) as pos, 1 as side from fx_versions

@@ -51,15 +51,35 @@ OFFLINE = f"""{_ROUTE}, ri as (select ro.*, o.id, o.type, o.new_path from ro joi
   select vault_id, user_id, id, ms, route, case when f = 0 then 'applied' when fails and f = 1 then 'failed' else 'left' end as outcome, at_ms from dq
   union all select vault_id, user_id, id, ms, route, 'applied', ms from ri where route = 'direct'"""
 
+#: The whole of O3 as one recursion by queue over its files and folders. Defines ``rp``.
+REPLAY = f"""nu as (select *, row_number() over ({_Q}) as rn from fx_ops),
+  rep as (
+    select vault_id, user_id, cast(0 as bigint) as rn, cast([] as struct(p varchar, t varchar, o varchar, h bigint)[]) as files, cast([] as varchar[]) as folders, false as blocked from nu group by all
+    union all
+    select vault_id, user_id, rn,
+      case when blocked or fails then files
+        when type in ('rename', 'move') and f is not null then list_append(list_filter(files, lambda x: x.p <> path), struct_pack(p := new_path, t := f.t, o := f.o, h := f.h + 1))
+        when type = 'create' and f is null and not is_folder then list_append(files, struct_pack(p := path, t := coalesce(content, ''), o := path, h := cast(0 as bigint)))
+        when type in ('delete', 'deleteFolder') and f is not null then list_filter(files, lambda x: x.p <> path)
+        when type = 'deleteFolder' and is_folder then list_filter(files, lambda x: not starts_with(x.p, path || '/')) else files end,
+      case when blocked or fails then folders when type = 'createFolder' and f is null and not is_folder then list_append(folders, path)
+        when type = 'deleteFolder' and f is null and is_folder then list_filter(folders, lambda x: x <> path and not starts_with(x, path || '/')) else folders end,
+      blocked or fails
+    from (select *, type in ('rename', 'move') and (coalesce(new_path, '') = '' or f is not null and new_path <> path and (list_contains(folders, new_path) or len(list_filter(files, lambda x: x.p = new_path)) > 0)) as fails
+      from (select r.vault_id, r.user_id, r.files, r.folders, r.blocked, n.rn, n.type, n.path, n.new_path, n.content, list_filter(r.files, lambda x: x.p = n.path)[1] as f, list_contains(r.folders, n.path) as is_folder
+        from rep r join nu n on n.vault_id = r.vault_id and n.user_id = r.user_id and n.rn = r.rn + 1) q1) q2),
+  ed as (select * from rep qualify rn = max(rn) over (partition by vault_id, user_id)),
+  rp as (select vault_id, user_id, x.p as path, x.t as text, x.o as first_path, x.h as hops, blocked from (select vault_id, user_id, blocked, unnest(files) as x from ed) u)"""
+
 QUERIES = {
     "offline_drain": Query(lambda spark, d: ops.offline_drain(twice(spark, d), changes(spark, d)), oracle(f"with {OFFLINE}", "fx_status", "fx_ops")),
     "order_queue": Query(lambda spark, d: ops.order_queue(log(spark, d)).select("vault_id", "user_id", "id", "nth"), oracle(f"select vault_id, user_id, id, cast(row_number() over ({_Q}) as integer) as nth from fx_ops", "fx_ops")),
     "drain_queue": Query(lambda spark, d: ops.drain_queue(log(spark, d)).select("id", "outcome"), oracle(f"with {_DRAIN} select id, outcome from dq", "fx_ops")),
-    "replay_ops": Query(lambda spark, d: ops.replay_ops(log(spark, d))),
+    "replay_ops": Query(lambda spark, d: ops.replay_ops(log(spark, d)), oracle(f"with {REPLAY} select vault_id, user_id, path, text, first_path, hops, blocked from rp", "fx_ops", recursive=True)),
     "replay_fast": Query(lambda spark, d: ops.replay_fast(log(spark, d)), oracle("""with e as (select *, sum(cast(type = 'delete' as integer)) over (partition by vault_id, user_id, path order by ms, seq rows unbounded preceding) as epoch from fx_ops where type in ('create', 'delete')),
       l as (select *, max(epoch) over (partition by vault_id, user_id, path) as last from e), c as (select *, row_number() over (partition by vault_id, user_id, path order by ms, seq) as nth from l where type = 'create' and epoch = last)
       select vault_id, user_id, path, content as text from c where nth = 1""", "fx_ops")),
-    "rename_chains": Query(lambda spark, d: ops.rename_chains(ops.replay_ops(log(spark, d)))),
+    "rename_chains": Query(lambda spark, d: ops.rename_chains(ops.file_moves(log(spark, d))), oracle(f"with {REPLAY} select vault_id, user_id, first_path, path as final_path, hops from rp where hops > 0", "fx_ops", recursive=True)),
     "queue_depth": Query(depth, oracle(f"""with {_ROUTE}, dr as (select q.vault_id, q.user_id, t.ms, t.event_id as seq, 'drain' as route, count(*) as n from (select * from ro where route = 'queued') q
         asof join (select * from tr where status = 'connected') t on q.user_id = t.client_id and q.ms < t.ms group by all), u as (select * from ro union all select * from dr)
       select vault_id, user_id, ms, seq, route, cast(sum(case route when 'queued' then 1 when 'drain' then -n else 0 end) over (partition by vault_id order by ms, seq, user_id, route rows unbounded preceding) as bigint) as depth from u""", "fx_status", "fx_ops")),

@@ -35,13 +35,30 @@ def moves(spark, d):
     return vaults.select("vault_id", F.when(n % 9 == 0, F.col("vault_id")).otherwise(F.concat(F.lit("src"), n + 1)).alias("into"))
 
 
+def structural(spark, d):
+    return ops.structural_conflicts(inventory(spark, d), recent(spark, d), as_of(spark, d), LONG)
+
+
+def renamed(spark, d):
+    """Recent operations whose renames name a new path: that of the file seven numbers on."""
+    n = (F.regexp_extract("path", "/([0-9]+)[.]md$", 1).cast("long") + 7) % 1000
+    log = with_ms(frame(spark, d, "fx_recent")).withColumn("new_path", F.concat(F.regexp_extract("path", "^(.*/)", 1), n.cast("string"), F.lit(".md")))
+    return ops.recent_ops(log, log.agg(F.max("ms")).scalar(), "new")
+
+
+STRUCTURAL = f"""with {_DIFF}, {_TIMES}, j as (select df.*, coalesce(a - delete_ms < {LONG}, false) as deleted, coalesce(a - create_ms < {LONG}, false) as created from df left join tm using (vault_id, path), x where side <> 'common')
+      select vault_id, path, side, case when side = 'remote_only' then case when deleted then 'conflict' else 'create' end when created then 'push' else 'conflict' end as outcome,
+      case when side = 'remote_only' and deleted then 'keepRemote' when side = 'local_only' and not created then 'keepLocal' end as suggested from j"""
+_MOVED = "case when op = 'rename' then regexp_extract(path, '^(.*/)', 1) || ((cast(regexp_extract(path, '/([0-9]+)[.]md$', 1) as bigint) + 7) % 1000) || '.md' else path end"
+
 QUERIES = {
+    "periodic_reconcile_renamed": Query(lambda spark, d: ops.periodic_reconcile(inventory(spark, d), renamed(spark, d), as_of(spark, d), LONG), oracle(f"""with {_DIFF}, {_TIMES.replace("select vault_id, replica, op, path, max(ms)", f"select vault_id, replica, op, {_MOVED} as path, max(ms)")}
+      select vault_id, path, case when a - (case when side = 'local_only' then coalesce(create_ms, rename_ms, 0) else coalesce(delete_ms, 0) end) > {LONG} then case side when 'local_only' then 'push' else 'pull' end else 'suppressed' end as action
+      from df left join tm using (vault_id, path), x where side <> 'common'""", "fx_inventory", "fx_recent")),
     "inventory_diff": Query(lambda spark, d: ops.inventory_diff(inventory(spark, d)), oracle(f"with {_DIFF} select * from df", "fx_inventory")),
     "sync_plan": Query(lambda spark, d: ops.sync_plan(inventory(spark, d)), oracle(f"with {_DIFF} select vault_id, path, case side when 'local_only' then 'push' else 'pull' end as action, case when side = 'remote_only' then '' end as text from df where side <> 'common'", "fx_inventory")),
     "sync_summary": Query(lambda spark, d: ops.sync_summary(inventory(spark, d)), oracle(f"with {_DIFF} select vault_id, count(*) filter (side = 'local_only') as pushed, count(*) filter (side = 'remote_only') as pulled, greatest(count(*) filter (side <> 'remote_only'), count(*) filter (side <> 'local_only')) as notice from df group by 1", "fx_inventory")),
-    "structural_conflicts": Query(lambda spark, d: ops.structural_conflicts(inventory(spark, d), recent(spark, d), as_of(spark, d), LONG), oracle(f"""with {_DIFF}, {_TIMES}, j as (select df.*, coalesce(a - delete_ms < {LONG}, false) as deleted, coalesce(a - create_ms < {LONG}, false) as created from df left join tm using (vault_id, path), x where side <> 'common')
-      select vault_id, path, side, case when side = 'remote_only' then case when deleted then 'conflict' else 'create' end when created then 'push' else 'conflict' end as outcome,
-      case when side = 'remote_only' and deleted then 'keepRemote' when side = 'local_only' and not created then 'keepLocal' end as suggested from j""", "fx_inventory", "fx_recent")),
+    "structural_conflicts": Query(structural, oracle(STRUCTURAL, "fx_inventory", "fx_recent")),
     "periodic_reconcile": Query(lambda spark, d: ops.periodic_reconcile(inventory(spark, d), recent(spark, d), as_of(spark, d), LONG), oracle(f"""with {_DIFF}, {_TIMES}
       select vault_id, path, case when a - (case when side = 'local_only' then coalesce(create_ms, rename_ms, 0) else coalesce(delete_ms, 0) end) > {LONG} then case side when 'local_only' then 'push' else 'pull' end else 'suppressed' end as action
       from df left join tm using (vault_id, path), x where side <> 'common'""", "fx_inventory", "fx_recent")),

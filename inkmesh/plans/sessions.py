@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import sessions as ops
 from ..sources.fixtures import frame, oracle, with_ms
+from ..sources.scratch import written
 from .admission import _MESSAGES, SESSIONS, budget, log
 from .registry import Query
 
@@ -30,6 +31,13 @@ def vaults(spark, d):
     return ops.vault_activity(roster(spark, d), found(spark, d), as_of(spark, d))
 
 
+def totals(spark, d):
+    """All from one fold of the message budget, which is written once."""
+    spent = written(budget(spark, d), "budget")
+    sessions = written(ops.sessions(log(spark, d), spent), "sessions")
+    return ops.server_totals(log(spark, d), sessions, ops.vault_activity(roster(spark, d), sessions, as_of(spark, d)), spent)
+
+
 def access(spark, d):
     wanted = log(spark, d).select("vault_id", "user_id").filter("user_id <> ''").distinct()
     held = roster(spark, d).select("vault_id", F.explode("permissions").alias("user_id", "permission"))
@@ -66,10 +74,12 @@ QUERIES = {
     "sessions": Query(found, oracle(f"with {_MESSAGES}, {SESSIONS} select * from ses", "fx_conn", recursive=True)),
     "active_sessions": Query(lambda spark, d: ops.active_sessions(found(spark, d), as_of(spark, d)), oracle(f"with {_MESSAGES}, {SESSIONS}, x as (select max(ms) as a from fx_conn) select connection_id, vault_id, user_id, last_ms, a - last_ms as idle_ms, a - last_ms < 30000 as is_active from ses, x where is_open", "fx_conn", recursive=True)),
     "vault_activity": Query(vaults, oracle(f"with {_MESSAGES}, {SESSIONS}, {_ROSTER}, {_ACT} select * from act", "fx_conn", "fx_members", recursive=True)),
-    "server_totals": Query(lambda spark, d: ops.server_totals(log(spark, d), found(spark, d), vaults(spark, d), budget(spark, d)), oracle(f"""with {_MESSAGES}, {SESSIONS}, {_ROSTER}, {_ACT}
+    "server_totals": Query(totals, oracle(f"""with {_MESSAGES}, {SESSIONS}, {_ROSTER}, {_ACT}
       select (select count(*) from fx_conn where kind = 'connect') as total_connections, (select count(*) from ses where is_open) as current_connections, (select count(*) from act) as total_vaults, (select count(*) from act where is_active) as active_vaults,
       (select count(*) from bud where not allowed) as rate_limit_hits, (select count(*) from bud join m using (event_id) where allowed and direction = 'out') as messages_processed""", "fx_conn", "fx_members", recursive=True)),
     "connection_gauge": Query(lambda spark, d: ops.connection_gauge(log(spark, d), "ip"), oracle(f"with {_GAUGE} select ip, ms, event_id, open from o", "fx_conn")),
+    "connection_gauge_all": Query(lambda spark, d: ops.connection_gauge(log(spark, d), None), oracle("""with g as (select ms, event_id, sum(case kind when 'connect' then 1 else -1 end) over (order by ms, event_id rows unbounded preceding) as total from fx_conn where kind in ('connect', 'disconnect'))
+      select ms, event_id, cast(total - least(0, min(total) over (order by ms, event_id rows unbounded preceding)) as bigint) as open from g""", "fx_conn")),
     "peak_concurrency": Query(lambda spark, d: ops.peak_concurrency(ops.connection_gauge(log(spark, d), "ip"), "ip"), oracle(f"with {_GAUGE} select ip, max(open) as peak, arg_min(ms, ms) filter (open = top) as peak_ms from (select *, max(open) over (partition by ip) as top from o) q group by 1", "fx_conn")),
     "recent_events": Query(lambda spark, d: ops.recent_events(log(spark, d), "ip"), oracle(f"""with {_GAUGE} select * from (select ip, cast(row_number() over (partition by ip order by ms desc, event_id desc) as integer) as nth, event_id, kind, connection_id,
       case when kind = 'connect' then vault_id end as vault, case when kind = 'connect' then user_id end as "user", ms from g) q where nth <= 100""", "fx_conn")),

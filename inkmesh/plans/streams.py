@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from ..operators import sessions
 from ..sources import io, schemas
 from ..sources.fixtures import file_stream, frame, oracle, with_ms
+from ..sources.scratch import scratch
 from ..streaming import operators as ops
 from ..streaming import panel, watch
-from ..streaming.run import closing, drained, scratch
+from ..streaming.run import closing, drained
 from . import admission, oplog, reconcile
 from .admission import LIMITS, MOST, OPEN, WINDOW, throttled
 from .registry import Query

@@ -19,6 +19,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Narrowest bucket in milliseconds, and what ``wake`` answers for a state that no time ends.
 QUANTUM, ALWAYS = 1024, math.inf
+#: So many rows need no buckets: they wait together, and what is not due then waits on.
+FEW = 512
 
 
 def bucket_of(ms: int, mark: int) -> tuple[int, int]:
@@ -51,9 +53,13 @@ class OrderedFold(StatefulProcessor):
 
     def _put(self, buckets: dict, rows: list[tuple], mark: int) -> None:
         by_start: dict[int, tuple[int, list[tuple]]] = {}
-        for r in rows:
-            start, end = bucket_of(r[self.at], mark)
-            by_start.setdefault(start, (end, []))[1].append(r)
+        if 0 < len(rows) <= FEW:
+            times = [r[self.at] for r in rows]
+            by_start[min(times)] = (max(times) + 1, rows)
+        else:
+            for r in rows:
+                start, end = bucket_of(r[self.at], mark)
+                by_start.setdefault(start, (end, []))[1].append(r)
         for start, (end, own) in by_start.items():
             first, last, n = buckets.get(start, (math.inf, end, 0))
             self.waiting.updateValue((start, n), (pickle.dumps(own),))
@@ -94,8 +100,9 @@ class OrderedFold(StatefulProcessor):
         kept = self.head.get()
         return (None, {}, None) if kept is None else pickle.loads(kept[0])
 
-    def _frame(self, made: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(made, columns=self.columns, dtype=object)
+    def _frames(self, made: list[tuple]) -> Iterator[pd.DataFrame]:
+        if made:  # a frame costs as much as some hundred rows
+            yield pd.DataFrame(made, columns=self.columns, dtype=object)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         mark, late = timerValues.getCurrentWatermarkInMs(), 0
@@ -107,7 +114,7 @@ class OrderedFold(StatefulProcessor):
             self._put(buckets, new, mark)
         self._keep(state, buckets, timer)
         given = dict(zip(self.keys, key))
-        yield self._frame([(*map(given.get, self.columns[:-1]), late)] if late else [])
+        yield from self._frames([(*map(given.get, self.columns[:-1]), late)] if late else [])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         mark = timerValues.getCurrentWatermarkInMs()
@@ -117,10 +124,10 @@ class OrderedFold(StatefulProcessor):
             due = sorted((r for r in rows if r[self.at] <= mark), key=lambda r: [r[k] for k in self.by])
             rest += [r for r in rows if r[self.at] > mark]
             state = self.fresh() if state is None else state
-            yield self._frame([(*x, None) for r in due for x in self.step(state, named | dict(zip(self.fields, r)))])
+            yield from self._frames([(*x, None) for r in due for x in self.step(state, named | dict(zip(self.fields, r)))])
         self._put(buckets, rest, mark)
         if self.lapse and state is not None:
-            yield self._frame([(*x, None) for x in self.lapse(state, named, mark)])
+            yield from self._frames([(*x, None) for x in self.lapse(state, named, mark)])
         self._keep(state, buckets, None)
 
     def close(self) -> None:

@@ -73,7 +73,7 @@ class Watch(StatefulProcessor):
         last = max(own)  # a path that is nowhere is remembered while its operations are quiet
         at = (now // self.tick + 1) * self.tick if differs or not any(flags) and last and now - last <= self.quiet else None
         self._keep(flags, since, own, said, at, timer)
-        yield pd.DataFrame(columns=["vault_id", "path", "action", "at_ms"])
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         flags, since, own, said, _ = self._opened()
@@ -82,7 +82,8 @@ class Watch(StatefulProcessor):
         if not any(flags) and max(own) and now - max(own) <= self.quiet:
             until = max(own) + self.quiet
         self._keep(flags, since, own, action, None if until is None else -(-(until + 1) // self.tick) * self.tick, None)
-        yield pd.DataFrame([(key[0], key[1], action, now)] if action != said else [], columns=["vault_id", "path", "action", "at_ms"])
+        if action != said:
+            yield pd.DataFrame([(key[0], key[1], action, now)], columns=["vault_id", "path", "action", "at_ms"])
 
     def close(self) -> None:
         pass
