@@ -27,7 +27,7 @@ class Throttle:
             self.count += 1
             return True, most - self.count, None
         self.violations += 1
-        return False, None, window * min(2**self.violations, 32)
+        return False, None, window * 2 ** min(self.violations, 5)
 
     def forget(self, now: int, after_reset: int | None) -> bool:
         """Whether nothing is remembered at that time."""

@@ -57,8 +57,8 @@ def budget(spark, d):
 
 
 def traffic(df):
-    """The log with messages that cannot be read: every 37th row has no size."""
-    return df.withColumn("msg_bytes", F.when(F.col("event_id") % 37 != 0, F.col("msg_bytes")))
+    """The log with larger messages, and some that cannot be read: every 37th row has no size."""
+    return df.withColumn("msg_bytes", F.when(F.col("event_id") % 37 != 0, F.col("msg_bytes") * 8))
 
 
 def admitted(spark, d):
@@ -99,7 +99,7 @@ ADMISSION = f"""ev as (select *, {_FLAGS}, event_id % 37 <> 0 as readable, row_n
         else case reason when 'no_session' then 'drop' when 'message_rate' then 'throttle' when 'internal' then 'close' when 'too_large' then 'close' else 'pass' end end as decision from (
       select *, kind = 'connect' and open < {OPEN} as asks_c, kind = 'connect' and open < {OPEN} and c0 < {LIMITS['connection'][0]} and origin_ok as asks_a,
         case kind when 'disconnect' then case when s is null then 'no_session' end
-          when 'message' then case when s is null then 'no_session' when not readable then 'internal' when msg_bytes > 1048576 then 'too_large' when m0 >= {LIMITS['message'][0]} then 'message_rate' end
+          when 'message' then case when s is null then 'no_session' when not readable then 'internal' when msg_bytes * 8 > 1048576 then 'too_large' when m0 >= {LIMITS['message'][0]} then 'message_rate' end
           else case when open >= {OPEN} then 'ip_limit' when c0 >= {LIMITS['connection'][0]} then 'connection_rate' when not origin_ok then 'origin'
             when a0 >= {LIMITS['auth'][0]} then 'auth_rate' when not token_ok then 'token' when not vault_ok then 'vault_id' when not user_ok then 'user_id' end end as reason
       from (select * replace (greatest(0, open - len(was) + len(ses)) as open), case when ms >= s.e then 0 else s.n end as m0, case when ms >= s.e then ms + {LIMITS['message'][1]} else s.e end as m_end0
