@@ -29,7 +29,7 @@ def ids(raw):
 
 def agree(texts):
     coder = bytebpe.ByteBpe.load(PATH)
-    for text, (raw, ends) in zip(texts, coder.encode(pa.array(texts))):
+    for text, (raw, ends) in zip(texts, coder.encode(pa.array(texts, pa.string()))):
         want = LIBRARY.encode_ordinary(text)
         assert ids(raw) == want
         assert ids(ends) == np.cumsum([len(LIBRARY.decode_single_token_bytes(t)) for t in want]).tolist()
