@@ -27,8 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of texts equal but for white space, the row with the smallest doc_id, once."""
-    kept = dedup.exact_dedup(docs, carry=docs.columns).filter("kept")
-    return kept.dropDuplicates(["text_sha256", "doc_id"]).select("carried.*")
+    return dedup.first_rows(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

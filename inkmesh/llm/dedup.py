@@ -8,7 +8,7 @@ the table reaches the last combine as ``salts`` rows at most.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,9 +35,8 @@ def groups(rows: DataFrame, salts: int) -> DataFrame:
     return salted.groupBy("_dd_digest", "_dd_text").agg(F.min("_dd_key").alias("keep_id"), F.sum("_dd_n").alias("group_size"))
 
 
-def exact_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", salts: int = 64, digest: Callable[[Column], Column] = sha256, carry: Sequence[str] = ()) -> DataFrame:
-    """Every row of ``df`` (``key`` and ``text`` only) with ``keep_id, group_size, kept, text_sha256``; then a column
-    ``carried``, a struct of the columns named in ``carry``, if any.
+def exact_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", salts: int = 64, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """Every row of ``df`` (``key`` and ``text`` only) with ``keep_id, group_size, kept, text_sha256``.
 
     Null texts count as empty and form a group with empty ones. Ties go to the smallest key; rows that repeat a key
     with the same text all count and carry the same verdict; null keys are never smallest unless all are null. An
@@ -46,8 +45,7 @@ def exact_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", salts: i
     combines would show, by content as well.
     """
     content = normalised(F.col(text))
-    carried = [F.struct(*carry).alias("_dd_carried")] if carry else []
-    rows = df.select(F.col(key).alias("_dd_key"), content.alias("_dd_text"), *carried).withColumns({"_dd_digest": digest(F.col("_dd_text")), "_dd_sha": sha256(F.col("_dd_text"))})
+    rows = df.select(F.col(key).alias("_dd_key"), content.alias("_dd_text")).withColumns({"_dd_digest": digest(F.col("_dd_text")), "_dd_sha": sha256(F.col("_dd_text"))})
     found = written(groups(rows, salts).select("_dd_digest", "keep_id", "group_size"), "dedup")
     if found.groupBy("_dd_digest").count().filter("count > 1").isEmpty():  # each digest stands for one content
         several = found.filter("group_size > 1")
@@ -61,5 +59,19 @@ def exact_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", salts: i
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         F.col("_dd_key").eqNullSafe(keep).alias("kept"),
         F.col("_dd_sha").alias("text_sha256"),
-        *[F.col("_dd_carried").alias("carried") for _ in carried],
     )
+
+
+def first_rows(df: DataFrame, key: str = "doc_id", text: str = "text", salts: int = 64, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """One whole row of ``df`` for each content: that with the smallest key.
+
+    The row travels inside the same three combines, so nothing is joined back; a text that differs from its normalised form
+    lies next to it there, where the shuffle's compression finds it again. Nulls and ties are as in ``exact_dedup``; of rows that
+    share key and content, one of a fixed order stays.
+    """
+    order = F.struct(F.col(key).isNull(), F.col(key), F.xxhash64(*df.columns))
+    row = df.select(F.struct(*df.columns).alias("_dd_row"), order.alias("_dd_order"), normalised(F.col(text)).alias("_dd_text"))
+    salted = row.withColumns({"_dd_digest": digest(F.col("_dd_text")), "_dd_salt": F.pmod(F.spark_partition_id(), F.lit(salts))})
+    least = lambda: [F.min_by("_dd_row", "_dd_order").alias("_dd_row"), F.min("_dd_order").alias("_dd_order")]
+    by_salt = salted.groupBy("_dd_digest", "_dd_salt", "_dd_text").agg(*least())
+    return by_salt.groupBy("_dd_digest", "_dd_text").agg(*least()).select("_dd_row.*")

@@ -269,6 +269,9 @@ def test_dedup_also_when_digests_collide(spark, digest):
     keep = {t: min((k for k in ks if k is not None), default=None) for t, ks in by.items()}
     assert got == collections.Counter((k, keep[t], len(by[t]), k == keep[t], hashlib.sha256(t.encode()).hexdigest()) for k, t in rows)
     assert dedup.exact_dedup(df.limit(0)).count() == 0
+    first = dedup.first_rows(df, digest=digest)
+    assert first.columns == df.columns and collections.Counter((r.doc_id, norm(r.text)) for r in first.collect()) == collections.Counter((k, t) for t, k in keep.items())
+    assert {(r.doc_id, r.text) for r in first.collect()} <= {(r.doc_id, r.text) for r in df.collect()} and dedup.first_rows(df.limit(0)).count() == 0
 
 
 # 6 -------------------------------------------------------------------------------------------------------------
