@@ -1,8 +1,6 @@
 """Explicit schemas and limits; nothing is inferred."""
 
 CONN_LOG = "event_id long, ts timestamp_ntz, connection_id string, ip string, origin string, vault_id string, user_id string, token string, kind string, direction string, msg_bytes long"
-OPS = "id long, seq long, type string, ts timestamp_ntz, vault_id string, user_id string, path string, new_path string, content string"
-INVENTORY = "vault_id string, replica string, path string, is_folder boolean"
 QUEUE = "array<struct<id: bigint, seq: bigint, type: string, path: string, newPath: string, content: string, userId: string>>"
 
 #: Requests allowed and window in milliseconds by class, and the record map that the class uses.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.folds import Gate, Outbox, Presence, Session, Throttle
@@ -137,6 +137,6 @@ def stream_ops(ops: DataFrame, changes: DataFrame, delay: str = "1 hour") -> Dat
     return ordered_fold(o.unionByName(c), ["user_id"], ["ms", "side", "seq"], Outbox, step, ["ms", "side", "seq", "vault_id", "id", "type", "new_path", "status"], "vault_id string, user_id string, id long, ms long, route string, outcome string, at_ms long", delay, lapse, wake, many=True)
 
 
-def ticking(spark: SparkSession, stream: DataFrame, each: Callable[[DataFrame, int, str], None], out: str, log: str, seconds: int = 2):
+def ticking(stream: DataFrame, each: Callable[[DataFrame, int, str], None], out: str, log: str, seconds: int = 2, mode: str = "complete"):
     """A live status writer: ``each`` at every tick, until it is stopped."""
-    return stream.writeStream.outputMode("complete").option("checkpointLocation", log).trigger(processingTime=f"{seconds} seconds").foreachBatch(lambda df, n: each(df, n, out)).start()
+    return stream.writeStream.outputMode(mode).option("checkpointLocation", log).trigger(processingTime=f"{seconds} seconds").foreachBatch(lambda df, n: each(df, n, out)).start()
