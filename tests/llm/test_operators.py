@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 from fractions import Fraction
 
@@ -617,6 +618,53 @@ def test_content_in_parts(page, want):
     assert html.main_text(page) == " ".join(want.split())
 
 
+DIVS = "".join(f"<div>{LONG}</div>" for _ in range(4))
+BOUNDED = [
+    (f"<body><div>nav one</div><div>Buy now cheap</div>{BODY}<div>(c) 2024 Company</div></body>", LONG * 4),
+    (f"<body><div>Site</div><h1>Title</h1><div>By me</div>{BODY}<p>End.</p><div>(c) 2024</div><div>Powered by it</div></body>", f"Title By me {LONG * 4}End."),
+    (f"<div id=x><div>one | two</div>{DIVS}<div>three</div></div>", LONG * 4),
+    (f"<article><div>Short.</div>{DIVS}<div>End.</div></article>", f"Short. {LONG * 4}End."),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), BOUNDED)
+def test_density_bounds_the_text(page, want, monkeypatch):
+    assert html.main_text(page) == " ".join(want.split())
+    if "<article>" not in page:
+        monkeypatch.setattr(html, "smoothed", lambda ratios: np.ones(len(ratios)))
+        assert html.main_text(page) != " ".join(want.split())
+
+
+ELEMENTS = [
+    (f"<article><p class=ad>Buy</p><p>{LONG}</p><p hidden>no</p><p>a <span hidden>b</span>c</p><h2 class='share'>s</h2><li class=advert>t<li>u</li></article>", f"{LONG}a c u"),
+    (f"<article><p hidden>no<p>{LONG}<p class='ad'>Buy<ul><li>one</ul></article>", f"{LONG}one"),
+    (f"<article><p>{LONG}</p><button>b<p>c</article><p class=x>d</p>", LONG),
+    (f"<article><div><select><option>o</div><p>{LONG}</p><div><svg><g><text>t</text></div><p>End.</p></article>", f"{LONG}End."),
+    (f"<article><div><noscript><div>n</div><p>m</p></noscript>x</div><p>{LONG}</p></article>", f"x {LONG}"),
+    (f"<article><p>{LONG}</p></article><footer>f</footer><a hr", LONG),
+    (f"<article><p>{LONG}</p><p>cut <b", f"{LONG}cut"),
+    ("1 < 2 and so on", "1 < 2 and so on"),
+    (f"<article><p class='lead header'>{LONG}</p><input hidden><p>x</p></article>", f"{LONG}x"),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), ELEMENTS)
+def test_marks_of_any_element_and_unclosed_ones(page, want):
+    assert html.main_text(page) == " ".join(want.split())
+
+
+@pytest.mark.parametrize("part", ["<a ", "<div>", "<div>x", "<!--", "<div><h1>x", "<", "<button>", "<article>x</article>", "</", "<a b='", "<svg><g></q>", "<div></section>", "&"])
+def test_hostile_pages_take_linear_time(part):
+    def seconds(n):
+        page = part * (n // len(part))
+        began = time.process_time()
+        html.main_text(page)
+        return time.process_time() - began
+
+    small, large = seconds(150_000), seconds(600_000)
+    assert large < 8 * small + 0.5
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(k, "u", h, "mine") for k, (h, _) in enumerate(PAGES)], "page_id long, url string, html string, text string")
     got = {r.page_id: (r.text, r.n_chars) for r in html.extract(df).collect()}
