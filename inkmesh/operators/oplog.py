@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.folds import Replica
 from ..sources.scratch import written
 from .folding import keyed_fold
+from .runs import running
 
 QUEUE = ["vault_id", "user_id"]
 
@@ -91,11 +92,17 @@ def rename_chains(moves: DataFrame) -> DataFrame:
             spark.conf.set(k, v)
 
 
-def queue_depth(routed: DataFrame) -> DataFrame:
-    """Pending operations of each vault over time: queued ones enter, a drain empties the user's part."""
+def queue_depth(routed: DataFrame, split: bool = False) -> DataFrame:
+    """Pending operations of each vault over time: queued ones enter, a drain empties the user's part. A vault's rows are one
+    task's work, or with ``split`` dealt over all tasks (see ``runs``)."""
     change = F.when(F.col("route") == "queued", 1).when(F.col("route") == "drain", -F.col("n")).otherwise(0)
-    by = Window.partitionBy("vault_id").orderBy("ms", "seq", "user_id", "route").rowsBetween(Window.unboundedPreceding, 0)
-    return routed.withColumn("depth", F.sum(change).over(by)).select("vault_id", "user_id", "ms", "seq", "route", "depth")
+    order = ["ms", "seq", "user_id", "route"]
+    if split:
+        depth = running(routed.withColumn("change", change), ["vault_id"], order, "change").withColumnRenamed("total", "depth")
+    else:
+        by = Window.partitionBy("vault_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        depth = routed.withColumn("depth", F.sum(change).over(by))
+    return depth.select("vault_id", "user_id", "ms", "seq", "route", "depth")
 
 
 def route_ops(ops: DataFrame, changes: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..sources.scratch import written
+from .runs import running
 
 #: Idle times of an active session and an active vault, known states, retries, debounce, history.
 ACTIVE_SESSION, ACTIVE_VAULT, DEBOUNCE, HISTORY = 30_000, 300_000, 100, 100
@@ -73,26 +73,18 @@ def server_totals(log: DataFrame, found: DataFrame, vaults: DataFrame, budget: D
     return parts[0].select("*", *[p.select(c).scalar().alias(c) for p in parts[1:] for c in p.columns])
 
 
-def connection_gauge(log: DataFrame, key: str | None) -> DataFrame:
-    """P5: open connections of each key after each event, never below 0: the running sum less its lowest point so far. Without a key,
-    over all rows: runs of equal size in order of time have a sum and a lowest point each, one row a run carries these on, and
-    each run starts from what came before it. A key's rows are one task's work, those of all rows are not."""
+def connection_gauge(log: DataFrame, key: str | None, split: bool = False) -> DataFrame:
+    """P5: open connections of each key after each event, never below 0: the running sum less its lowest point so far. A key's rows
+    are one task's work; with ``split``, or over all rows (``key`` is None), they are dealt over all tasks (see ``runs``)."""
     change = F.when(F.col("kind") == "connect", 1).when(F.col("kind") == "disconnect", -1)
-    rows = log.withColumn("change", change).filter("change is not null")
-    so_far = lambda by: by.orderBy("ms", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    if key is not None:
-        by = so_far(Window.partitionBy(key))
-        run = rows.withColumn("total", F.sum("change").over(by))
-        return run.select(key, "ms", "event_id", (F.col("total") - F.least(F.lit(0), F.min("total").over(by))).alias("open"))
-    width = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = written(rows.select("ms", "event_id", "change").repartitionByRange(width, "ms", "event_id").withColumn("run", F.spark_partition_id()), "gauge")
-    by = so_far(Window.partitionBy("run"))
-    inside = ranged.withColumn("total", F.sum("change").over(by)).withColumn("low", F.min("total").over(by))
-    runs = ranged.withColumn("total", F.sum("change").over(by)).groupBy("run").agg(F.sum("change").alias("sum"), F.min("total").alias("least"))
-    before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)  # over one row a run, as many as partitions
-    start = runs.withColumn("start", F.coalesce(F.sum("sum").over(before), F.lit(0))).withColumn("floor", F.coalesce(F.min(F.col("start") + F.col("least")).over(before), F.lit(0)))
-    found = inside.join(F.broadcast(start.select("run", "start", "floor")), "run")
-    return found.select("ms", "event_id", (F.col("start") + F.col("total") - F.least(F.lit(0), "floor", F.col("start") + F.col("low"))).alias("open"))
+    own = [] if key is None else [key]
+    rows = log.withColumn("change", change).filter("change is not null").select(*own, "ms", "event_id", "change")
+    if split or not own:
+        run = running(rows, own, ["ms", "event_id"], "change")
+    else:
+        by = Window.partitionBy(key).orderBy("ms", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+        run = rows.withColumn("total", F.sum("change").over(by)).withColumn("low", F.min("total").over(by))
+    return run.select(*own, "ms", "event_id", (F.col("total") - F.least(F.lit(0), "low")).alias("open"))
 
 
 def peak_concurrency(gauge: DataFrame, key: str) -> DataFrame:

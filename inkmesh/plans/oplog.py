@@ -29,9 +29,9 @@ def routed(spark, d):
     return ops.route_ops(log(spark, d), changes(spark, d)).select("vault_id", "user_id", "ms", "seq", "route", "n")
 
 
-def depth(spark, d):
+def depth(spark, d, split=False):
     r = routed(spark, d)
-    return ops.queue_depth(r.unionByName(ops.drains(r, changes(spark, d))))
+    return ops.queue_depth(r.unionByName(ops.drains(r, changes(spark, d))), split)
 
 
 def twice(spark, d):
@@ -71,6 +71,10 @@ REPLAY = f"""nu as (select *, row_number() over ({_Q}) as rn from fx_ops),
   ed as (select * from rep qualify rn = max(rn) over (partition by vault_id, user_id)),
   rp as (select vault_id, user_id, x.p as path, x.t as text, x.o as first_path, x.h as hops, blocked from (select vault_id, user_id, blocked, unnest(files) as x from ed) u)"""
 
+DEPTH = oracle(f"""with {_ROUTE}, dr as (select q.vault_id, q.user_id, t.ms, t.event_id as seq, 'drain' as route, count(*) as n from (select * from ro where route = 'queued') q
+        asof join (select * from tr where status = 'connected') t on q.user_id = t.client_id and q.ms < t.ms group by all), u as (select * from ro union all select * from dr)
+      select vault_id, user_id, ms, seq, route, cast(sum(case route when 'queued' then 1 when 'drain' then -n else 0 end) over (partition by vault_id order by ms, seq, user_id, route rows unbounded preceding) as bigint) as depth from u""", "fx_status", "fx_ops")
+
 QUERIES = {
     "offline_drain": Query(lambda spark, d: ops.offline_drain(twice(spark, d), changes(spark, d)), oracle(f"with {OFFLINE}", "fx_status", "fx_ops")),
     "order_queue": Query(lambda spark, d: ops.order_queue(log(spark, d)).select("vault_id", "user_id", "id", "nth"), oracle(f"select vault_id, user_id, id, cast(row_number() over ({_Q}) as integer) as nth from fx_ops", "fx_ops")),
@@ -80,9 +84,8 @@ QUERIES = {
       l as (select *, max(epoch) over (partition by vault_id, user_id, path) as last from e), c as (select *, row_number() over (partition by vault_id, user_id, path order by ms, seq) as nth from l where type = 'create' and epoch = last)
       select vault_id, user_id, path, content as text from c where nth = 1""", "fx_ops")),
     "rename_chains": Query(lambda spark, d: ops.rename_chains(ops.file_moves(log(spark, d))), oracle(f"with {REPLAY} select vault_id, user_id, first_path, path as final_path, hops from rp where hops > 0", "fx_ops", recursive=True)),
-    "queue_depth": Query(depth, oracle(f"""with {_ROUTE}, dr as (select q.vault_id, q.user_id, t.ms, t.event_id as seq, 'drain' as route, count(*) as n from (select * from ro where route = 'queued') q
-        asof join (select * from tr where status = 'connected') t on q.user_id = t.client_id and q.ms < t.ms group by all), u as (select * from ro union all select * from dr)
-      select vault_id, user_id, ms, seq, route, cast(sum(case route when 'queued' then 1 when 'drain' then -n else 0 end) over (partition by vault_id order by ms, seq, user_id, route rows unbounded preceding) as bigint) as depth from u""", "fx_status", "fx_ops")),
+    "queue_depth": Query(depth, DEPTH),
+    "queue_depth_split": Query(lambda spark, d: depth(spark, d, split=True), DEPTH),
     "route_ops": Query(lambda spark, d: routed(spark, d).drop("n"), oracle(f"with {_ROUTE} select vault_id, user_id, ms, seq, route from ro", "fx_status", "fx_ops")),
     "drain_summary": Query(lambda spark, d: ops.drain_summary(ops.drain_queue(log(spark, d))), oracle(f"with {_DRAIN} select vault_id, type, count(*) filter (outcome = 'applied') as applied, count(*) filter (outcome <> 'applied') as remaining, arg_min(id, struct_pack(ms, seq)) filter (outcome = 'failed') as first_blocker from dq group by rollup(vault_id, type)", "fx_ops")),
     "dedupe_ops": Query(lambda spark, d: ops.dedupe_ops(twice(spark, d)), oracle("select id, ms, seq, type, path from fx_ops", "fx_ops")),

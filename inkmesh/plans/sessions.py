@@ -78,6 +78,7 @@ QUERIES = {
       select (select count(*) from fx_conn where kind = 'connect') as total_connections, (select count(*) from ses where is_open) as current_connections, (select count(*) from act) as total_vaults, (select count(*) from act where is_active) as active_vaults,
       (select count(*) from bud where not allowed) as rate_limit_hits, (select count(*) from bud join m using (event_id) where allowed and direction = 'out') as messages_processed""", "fx_conn", "fx_members", recursive=True)),
     "connection_gauge": Query(lambda spark, d: ops.connection_gauge(log(spark, d), "ip"), oracle(f"with {_GAUGE} select ip, ms, event_id, open from o", "fx_conn")),
+    "connection_gauge_split": Query(lambda spark, d: ops.connection_gauge(log(spark, d), "ip", split=True), oracle(f"with {_GAUGE} select ip, ms, event_id, open from o", "fx_conn")),
     "connection_gauge_all": Query(lambda spark, d: ops.connection_gauge(log(spark, d), None), oracle("""with g as (select ms, event_id, sum(case kind when 'connect' then 1 else -1 end) over (order by ms, event_id rows unbounded preceding) as total from fx_conn where kind in ('connect', 'disconnect'))
       select ms, event_id, cast(total - least(0, min(total) over (order by ms, event_id rows unbounded preceding)) as bigint) as open from g""", "fx_conn")),
     "peak_concurrency": Query(lambda spark, d: ops.peak_concurrency(ops.connection_gauge(log(spark, d), "ip"), "ip"), oracle(f"with {_GAUGE} select ip, max(open) as peak, arg_min(ms, ms) filter (open = top) as peak_ms from (select *, max(open) over (partition by ip) as top from o) q group by 1", "fx_conn")),

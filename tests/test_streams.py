@@ -2,7 +2,6 @@
 
 import time
 
-import pytest
 from pyspark.sql import functions as F
 
 from inkmesh.operators import admission, oplog, reconcile, sessions
@@ -225,19 +224,3 @@ def test_renames_count_under_the_new_path_if_asked(spark):
     files = spark.createDataFrame([("v", "local", "new"), ("v", "local", "other")], "vault_id string, replica string, path string")
     plan = lambda key: {(r.path, r.action) for r in reconcile.periodic_reconcile(files, reconcile.recent_ops(log, F.lit(200), key), F.lit(200), 150).collect()}
     assert plan("old") == {("new", "push"), ("other", "suppressed")} and plan("new") == {("new", "suppressed"), ("other", "suppressed")}
-
-
-@pytest.mark.parametrize("width", [1, 3, 50])
-def test_gauge_over_all_rows(spark, width):
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(width))
-    try:
-        rows = spark.range(400).select((F.col("id") % 97).alias("ms"), F.col("id").alias("event_id"), F.when(F.xxhash64("id") % 5 < 1, "connect").otherwise("disconnect").alias("kind"))
-        open_, want = 0, []
-        for r in sorted(rows.collect()):
-            open_ = max(0, open_ + (1 if r.kind == "connect" else -1))
-            want.append((r.ms, r.event_id, open_))
-        assert sorted(tuple(r) for r in sessions.connection_gauge(rows, None).collect()) == want
-        assert sessions.connection_gauge(rows.limit(0), None).count() == 0
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
