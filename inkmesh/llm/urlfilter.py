@@ -23,6 +23,10 @@ from .bpe import _extended, _kept
 from .common import mix64, written
 
 
+#: Levels after which a cascade gives up: each halves what passes wrongly.
+LEVELS = 96
+
+
 @dataclass(frozen=True)
 class Level:
     bits: np.ndarray  # unsigned 64-bit words
@@ -56,7 +60,8 @@ def listed(levels: list[Level], h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
 
 
 def hashes(key: Column) -> tuple[Column, Column]:
-    return F.xxhash64(key), F.xxhash64(key, F.lit(1))
+    """Two hashes from different seeds: keys that share one do not therefore share the other."""
+    return F.xxhash64(key), F.xxhash64(F.lit(1), key)
 
 
 def _level(keys: DataFrame, number: int, n: int, rate: float, max_bits: int) -> Level:
@@ -75,16 +80,16 @@ def _level(keys: DataFrame, number: int, n: int, rate: float, max_bits: int) ->
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(words[own].view(np.int64))], ["word", "bits"])
 
     words = np.zeros(size // 64, np.uint64)
-    for w, b in keys.select("h1", "h2").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits")).collect():
-        words[w] = np.int64(b).view(np.uint64)
+    found = keys.select("h1", "h2").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return Level(words, size, count)
 
 
 def cascade(universe: DataFrame, keys: DataFrame, rate: float = 0.01, max_bits: int = 1 << 27) -> list[Level]:
     """Levels that separate ``keys(key)`` from the rest of ``universe(key)``. Null keys are left out; repeats count once.
 
-    ``OverflowError`` says that a level would exceed ``max_bits``; ``mark`` then joins instead. ``rate`` is the first
-    level's; later levels take one half, as their sets are small.
+    ``OverflowError`` says that a level would exceed ``max_bits``, or that ``LEVELS`` levels leave keys that only their text tells
+    apart; ``judge`` then joins instead. ``rate`` is the first level's; later levels take one half, as their sets are small.
     """
     every = universe.filter(F.col("key").isNotNull()).select("key").distinct()
     wanted = keys.filter(F.col("key").isNotNull()).select("key").distinct().withColumn("in", F.lit(True))
@@ -93,6 +98,8 @@ def cascade(universe: DataFrame, keys: DataFrame, rate: float = 0.01, max_bits:
     inside, outside, levels = both.filter("in"), both.filter(~F.col("in")), []
     while n := inside.count():
         number = len(levels)
+        if number == LEVELS:
+            raise OverflowError(f"{n} keys share both hashes with others")
         level = _level(inside, number, n, rate if number == 0 else 0.5, max_bits)
         levels.append(level)
         shared = universe.sparkSession.sparkContext.broadcast(level)
@@ -144,9 +151,13 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url",
     host, path = host_and_path(F.col(url))
     taken = {"host", "path", "rule", "verdict"}
     rows = pages.select(*[c for c in pages.columns if c.lower() not in taken], host.alias("host"), path.alias("path"))
+    if not rules:
+        return rows.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     lengths = sorted({len(p) for _, _, p in rules})
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    counts = sorted({h.count(".") + 1 for _, h, _ in rules})  # no other suffix can be a rule's host
+    longest = F.filter(F.array(*[F.lit(n) for n in counts]), lambda n: n <= F.size(labels))
+    suffixes = F.transform(longest, lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
     candidates = F.flatten(F.transform(suffixes, lambda s: F.filter(F.array(*[F.when(F.length("path") >= n, F.concat(s, F.substring("path", 1, n))) for n in lengths]), lambda k: k.isNotNull())))
     rows = rows.withColumn("_uf_keys", candidates)
     universe = rows.select(F.explode("_uf_keys").alias("key"))

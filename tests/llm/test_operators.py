@@ -564,6 +564,21 @@ def test_url_rules(spark, bits):
     assert urlfilter.judge(df.limit(0), queries.URL_RULES).count() == 0
 
 
+def test_hosts_of_very_many_labels_and_no_rules(spark):
+    df = spark.createDataFrame([(1, "http://" + "a." * 20_000 + "com/fr/x"), (2, "http://example.org/es/"), (3, None), (4, "http://com.org.")], "page_id long, url string")
+    assert {(r.page_id, r.rule, r.verdict) for r in urlfilter.judge(df, queries.URL_RULES).collect()} == {(1, "com/fr/", "allow"), (2, "example.org/es/", "block"), (3, None, "allow"), (4, None, "allow")}
+    assert {(r.page_id, r.rule, r.verdict) for r in urlfilter.judge(df, []).collect()} == {(k, None, "allow") for k in (1, 2, 3, 4)}
+
+
+def test_keys_that_share_their_hashes_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(urlfilter, "hashes", lambda key: (F.lit(7).cast("long"), F.length(key).cast("long")))
+    monkeypatch.setattr(urlfilter, "LEVELS", 4)
+    df = spark.createDataFrame([(1, "http://a.com/fr/x"), (2, "http://a.com/de/x"), (3, "http://a.com/xx/x"), (4, "http://b.example.org/es/")], "page_id long, url string")
+    with pytest.raises(OverflowError):
+        urlfilter.cascade(spark.createDataFrame([("ab",), ("ba",)], "key string"), spark.createDataFrame([("ab",)], "key string"))
+    assert {(r.page_id, r.rule, r.verdict) for r in urlfilter.judge(df, queries.URL_RULES).collect()} == {(1, "com/fr/", "allow"), (2, "com/de/", "block"), (3, None, "allow"), (4, "example.org/es/", "block")}
+
+
 # 10 ------------------------------------------------------------------------------------------------------------
 
 LONG = "This sentence belongs to the article and is long enough to count as content, surely. " * 3
