@@ -109,7 +109,7 @@ _ENDED = f"""
   union all select connection_id, created, ms, ms + {24 * HOUR}, 'expired', null, ms + {24 * HOUR} from c, x where kind <> 'disconnect' and coalesce(nm, a) - ms > {24 * HOUR}"""
 
 QUERIES = {
-    "conn_log_stream": Query(conn_stream, oracle("select event_id, ms, connection_id, ip, kind, direction, msg_bytes, 2 as read from fx_conn", "fx_conn")),
+    "conn_log_stream": Query(conn_stream, oracle("select event_id, ms, connection_id, ip, kind, direction, msg_bytes, cast(2 as bigint) as read from fx_conn", "fx_conn")),
     "sessions_panel": Query(sessions_panel, oracle(f"with {admission._MESSAGES}, {admission.SESSIONS} select * from ses", "fx_conn", recursive=True)),
     "status_sinks": Query(panels, oracle("""select 'totals' as panel, 'all' as item, cast(count(*) as bigint) as n, cast(sum(msg_bytes) as bigint) as bytes from fx_conn
       union all select 'kinds', kind, count(*), cast(sum(msg_bytes) as bigint) from fx_conn group by kind union all select 'vaults', vault_id, count(*), cast(sum(msg_bytes) as bigint) from fx_conn group by vault_id""", "fx_conn")),
