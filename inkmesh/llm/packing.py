@@ -183,7 +183,9 @@ def pack(df: DataFrame, capacity: int = 2048, length: str = "length") -> DataFra
     Lengths are 1 to ``capacity``; a null or other length raises in the task that meets it. An empty table gives an
     empty one. Ties (equal lengths) are told apart by the partition and place they were read from. Columns called
     ``sequence_id`` or ``offset`` are replaced; the working columns are dropped again. The driver gets one row per
-    distinct length, ``capacity`` at most, and sends back a plan whose size depends on those lengths only.
+    distinct length, ``capacity`` at most, and sends back a plan whose size depends on those lengths only. Patterns hold
+    ``PARTS`` lengths at most; where there would be more than about ``PATTERNS``, their second lengths are taken at even steps,
+    which may cost sequences but places every piece: best-fit alone takes over where it needs fewer.
     """
     spark = df.sparkSession
     work = ("_pk_part", "_pk_nth")
