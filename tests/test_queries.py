@@ -15,10 +15,8 @@ def test_matches_sql(spark, duck, name):
     same(ALL[name].run(spark, DATA), duck, ALL[name].sql)
 
 
-@pytest.mark.parametrize("name", [n for n, q in ALL.items() if not q.sql])
-def test_runs(spark, name):
-    out = ALL[name].run(spark, DATA)
-    assert out.count() > 0 and out.distinct().count() == out.count()
+def test_every_query_has_sql():
+    assert [n for n, q in ALL.items() if not q.sql] == []
 
 
 def test_entry(spark):
