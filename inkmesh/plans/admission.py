@@ -48,8 +48,8 @@ def limited(spark, d):
 
 
 def crowd(df):
-    """The log with five addresses, so that each has very many requests."""
-    return df.withColumn("ip", F.concat(F.lit("10.1.0."), F.col("event_id") % 5))
+    """The log with forty addresses, so that each has many requests."""
+    return df.withColumn("ip", F.concat(F.lit("10.1.0."), F.col("event_id") % 40))
 
 
 def budget(spark, d):
@@ -112,7 +112,7 @@ DECIDED = "select ip, event_id, ms, decision, reason, case when decision = 'reje
 
 QUERIES = {
     "rate_limit": Query(limited, oracle(f"with {throttled('fx_conn', 'ip')} select k as ip, {_RATE}", "fx_conn", recursive=True)),
-    "rate_limit_hot": Query(lambda spark, d: ops.rate_limit(crowd(log(spark, d)), "ip", 2, 3600_000, ops.AFTER_RESET, hot=1000), oracle(f"""with h as (select event_id, ms, '10.1.0.' || (event_id % 5) as ip from fx_conn), {throttled('h', 'ip', '2', '3600000', after=ops.AFTER_RESET)}
+    "rate_limit_hot": Query(lambda spark, d: ops.rate_limit(crowd(log(spark, d)), "ip", 2, WINDOW, ops.AFTER_RESET, hot=100), oracle(f"""with h as (select event_id, ms, '10.1.0.' || (event_id % 40) as ip from fx_conn), {throttled('h', 'ip', '2', after=ops.AFTER_RESET)}
       select k as ip, {_RATE}""", "fx_conn", recursive=True)),
     "rate_limit_classes": Query(lambda spark, d: ops.rate_limit_classes(log(spark, d), ops.limits_frame(spark, LIMITS)), oracle(f"with {_DRAWS}, {throttled('rq', 'record', 'n.most_n', 'n.win_n', 'ms, event_id')} select k as record, thr.event_id // 4 as event_id, class, allowed, violations from thr join rq on rq.event_id = thr.event_id where rn > 0", "fx_conn", recursive=True)),
     "rate_limit_simple": Query(lambda spark, d: ops.rate_limit_simple(log(spark, d), "ip", MOST, WINDOW), oracle(f"""with num as (select *, row_number() over (partition by ip order by ms, event_id) as rn from fx_conn),
