@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import heapq
 import json
-import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -31,7 +30,6 @@ CACHE = 800_000
 NONE = np.int32(2**31 - 1)
 #: White space in Python's str.split() that Unicode's White_Space lacks.
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
-_STOP = re.compile(r"([a-z])([,.]) ")
 _SPLIT = regex.compile(r"\p{White_Space}+")
 
 
@@ -164,15 +162,17 @@ class WordBpe:
     def _learn(self, fresh: list[str]) -> None:
         """Puts chunks (texts without white space) into the cache."""
         known = self.chunks
-        mixed = [(c, self.pieces.findall(c)) for c in fresh if not c.isalpha()]
+        mixed = [(c, (c[:-1], c[-1]) if c[-1] in ",." and c[:-1].isalpha() and c.isascii() else self.pieces.findall(c)) for c in fresh if not c.isalpha()]
         plain = {c for c in fresh if c.isalpha()}
         plain.update(p for _, parts in mixed for p in parts if p not in known)
         by_length: dict[int, tuple[list[str], list[bytes]]] = {}
         for w in plain:
             raw = w.encode("utf-8", "surrogatepass")
-            names, raws = by_length.setdefault(min(len(raw), SHORT + 1), ([], []))
-            names.append(w)
-            raws.append(raw)
+            own = by_length.get(n := min(len(raw), SHORT + 1))
+            if own is None:
+                own = by_length[n] = ([], [])
+            own[0].append(w)
+            own[1].append(raw)
         for n, (names, raws) in by_length.items():
             known.update(zip(names, map(self._merge_long, raws) if n > SHORT else self._merge_short(raws)))
         for c, parts in mixed:
@@ -184,7 +184,7 @@ class WordBpe:
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
             text = text.replace("Σ", "σ")  # lower case by character: no final sigma
-        text = _STOP.sub(r"\1 \2 ", text.lower())  # the pattern parts them anyway, and the cache is smaller
+        text = text.lower()
         return text.split() if not _SEPARATORS.search(text) else [c for c in _SPLIT.split(text) if c]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
