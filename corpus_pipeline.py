@@ -42,7 +42,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs all that is left into sequences of 2048 tokens; one row per piece."""
-    return packing.pack(packing.pieces(docs, WORD_BPE))
+    return packing.pack_documents(docs, WORD_BPE)
 
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("packing", pack)]

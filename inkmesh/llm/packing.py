@@ -11,7 +11,7 @@ among the pieces of their length.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +23,11 @@ from pyspark.sql import types as T
 from .bpe import WordBpe, _extended, _kept
 from .common import slices, written
 
+Batches = Iterator[pa.RecordBatch]
 #: Lengths of a pattern at most, and patterns enumerated, about: with more, second lengths are taken at even steps.
 PARTS, PATTERNS = 8, 20_000
+#: Rows of an Arrow batch of texts.
+ROWS = 2048
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
@@ -33,6 +36,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, text: str = "t
     A document is its ids and a closing id 0, so null and empty texts have one piece of length 1. Longer ones
     than ``capacity`` are cut; only the last piece is shorter. Rows of equal key are separate documents.
     """
+    run, schema = _cutter(docs, tokenizer, capacity, text, key, with_ids)
+    return docs.select(key, text).mapInArrow(run, schema)
+
+
+def _cutter(docs: DataFrame, tokenizer: str, capacity: int, text: str, key: str, with_ids: bool = False) -> tuple[Callable[[Batches], Batches], T.StructType]:
+    """What makes pieces of batches of ``key`` and ``text``, and the pieces' schema."""
     kind = docs.schema[key].dataType
     fields = [T.StructField(key, kind), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]
     schema = T.StructType(fields + ([T.StructField("ids", T.BinaryType())] if with_ids else []))
@@ -53,7 +62,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, text: str = "t
                 cols = [batch.column(batch.schema.get_field_index(key)).take(pa.array(row, pa.int64())), pa.array(nth, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
                 yield pa.RecordBatch.from_arrays(cols + ([pa.array(ids, pa.binary())] if with_ids else []), names)
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return run, schema
 
 
 def patterns(support: np.ndarray, capacity: int) -> np.ndarray:
@@ -187,14 +196,26 @@ def pack(df: DataFrame, capacity: int = 2048, length: str = "length") -> DataFra
     ``PARTS`` lengths at most; where there would be more than about ``PATTERNS``, their second lengths are taken at even steps,
     which may cost sequences but places every piece: best-fit alone takes over where it needs fewer.
     """
-    spark = df.sparkSession
+    return _pack(df, iter, df, capacity, length)
+
+
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``pack(pieces(docs))``, but a task cuts and numbers in one pass: with two passes, each core of an executor keeps two Python
+    workers, and as tasks draw them in turn, each of them comes to hold the vocabulary and a cache."""
+    run, _ = _cutter(docs, tokenizer, capacity, text, key)
+    return _pack(docs.select(key, text), run, pieces(docs, tokenizer, capacity, text, key), capacity, "length", ROWS)
+
+
+def _pack(source: DataFrame, make: Callable[[Batches], Batches], df: DataFrame, capacity: int, length: str, rows_at_once: int | None = None) -> DataFrame:
+    """``pack`` of what ``make`` gives for the batches of ``source``, which has the columns of ``df``."""
+    spark = source.sparkSession
     work = ("_pk_part", "_pk_nth")
     numbered = _extended(df, [T.StructField(work[0], T.LongType()), T.StructField(work[1], T.LongType())])
     names = [f.name for f in numbered.fields]
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in make(batches):
             n = batch.column(batch.schema.get_field_index(length)).to_numpy(zero_copy_only=False)
             if len(n) and not (np.all(n >= 1) and np.all(n <= capacity)):
                 raise ValueError(f"lengths must be 1 to {capacity}")
@@ -207,7 +228,7 @@ def pack(df: DataFrame, capacity: int = 2048, length: str = "length") -> DataFra
             seen += np.bincount(n, minlength=capacity + 1)
             yield pa.RecordBatch.from_arrays(_kept(batch, numbered, 2) + [pa.array(np.full(len(n), part)), pa.array(nth)], names)
 
-    rows = written(df.mapInArrow(number, numbered), "pieces")
+    rows = written(source.mapInArrow(number, numbered), "pieces", rows_at_once)
     counts = rows.groupBy(F.col(length).alias("_pk_len"), F.col(work[0]).alias("_pk_of")).agg(F.count("*").alias("_pk_n"))
     before = Window.partitionBy("_pk_len").orderBy("_pk_of").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("_pk_len", "_pk_of", F.coalesce(F.sum("_pk_n").over(before), F.lit(0)).alias("_pk_base"))

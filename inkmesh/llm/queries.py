@@ -25,7 +25,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.pieces(_table(spark, sf_dir, "documents"), WORD_BPE))
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), WORD_BPE)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from corpus_pipeline import pack as stage_of_packing
 from inkmesh.llm import bpe, common, dedup, html, jaccard, langid, lm, packing, queries, topk, urlfilter, warc
 
 from ..conftest import DATA, same
@@ -79,6 +80,20 @@ def test_bpe_cache_starts_anew(monkeypatch):
         assert fresh.encode([text]) == kept.encode([text])
 
 
+def test_bpe_cache_is_bounded_in_bytes(monkeypatch):
+    limit, kept, rng = 1 << 16, bpe.WordBpe.load(PATH), np.random.default_rng(1)
+    monkeypatch.setattr(bpe, "CACHE", limit)
+    fresh = bpe.WordBpe(PATH)
+    for k in range(60):
+        text = f"often, met-words {'y' * 5000}{k} " + " ".join(f"w{n}." for n in rng.integers(0, 2000, 60))
+        assert fresh.encode([text, None, "often"]) == kept.encode([text, None, "often"])
+        assert "often" in fresh.chunks | fresh.older
+        assert sum(len(c) + len(x) for half in (fresh.chunks, fresh.older) for c, x in half.items()) < 4 * limit
+    fresh.encode(["z" * 300_000])  # a half that one text fills far beyond its size is not kept as the older one
+    fresh.encode(["another"])
+    assert fresh.chunks.keys() == {"another"} and not fresh.older
+
+
 # 2 -------------------------------------------------------------------------------------------------------------
 
 
@@ -116,6 +131,23 @@ def test_packing_odd_rows(spark):
     assert packing.pack(packing.pieces(df.limit(0), PATH)).count() == 0
 
 
+def test_packing_documents_takes_one_python_pass(spark, monkeypatch):
+    plans, write = [], packing.written
+
+    def written(df, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, *args)
+
+    monkeypatch.setattr(packing, "written", written)
+    df, columns = docs(spark), ["doc_id", "piece", "start", "length", "ids_crc32"]
+    rows = stage_of_packing(spark, df, DATA).collect()
+    assert len(plans) == 1 and plans[0].count("MapInArrow") == 1
+    check_packing(rows, 2048)
+    want = packing.pieces(df, PATH).select(columns).collect()
+    assert collections.Counter(tuple(r[c] for c in columns) for r in rows) == collections.Counter(map(tuple, want))
+    assert packing.pack_documents(df.limit(0), PATH).count() == 0
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(1, 64), min_size=1, max_size=200))
 def test_plan_places_every_piece(lengths):
