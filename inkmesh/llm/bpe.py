@@ -25,9 +25,8 @@ from .common import slices
 
 #: Longest word, in bytes, merged by scanning.
 SHORT = 64
-#: Bytes that each half of a Python worker's cache of words holds, about. When the younger half is full it turns old, and of the old
-#: one only words met since are left.
-CACHE = 48 << 20
+#: Cached words per Python worker; at more, the cache starts anew.
+CACHE = 800_000
 NONE = np.int32(2**31 - 1)
 #: White space in Python's str.split() that Unicode's White_Space lacks.
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
@@ -70,8 +69,6 @@ class WordBpe:
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int32)
         self._index(left << 20 | right)
         self.chunks: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.held = 0
 
     def _index(self, keys: np.ndarray) -> None:
         """Ranks by pair in an open hash table that whole arrays can probe."""
@@ -163,12 +160,10 @@ class WordBpe:
         return np.array([x for x in ids if x >= 0], "<u4").tobytes()
 
     def _learn(self, fresh: list[str]) -> None:
-        """Puts chunks (texts without white space) into the younger half of the cache."""
-        known, older, before = self.chunks, self.older, len(self.chunks)
-        known.update([(c, older[c]) for c in fresh if c in older])
-        made = [c for c in fresh if c not in known] if len(known) > before else fresh
-        mixed = [(c, (c[:-1], c[-1]) if c[-1] in ",." and c[:-1].isalpha() and c.isascii() else self.pieces.findall(c)) for c in made if not c.isalpha()]
-        plain = {c for c in made if c.isalpha()}
+        """Puts chunks (texts without white space) into the cache."""
+        known = self.chunks
+        mixed = [(c, (c[:-1], c[-1]) if c[-1] in ",." and c[:-1].isalpha() and c.isascii() else self.pieces.findall(c)) for c in fresh if not c.isalpha()]
+        plain = {c for c in fresh if c.isalpha()}
         plain.update(p for _, parts in mixed for p in parts if p not in known)
         by_length: dict[int, tuple[list[str], list[bytes]]] = {}
         for w in plain:
@@ -182,7 +177,6 @@ class WordBpe:
             known.update(zip(names, map(self._merge_long, raws) if n > SHORT else self._merge_short(raws)))
         for c, parts in mixed:
             known[c] = b"".join([known[p] for p in parts])
-        self.held += sum(len(c) + len(known[c]) for c in fresh) + 160 * (len(known) - before)  # with what Python itself takes
 
     @staticmethod
     def _split(text: str) -> list[str]:
@@ -207,10 +201,10 @@ class WordBpe:
             for p in parts:
                 if p not in marks if isinstance(p, bytes) else True:
                     fresh.update(p)
-        missing = [c for c in fresh if c not in self.chunks]
-        if missing and self.held > CACHE:
-            self.older = self.chunks if self.held <= 2 * CACHE else {}  # one very long text may have filled it
-            self.chunks, self.held, missing = {}, 0, list(fresh)
+        known = self.chunks
+        if len(known) + len(fresh) > CACHE:
+            known.clear()
+        missing = [c for c in fresh if c not in known]
         if missing:
             self._learn(missing)
         at = self.chunks.__getitem__

@@ -26,8 +26,6 @@ from .common import slices, written
 Batches = Iterator[pa.RecordBatch]
 #: Lengths of a pattern at most, and patterns enumerated, about: with more, second lengths are taken at even steps.
 PARTS, PATTERNS = 8, 20_000
-#: Rows of an Arrow batch of texts.
-ROWS = 2048
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
@@ -203,10 +201,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, text:
     """``pack(pieces(docs))``, but a task cuts and numbers in one pass: with two passes, each core of an executor keeps two Python
     workers, and as tasks draw them in turn, each of them comes to hold the vocabulary and a cache."""
     run, _ = _cutter(docs, tokenizer, capacity, text, key)
-    return _pack(docs.select(key, text), run, pieces(docs, tokenizer, capacity, text, key), capacity, "length", ROWS)
+    return _pack(docs.select(key, text), run, pieces(docs, tokenizer, capacity, text, key), capacity, "length")
 
 
-def _pack(source: DataFrame, make: Callable[[Batches], Batches], df: DataFrame, capacity: int, length: str, rows_at_once: int | None = None) -> DataFrame:
+def _pack(source: DataFrame, make: Callable[[Batches], Batches], df: DataFrame, capacity: int, length: str) -> DataFrame:
     """``pack`` of what ``make`` gives for the batches of ``source``, which has the columns of ``df``."""
     spark = source.sparkSession
     work = ("_pk_part", "_pk_nth")
@@ -228,7 +226,7 @@ def _pack(source: DataFrame, make: Callable[[Batches], Batches], df: DataFrame,
             seen += np.bincount(n, minlength=capacity + 1)
             yield pa.RecordBatch.from_arrays(_kept(batch, numbered, 2) + [pa.array(np.full(len(n), part)), pa.array(nth)], names)
 
-    rows = written(source.mapInArrow(number, numbered), "pieces", rows_at_once)
+    rows = written(source.mapInArrow(number, numbered), "pieces")
     counts = rows.groupBy(F.col(length).alias("_pk_len"), F.col(work[0]).alias("_pk_of")).agg(F.count("*").alias("_pk_n"))
     before = Window.partitionBy("_pk_len").orderBy("_pk_of").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("_pk_len", "_pk_of", F.coalesce(F.sum("_pk_n").over(before), F.lit(0)).alias("_pk_base"))
