@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import held, slices
 
 #: Longest word, in bytes, merged by scanning.
 SHORT = 64
@@ -43,7 +43,7 @@ def _byte_chars() -> list[str]:
 class WordBpe:
     """Encoder and decoder for one vocabulary file; one per Python worker and path (see ``load``)."""
 
-    _loaded: dict[str, "WordBpe"] = {}
+    _loaded: dict[str, "WordBpe"] = held("words")
 
     @classmethod
     def load(cls, path: str) -> "WordBpe":

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bpe import SHORT, WordBpe, _extended, _kept
-from .common import slices, text_bytes
+from .common import held, slices, text_bytes
 
 #: Bytes of pieces and ids that a worker's cache holds, and of the longest piece that goes there.
 CACHE_BYTES, CACHED = 96 << 20, 256
@@ -132,7 +132,7 @@ class Splitter:
 class ByteBpe(WordBpe):
     """Encoder and decoder for one file of ranks; one per Python worker and path (see ``load``)."""
 
-    _loaded: dict[str, "ByteBpe"] = {}
+    _loaded: dict[str, "ByteBpe"] = held("bytes")
     _splitter: Splitter | None = None
 
     def __init__(self, path: str):

@@ -22,6 +22,24 @@ pa.set_memory_pool(pa.system_memory_pool())
 
 _own: dict[str, str] = {}
 
+#: What the encoders' tasks keep in a Python worker for each other, by kind and path.
+_held: dict[str, dict] = {}
+
+
+def held(kind: str) -> dict:
+    """The table in which tasks of this Python worker keep what is dear to make, until ``give_back``."""
+    return _held.setdefault(kind, {})
+
+
+def give_back() -> None:
+    """Frees what encoders' tasks left in this Python worker, for the tasks of other operators: workers outlive queries, and
+    vocabularies and caches of a query that is over would count with all that come after it."""
+    if any(_held.values()):
+        for kind in _held.values():
+            kind.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
 
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new folder name below ``spark.checkpoint.dir``, which all executors share.

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, discard, hot_join, hot_keys, mix64, release, runtime_filter, slices, small, text_bytes, words, written
+from .common import batch_rows, discard, give_back, hot_join, hot_keys, mix64, release, runtime_filter, slices, small, text_bytes, words, written
 
 CELLS, SKETCH, BLOCK = 256, 1 << 18, 256
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
@@ -94,6 +94,7 @@ def frequencies(docs: DataFrame, text: str, width: int) -> Order:
     up to 4 times the mean load, one more at each doubling. Fixed size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         total = np.zeros(2 * SKETCH, np.int64)
         for whole in batches:
             for batch in slices(whole, text):
@@ -143,6 +144,7 @@ def features(docs: DataFrame, width: int, t: Fraction, order: Order) -> DataFram
     docs = docs.select("key", "text", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for whole in batches:
             for batch in slices(whole, "text"):
                 h, row, placed = ranked_shingles(*text_bytes(batch.column(1)), width, shared.value)
@@ -443,6 +445,7 @@ def verified(asked: DataFrame, texts: DataFrame, width: int, t: Fraction) -> Dat
         return out
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for whole in batches:
             for batch in slices(whole, "y", 1 << 19):
                 ok, keep = [], []
@@ -474,6 +477,7 @@ def links(docs: DataFrame, buckets: DataFrame, classes: DataFrame, width: int, t
         return full.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "gid", "key")
 
     def mates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for table in whole_blocks(batches):
             rows = Rows(table)
             none = np.iinfo(np.int64).max
@@ -501,6 +505,7 @@ def links(docs: DataFrame, buckets: DataFrame, classes: DataFrame, width: int, t
         """Pairs not yet refused, and a row ``a = -1, b = bucket`` for each bucket with a block that has more to propose."""
 
         def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            give_back()
             for table in whole_blocks(batches):
                 own = Rows(table)
                 held, size = [], 0

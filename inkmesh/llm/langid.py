@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import _extended, _kept
-from .common import mix64, slices, text_bytes
+from .common import give_back, mix64, slices, text_bytes
 
 LENGTH, HIDDEN, PAD = 64, 16, 256
 #: Bounds of the training sample: documents of each language, and segments of each document.
@@ -210,6 +210,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     picked = rows.filter(F.shiftrightunsigned("h", 1) <= F.element_at(share, F.col("lang")) * float(1 << 63))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             names, hashes = batch.column(0), batch.column(2)
             out = [segments(np.frombuffer(t.encode(), np.uint8), per_document, h).astype("<u2").tobytes() for t, h in zip(batch.column(1).to_pylist(), hashes.to_pylist())]
@@ -246,6 +247,7 @@ def identify(df: DataFrame, net: Network | None, text: str = "text", pred: str =
     shared = spark.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         own = shared.value
         for whole in batches:
             for batch in slices(whole, text, 1 << 20):

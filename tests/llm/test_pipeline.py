@@ -3,9 +3,14 @@
 import re
 from fractions import Fraction
 
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from inkmesh.llm import bpe, jaccard, langid
 from ..conftest import DATA
-from .test_operators import brute_components, check_packing, docs
+from .test_operators import PATH, brute_components, check_packing, docs
 
 
 def test_run_equals_brute_force(spark):
@@ -41,3 +46,18 @@ def test_near_tells_rows_of_one_id_apart(spark):
     left = {(r.doc_id, r.text) for r in corpus_pipeline.near(spark, df, DATA).collect()}
     assert {(1, text(1)), (2, text(2)), (4, text(4)), (5, "")} <= left and len(left) == 5
     assert {t for k, t in left if k is None} < {text(3), text(3) + " z"}
+
+
+@pytest.mark.parametrize("later", [lambda df: langid.identify(df, None).agg(F.max("score")), lambda df: jaccard.near_duplicates(df).agg(F.max("n_shingles"))])
+def test_later_stages_free_what_packing_left_in_the_workers(spark, later):
+    df = spark.range(0, 64, 1, 32).selectExpr("id as doc_id", "concat('some words ', id) as text")  # each worker gets a task of each job
+
+    def loaded(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(bpe.WordBpe._loaded)])], ["n"])
+
+    left = lambda: df.mapInArrow(loaded, "n long").agg(F.max("n")).first()[0]
+    bpe.encode(df, PATH).agg(F.sum("n_tokens")).collect()
+    assert left() == 1
+    later(df).collect()
+    assert left() == 0
